@@ -25,17 +25,32 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), _DIVIDER), "")
 
 
+#: Low bits of a packed fingerprint that hold its position; no row can hold as many words.
+POSITION_BITS = 28
+
+
 def winnow(words: Column, k: int, w: int) -> Column:
-    """The distinct fingerprints struct(h, pos) of a word array: the leftmost smallest hash of every ``w`` k-grams."""
-    none = F.array().cast("array<struct<h:bigint,pos:int>>")
+    """The fingerprints of a word array: the leftmost smallest hash of every ``w`` k-grams, each once.
+
+    A fingerprint is one long, hash bits above position bits.  Words are reached by index, never by slices, so the
+    work is linear in the text.
+    """
+    keep = -(1 << POSITION_BITS)
 
     def grams(x):
-        return F.transform(F.sequence(F.lit(0), F.size(x) - k), lambda i: F.struct(F.xxhash64(F.slice(x, i + 1, k)).alias("h"), i.cast("int").alias("pos")))
+        return F.transform(F.sequence(F.lit(0), F.size(x) - k), lambda i: F.xxhash64(*[F.get(x, i + j) for j in range(k)]).bitwiseAND(F.lit(keep).cast("long")).bitwiseOR(i.cast("long")))
+
+    def smallest(g):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - w, F.lit(0))), lambda i: F.least(*[F.get(g, i + j) for j in range(w)], F.get(g, i)))
+
+    def once(m):
+        return F.filter(m, lambda x, i: ~x.eqNullSafe(F.get(m, i - 1)))
+
+    return let(words, lambda x: F.when(F.size(x) < k, F.array().cast("array<bigint>")).otherwise(let(let(grams(x), smallest), once)))
 
-    def least(g):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, w))))
 
-    return let(words, lambda x: F.when(F.size(x) < k, none).otherwise(let(grams(x), least)))
+def _unpacked(fingerprint: Column) -> tuple[Column, Column]:
+    return F.shiftright(fingerprint, POSITION_BITS).alias("h"), fingerprint.bitwiseAND(F.lit((1 << POSITION_BITS) - 1).cast("long")).cast("int")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
@@ -52,12 +67,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     span = min(window, shortest or window)
     k = (span + 1) // 2
     w = span - k + 1
+    h, at = _unpacked(F.col("f"))
     fingerprint = F.explode(winnow(F.col("item"), k, w)).alias("f")
-    marks = materialize(items.select("item_id", "item", fingerprint).select("item_id", F.xxhash64("item").alias("version"), "f.h", F.col("f.pos").alias("ipos")), "marks")
+    marks = materialize(items.select("item_id", "item", fingerprint).select("item_id", F.xxhash64("item").alias("version"), h, at.alias("ipos")), "marks")
     small = marks.count() <= BROADCAST_ROWS
 
     texts = docs.select(key.alias("key"), words_of(F.col("text")).alias("words"))
-    placed = texts.select("key", F.explode(winnow(F.col("words"), k, w)).alias("f")).select("key", "f.h", F.col("f.pos").alias("dpos"))
+    placed = texts.select("key", F.explode(winnow(F.col("words"), k, w)).alias("f")).select("key", h, at.alias("dpos"))
     seeds = placed.join(F.broadcast(marks) if small else marks, "h").select("key", "item_id", "version", (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct()
     seeds = materialize(seeds, "seeds")
 
@@ -69,8 +85,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     def inside(same):
         """Item positions that lie in a run of at least ``size`` equal words."""
-        runs = F.transform(F.sequence(F.lit(1), F.size("item") - size + 1), lambda s: ~F.array_contains(F.slice(same, s, size), False))
-        return let(runs, lambda run: F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.array_contains(F.slice(run, F.greatest(j + 2 - size, F.lit(1)), F.least(size, j + 1)), True)))
+        runs = F.regexp_extract_all(F.array_join(F.transform(same, lambda x: F.when(x, "1").otherwise("0")), ""), F.lit("1+|0+"), F.lit(0))
+        long = F.array_join(F.transform(runs, lambda r: F.when(F.length(r) < size, F.repeat(F.lit("0"), F.length(r))).otherwise(r)), "")
+        return let(F.split(long, ""), lambda c: F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.get(c, j) == "1"))
 
     hit = aligned.select("key", "item_id", "diagonal", let(equal, inside).alias("inside")).filter(F.size("inside") > 0)
     hit = hit.select("key", "item_id", F.transform("inside", lambda j: j + F.col("diagonal")).alias("at"))
