@@ -1,7 +1,56 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus from ``documents``, in five stages.
+
+Every stage takes what its predecessor kept, as written and read again: toxic documents go, one document of each
+SimHash component stays, contaminated documents go, the rest is mixed to the source weights (a document may come
+twice, and the one that the budget cuts in a source is shortened), and what was mixed is written as token files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sitegrain.llm import common, decontaminate, mixing, queries, simhash, token_files, toxicity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_files.token_digest(docs, queries.tokenizer_file())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", one_of_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+    ("token_output", token_output),
+]
+
+#: Fingerprints, learned scores and tokens have no SQL; the pipeline is tested against a plain version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole ``documents`` table."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
