@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import let, lower_ascii, materialize
 
 WINDOW = 13
-#: Benchmark fingerprints are broadcast up to this many (24 bytes each); beyond it the join shuffles.
+#: Benchmark fingerprints (24 bytes each) and hashes of texts that share one (8 bytes) are broadcast up to this many;
+#: beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: ASCII other than 0-9 and a-z divides words.
 _DIVIDER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,14 +73,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     marks = materialize(items.select("item_id", "item", fingerprint).select("item_id", F.xxhash64("item").alias("version"), h, at.alias("ipos")), "marks")
     small = marks.count() <= BROADCAST_ROWS
 
-    texts = docs.select(key.alias("key"), words_of(F.col("text")).alias("words"))
-    placed = texts.select("key", F.explode(winnow(F.col("words"), k, w)).alias("f")).select("key", h, at.alias("dpos"))
-    seeds = placed.join(F.broadcast(marks) if small else marks, "h").select("key", "item_id", "version", (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct()
+    short = F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(key.alias("key"), short.alias("short"), words_of(F.col("text")).alias("words"))
+    placed = texts.select("short", "key", F.explode(winnow(F.col("words"), k, w)).alias("f")).select("key", "short", h, at.alias("dpos"))
+    seeds = placed.join(F.broadcast(marks) if small else marks, "h").select("key", "short", "item_id", "version", (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct()
     seeds = materialize(seeds, "seeds")
 
-    found = texts.join(seeds.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    # only texts with a seed move, once each; where too many have one to broadcast their hashes, the join shuffles
+    wanted = seeds.select("short").distinct()
+    few = wanted.count() <= BROADCAST_ROWS
+    moved = docs.select(F.col("text").cast("string").alias("text"), short.alias("short")).join(F.broadcast(wanted) if few else wanted, "short", "left_semi")
+    found = moved.select(key.alias("key"), "text").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
     known = items.select("item_id", F.xxhash64("item").alias("version"), "item")
-    aligned = seeds.join(found, "key").join(F.broadcast(known) if small else known, ["item_id", "version"])
+    aligned = seeds.drop("short").join(found, "key").join(F.broadcast(known) if small else known, ["item_id", "version"])
     size = F.least(F.lit(window), F.size("item"))
     equal = F.transform("item", lambda x, j: (j + F.col("diagonal") >= 0) & F.coalesce(F.get(F.col("words"), j + F.col("diagonal")) == x, F.lit(False)))
 
