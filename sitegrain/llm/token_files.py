@@ -8,8 +8,10 @@ index file: doc_id, first token, number of tokens.  Shards follow ascending doc_
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,51 +23,86 @@ from .common import bounded_batches, materialize, open_output, scratch_path, wri
 END_ID = 2
 SEQUENCE = 2048
 BATCH_ROWS = 64
-#: Pieces whose ids a worker remembers.
-CACHE = 400_000
+#: Pieces, and parts of pieces, whose ids a worker remembers.
+PIECES, PARTS = 900_000, 500_000
 _SPACE_RUN = re.compile(r" \s")
+#: Characters below this code point are pre-tokenised here; no control signs that Python alone calls white space.
+_FIRST_OTHER, _CONTROLS = "\u0250", "\x1c\x1d\x1e\x1f"
+_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The byte-level pre-tokenisation rule, for such characters.
+_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{_NUMBERS}]+| ?[{_NUMBERS}]+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The visible sign that byte-level vocabularies write for each byte: itself if printable, else 256 and on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(rest)) for b in range(256)}
+
+
+class _Remembered(dict):
+    """The ids of each word with a space before it."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(" " + word)
+        return ids
 
 
 class PieceEncoder:
     """Ids of whole texts from the tokenizers library, with the ids of each space-led piece remembered.
 
     Byte-level pre-tokenisation always begins a new token at a space that stands between two non-space characters,
-    so the ids of a text are those of its pieces, one after another.  Texts where a space has white space after it
-    are encoded whole.
+    so the ids of a text are those of its pieces, one after another; a new piece is cut by the same rule and its parts
+    go to the library's model.  Texts where a space has white space after it, and pieces with other characters than
+    Latin ones or with a special token in them, go to the library whole.  Tests hold all of this to its own encoding.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        rules = json.loads(tokenizer_json)
+        self.special = [t["content"] for t in rules.get("added_tokens", [])]
+        before = rules.get("pre_tokenizer") or {}
+        self.direct = not rules.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.signs = _byte_signs()
+        self.known = _Remembered(self._piece)
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, split, whole = self.known, [], []
-        new: dict[str, None] = {}
+        if len(self.known) > PIECES:
+            self.known = _Remembered(self._piece)
+        if len(self.parts) > PARTS:
+            self.parts = {}
+        known, out, whole = self.known.__getitem__, [], []
         for text in texts:
-            if _SPACE_RUN.search(text):
-                split.append(None)
+            if not self.direct or _SPACE_RUN.search(text) or any(c in text for c in _CONTROLS):
+                out.append(None)
                 whole.append(text)
                 continue
             first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-            split.append(pieces)
-            new.update(dict.fromkeys(p for p in pieces if p not in known))
-        if new:
-            fresh = list(new)
-            for k in range(0, len(fresh), 50_000):
-                part = fresh[k : k + 50_000]
-                known.update(zip(part, map(self._bytes, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-        direct = iter(map(self._bytes, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else ())
-        return [next(direct) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
-
-    @staticmethod
-    def _bytes(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+            ids = b"".join(map(known, rest))
+            out.append(self._piece(first) + ids if first else ids)
+        direct = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
+        return [array("I", next(direct).ids).tobytes() if x is None else x for x in out]
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii() and max(piece) >= _FIRST_OTHER or any(t in piece for t in self.special if t[0] in piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        parts, out, tokenize = self.parts, [], self.model.tokenize
+        for part in _PRE_TOKEN.findall(piece):
+            ids = parts.get(part)
+            if ids is None:
+                signs = part.encode().decode("latin-1").translate(self.signs)
+                ids = parts[part] = array("I", [t.id for t in tokenize(signs)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
 
 _encoders: dict[int, PieceEncoder] = {}

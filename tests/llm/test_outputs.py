@@ -168,6 +168,9 @@ def test_pieces_encode_as_whole_texts():
     rng = random.Random(3)
     texts = ["", " ", "  ", "a  b", "a b ", " a", "x\n y", "x\n\n y z", "tab\t b \tc", "don't we'll 'Twas", "é x  y z", "a <|endoftext|> b<|endoftext|>", "12 345,6 7.8 !! ?", "end \n"]
     texts += ["".join(rng.choice(" ab'\n\t1é. 　") for _ in range(40)) for _ in range(600)]
+    latin = "".join(chr(c) for c in range(0x250))
+    texts += ["".join(rng.choice(latin) for _ in range(30)) for _ in range(1500)]
+    texts += ["".join(rng.choice(latin) + rng.choice(["", " ", "a", "'s", "9"]) for _ in range(20)) for _ in range(500)]
     texts += [" ".join(rng.choice(["the", "thing.", "It's", "x1y", "ñandú,", "—"]) for _ in range(30)) for _ in range(100)]
     whole = tokenizer()
     with open(queries.tokenizer_file(), encoding="utf-8") as f:
