@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2
 #: Queued documents in one bucket of the prefix sums, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:

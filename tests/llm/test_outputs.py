@@ -42,7 +42,7 @@ def mixed_rows(rng, n):
     return [(i, " ".join("w%d" % rng.randrange(9) for _ in range(rng.randint(0, 40))), rng.choice(sources + ["a"] * 5), "q") for i in range(n)]
 
 
-@pytest.mark.parametrize("bucket", [20_000, 7])
+@pytest.mark.parametrize("bucket", [2_000, 7])
 def test_mix_targets_and_taken(spark, bucket, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
     rows = mixed_rows(random.Random(bucket), 400) + [(500, None, "a", ""), (501, "", None, ""), (502, "x", "lonely", "")]
