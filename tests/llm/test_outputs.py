@@ -259,12 +259,12 @@ def edited(rng, line, n):
     return " ".join(parts)
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_lines_against_all_pairs(spark, small, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SMALL_BAND", small)
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_lines_against_all_pairs(spark, rounds, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEADER_ROUNDS", rounds)
     rng = random.Random(12)
     base = [" ".join("v%05d" % rng.randrange(10**5) for _ in range(40)) for _ in range(12)]
-    lines = base + [edited(rng, b, 1) for b in base for _ in range(8)] + ["", "   ", "Short", "short ", "x", "\tX"] + [edited(rng, b, 25) for b in base]
+    lines = base + [edited(rng, b, n) for b in base for n in (1, 1, 2, 2, 3, 3, 4, 5)] + ["", "   ", "Short", "short ", "x", "\tX"] + [edited(rng, b, 25) for b in base]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))), "s", "") for i in range(60)] + [(99, None, "", "")]
     got = {r.doc_id: (r.n_lines, r.n_kept, r.dropped) for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == plain_lines(rows)
