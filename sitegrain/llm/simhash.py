@@ -210,9 +210,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, shard_limi
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that whose doc_id is the component's smallest (rows without an id
-    stay only where no row of their component has one; of repeated ids one row stays)."""
-    kept = near_duplicates(docs, **options).filter("doc_id <=> component_id").select("doc_id").distinct()
-    columns = docs.columns
-    chosen = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*columns)
-    return chosen.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that of the smallest doc_id (rows without one come last), and of
+    rows that share it the one whose text has the smallest hash; rows that repeat id and text count as one.
+
+    Texts are shuffled once, on the pair of hashes that both the join and the deduplication go by.
+    """
+    content = ("doc_id", F.col("text").cast("string"))
+    keyed = docs.withColumns({"_h": F.xxhash64(*content), "_g": F.xxhash64(F.lit(1), *content)})
+    ids = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_h", "_g").alias("doc_id"), "text")
+    kept = near_duplicates(ids, **options).filter("doc_id = component_id").select("doc_id._h", "doc_id._g").distinct()
+    return keyed.join(kept, ["_h", "_g"], "left_semi").dropDuplicates(["_h", "_g"]).select(*docs.columns)

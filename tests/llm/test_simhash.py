@@ -88,4 +88,6 @@ def test_edges(spark):
     got = sorted(map(tuple, simhash.near_duplicates(frame).collect()), key=str)
     assert [(r[0], r[2]) for r in got] == [(7, 7), (7, 7), (None, 7), (None, None)]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
-    assert simhash.keep_one(spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y z", "c")], "doc_id long, text string, fp string")).count() == 2
+    rows = [(2, "x", "a"), (1, "x", "b"), (3, "y z", "c"), (None, "q r s t u", "d"), (None, "v w", "e"), (None, "x", "f"), (3, "y z", "c")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "x", "b"), (3, "y z", "c"), (None, "q r s t u", "d"), (None, "v w", "e")], key=str)
