@@ -51,5 +51,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     recipes, _ = chunk_recipes(docs)
     recipes = materialize(recipes, "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join deals both sides anew and a hot group's rows can be split
+    groups = materialize(recipes.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return recipes.join(groups, "recipe").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
