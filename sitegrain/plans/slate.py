@@ -284,7 +284,7 @@ def technology_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("technology")).agg(F.count(F.lit(1)).alias("parts")).withColumn("category", technologies.category(F.col("technology")))
 
 
-@_query()
+@_query(f"SELECT 'technical' AS component, issue_type AS finding, pages AS records, 'High' AS confidence FROM ({ORACLES['technical_issue_counts']})")
 def evidence_by_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.combined_confidence(evidence.from_issues(technical.issue_rows(_pages(spark, sf_dir))))
 

@@ -11,7 +11,7 @@ from ..schema import PAGE, SNAPSHOT
 
 def write_crawl(pages: DataFrame, path: str, domain: str, crawl_ts: str) -> None:
     """Append a crawl below ``path`` as domain=.../crawl_ts=...; page text gives way to its length."""
-    kept = pages.drop("content_text").withColumn("content_length", F.length("content_text"))
+    kept = pages.withColumn("content_length", F.length("content_text")).drop("content_text")
     kept.withColumns({"domain": F.lit(domain), "crawl_ts": F.lit(crawl_ts)}).write.mode("append").partitionBy("domain", "crawl_ts").parquet(path)
 
 

@@ -327,8 +327,9 @@ def page_table(pages: DataFrame) -> DataFrame:
     """The page table of a raw table (page_id, url, html): what was not crawled is null or empty."""
     table = extract_pages(pages.withColumnRenamed("page_id", "crawl_seq"))
     empty = {"array": F.array(), "map": F.create_map()}
+    known = {"status_code": F.lit(200), "success": F.lit(True), "was_redirected": F.lit(False)}
+    added = {}
     for f in [*missing(CRAWLED, table.columns), *missing(MEASURED, table.columns)]:
-        kind = f.dataType.typeName()
-        value = empty[kind] if kind in empty else F.lit(0) if f.name.endswith(("_bytes", "_requests")) else F.lit(None)
-        table = table.withColumn(f.name, value.cast(f.dataType))
-    return table.withColumn("status_code", F.lit(200)).withColumn("success", F.lit(True)).withColumn("was_redirected", F.lit(False))
+        value = known.get(f.name, empty.get(f.dataType.typeName(), F.lit(0) if f.name.endswith(("_bytes", "_requests")) else F.lit(None)))
+        added[f.name] = value.cast(f.dataType)
+    return table.withColumns(added)
