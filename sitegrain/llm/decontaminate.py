@@ -98,6 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     hit = aligned.select("key", "item_id", "diagonal", let(equal, inside).alias("inside")).filter(F.size("inside") > 0)
     hit = hit.select("key", "item_id", F.transform("inside", lambda j: j + F.col("diagonal")).alias("at"))
     by_text = hit.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
+    by_text = materialize(by_text, "hits")  # written, so that the join can split the rows of a text with many copies
     rows = docs.select("doc_id", key.alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     listed = F.coalesce("found", F.array().cast("array<string>"))
