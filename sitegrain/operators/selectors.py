@@ -160,3 +160,49 @@ def engine_discrepancies(results: DataFrame) -> DataFrame:
 
 def engine_verdicts(results: DataFrame) -> DataFrame:
     return results.groupBy("url").agg(F.bool_and("success").alias("all_passed"), F.count(F.lit(1)).alias("engines"))
+
+
+def page_profiles(pages: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(url, profile): the first pattern (pattern, profile, pos) that matches at the start of each URL.
+
+    ``patterns`` is a small table of its own; it is gathered into one array, so the URLs are not multiplied.
+    """
+    listed = patterns.agg(F.array_sort(F.collect_list(F.struct("pos", "pattern", "profile"))).alias("_p"))
+    keyed = pages.withColumn("_k", F.lit(1)).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k")
+    hit = F.filter("_p", lambda p: F.regexp_like(F.col("url"), F.concat(F.lit("^(?:"), p["pattern"], F.lit(")"))))
+    return keyed.select("url", F.get(hit, F.lit(0))["profile"].alias("profile"))
+
+
+def profile_visits(visits: DataFrame) -> DataFrame:
+    """(site, page, visits, last_seen) of a visit log."""
+    return visits.groupBy("site", "page").agg(F.count(F.lit(1)).alias("visits"), F.max("ts").alias("last_seen"))
+
+
+def profile_hash(profile: Column) -> Column:
+    """Sixteen hex digits of a struct's canonical JSON."""
+    return F.substring(F.sha2(F.to_json(profile), 256), 1, 16)
+
+
+def framework_of(sites: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(site, framework): the override where there is one, else what was detected in ``sites`` (site, html)."""
+    found = sites.select("site", classify.framework(F.col("html"))["framework"].alias("_f"))
+    return found.join(overrides.select("site", F.col("framework").alias("_o")), "site", "left").select("site", F.coalesce("_o", "_f").alias("framework"))
+
+
+def specificity(level: Column) -> Column:
+    out = None
+    for name, value in SPECIFICITY.items():
+        out = F.when(level == name, value) if out is None else out.when(level == name, value)
+    return out
+
+
+def reanalyse(current: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(element, selector, action) of stored selectors (element, selector): keep, replace by the best candidate with
+    more confidence, or review where an unstable one has no better."""
+    judged = current.withColumn("_s", stability(F.col("selector")))
+    best = candidates.groupBy("element").agg(F.max_by(F.struct("selector", "confidence"), "confidence").alias("_b"))
+    joined = judged.join(best, "element", "left")
+    weak = F.col("_s.stability").isin("low", "very_low")
+    better = F.coalesce(F.col("_b.confidence") > F.col("_s.confidence"), F.lit(False))
+    action = F.when(~weak, "keep").when(better, "replace").otherwise("review")
+    return joined.select("element", F.when(weak & better, F.col("_b.selector")).otherwise(F.col("selector")).alias("selector"), action.alias("action"))

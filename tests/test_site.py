@@ -326,3 +326,39 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 2
     batch = streams.windowed_metrics(frame)
     assert batch.agg(F.sum("requests")).first()[0] == 60
+
+
+def test_reports(spark):
+    from sitegrain.operators import reports
+
+    issues = spark.createDataFrame([(f"u{i}", i, "thin_content", float(i), "warning") for i in range(7)] + [("u1", 1, "missing_h1", 0.0, "critical")], "url string, crawl_seq long, issue_type string, measured double, severity string")
+    text = reports.issue_report(issues).split("\n")
+    assert text[0] == "thin_content: 7 pages, 0 critical" and text[1] == "  - u0 (0, warning)" and text[6] == "  ... and 2 more" and text[7] == "missing_h1: 1 pages, 1 critical"
+    assert reports.issue_report(issues.limit(0)) == "" and reports.format_number(12345) == "12,345" and reports.format_number(None) == "-"
+    rows = spark.createDataFrame([("a", 0, i, f"m{i}") for i in range(7)] + [("b", 1, 0, "x")], "url string, crawl_seq long, pos int, message string")
+    assert [(r.url, r.errors, len(r.messages)) for r in reports.console_pages(rows).collect()] == [("a", 7, 5), ("b", 1, 1)]
+    social = spark.createDataFrame([(0, "a", 10, 0), (1, "b", 0, 0), (2, "c", 90, 5)], "crawl_seq long, url string, og_score int, twitter_score int")
+    best, worst = reports.social_extremes(social)
+    assert [r.url for r in best.collect()] == ["c", "a"] and worst.first().url == "b"
+    assert reports.hit_rate(spark.createDataFrame([(True,), (False,)], "hit boolean")).first().rate == 0.5
+    assert {r.phase: r.seconds for r in reports.phase_totals(spark.createDataFrame([({"a": 1.0, "b": 2.0},), ({"a": 3.0},)], "timing map<string,double>")).collect()} == {"a": 4.0, "b": 2.0}
+    states = spark.createDataFrame([("h", "1", "paused"), ("h", "2", "done"), ("i", "3", "paused")], "domain string, crawl_ts string, status string")
+    assert [r.crawl_ts for r in reports.resumable(states).collect()] == ["3", "1"]
+    when = spark.createDataFrame([("2024-01-02T03:04:05",), ("bad",)], "t string").select(reports.crawl_id(reports.parse_date(F.col("t"), F.lit(dt.datetime(2020, 1, 1)).cast("timestamp"))).alias("x"))
+    assert [r.x for r in when.collect()] == ["2024-01-02_030405", "2020-01-01_000000"]
+    safe = spark.createDataFrame([("https://h/Checkout",), ("https://h/",)], "u string").select(reports.is_safe_target(F.col("u"), ("checkout",)).alias("x"))
+    assert [r.x for r in safe.collect()] == [False, True]
+
+
+def test_profiles(spark):
+    pages = spark.createDataFrame([("https://h/p/1",), ("https://h/",), ("x",)], "url string")
+    patterns = spark.createDataFrame([("https://h/p/", "product", 0), ("https://h/", "home", 1)], "pattern string, profile string, pos int")
+    assert {r.url: r.profile for r in selectors.page_profiles(pages, patterns).collect()} == {"https://h/p/1": "product", "https://h/": "home", "x": None}
+    sites = spark.createDataFrame([("a", "<div data-reactroot></div>"), ("b", "")], "site string, html string")
+    overrides = spark.createDataFrame([("b", "vue")], "site string, framework string")
+    assert {r.site: r.framework for r in selectors.framework_of(sites, overrides).collect()} == {"a": "react", "b": "vue"}
+    current = spark.createDataFrame([(1, "#main"), (2, "#css-1ab2"), (3, ".css-1ab2")], "element int, selector string")
+    candidates = spark.createDataFrame([(2, "[name=q]", 0.92), (2, ".x", 0.6)], "element int, selector string, confidence double")
+    assert {r.element: (r.selector, r.action) for r in selectors.reanalyse(current, candidates).collect()} == {1: ("#main", "keep"), 2: ("[name=q]", "replace"), 3: (".css-1ab2", "review")}
+    visits = spark.createDataFrame([("s", "p", dt.datetime(2024, 1, d)) for d in (1, 2)], "site string, page string, ts timestamp")
+    assert selectors.profile_visits(visits).first().visits == 2
