@@ -213,16 +213,14 @@ def test_token_edges(spark):
 
 
 def normal(line):
-    return re.sub(r"[\t\r\x0b\x0c]", " ", line).strip(" ").lower()
+    return line.strip(" \t\r\x0b\x0c")
 
 
 def shingle_set(line):
-    out, at = set(), 0
-    while at < len(line):
-        out.add(line[at : at + line_dedup.SHINGLE])
-        m = re.compile(r"\S{1,4}\s*|\s+").match(line, at)
-        at = m.end()
-    return out
+    if re.search(r"\S{32}", line):
+        line = re.sub(r"(\S{8})", r"\1 ", line)
+    words = line.split(" ")
+    return {(w, n[:4]) if n is not None else (w,) for w, n in zip(words, [*words[1:], None])}
 
 
 def plain_lines(rows, similarity=0.8):
@@ -264,7 +262,7 @@ def test_lines_against_all_pairs(spark, rounds, monkeypatch):
     monkeypatch.setattr(line_dedup, "LEADER_ROUNDS", rounds)
     rng = random.Random(12)
     base = [" ".join("v%05d" % rng.randrange(10**5) for _ in range(40)) for _ in range(12)]
-    lines = base + [edited(rng, b, n) for b in base for n in (1, 1, 2, 2, 3, 3, 4, 5)] + ["", "   ", "Short", "short ", "x", "\tX"] + [edited(rng, b, 25) for b in base]
+    lines = base + [edited(rng, b, n) for b in base for n in (1, 1, 2, 2, 3, 3, 4, 5)] + ["", "   ", "Short", "Short ", "x", "\tx", "z" * 50, "z" * 49 + "y"] + [edited(rng, b, 25) for b in base]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))), "s", "") for i in range(60)] + [(99, None, "", "")]
     got = {r.doc_id: (r.n_lines, r.n_kept, r.dropped) for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == plain_lines(rows)
