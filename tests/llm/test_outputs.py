@@ -257,9 +257,9 @@ def edited(rng, line, n):
     return " ".join(parts)
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
+@pytest.mark.parametrize("rounds", [(8, 1), (1,)])
 def test_lines_against_all_pairs(spark, rounds, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
     rng = random.Random(12)
     base = [" ".join("v%05d" % rng.randrange(10**5) for _ in range(40)) for _ in range(12)]
     lines = base + [edited(rng, b, n) for b in base for n in (1, 1, 2, 2, 3, 3, 4, 5)] + ["", "   ", "Short", "Short ", "x", "\tx", "z" * 50, "z" * 49 + "y"] + [edited(rng, b, 25) for b in base]
