@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, free_prefix, materialize
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -102,11 +102,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     scheduled = schedule(docs, **options)
     again = Window.partitionBy("doc_id", "text_hash")  # rows that agree in both are told apart by a number
     turns = scheduled.withColumn("n", F.row_number().over(again.orderBy("source", "size"))).select("doc_id", "text_hash", "n", "size", F.explode("turns").alias("t"))
-    turns = turns.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n").alias("_m"), F.col("size").alias("_size"), F.col("t.finish").alias("_finish"), F.col("t.words").alias("_words"))
-    numbered = docs.withColumn("_text", F.xxhash64("text")).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy(F.col("source").cast("string"))))
-    joined = numbered.join(turns, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")) & (F.col("_n") == F.col("_m")))
-    pieces = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("_words").cast("int"))
-    cut = joined.withColumn("text", F.when(F.col("_words") < F.col("_size"), F.array_join(pieces, "")).otherwise(F.col("text")))
+    p = free_prefix(docs)
+    named = {"id": "doc_id", "hash": "text_hash", "m": "n", "size": "size", "finish": "t.finish", "words": "t.words"}
+    turns = turns.select(*[F.col(v).alias(p + k) for k, v in named.items()])
+    helper = {k: F.col(p + k) for k in (*named, "text", "n")}
+    same = Window.partitionBy("doc_id", p + "text").orderBy(F.col("source").cast("string"))
+    numbered = docs.withColumn(p + "text", F.xxhash64("text")).withColumn(p + "n", F.row_number().over(same))
+    joined = numbered.join(turns, F.col("doc_id").eqNullSafe(helper["id"]) & (helper["text"] == helper["hash"]) & (helper["n"] == helper["m"]))
+    pieces = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, helper["words"].cast("int"))
+    short = helper["words"] < helper["size"]
+    cut = joined.withColumn("text", F.when(short, F.array_join(pieces, "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_words") < F.col("_size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.repartitionByRange("_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.repartitionByRange(p + "finish", "doc_id").sortWithinPartitions(p + "finish", "doc_id").select(*docs.columns)

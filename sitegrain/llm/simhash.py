@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, free_prefix, materialize
 from .graph import connected_components
 
 SEED = 42
@@ -216,7 +216,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Texts are shuffled once, on the pair of hashes that both the join and the deduplication go by.
     """
     content = ("doc_id", F.col("text").cast("string"))
-    keyed = docs.withColumns({"_h": F.xxhash64(*content), "_g": F.xxhash64(F.lit(1), *content)})
-    ids = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_h", "_g").alias("doc_id"), "text")
-    kept = near_duplicates(ids, **options).filter("doc_id = component_id").select("doc_id._h", "doc_id._g").distinct()
-    return keyed.join(kept, ["_h", "_g"], "left_semi").dropDuplicates(["_h", "_g"]).select(*docs.columns)
+    h, g = (free_prefix(docs) + x for x in "hg")
+    keyed = docs.withColumns({h: F.xxhash64(*content), g: F.xxhash64(F.lit(1), *content)})
+    ids = keyed.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(h).alias("h"), F.col(g).alias("g")).alias("doc_id"), "text")
+    kept = near_duplicates(ids, **options).filter("doc_id = component_id").select(F.col("doc_id.h").alias(h), F.col("doc_id.g").alias(g)).distinct()
+    return keyed.join(kept, [h, g], "left_semi").dropDuplicates([h, g]).select(*docs.columns)

@@ -75,7 +75,7 @@ def test_virtual_times_interleave_the_sources(spark):
 
 def test_mixed_documents(spark):
     rows = mixed_rows(random.Random(5), 120) + [(7, "one two", "a", "x"), (7, "one two", "a", "x"), (None, " a\tb  c ", "a", "y")]
-    frame = spark.createDataFrame(rows, DOCS)
+    frame = spark.createDataFrame(rows, DOCS).withColumnRenamed("size", "_words")
     out = mixing.mix(frame)
     assert out.columns == frame.columns
     expected = defaultdict(int)
