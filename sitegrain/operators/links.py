@@ -72,7 +72,7 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataF
 
 
 def _has_checkpoints(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
+    return df.sparkSession.sparkContext.getCheckpointDir() is not None
 
 
 def merge_seeds(crawled: DataFrame, seeds: DataFrame) -> DataFrame:

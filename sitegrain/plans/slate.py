@@ -170,14 +170,14 @@ def frontier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH RECURSIVE x AS (SELECT o_custkey AS s, o_custkey * 7 % 50 AS d FROM orders UNION SELECT o_custkey % 50, o_orderkey % 50 FROM orders WHERE o_orderkey % 97 = 0),
-e AS (SELECT DISTINCT s % 50 AS src, d AS dst FROM x),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS src, (o_custkey % 50 * 3 + 1) % 50 AS dst FROM orders UNION SELECT o_custkey % 50, o_orderkey % 50 FROM orders WHERE o_orderkey % 997 = 0),
 r(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 6)
 SELECT node, min(level) AS level FROM r GROUP BY node""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first levels; a graph of 50 nodes is projected from orders."""
     o = _table(spark, sf_dir, "orders")
-    edges = o.select((F.col("o_custkey") % 50).alias("src"), (F.col("o_custkey") * 7 % 50).alias("dst")).unionAll(o.filter("o_orderkey % 97 = 0").select((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 50).alias("dst")))
+    node = F.col("o_custkey") % 50
+    edges = o.select(node.alias("src"), ((node * 3 + 1) % 50).alias("dst")).unionAll(o.filter("o_orderkey % 997 = 0").select(node.alias("src"), (F.col("o_orderkey") % 50).alias("dst")))
     return links.bfs_levels(edges, spark.range(1).select(F.col("id").alias("node")), 6)
 
 
