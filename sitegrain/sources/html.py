@@ -161,10 +161,6 @@ def _first(values, default=None):
     return next(iter(values), default)
 
 
-def _classes(attrs: dict) -> str:
-    return attrs.get("class", "").lower()
-
-
 def extract(html: str | None, url: str | None) -> dict:
     """The extracted fields of one page; null HTML counts as empty."""
     html, url = html or "", url or ""
@@ -231,7 +227,8 @@ def extract(html: str | None, url: str | None) -> dict:
     render = sum("stylesheet" in a.get("rel", "").lower().split() and a.get("media", "") in ("", "all") for a, _, head in get("link") if head)
     render += sum("src" in a and not a.get("async") and not a.get("defer") for a, _, head in scripts if head)
 
-    class_has = lambda *words: any(w in _classes(a) for _, a, _, _ in all_ for w in words)
+    class_names = "\n".join(a["class"].lower() for _, a, _, _ in all_ if "class" in a)
+    class_has = lambda *words: any(w in class_names for w in words)
     low_text = text.lower()
     kinds = {
         "product": class_has("product", "price") or any("data-product" in a or a.get("itemprop") == "price" for _, a, _, _ in all_) or "add to cart" in low_text,
