@@ -99,15 +99,17 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: a row for every turn of a document, in the order of virtual finish times, with its own
     columns.  The one document a source that the budget cuts keeps as many of its words as were taken."""
-    scheduled = schedule(docs, **options)
-    again = Window.partitionBy("doc_id", "text_hash")  # rows that agree in both are told apart by a number
-    turns = scheduled.withColumn("n", F.row_number().over(again.orderBy("source", "size"))).select("doc_id", "text_hash", "n", "size", F.explode("turns").alias("t"))
+    scheduled = materialize(schedule(docs, **options), "schedule")
+    twins = scheduled.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    # rows that agree in id and text are told apart by a number, which takes a shuffle of the texts of its own
+    number = lambda *key, by: F.row_number().over(Window.partitionBy(*key).orderBy(*by)) if twins else F.lit(1)
+    turns = scheduled.withColumn("n", number("doc_id", "text_hash", by=("source", "size"))).select("doc_id", "text_hash", "n", "size", F.explode("turns").alias("t"))
     p = free_prefix(docs)
     named = {"id": "doc_id", "hash": "text_hash", "m": "n", "size": "size", "finish": "t.finish", "words": "t.words"}
     turns = turns.select(*[F.col(v).alias(p + k) for k, v in named.items()])
     helper = {k: F.col(p + k) for k in (*named, "text", "n")}
-    same = Window.partitionBy("doc_id", p + "text").orderBy(F.col("source").cast("string"))
-    numbered = docs.withColumn(p + "text", F.xxhash64("text")).withColumn(p + "n", F.row_number().over(same))
+    numbered = docs.withColumn(p + "text", F.xxhash64("text"))
+    numbered = numbered.withColumn(p + "n", number("doc_id", p + "text", by=(F.col("source").cast("string"),)))
     joined = numbered.join(turns, F.col("doc_id").eqNullSafe(helper["id"]) & (helper["text"] == helper["hash"]) & (helper["n"] == helper["m"]))
     pieces = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, helper["words"].cast("int"))
     short = helper["words"] < helper["size"]
