@@ -43,12 +43,16 @@ def _byte_signs() -> dict[int, str]:
 class _Remembered(dict):
     """The ids of each word with a space before it."""
 
-    def __init__(self, encode):
+    def __init__(self, encoder: PieceEncoder):
         super().__init__()
-        self.encode = encode
+        self.encoder, self.tokenize, self.space = encoder, encoder.model.tokenize, encoder.signs[32]
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(" " + word)
+        if word.isascii() and word.isalpha():  # one part, whose signs are the letters themselves
+            ids = array("I", [t.id for t in self.tokenize(self.space + word)]).tobytes()
+        else:
+            ids = self.encoder._piece(" " + word)
+        self[word] = ids
         return ids
 
 
@@ -71,13 +75,13 @@ class PieceEncoder:
         before = rules.get("pre_tokenizer") or {}
         self.direct = not rules.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         self.signs = _byte_signs()
-        self.known = _Remembered(self._piece)
+        self.known = _Remembered(self)
         self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         if len(self.known) > PIECES:
-            self.known = _Remembered(self._piece)
+            self.known = _Remembered(self)
         if len(self.parts) > PARTS:
             self.parts = {}
         known, out, whole = self.known.__getitem__, [], []
