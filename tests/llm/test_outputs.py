@@ -257,9 +257,10 @@ def edited(rng, line, n):
     return " ".join(parts)
 
 
-@pytest.mark.parametrize("seed", [12, 13])
-def test_lines_against_all_pairs(spark, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("crowded", [24, 1])
+def test_lines_against_all_pairs(spark, crowded, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    rng = random.Random(crowded)
     base = [" ".join("v%05d" % rng.randrange(10**5) for _ in range(40)) for _ in range(12)]
     lines = base + [edited(rng, b, n) for b in base for n in (1, 1, 2, 2, 3, 3, 4, 5)] + ["", "   ", "Short", "Short ", "x", "\tx", "z" * 50, "z" * 49 + "y"] + [edited(rng, b, 25) for b in base]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))), "s", "") for i in range(60)] + [(99, None, "", "")]
