@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line is compared without outer white space, as the set of its character shingles: from every word start to four
-characters into the next word, so that every character is covered.  Three minimum hashes make a band, seven bands a
+A line is compared without outer white space, as the set of its character shingles: the eight characters from every
+position, whatever they are; a shorter line is one shingle.  Three minimum hashes make a band, seven bands a
 signature: a pair of similarity 0.8 shares a band with probability 0.993,
 one of 0.9 with 0.99999.  Lines that share a band are compared by the exact Jaccard similarity of their sets; links
 go to a distributed union-find, and of every component the first line stays.
@@ -25,8 +25,8 @@ from .graph import connected_components
 
 SIMILARITY = 0.8
 ROWS, BANDS = 3, 7
-#: Characters of the next word in a shingle; words of LONG_WORD characters or more are cut into pieces of eight.
-REACH, LONG_WORD, PIECE = 4, 32, 8
+#: Characters of a shingle.
+SHINGLE = 8
 #: Hashes of lines that need their sets are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,11 +37,22 @@ ROUNDS = (16, 1)
 CROWDED = 24
 
 
+def _codes(line: Column) -> Column:
+    """The characters of a line, four bytes each, so that any of them is reached at once."""
+    return F.encode(line, "UTF-32")
+
+
+def _places(codes: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(codes), 2) - SHINGLE, F.lit(0)))
+
+
+def _shingle(codes: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(codes, place * 4 + 1, F.lit(4 * SHINGLE)))
+
+
 def shingles(line: Column) -> Column:
     """The 64-bit hashes of a line's shingles, in order, repeats included."""
-    cut = F.when(line.rlike(rf"\S{{{LONG_WORD}}}"), F.regexp_replace(line, rf"(\S{{{PIECE}}})", "$1 ")).otherwise(line)
-    words = F.split(cut, " ")
-    return let(words, lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.substring(F.get(w, i + 1), 1, REACH))))
+    return let(_codes(line), lambda c: F.transform(_places(c), lambda i: _shingle(c, i)))
 
 
 def _normal(line: Column) -> Column:
@@ -61,7 +72,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     The three minima of a band are taken over one 64-bit hash as rotated by 0, 21 and 42 bits: orders by different
     bits of a random hash are independent.
     """
-    exploded = _lines(docs).select("k", F.explode(shingles(F.col("line"))).alias("h"))
+    placed = _lines(docs).select("k", _codes(F.col("line")).alias("c")).select("k", "c", F.explode(_places(F.col("c"))).alias("i"))
+    exploded = placed.select("k", _shingle(F.col("c"), F.col("i")).alias("h"))
     hashed = exploded.select("k", *[F.xxhash64("h", F.lit(b)).alias(f"b{b}") for b in range(BANDS)])
     turn = lambda c, n: F.shiftleft(c, n).bitwiseOR(F.shiftrightunsigned(c, 64 - n)) if n else F.col(c)
     signed = hashed.groupBy("k").agg(*[F.min(turn(f"b{b}", 64 // ROWS * r)).alias(f"h{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)])
