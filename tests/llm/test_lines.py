@@ -49,3 +49,20 @@ def test_character_shingles_against_all_pairs(spark, monkeypatch):
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6))), "s", "") for i in range(40)]
     got = {r.doc_id: (r.n_lines, r.n_kept, r.dropped) for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, test_outputs.DOCS)).collect()}
     assert got == test_outputs.plain_lines(rows)
+
+
+RUN = "QmYwAPJzv5CZsnA625s3Xf2nemtYgPpHdWEz79ojWKPBdGsx8u41cLq"
+
+
+@pytest.mark.parametrize(
+    ("line", "variant"),
+    [
+        ("版权所有未经书面许可不得以任何形式转载复制本网站的内容。", "版权所有未经书面许可不得以任何形式转载复制本网站的内容！"),
+        ("https://example.org/a/b?id=1234", "https://example.org/a/b?id=1235"),
+        ("name\tstreet\ttown\tpostcode\tcountry\ttelephone\tcustomer\tbalances", "name\tstreet\ttown\tpostcode\tcountry\ttelephone\tcustomer\tbalance"),
+        ("Tous\u00a0droits\u00a0réservés\u00a0partout", "Tous\u00a0droits\u00a0réservés\u00a0partout."),
+        (RUN, "x" + RUN),
+    ],
+)
+def test_lines_whatever_the_white_space(spark, line, variant):
+    assert kept(spark, line, variant) == 1
