@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-A line is compared without outer white space, as the set of its character shingles: the eight characters from every
-position, whatever they are; a shorter line is one shingle.  Three minimum hashes make a band, seven bands a
-signature: a pair of similarity 0.8 shares a band with probability 0.993,
+A line is compared lower-cased, its tabs and the like as spaces, without outer white space, as the set of its
+character shingles: the eight characters from every position, whatever they are; a shorter line is one shingle.  Three
+minimum hashes make a band, seven bands a signature: a pair of similarity 0.8 shares a band with probability 0.993,
 one of 0.9 with 0.99999.  Lines that share a band are compared by the exact Jaccard similarity of their sets; links
 go to a distributed union-find, and of every component the first line stays.
 
@@ -56,7 +56,7 @@ def shingles(line: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    return F.lower(F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")))
 
 
 def _lines(docs: DataFrame, *columns) -> DataFrame:

@@ -66,3 +66,16 @@ RUN = "QmYwAPJzv5CZsnA625s3Xf2nemtYgPpHdWEz79ojWKPBdGsx8u41cLq"
 )
 def test_lines_whatever_the_white_space(spark, line, variant):
     assert kept(spark, line, variant) == 1
+
+
+def folded(line):
+    return line.translate(dict.fromkeys(map(ord, "\t\r\x0b\x0c"), " ")).strip(" ").lower()
+
+
+def test_lines_fold_case_and_blanks(spark, monkeypatch):
+    monkeypatch.setattr(test_outputs, "normal", folded)
+    monkeypatch.setattr(test_outputs, "shingle_set", plain_shingles)
+    lines = ["SHARE THIS ARTICLE ON FACEBOOK AND TWITTER NOW", "Share this article on Facebook and Twitter now", "Short", "short ", "x", "\tX", "a\tb", "A b", "ÉTÉ", "été", "\t \r", "other"]
+    rows = [(1, "\n".join(lines), "", ""), (2, "\n".join(reversed(lines)), "", "")]
+    got = {r.doc_id: (r.n_lines, r.n_kept, r.dropped) for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, test_outputs.DOCS)).collect()}
+    assert got == test_outputs.plain_lines(rows) and got[1][1] == 6
