@@ -26,7 +26,10 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REQUIRED = {"warc-type", "warc-record-id", "content-length"}
 _CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f\x7f]")
 _READ = 1 << 18
-_HEADER_MOST = 1 << 16
+#: What is read of a plain record at first; longer header blocks are read on.
+_HEADER_READ = 1 << 16
+#: Bytes that no header line may hold.
+_NEVER = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
 # -- writing ------------------------------------------------------------------------------------------------------
@@ -73,7 +76,7 @@ class Damaged(Exception):
 
 
 def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    end = data.find(b"\r\n\r\n", 0, _HEADER_MOST)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(_VERSION) or end < 0:
         raise Damaged("no header block")
     try:
@@ -123,9 +126,21 @@ def _read_member(source, start: int, size: int) -> tuple[int, dict[str, str], by
     return at - len(z.unused_data), *_checked(headers, block)
 
 
-def _read_plain(source, start: int, size: int) -> tuple[int, dict[str, str], bytes]:
+def _header_block(source, start: int, size: int) -> bytes:
+    """The bytes from ``start`` to beyond the blank line, however far; less where no header block can go on."""
     source.seek(start)
-    data = source.read(min(_HEADER_MOST, size - start))
+    data = bytearray(source.read(min(_HEADER_READ, size - start)))
+    new = 0
+    while data.find(b"\r\n\r\n", max(0, new - 3)) < 0 and start + len(data) < size:
+        if _NEVER.search(data, new) or data.find(_VERSION, max(1, new - len(_VERSION) + 1)) > 0:
+            break
+        new = len(data)
+        data += source.read(min(new, size - start - new))
+    return bytes(data)
+
+
+def _read_plain(source, start: int, size: int) -> tuple[int, dict[str, str], bytes]:
+    data = _header_block(source, start, size)
     headers, _ = _parse(data)
     first = start + data.find(b"\r\n\r\n") + 4
     end = first + int(headers["content-length"])
