@@ -277,10 +277,16 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT technology, count(*) AS pages FROM (
 SELECT unnest(list_filter([CASE WHEN regexp_matches(lower(html), 'react(\\.js)?') OR contains(lower(html), '__react') THEN 'React' END, CASE WHEN contains(lower(html), 'heap') THEN 'Heap' END,
 CASE WHEN regexp_matches(lower(html), 'next(\\.js)?') THEN 'Next.js' END, CASE WHEN contains(lower(html), 'three') THEN 'Three.js' END, CASE WHEN contains(lower(html), 'd3') THEN 'D3.js' END], lambda x: x IS NOT NULL)) AS technology FROM pages) GROUP BY technology""")
+def technology_counts_broad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five broad signatures of :func:`technology_counts`, which SQL can follow."""
+    return technology_counts(spark, sf_dir).filter(F.col("technology").isin("React", "Heap", "Next.js", "Three.js", "D3.js"))
+
+
+@_query()
 def technology_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five broad signatures of the full table, which runs whole; their counts are compared."""
+    """Pages of every technology; the signature table has no SQL."""
     found = _table(spark, sf_dir, "pages").select(F.explode(technologies.detect(F.col("html"), F.create_map().cast("map<string,string>"))).alias("technology"))
-    return found.filter(F.col("technology").isin("React", "Heap", "Next.js", "Three.js", "D3.js")).groupBy("technology").agg(F.count(F.lit(1)).alias("pages"))
+    return found.groupBy("technology").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @_query("SELECT p_type AS technology, CASE WHEN p_type = 'ECONOMY' THEN 'Other' ELSE 'Other' END AS category, count(*) AS parts FROM part GROUP BY ALL")
