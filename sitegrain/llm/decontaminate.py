@@ -59,11 +59,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one.  ``n_hit`` counts the words
     of the document inside any occurrence of a window, ``n_items`` the items with one; a document is contaminated
-    when n_hit > 0 and share * n_hit >= n_words.  Null and empty texts have no words; items without words or without
-    an id are never found; repeated rows give a row each; either table may be empty; further columns are ignored.
+    when n_hit > 0 and share * n_hit >= n_words.  Null and empty texts have no words; items without words are never
+    found; items without an id count as one item, which the list leaves out; repeated rows give a row each; either table may be empty; further columns are ignored.
     """
     key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    items = materialize(benchmark.filter("item_id is not null").select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct(), "items")
+    items = materialize(benchmark.select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct(), "items")
     shortest = items.agg(F.min(F.size("item"))).first()[0]
     span = min(window, shortest or window)
     k = (span + 1) // 2
@@ -85,7 +85,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     moved = docs.select(F.col("text").cast("string").alias("text"), short.alias("short")).join(F.broadcast(wanted) if few else wanted, "short", "left_semi")
     found = moved.select(key.alias("key"), "text").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
     known = items.select("item_id", F.xxhash64("item").alias("version"), "item")
-    aligned = seeds.drop("short").join(found, "key").join(F.broadcast(known) if small else known, ["item_id", "version"])
+    same_item = F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.version") == F.col("i.version"))
+    aligned = seeds.drop("short").join(found, "key").alias("s").join((F.broadcast(known) if small else known).alias("i"), same_item).select("s.*", "i.item")
     size = F.least(F.lit(window), F.size("item"))
     equal = F.transform("item", lambda x, j: (j + F.col("diagonal") >= 0) & F.coalesce(F.get(F.col("words"), j + F.col("diagonal")) == x, F.lit(False)))
 
@@ -97,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     hit = aligned.select("key", "item_id", "diagonal", let(equal, inside).alias("inside")).filter(F.size("inside") > 0)
     hit = hit.select("key", "item_id", F.transform("inside", lambda j: j + F.col("diagonal")).alias("at"))
-    by_text = hit.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
+    by_text = hit.groupBy("key").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("found"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     by_text = materialize(by_text, "hits")  # written, so that the join can split the rows of a text with many copies
     rows = docs.select("doc_id", key.alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -106,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(listed).cast("long").alias("n_items"),
+        (F.size(listed) + F.coalesce("unnamed", F.lit(0))).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
