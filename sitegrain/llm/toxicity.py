@@ -158,7 +158,7 @@ class Grammar:
             if start < done or start and low[start - 1].isalpha() or symbol != "S" and end + 1 < len(low) and low[end + 1].isalpha():
                 continue
             left = max(done, 0)
-            for b in _BREAK.finditer(low, max(left, start - 2000), start):
+            for b in _BREAK.finditer(low, left, start):
                 left = b.end()
             stop = _BREAK.search(low, end + 1)
             done = stop.start() if stop else len(low)
