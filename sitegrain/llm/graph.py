@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     Nodes are of one orderable type.  Loops, repeated and reversed edges are allowed; edges with a null end are
     ignored; no edges give no rows.  Each round is three aggregations and two equi-joins on the node, whose larger
     side adaptive execution splits when a node is hot.  Rounds end when the edge set no longer changes, after
-    O(log^2 n) of them; every round is written to the shared folder, so lineage stays short.
+    O(log^2 n) of them; every round is written to the shared folder, so lineage stays short, and so are the minima that
+    it joins, for a join with an aggregate on the same key cannot be split.
     """
     high, low = F.greatest(u, v).alias("a"), F.least(u, v).alias("b")
     current = materialize(edges.filter(F.col(u) != F.col(v)).select(high, low).distinct(), "edges")
@@ -23,12 +24,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         if not state[0]:
             break
         both = current.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(current.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").filter("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "minima")
+        large = materialize(both.join(least, "x").filter("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        below = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         small = large.join(below, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(below.select("a", F.col("m").alias("b"))).distinct()
         following = materialize(small, "edges")
-        discard(current)
+        for table in (current, least, large, below):
+            discard(table)
         current, before, state = following, state, _state(following)
         if state == before:
             break

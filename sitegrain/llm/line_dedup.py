@@ -1,22 +1,32 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 A line is compared lower-cased, its tabs and the like as spaces, without outer white space, as the set of its
-character shingles: the eight characters from every position, whatever they are; a shorter line is one shingle.  Three
-minimum hashes make a band, seven bands a signature: a pair of similarity 0.8 shares a band with probability 0.993,
-one of 0.9 with 0.99999.  Lines that share a band are compared by the exact Jaccard similarity of their sets; links
-go to a distributed union-find, and of every component the first line stays.
-
-Bands are not expanded into all pairs.  The first round compares the most central line of a band, the one with the most
-band mates, with the band's other lines, and joins what it links.  The next compare every line outside a band's
-largest component with a sixteenth of the band's lines, then with all of other components, less those that two exact
-bounds rule out: distances to
-the central line may differ by no more than a link allows, since Jaccard distance is a metric, and two lines share no
-more shingles than either has in common with any other line of the band.  What stays uncompared lies in one component
-or is too far apart, so no link that could join two is lost.
+five-character shingles from every position, whatever the characters; a shorter line is one shingle.  Lines are
+similar when the Jaccard similarity of their sets is 0.8 or more.
+
+Signatures are taken over longer shingles, of nine characters in short lines and twelve in long ones: lines that differ
+in a few places still share most of them, unrelated lines hardly any, so that two minimum hashes make a band that
+few unrelated lines share.  Eight bands make a signature.  Where every fifth shingle of nine is not shared, as at a
+similarity of 0.8 with scattered edits (0.67 over nine characters, 0.58 over twelve), two lines share a band with
+probability 0.99 or 0.96.  A short line has sixteen hash functions over all its shingles.  A long line has one hash
+function and sixteen bins, and a bin's minimum is its smallest hash; hashes that are surely too large to be a minimum
+are left out before they are grouped, so that most shingles of a long line cost one hash and no more.  Lines of a
+middle length have both signatures, so that similar lines have one in common; long lines that repeat themselves so much
+that bins stay empty are signed again by what they do not repeat.
+
+Lines that share a band are compared exactly, links go to a distributed union-find, and of every component the
+first line stays.  Bands are not expanded into all pairs.  First every line is compared with the first line of each of
+its bands.  Then lines of a band that are still in different components are compared.  Both times those are left out that an exact
+bound rules out: of each set a bitmap of 1,024 hashed places is kept, and every place that one bitmap has and the other lacks
+is at least one shingle that is not shared.  What stays uncompared lies in one component or is too far apart, so no
+link that could join two is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,141 +34,216 @@ from .common import discard, free_prefix, let, materialize
 from .graph import connected_components
 
 SIMILARITY = 0.8
-ROWS, BANDS = 3, 7
-#: Characters of a shingle.
-SHINGLE = 8
-#: Hashes of lines that need their sets are broadcast up to this many (8 bytes each); beyond it the join shuffles.
+#: Characters of a shingle that is compared, and of those that signatures of short and of long lines are taken over.
+SHINGLE, SHORT_SHINGLE, LONG_SHINGLE = 5, 9, 12
+ROWS, BANDS = 2, 8
+BINS = ROWS * BANDS
+#: Lines of up to SHORT_MOST shingles of SHORT_SHINGLE characters have the short signature, those from LONG_LEAST on the
+#: long one: similar lines differ in length by less than that.
+LONG_LEAST, SHORT_MOST = 90, 125
+#: Hashes that a bin of a long line keeps, on average, before its minimum is taken.
+KEPT = 5
+#: A long line with more empty bins than this is given the short signature too.
+EMPTY_BINS = BINS // 3
+#: 64-bit words of a bitmap.
+WORDS = 16
+#: One in so many of the pairs that are left is compared first; what that joins need not be compared again.
+EARLY = 8
+#: Hashes of lines that need their texts are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-#: One in so many of a band's lines is met in each round after the first.
-ROUNDS = (16, 1)
-#: In bands of more lines than this, what a line shares with its band is counted before pairs are made.
-CROWDED = 24
-
-
 def _codes(line: Column) -> Column:
     """The characters of a line, four bytes each, so that any of them is reached at once."""
     return F.encode(line, "UTF-32")
 
 
-def _places(codes: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.shiftright(F.length(codes), 2) - SHINGLE, F.lit(0)))
+def _places(codes: Column, size: int) -> Column:
+    """How many shingles of ``size`` characters there are; a shorter line is one."""
+    return F.greatest(F.shiftright(F.length(codes), 2) - (size - 1), F.lit(1))
 
 
-def _shingle(codes: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(codes, place * 4 + 1, F.lit(4 * SHINGLE)))
+def _shingle(codes: Column, place: Column, size) -> Column:
+    return F.xxhash64(F.substring(codes, place * 4 + 1, F.lit(size) * 4))
 
 
-def shingles(line: Column) -> Column:
+def shingles(line: Column, size: int = SHINGLE) -> Column:
     """The 64-bit hashes of a line's shingles, in order, repeats included."""
-    return let(_codes(line), lambda c: F.transform(_places(c), lambda i: _shingle(c, i)))
-
-
-def _normal(line: Column) -> Column:
-    return F.lower(F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")))
-
-
-def _lines(docs: DataFrame, *columns) -> DataFrame:
-    """One row a line that is not blank: columns, no, line (normal form), k and m, two 64-bit hashes of it."""
-    split = docs.select(*columns, F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("no", "line"))
-    normal = split.withColumn("line", _normal(F.col("line"))).filter("line <> ''")
-    return normal.withColumn("k", F.xxhash64("line")).withColumn("m", F.xxhash64(F.lit(1), F.col("line")))
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """(band, k): lines by the bands of their signature; a band is a hash of its number and its minimum hashes.
-
-    The three minima of a band are taken over one 64-bit hash as rotated by 0, 21 and 42 bits: orders by different
-    bits of a random hash are independent.
+    return let(_codes(line), lambda c: F.transform(F.sequence(F.lit(0), _places(c, size) - 1), lambda i: _shingle(c, i, size)))
+
+
+def _folded(text: Column) -> Column:
+    """A text lower-cased, its tabs and the like as spaces; the lines are as before."""
+    return reduce(lambda t, blank: F.replace(t, F.lit(blank), F.lit(" ")), "\t\r\x0b\x0c", F.lower(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """One row a line that is not blank: line (normal form), k and m, two 64-bit hashes of it."""
+    split = docs.select(F.explode(F.split(_folded(F.col("text")), "\n")).alias("line"))
+    normal = split.select(F.trim("line").alias("line")).filter("line <> ''")
+    return normal.select("line", F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), F.col("line")).alias("m"))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(k, bands): the bands of every line, hashes of their kind, number and minimum hashes, written once."""
+    coded = _lines(docs).select("k", _codes(F.col("line")).alias("c"))
+    short, long = _places(F.col("c"), SHORT_SHINGLE), _places(F.col("c"), LONG_SHINGLE)
+    kinds = F.when(long < LONG_LEAST, F.array(F.lit(False))).when(short > SHORT_MOST, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    limit = F.when(F.col("long"), _limit(long)).otherwise(F.lit(1 << 32))
+    found = materialize(_banded(coded.select("k", "c", F.explode(kinds).alias("long")).select("k", "c", "long", limit.alias("limit"))), "signatures")
+    thin = found.filter(F.col("empty") > EMPTY_BINS).select("k").distinct()
+    n = thin.count()
+    if not n:
+        return found
+    again = _lines(docs).join(F.broadcast(thin) if n <= BROADCAST_ROWS else thin, "k", "left_semi").dropDuplicates(["k", "m"])
+    words = F.split("line", " ")
+    again = again.select("k", _codes(F.col("line")).alias("c"), (F.size(F.array_distinct(words)) / F.size(words)).alias("fresh"))
+    # few distinct shingles, or none that words tell of, are signed as a short line's; more with a limit to match
+    kinds = F.array_compact(F.array(F.when((F.col("fresh") > 0.5) | (short * F.col("fresh") <= SHORT_MOST), F.lit(False)), F.when(F.col("fresh") <= 0.5, F.lit(True))))
+    limit = F.when(F.col("long"), _limit(long * F.col("fresh"))).otherwise(F.lit(1 << 32))
+    again = _banded(again.select("k", "c", "fresh", F.explode(kinds).alias("long")).select("k", "c", "long", limit.alias("limit")))
+    return found.unionAll(materialize(again, "signatures"))
+
+
+def _limit(shingles: Column) -> Column:
+    """What the upper half of a hash must be below, for KEPT hashes a bin of so many shingles."""
+    return (F.lit(KEPT * BINS * float(1 << 32)) / shingles).cast("long")
+
+
+def _banded(lines: DataFrame) -> DataFrame:
+    """(k, bands, empty) from (k, c, long, limit): the minima over the shingles whose hash is below the limit."""
+    size = F.when(F.col("long"), LONG_SHINGLE).otherwise(SHORT_SHINGLE)
+    count = F.greatest(F.shiftright(F.length("c"), 2) - size + 1, F.lit(1))
+    placed = lines.select("k", "c", "long", "limit", size.alias("size"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
+    # the partition's number keeps the filter from hashing a second time what it lets pass
+    once = F.spark_partition_id().cast("long").bitwiseAND(F.lit(0).cast("long"))
+    hashed = placed.select("k", "long", "limit", "i", F.xxhash64(F.substring("c", F.col("i") * 4 + 1, F.col("size") * 4)).bitwiseXOR(once).alias("h"))
+    low = F.shiftrightunsigned("h", 32) < F.col("limit")
+    kept = hashed.filter(low | (F.col("i") == 0))  # a line whose hashes are all too large has empty bins, but is there
+    kept = kept.select("k", "long", "h", F.shiftrightunsigned("h", 32).alias("v"), F.when(~F.col("long"), -1).when(low, F.pmod("h", F.lit(BINS)).cast("int")).otherwise(BINS).alias("bin"))
+
+    def minimum(j):
+        band, half = divmod(j, ROWS)
+        h = F.xxhash64("h", F.lit(band))
+        own = F.shiftrightunsigned(h, 32) if half else h.bitwiseAND(F.lit((1 << 32) - 1))
+        return F.min(F.when(F.col("bin") == j, F.col("v")).when(F.col("bin") < 0, own)).alias(f"h{j}")
+
+    signed = kept.groupBy("k", "long").agg(*[minimum(j) for j in range(BINS)])
+    missing = [F.col(f"h{j}").isNull() for j in range(BINS)]
+
+    def band(b):
+        parts = range(b * ROWS, (b + 1) * ROWS)
+        return F.when(~reduce(lambda x, y: x | y, [missing[j] for j in parts]), F.xxhash64("long", F.lit(b), *[f"h{j}" for j in parts]))
+
+    return signed.select("k", F.array_compact(F.array(*[band(b) for b in range(BANDS)])).alias("bands"), reduce(add, [x.cast("int") for x in missing]).alias("empty"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between ids of the lines of ``pairs`` (a, b) that are similar by their whole sets."""
+    left = texts.select(F.col("k").alias("a"), F.col("id").alias("u"), F.col("line").alias("x"))
+    right = texts.select(F.col("k").alias("b"), F.col("id").alias("v"), F.col("line").alias("y"))
+    sets = pairs.join(left, "a").join(right, "b").select("u", "v", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
+    counted = sets.select("u", "v", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return counted.filter((F.col("u") != F.col("v")) & (F.col("both") + 1e-9 >= similarity * (F.col("n") - F.col("both")))).select("u", "v")
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(k, n, w0, w1, ...): how many shingles a line has, repeats included, and its bitmap."""
+    coded = texts.select("k", _codes(F.col("line")).alias("c"))
+    places = coded.select("k", "c", F.explode(F.sequence(F.lit(0), _places(F.col("c"), SHINGLE) - 1)).alias("i"))
+    placed = places.select("k", F.pmod(_shingle(F.col("c"), F.col("i"), SHINGLE), F.lit(64 * WORDS)).cast("int").alias("at"))
+    bits = placed.select("k", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at % 64)").alias("bit"))
+    return bits.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
+
+
+def _within_reach(similarity: float) -> Column:
+    """Whether bitmaps, with columns named for their sides a and b, leave two lines a chance to be similar.
+
+    Every place that one bitmap alone has is at least one shingle that one line alone has, so their number x is no
+    more than what is not shared, and twice what is shared is at most n + n - x.
     """
-    placed = _lines(docs).select("k", _codes(F.col("line")).alias("c")).select("k", "c", F.explode(_places(F.col("c"))).alias("i"))
-    exploded = placed.select("k", _shingle(F.col("c"), F.col("i")).alias("h"))
-    hashed = exploded.select("k", *[F.xxhash64("h", F.lit(b)).alias(f"b{b}") for b in range(BANDS)])
-    turn = lambda c, n: F.shiftleft(c, n).bitwiseOR(F.shiftrightunsigned(c, 64 - n)) if n else F.col(c)
-    signed = hashed.groupBy("k").agg(*[F.min(turn(f"b{b}", 64 // ROWS * r)).alias(f"h{b * ROWS + r}") for b in range(BANDS) for r in range(ROWS)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return signed.select("k", F.explode(bands).alias("band"))
+    x = reduce(add, [F.bit_count(F.col(f"w{j}a").bitwiseXOR(F.col(f"w{j}b"))) for j in range(WORDS)])
+    return x * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-9
 
 
 def similar_lines(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between the ids of ``groups`` (k, m, id) that join every two candidate lines of at least
     ``similarity``, directly or over others."""
-    banded = candidates(docs)
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = materialize(banded.join(shared, "band"), "bands")
-    needed = rows.groupBy("k").agg(F.sum("n").alias("mates"))
-    active = materialize(rows.join(needed, "k").select("band", "k", "mates"), "bands")
-    discard(rows)
+    rows = signatures(docs).select("k", F.explode("bands").alias("band"))
+    shared = rows.repartition("band").groupBy("band").agg(F.min("k").alias("lead"), F.max("k").alias("_last")).filter("lead <> _last").drop("_last")
+    active = materialize(rows.join(materialize(shared, "shared-bands"), "band"), "bands")
     wanted = active.select("k").distinct()
     few = wanted.count() <= BROADCAST_ROWS
-    texts = _lines(docs).join(F.broadcast(wanted) if few else wanted, "k", "left_semi").dropDuplicates(["k", "m"]).join(groups.select("k", "m", "id"), ["k", "m"])
-    sets = materialize(texts.select("k", "id", F.array_distinct(F.transform(shingles(F.col("line")), lambda h: F.hash(h))).alias("s")), "sets")
-    left = sets.select(F.col("k").alias("a"), F.col("id").alias("u"), F.col("s").alias("su"))
-    right = sets.select(F.col("k").alias("b"), F.col("id").alias("v"), F.col("s").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    similar = both >= similarity * (F.size("su") + F.size("sv") - both)
-    same = sets.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # two lines of one 64-bit hash
-    twins = sets.join(same, "k", "left_semi").select("k")
-    found = materialize(left.join(twins.distinct().withColumnRenamed("k", "a"), "a", "left_semi").join(right, F.col("a") == F.col("b")).filter((F.col("u") < F.col("v")) & similar).select("u", "v"), "links")
-    lead = F.max_by("k", F.struct("mates", "k")).alias("lead")
-    centred = active.join(active.groupBy("band").agg(lead), "band").select("band", "k", "lead")
-    spokes = centred.filter("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
-    judged = materialize(spokes.join(left, "a").join(right, "b").select("a", "b", "u", "v", similar.alias("linked"), (1 - both / (F.size("su") + F.size("sv") - both)).alias("d")), "judged")
-    found = found.unionAll(judged.filter("linked").select("u", "v"))
-    # of lines that share a hash the distances may differ: then none is known
-    away = judged.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("d").alias("e")).filter("d = e").select("a", "b", "d")
-    # a line without a link is a component of its own, named apart from the linked ones
-    alone = -F.abs(F.shiftright("k", 1)) - 1
-    placed = materialize(centred.withColumns({"a": F.least("k", "lead"), "b": F.greatest("k", "lead")}).join(away, ["a", "b"], "left").select("band", "k", "lead", "d"), "bands")
-    # shingles of a line that no other line of the band has do not count; of lines that share a hash the sets are one
-    shared = sets.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.min(F.size("s")).alias("n"))
-    for share in ROUNDS:
-        labels = sets.select("k", "id").join(connected_components(found).withColumnRenamed("node", "id"), "id").groupBy("k").agg(F.min("component").alias("c"))
-        named = placed.join(labels, "k", "left").withColumn("c", F.coalesce("c", alone))
-        sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.groupBy("band").agg(F.max_by("c", F.struct("_n", "c")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        # central lines, and lines of the same set, have met all
-        mixed = materialize(named.join(largest, "band").filter((F.col("k") != F.col("lead")) & ~F.col("d").eqNullSafe(F.lit(0.0))).select("band", "k", "d", "c", "most"), "bands")
-        crowded = mixed.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWDED)
-        each = mixed.select("band", "k").join(crowded, "band", "left_semi").join(shared, "k").select("band", "k", F.explode("s").alias("t"))
-        own = each.groupBy("band", "t").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k")).filter("n = 1").groupBy("band", "k").agg(F.count(F.lit(1)).alias("own"))
-        bounded = mixed.join(own, ["band", "k"], "left").join(shared.select("k", "n", F.size("s").alias("m")), "k")
-        bounded = materialize(bounded.select("band", "k", "d", "c", "most", "n", (F.col("m") - F.coalesce("own", F.lit(0))).alias("r")), "bands")
-        ones = bounded.filter("c <> most").select("band", *[F.col(x).alias(f"{x}a") for x in ("k", "c", "d", "n", "r")])
-        others = bounded.filter(F.pmod(F.xxhash64("k", F.lit(share)), F.lit(share)) == 0).select("band", *[F.col(x).alias(f"{x}b") for x in ("k", "c", "d", "n", "r")])
-        near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - similarity + 1e-9, F.lit(True))
-        enough = F.least("ra", "rb") + 1e-9 >= similarity / (1 + similarity) * (F.col("na") + F.col("nb"))
-        pairs = ones.join(others, "band").filter((F.col("ca") != F.col("cb")) & near & enough).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
-        found = found.unionAll(materialize(pairs.join(left, "a").join(right, "b").filter(similar).select("u", "v"), "links"))
-    return found
+    wanted = F.broadcast(materialize(wanted, "wanted")) if few else materialize(wanted, "wanted")
+    ids = groups.join(wanted, "k", "left_semi").select("k", "m", "id")
+    texts = materialize(_lines(docs).join(wanted, "k", "left_semi").dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
+    twins = texts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")  # lines of one 64-bit hash
+    marks = materialize(_bitmaps(texts).join(twins.withColumn("twin", F.lit(True)), "k", "left"), "bitmaps")
+    columns = ["k", "n", "twin", *(f"w{j}" for j in range(WORDS))]
+    side = lambda table, x, *more: table.select(*[F.col(c).alias(c + x) for c in (*columns, *more)])
+    near = F.col("twina").isNotNull() | F.col("twinb").isNotNull() | _within_reach(similarity)
+
+    spokes = active.filter("k <> lead").select(F.col("k").alias("ka"), F.col("lead").alias("kb")).distinct()
+    spokes = spokes.join(side(marks, "a"), "ka").join(side(marks, "b"), "kb").filter(near).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    spokes = spokes.unionAll(twins.select(F.col("k").alias("a"), F.col("k").alias("b")))
+    found = materialize(_linked(materialize(spokes, "pairs"), texts, similarity), "links")
+
+    def labels(found):
+        """(k, c): the components of linked lines; twins have none."""
+        named = texts.join(connected_components(found).withColumnRenamed("node", "id"), "id").groupBy("k").agg(F.min("component").alias("c"))
+        return materialize(named.join(twins, "k", "left_anti"), "labels")
+
+    # a line without a component is one of its own, named apart from the linked ones
+    own = lambda k, c: F.coalesce(c, -F.abs(F.shiftright(k, 1)) - 1)
+    named = materialize(active.join(labels(found), "k", "left").withColumn("c", own("k", "c")), "bands")
+    sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
+    mixed = materialize(named.join(materialize(largest, "largest"), "band").filter("k <> lead"), "bands")  # the first line has met all
+    several = mixed.groupBy("band").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).filter("_c <> _d").select("band")
+    mixed = materialize(mixed.join(several, "band", "left_semi").join(marks, "k"), "bands")
+    # two lines outside the largest component meet once, by the order of their hashes
+    once = (F.col("cb") == F.col("mostb")) | (F.col("ka") < F.col("kb"))
+    ones = side(mixed.filter("c <> most"), "a", "band", "c").withColumnRenamed("banda", "band")
+    met = ones.join(side(mixed, "b", "band", "c", "most").withColumnRenamed("bandb", "band"), "band").filter((F.col("ca") != F.col("cb")) & once & near)
+    pairs = materialize(met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "pairs")
+    early = F.pmod(F.xxhash64("a", "b"), F.lit(EARLY)) == 0
+    found = materialize(found.unionAll(_linked(pairs.filter(early), texts, similarity)), "links")
+    by_line = labels(found)
+    left = pairs.filter(~early).join(by_line.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(by_line.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
+    left = left.filter(own("a", F.col("ca")) != own("b", F.col("cb"))).select("a", "b")
+    return found.unionAll(materialize(_linked(left, texts, similarity), "links"))
 
 
 def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row, doc_id, no, kept, component) for every line that is not blank of every row of ``docs``.
 
     Equal and similar lines form components; the first line of each, by doc_id (null last), row and number, stays.
+    Null and empty texts give no rows; rows that repeat are rows of their own; an empty table gives none; further
+    columns are ignored.
     """
-    uses = _numbered(docs).select("row", "doc_id", F.explode("lines").alias("x")).select("row", "doc_id", "x.*")
-    return _judge(docs, uses, similarity)
+    return _judge(docs, _uses(docs).filter("k is not null"), similarity)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, lines array<struct<no, k, m>>) of every row, written once so that row numbers are fixed."""
-    split = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    lines = F.transform(F.transform(split, lambda x, i: F.struct(i.alias("no"), _normal(x).alias("line"))), lambda x: F.struct(x["no"].alias("no"), F.when(x["line"] != "", F.xxhash64(x["line"])).alias("k"), F.xxhash64(F.lit(1), x["line"]).alias("m")))
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(lines, lambda x: x["k"].isNotNull()).alias("lines")), "lines")
+def _uses(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, no, k, m) of every line, written once so that row numbers are fixed; blank lines have no k."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    each = numbered.select("row", "doc_id", F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("no", "line"))
+    line = F.nullif(F.trim("line"), F.lit(""))
+    hashed = each.withColumn("line", line).select("row", "doc_id", "no", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("k"), F.xxhash64(F.lit(1), F.col("line")).alias("m"))
+    return materialize(hashed, "lines")
 
 
 def _judge(docs: DataFrame, uses: DataFrame, similarity: float) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "no")
-    groups = materialize(uses.groupBy("k", "m").agg(F.min(place).alias("first")).withColumn("id", F.monotonically_increasing_id()), "line-groups")
+    lines = uses.filter("k is not null")
+    groups = materialize(lines.groupBy("k", "m").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "line-groups")
     found = connected_components(similar_lines(docs, groups, similarity))
     named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    first = named.groupBy("component").agg(F.min("first").alias("best"))
+    # written, so that the join can split the lines of a hot component
+    first = materialize(named.groupBy("component").agg(F.min("first").alias("best")), "first-lines")
     by_line = materialize(named.join(first, "component").select("k", "m", "component", "best"), "line-classes")
     kept = (F.col("row") == F.col("best.row")) & (F.col("no") == F.col("best.no"))
-    return uses.join(by_line, ["k", "m"]).select("row", "doc_id", "no", kept.alias("kept"), "component")
+    return uses.join(by_line, ["k", "m"], "left").select("row", "doc_id", "no", kept.alias("kept"), "component")
 
 
 def deduplicated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -169,13 +254,9 @@ def deduplicated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     repeat are rows of their own, and the later one's lines go; an empty table gives no rows; further columns are
     ignored.
     """
-    numbered = _numbered(docs)
-    uses = numbered.select("row", "doc_id", F.explode("lines").alias("x")).select("row", "doc_id", "x.*")
-    judged = _judge(docs, uses, similarity)
-    by_row = judged.groupBy("row").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("kept").alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("no")))).alias("gone"))
-    rows = numbered.select("row", "doc_id")
-    none = F.lit(0).cast("long")
-    return rows.join(by_row, "row", "left").select("doc_id", F.coalesce("n_lines", none).alias("n_lines"), F.coalesce("n_kept", none).alias("n_kept"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("dropped"))
+    judged = _judge(docs, _uses(docs), similarity)
+    by_row = judged.groupBy("row", "doc_id").agg(F.count("kept").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("no")))).alias("gone"))
+    return by_row.select("doc_id", "n_lines", "n_kept", F.array_join(F.col("gone").cast("array<string>"), ",").alias("dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
