@@ -16,10 +16,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, local mode) a temporary one is made and kept in the session.
+    Only in local mode, where the session names none, a temporary one is made and kept in the session; a cluster
+    without a shared folder is an error, for each executor would write to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sitegrain-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -87,7 +90,7 @@ def labelled_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
     n = rows.select(key).count()
     if n <= limit:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+    return rows.filter(F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit((limit << 63) // n).cast("long"))
 
 
 def open_output(path: str):

@@ -2,8 +2,9 @@
 
 Of every ``w`` neighbouring k-grams of words the one with the smallest hash is kept as a fingerprint, in documents
 and benchmark items alike, with k + w - 1 no more than the shortest span that counts.  Two texts that share such a
-span share all its k-grams, hence a fingerprint at the same place of it: no span can be missed.  Shared fingerprints
-give diagonals (document position less item position); along each diagonal the words themselves are compared, so a
+span share all its k-grams, hence a fingerprint at the same place of it: no span can be missed.  Items shorter than a
+window are winnowed in classes by their own length, so that one short item does not make the fingerprints of all others
+dense.  Shared fingerprints give diagonals (document position less item position); along each diagonal the words themselves are compared, so a
 hash collision adds nothing.
 """
 
@@ -18,6 +19,10 @@ WINDOW = 13
 #: Benchmark fingerprints (24 bytes each) and hashes of texts that share one (8 bytes) are broadcast up to this many;
 #: beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: The words of all items are broadcast up to this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Least words of the classes of items that are shorter than a window.
+SHORT_SPANS = (1, 2, 4, 7)
 #: ASCII other than 0-9 and a-z divides words.
 _DIVIDER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -64,19 +69,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """
     key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     items = materialize(benchmark.select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct(), "items")
-    shortest = items.agg(F.min(F.size("item"))).first()[0]
-    span = min(window, shortest or window)
-    k = (span + 1) // 2
-    w = span - k + 1
+    spans = [n for n in SHORT_SPANS if n < window] + [window]
+    span = F.lit(spans[0])
+    for n in spans[1:]:
+        span = F.when(F.size("item") >= n, n).otherwise(span)
+    items = items.withColumn("span", span)
+    sized = items.groupBy("span").agg(F.sum(F.octet_length(F.array_join("item", " ")) + F.size("item") * 16)).collect()  # a row a class at most
+    present, light = sorted(r[0] for r in sized), sum(r[1] for r in sized) <= BROADCAST_BYTES
+
+    def fingerprints(words):
+        """Struct column c of every class that is present: span and fs, its fingerprints."""
+        chosen = [(n, (n + 1) // 2) for n in present]
+        return F.explode(F.array(*[F.struct(F.lit(n).alias("span"), winnow(words, k, n - k + 1).alias("fs")) for n, k in chosen]).cast("array<struct<span:int,fs:array<bigint>>>"))
+
     h, at = _unpacked(F.col("f"))
-    fingerprint = F.explode(winnow(F.col("item"), k, w)).alias("f")
-    marks = materialize(items.select("item_id", "item", fingerprint).select("item_id", F.xxhash64("item").alias("version"), h, at.alias("ipos")), "marks")
+    own = items.select("item_id", "item", "span", fingerprints(F.col("item")).alias("c")).filter("span = c.span").select("item_id", "item", "span", F.explode("c.fs").alias("f"))
+    marks = materialize(own.select("item_id", F.xxhash64("item").alias("version"), "span", h, at.alias("ipos")), "marks")
     small = marks.count() <= BROADCAST_ROWS
 
     short = F.xxhash64(F.col("text").cast("string"))
     texts = docs.select(key.alias("key"), short.alias("short"), words_of(F.col("text")).alias("words"))
-    placed = texts.select("short", "key", F.explode(winnow(F.col("words"), k, w)).alias("f")).select("key", "short", h, at.alias("dpos"))
-    seeds = placed.join(F.broadcast(marks) if small else marks, "h").select("key", "short", "item_id", "version", (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct()
+    placed = texts.select("short", "key", fingerprints(F.col("words")).alias("c")).select("short", "key", "c.span", F.explode("c.fs").alias("f")).select("key", "short", "span", h, at.alias("dpos"))
+    seeds = placed.join(F.broadcast(marks) if small else marks, ["h", "span"]).select("key", "short", "item_id", "version", (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct()
     seeds = materialize(seeds, "seeds")
 
     # only texts with a seed move, once each; where too many have one to broadcast their hashes, the join shuffles
@@ -86,7 +100,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     found = moved.select(key.alias("key"), "text").dropDuplicates(["key"]).select("key", words_of(F.col("text")).alias("words"))
     known = items.select("item_id", F.xxhash64("item").alias("version"), "item")
     same_item = F.col("s.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("s.version") == F.col("i.version"))
-    aligned = seeds.drop("short").join(found, "key").alias("s").join((F.broadcast(known) if small else known).alias("i"), same_item).select("s.*", "i.item")
+    aligned = seeds.drop("short").join(found, "key").alias("s").join((F.broadcast(known) if light else known).alias("i"), same_item).select("s.*", "i.item")
     size = F.least(F.lit(window), F.size("item"))
     equal = F.transform("item", lambda x, j: (j + F.col("diagonal") >= 0) & F.coalesce(F.get(F.col("words"), j + F.col("diagonal")) == x, F.lit(False)))
 

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A chunk ends at the first sentence or line end after MIN_CHUNK characters, at MAX_CHUNK at the latest: where it
-#: ends depends on the text around, not on offsets, so an insertion changes only the chunks near it.
+#: A chunk ends at the first sentence or line end after MIN_CHUNK characters; where there is none up to MAX_CHUNK, behind
+#: the first white space; where there is none of it, behind the first eight characters in a row of about half of all
+#: letters and signs; and only without these at MAX_CHUNK.  Where it ends depends on the text around, not on offsets,
+#: so an insertion changes only the chunks near it.
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: About half of the characters of unspaced text: encoded data, Han, kana, Hangul, Thai.
+_HALF = r"[A-Ma-m0-4+\x{3040}-\x{309F}\x{4E00}-\x{6AFF}\x{AC00}-\x{C3FF}\x{0E01}-\x{0E20}]"
 
 
 def chunk_pattern(least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> str:
-    return rf"(?s).{{{least},{most - 2}}}?(?:[.!?]\s|\n)|.{{1,{most}}}"
+    ends = (r"(?:[.!?]\s|[。！？\n])", r"\s", rf"{_HALF}{{8}}")
+    return "(?s)" + "|".join(rf".{{{least},{most - 8}}}?{end}" for end in ends) + rf"|.{{1,{most}}}"
 
 
 def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Column:

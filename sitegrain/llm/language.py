@@ -17,8 +17,9 @@ ORDERS = (1, 2, 3)
 #: Labelled rows that a model is fitted on, at most about.
 SAMPLE = 6000
 SMOOTHING = 0.5
+#: Characters that are hashed at once; a longer text goes on where it was cut.
 _SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 
 
 @lru_cache(1)
@@ -27,46 +28,80 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, owners): the hashed n-grams of lower-cased letter runs, runs ended by one space."""
-    lowered = [t.lower() for t in texts]
-    codes = np.frombuffer("".join(t + " " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
+def has_letter(text: str | None) -> bool:
+    """Whether a letter is in the text; signs such as superscript numbers and fractions are none."""
+    return bool(text) and any(m.group().isalpha() for m in _WORD_SIGN.finditer(text))
+
+
+def _runs(text: str, after_letter: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, places): the letters of a lower-cased text, each run of them ended by one space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[np.minimum(codes, 0x10FFFF)]
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    codes = np.where(letter, codes, 32).astype(np.uint32)[keep]
-    owner = owner[keep]
-    found, owners = [], []
+    if after_letter and len(keep):
+        keep[0] = True
+    at = np.flatnonzero(keep)
+    return np.where(letter, codes, 32).astype(np.uint32)[at], at
+
+
+def _hashed(codes: np.ndarray):
+    """For every order: the bucket of the n-gram that begins at each place."""
     h = np.zeros(len(codes), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if n > len(codes):
             break
         h = h[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] + np.uint32(n)
         if n in ORDERS:
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
-            same = owner[n - 1 :] == owner[: len(owner) - n + 1]
-            found.append((mixed >> np.uint32(16))[same])
-            owners.append(owner[: len(owner) - n + 1][same])
-    if not found:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
+            yield n, (((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(16))
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, owners): the hashed n-grams of the whole texts; none spans two texts."""
+    lowered = [t.lower() + " " for t in texts]
+    codes, at = _runs("".join(lowered))
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])[at]
+    found, owners = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+    for n, bucket in _hashed(codes):
+        first = owner[: len(owner) - n + 1]
+        same = owner[n - 1 :] == first
+        found.append(bucket[same])
+        owners.append(first[same])
     return np.concatenate(found), np.concatenate(owners)
 
 
-def _slices(texts: list[str | None]):
-    """(positions, texts) of about a million characters; a longer text comes in several slices."""
+def long_grams(text: str):
+    """The buckets of one text of any length, a bounded part at a time; they are those of :func:`grams`.
+
+    The last codes of a part are carried into the next, whose n-grams that lie in them alone were counted before.
+    """
+    lowered = text.lower() + " "
+    carry, after_letter = np.empty(0, np.uint32), False
+    for k in range(0, len(lowered), _SLICE):
+        part = lowered[k : k + _SLICE]
+        codes = np.concatenate((carry, _runs(part, after_letter)[0]))
+        yield np.concatenate([np.empty(0, np.uint32), *(bucket[max(0, len(carry) - n + 1) :] for n, bucket in _hashed(codes))])
+        carry, after_letter = codes[max(0, len(codes) - max(ORDERS) + 1) :], part[-1].isalpha()
+
+
+def _parts(texts: list[str | None]):
+    """(positions, buckets, owners) of about a million characters, or of a part of one longer text."""
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
-        for k in range(0, len(t or ""), _SLICE):
-            part = t[k : k + _SLICE]
-            at.append(i)
-            held.append(part)
-            size += len(part)
-            if size >= _SLICE:
-                yield at, held
-                at, held, size = [], [], 0
+        if not t:
+            continue
+        if len(t) >= _SLICE:
+            for buckets in long_grams(t):
+                yield [i], buckets, np.zeros(len(buckets), np.int64)
+            continue
+        at.append(i)
+        held.append(t)
+        size += len(t)
+        if size >= _SLICE:
+            yield at, *grams(held)
+            at, held, size = [], [], 0
     if held:
-        yield at, held
+        yield at, *grams(held)
 
 
 class Model:
@@ -81,14 +116,13 @@ class Model:
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language of every whole text and its posterior; und and 0 where there is no letter."""
         sums = np.zeros((len(texts), len(self.languages)))
-        for at, part in _slices(texts):
-            bucket, owner = grams(part)
+        for at, bucket, owner in _parts(texts):
             if len(bucket):  # counts of a text are sparse: rows of the matrix are summed where it has an n-gram
                 order = np.argsort(owner, kind="stable")
                 owner, rows = owner[order], self.matrix[bucket[order]]
                 starts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
                 np.add.at(sums, np.array(at)[owner[starts]], np.add.reduceat(rows, starts, axis=0, dtype=np.float64))
-        has = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        has = np.array([has_letter(t) for t in texts], bool)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
         sums += self.prior
@@ -112,8 +146,8 @@ def fit(rows: DataFrame, limit: int = SAMPLE) -> Model:
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 sums = held.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 sums[BUCKETS] += len(own)
-                for _, part in _slices(own):
-                    sums[:BUCKETS] += np.bincount(grams(part)[0], minlength=BUCKETS)
+                for _, buckets, _ in _parts(own):
+                    sums[:BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
         for lang, sums in held.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], ["lang", "bucket", "n"])

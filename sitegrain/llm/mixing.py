@@ -5,6 +5,11 @@ time is the number of words its source has queued up to its end, divided by the
 queues in the order of these times keeps all sources on their targets at every moment, and at virtual time 1 every
 source has given exactly its target and the total budget is spent: there the mix is truncated, and a document in
 service at that moment is cut to the words it had left.
+
+That this is the truncation of the global order at the total budget: in the order of finish times, the turns that
+finish by time 1 come first, and their words are the whole turns below each source's target, together no more than the
+budget.  No turn that starts at 1 or later is served by then.  What is left of the budget is, source by source, what
+the one turn that starts before 1 and ends after it still has to give, and it goes to these turns.
 """
 
 from __future__ import annotations
@@ -98,7 +103,11 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: a row for every turn of a document, in the order of virtual finish times, with its own
-    columns.  The one document a source that the budget cuts keeps as many of its words as were taken."""
+    columns.  The one document a source that the budget cuts keeps as many of its words as were taken.
+
+    Null texts and texts without words are never taken; null sources are a source; null ids take part; rows that repeat
+    are taken each for itself; an empty table gives no rows; helper columns never clash with those of ``docs``.
+    """
     scheduled = materialize(schedule(docs, **options), "schedule")
     twins = scheduled.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
     # rows that agree in id and text are told apart by a number, which takes a shuffle of the texts of its own

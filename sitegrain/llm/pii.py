@@ -4,7 +4,8 @@ The model is trained in numpy, from spans that a seeded generator labels (:func:
 looser forms that the patterns miss (phones without a plus, e-mail addresses with blanks around the sign), and
 numbers that are no personal data.  Whole texts are cut into overlapping windows; the windows are decoded by Viterbi,
 every character takes its tag from the window in which it lies farthest from an edge, and the spans of the joined tag
-sequence are checked.  A checked span always holds a digit or an at sign, so windows without either need no decoding.
+sequence are checked.  A checked span always holds a digit or an at sign, so decoding begins at the windows that hold
+one and at their neighbours, and goes on to the next window as long as a tag reaches the edge of what was decoded.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _SIGNAL = re.compile(r"[0-9@]")
-_ANY_DIGIT = re.compile(r"[0-9]")
+_ANY_DIGIT, _ANY_NUMBER = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
 
 WINDOW, OVERLAP = 128, 32
 HIDDEN = 16
@@ -56,18 +57,50 @@ def _holds(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in found.split("."))
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in found.split(".")))
     digits = "".join(c for c in found if "0" <= c <= "9")
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+
+
+def _emails(text: str):
+    """The matches of the e-mail pattern, found from their at signs outwards: no run of characters is read twice."""
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+            done = host.end()
+        at = text.find("@", at + 1)
+
+
+def _addresses(text: str):
+    """The matches of the ip pattern: each four numbers of a dotted chain, from its left end on."""
+    for chain in _CHAIN.finditer(text):
+        if text.count(".", *chain.span()) >= 3:
+            start, ends = chain.start(), [m.end() for m in _ANY_NUMBER.finditer(text, *chain.span())]
+            for k in range(3, len(ends), 4):
+                yield start, ends[k]
+                start = ends[k] + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) by kind, then start: leftmost matches of each pattern that hold."""
     out = []
     digits = _ANY_DIGIT.search(text) is not None
+    found = {"email": _emails, "ip": _addresses}
     for k, kind in enumerate(KINDS):
         if ("@" in text) if kind == "email" else digits and (kind != "phone" or "+" in text):
-            out += [(k, m.start(), m.end()) for m in PATTERNS[kind].finditer(text) if _holds(kind, m.group())]
+            spans = found[kind](text) if kind in found else (m.span() for m in PATTERNS[kind].finditer(text))
+            out += [(k, s, e) for s, e in spans if _holds(kind, text[s:e])]
     return out
 
 
@@ -305,13 +338,14 @@ def train(steps: int = STEPS, seed: int = SEED) -> Model:
 # -- whole texts -------------------------------------------------------------------------------------------------------
 
 
-def _windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign."""
+def _windows(text: str) -> set[int]:
+    """Numbers of the windows that hold a digit or an at sign, and of their neighbours."""
     stride, found = WINDOW - OVERLAP, set()
+    last = max(0, -(-(len(text) - WINDOW) // stride))
     for m in _SIGNAL.finditer(text):
         at = m.start()
-        found.update(range(max(0, -(-(at - WINDOW + 1) // stride)), at // stride + 1))
-    return [k * stride for k in sorted(found)]
+        found.update(range(max(0, -(-(at - WINDOW + 1) // stride) - 1), min(last, at // stride + 1) + 1))
+    return found
 
 
 def _accepts(kind: str, found: str) -> bool:
@@ -325,53 +359,64 @@ def _accepts(kind: str, found: str) -> bool:
     return re.fullmatch(r"\+?\(?[0-9][0-9 ().-]*[ ().-][0-9 ().-]*[0-9]", found) is not None and _holds("phone", found)
 
 
-def model_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The accepted (kind number, start, end) of every whole text."""
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    jobs = [(i, s) for i, t in enumerate(texts) for s in _windows(t)]
-    open_text, tags, joined = -1, None, {}
-
-    def close(i):
-        text, spans = texts[i], []
-        for s, e, row in joined.pop(i):  # runs of consecutive windows, already reconciled
-            at = s
-            while at < e:
-                tag = int(row[at - s])
-                if not tag:
-                    at += 1
-                    continue
-                end = at + 1
-                while end < e and row[end - s] == (tag + 1 if tag % 2 else tag):
-                    end += 1
-                kind = (tag - 1) // 2
-                if _accepts(KINDS[kind], text[at:end]):
-                    spans.append((kind, at, end))
-                at = end
-        found[i] = spans
-
+def _decode(model: Model, texts: list[str], jobs: list[tuple[int, int]], decoded: list[dict[int, np.ndarray]]) -> None:
+    """Add the tags of the windows ``jobs`` (text, number) to ``decoded``."""
+    stride = WINDOW - OVERLAP
     for k in range(0, len(jobs), _WINDOWS_AT_ONCE):
         part = jobs[k : k + _WINDOWS_AT_ONCE]
         x = np.zeros((len(part), WINDOW), np.uint8)
-        for r, (i, s) in enumerate(part):
-            c = classes(texts[i][s : s + WINDOW])
+        for r, (i, n) in enumerate(part):
+            c = classes(texts[i][n * stride : n * stride + WINDOW])
             x[r, : len(c)] = c
-        tags = model.decode(x)
-        for (i, s), row in zip(part, tags):
-            if i != open_text:
-                if open_text >= 0:
-                    close(open_text)
-                open_text, joined[i] = i, []
-            end = min(len(texts[i]), s + WINDOW)
-            runs = joined[i]
-            if runs and s < runs[-1][1]:  # overlaps the window before: each decides up to the middle of the overlap
-                start, _, before = runs[-1]
-                cut = s + OVERLAP // 2
-                runs[-1] = (start, end, np.concatenate((before[: cut - start], row[OVERLAP // 2 : end - s])))
-            else:
-                runs.append((s, end, row[: end - s]))
-    if open_text >= 0:
-        close(open_text)
-    return found
+        for (i, n), row in zip(part, model.decode(x)):
+            decoded[i][n] = row[: len(texts[i]) - n * stride]
+
+
+def _joined(decoded: dict[int, np.ndarray]):
+    """(start, tags) of every run of decoded windows; an overlap is shared out at its middle."""
+    stride, half = WINDOW - OVERLAP, OVERLAP // 2
+    numbers = sorted(decoded)
+    k = 0
+    while k < len(numbers):
+        first = k
+        while k + 1 < len(numbers) and numbers[k + 1] == numbers[k] + 1:
+            k += 1
+        parts = [decoded[n][half if n > numbers[first] else 0 : stride + half if n < numbers[k] else None] for n in numbers[first : k + 1]]
+        yield numbers[first] * stride, np.concatenate(parts)
+        k += 1
+
+
+def model_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """The accepted (kind number, start, end) of every whole text."""
+    decoded: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    jobs = [(i, n) for i, t in enumerate(texts) for n in sorted(_windows(t))]
+    while jobs:
+        _decode(model, texts, jobs, decoded)
+        beyond = set()
+        for i, n in jobs:  # a tag at the edge of what is decoded: go on there
+            row = decoded[i][n]
+            if n and n - 1 not in decoded[i] and row[0]:
+                beyond.add((i, n - 1))
+            if n * (WINDOW - OVERLAP) + WINDOW < len(texts[i]) and n + 1 not in decoded[i] and row[-1]:
+                beyond.add((i, n + 1))
+        jobs = sorted(beyond)
+    return [[span for start, tags in _joined(windows) for span in _tagged(text, start, tags)] for text, windows in zip(texts, decoded)]
+
+
+def _tagged(text: str, start: int, tags: np.ndarray):
+    """The accepted spans of a run of tags that begins at ``start``."""
+    marked = np.flatnonzero(tags)
+    done = -1
+    for at in marked.tolist():
+        if at < done:
+            continue
+        tag = int(tags[at])
+        done = at + 1
+        while done < len(tags) and tags[done] == (tag + 1 if tag % 2 else tag):
+            done += 1
+        kind = (tag - 1) // 2
+        if _accepts(KINDS[kind], text[start + at : start + done]):
+            yield kind, start + at, start + done
 
 
 def all_spans(model: Model, texts: list[str]) -> list[tuple[list, list]]:

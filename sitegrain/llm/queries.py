@@ -58,6 +58,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def warc_salvage_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the salvage reader recovers from damaged archives of the whole ``pages`` table."""
+    return warc.salvage_damaged(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +76,7 @@ QUERIES = {
         op8_line_dedup,
         op9_decontamination,
         op10_token_files,
+        warc_salvage_damaged,
     )
 }
 
@@ -83,6 +89,9 @@ ORACLES = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "warc_salvage_damaged": """
+        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, left(md5(CAST(page_id AS VARCHAR)), 1) <> '0' AS recovered FROM pages
+    """,
     "op5_source_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mixed,

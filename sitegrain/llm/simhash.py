@@ -3,14 +3,17 @@
 Method.  A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles.  Two fingerprints
 link when their Hamming distance is at most ``radius``.
 
-Sharding the whole 64-bit space by distance bands around vantage points would copy about 1.7 times as many
-fingerprints at every level (for random fingerprints, distances to any point are 32 +- 4, as wide as the overlap
-that radius 4 needs).  So the shards are made in projected spaces: the 64 bits are cut into blocks, and a shard
-holds the fingerprints that agree on ``blocks - radius`` of them, that is, whose distance to a vantage point in that
-projection is zero.  Any two fingerprints within the radius differ in at most ``radius`` blocks, so some shard holds
-both, and the projected radius of zero leaves no boundary to copy.  Inside a shard a vantage-point tree over the
-full Hamming distance splits at the median distance, prunes by triangle bounds, and compares the two sides only
-where they lie within the radius of the boundary.
+At the top, a vantage-point tree of ``LEVELS`` levels over all fingerprints: every node takes a fingerprint as its
+point and the median distance to it as its radius, the inner child gets what lies within the median or up to ``radius``
+beyond it, the outer child what lies outside.  So a pair across the boundary meets in the inner child, which is
+queried with the boundary's overlap.  For random fingerprints, whose distances to any point are 32 +- 4, the overlap
+copies about 1.4 times as many fingerprints at every level, 1.4 ** n over n levels; so the tree over everything stays
+shallow, and its shards are divided further in projected spaces, where the overlap copies nothing: the 64 bits are cut
+into blocks, and a shard holds the fingerprints that agree on ``blocks - radius`` of them, that is, whose distance to a
+vantage point in that projection is zero.  Any two fingerprints within the radius differ in at most ``radius`` blocks,
+so some shard holds both.  There are 5 projections up to about 14 million distinct fingerprints a top shard, then 15, 35
+and 70.  Inside a shard a vantage-point tree over the full Hamming distance splits at the median distance, prunes by
+triangle bounds, and compares the two sides only where they lie within the radius of the boundary.
 
 Every task returns a spanning forest of its links, not the links themselves, so output is linear in its input
 however dense a group is.  Shards above ``shard_limit`` fingerprints are cut into chunks, and every pair of chunks
@@ -33,6 +36,8 @@ from .graph import connected_components
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LEAF = 48
+#: Levels of the vantage-point tree over all fingerprints.
+LEVELS = 3
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -138,25 +143,41 @@ def near_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(i, root) for i in range(len(points)) if (root := forest.find(i)) != i]
 
 
+def vantage_shards(distinct: DataFrame, radius: int, levels: int = LEVELS) -> DataFrame:
+    """(path, fp): the ``distinct`` fingerprints (column fp) by the leaves of the top tree that they belong to.
+
+    Any two fingerprints within ``radius`` share a leaf.  Only a point and a median a node go through the driver's
+    broadcasts, 2 ** level rows.
+    """
+    placed = distinct.select("fp", F.lit(0).alias("path"))
+    for level in range(levels):
+        points = placed.groupBy("path").agg(F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("point"))
+        measured = placed.join(F.broadcast(points), "path").select("path", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))).alias("d"))
+        middles = measured.groupBy("path").agg((F.percentile_approx("d", 0.5) - radius // 2).alias("middle"))
+        sides = F.array(F.when(F.col("d") <= F.col("middle") + radius, F.col("path") * 2), F.when(F.col("d") > F.col("middle"), F.col("path") * 2 + 1))
+        placed = materialize(measured.join(F.broadcast(middles), "path").select("fp", F.explode(F.array_compact(sides)).alias("path")), "vantage")
+    return placed
+
+
 def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, shard_limit: int = 4096) -> DataFrame:
     """Edges (u, v) that connect every two of the ``distinct`` fingerprints (column fp) within ``radius``.
 
     They are a spanning forest of each shard's links: the same components, at most one edge a fingerprint and shard.
     """
-    if blocks is None:  # about a thousand fingerprints a shard, as far as ten blocks go
-        n, blocks = distinct.count(), radius + 1
+    if blocks is None:  # about a thousand fingerprints a shard, as far as four more blocks go
+        n, blocks = distinct.count() / 2**LEVELS, radius + 1
         while blocks < radius + 4 and n / 2 ** (64 * (blocks - radius) / blocks) > 2000:
             blocks += 1
     masks = block_masks(radius, blocks)
     shard = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("space", "leaf")
-    placed = distinct.select("fp", shard)
-    hot = placed.groupBy("space", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_limit)
-    sized = placed.join(hot, ["space", "leaf"], "left")
+    placed = vantage_shards(distinct, radius).select("path", "fp", shard)
+    hot = placed.groupBy("path", "space", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_limit)
+    sized = placed.join(hot, ["path", "space", "leaf"], "left")
     chunks = F.ceil(F.col("n") / shard_limit).cast("int")
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.least(k, own) * 1_000_000 + F.greatest(k, own))
-    tasks = sized.select("fp", "space", "leaf", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("part"))
-    keyed = tasks.select(F.xxhash64("space", "leaf", "part").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    tasks = sized.select("fp", "path", "space", "leaf", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("part"))
+    keyed = tasks.select(F.xxhash64("path", "space", "leaf", "part").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         held_key, held = None, []
@@ -204,7 +225,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, shard_limi
     distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(distinct.select("fp"), radius, shard_limit=shard_limit))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that the join can split the fingerprints of a hot component
+    smallest = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
     by_fp = named.join(smallest, "component").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

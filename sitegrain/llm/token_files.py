@@ -62,7 +62,8 @@ class PieceEncoder:
     Byte-level pre-tokenisation always begins a new token at a space that stands between two non-space characters,
     so the ids of a text are those of its pieces, one after another; a new piece is cut by the same rule and its parts
     go to the library's model.  Texts where a space has white space after it, and pieces with other characters than
-    Latin ones or with a special token in them, go to the library whole.  Tests hold all of this to its own encoding.
+    Latin ones or with a special token in them, go to the library whole; so does everything where the vocabulary file
+    asks for any rule but these.  Tests hold all of this to the library's own encoding.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -73,7 +74,9 @@ class PieceEncoder:
         rules = json.loads(tokenizer_json)
         self.special = [t["content"] for t in rules.get("added_tokens", [])]
         before = rules.get("pre_tokenizer") or {}
-        self.direct = not rules.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        byte_level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        other = any(rules.get(k) for k in ("normalizer", "truncation", "padding")) or any(rules["model"].get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.direct = byte_level and not other and rules["model"].get("type") == "BPE" and not any(re.search(r"\s", t) for t in self.special)
         self.signs = _byte_signs()
         self.known = _Remembered(self)
         self.parts: dict[str, bytes] = {}
@@ -135,7 +138,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
         tokenizer_json = f.read()
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     shipped = spark.sparkContext.broadcast(tokenizer_json)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     tail = np.array([end_id], "<u4").tobytes()
     value = pa.uint16() if width == "<u2" else pa.uint32()
     schema = pa.schema([("tokens", pa.list_(value, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
@@ -190,9 +192,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{name}.arrow"], "index": [f"{name}.index.arrow"], "docs": [len(n)], "tokens": [int(n.sum())]})
 
     text = F.col("text").cast("string")
-    ordered = docs.select("doc_id", text.alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # the hash parts rows that share an id, or have none, among several tasks
+    by = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = docs.select("doc_id", text.alias("text")).repartitionByRange(*by).sortWithinPartitions(*by)
     manifest = materialize(ordered.mapInArrow(run, "shard long, file string, index string, docs long, tokens long"), "manifest")
-    del id_type
     first = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return manifest.withColumn("first", first)
 
@@ -214,6 +217,38 @@ def _open(uri: str):
     return pa.memory_map(name) if store.type_name == "local" else store.open_input_file(name)
 
 
+class Shard:
+    """Random access to the sequences of a shard.
+
+    ``shard[r]`` is (tokens, mask) of row r, wherever it lies: a numpy view and an Arrow array of bits.  Every batch but
+    the last has as many rows as the first, so the batch of a row is known without reading others; on a local path
+    both are views of the memory map and nothing is copied.
+    """
+
+    def __init__(self, uri: str):
+        self._source = _open(uri)
+        self._reader = pa.ipc.open_file(self._source)
+        self._size = self._reader.schema.field("tokens").type.list_size
+        self._batches = self._reader.num_record_batches
+        self._rows = self._reader.get_batch(0).num_rows if self._batches else 0
+
+    def __len__(self) -> int:
+        return (self._batches - 1) * self._rows + self._reader.get_batch(self._batches - 1).num_rows if self._batches else 0
+
+    def __getitem__(self, r: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if not 0 <= r < len(self):
+            raise IndexError(r)
+        batch = self._reader.get_batch(r // self._rows)
+        at = r % self._rows * self._size
+        return batch.column(0).values.slice(at, self._size).to_numpy(), batch.column(1).values.slice(at, self._size)
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._source.close()
+
+
 def sequences(uri: str):
     """The (tokens, mask) numpy views of a shard, a batch at a time; on a local path they are not copied."""
     with _open(uri) as source:
@@ -248,6 +283,7 @@ def _read_shard(row: dict):
 def token_digest(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> DataFrame:
     """Write, then read back: (doc_id, start, n_tokens, ids_crc32) of every row of ``docs``.
 
+    Ids are those of the library's encoding of the whole text (see :class:`PieceEncoder` for how they are had).
     Null and empty texts have the end id alone; rows of one doc_id follow one another by a hash of their text; null
     ids come first; an empty table writes nothing and gives no rows; further columns are ignored.
     """

@@ -44,7 +44,6 @@ THRESHOLD = 0.3
 SAMPLE = 20_000
 #: A stem: its length, the fewest toxic uses and distinct words, the largest share of clean uses.
 STEM_LENGTHS, STEM_USES, STEM_WORDS, STEM_CLEAN = (4, 5, 6), 5, 3, 0.01
-STEMS_MOST = 5000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -198,7 +197,7 @@ def _learn_stems(rows: DataFrame) -> list[str]:
     words = rows.select("text", "toxic").mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     stems = F.explode(F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))).alias("stem")
     by_stem = words.select(stems, "bad", "good").filter("stem is not null").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"))
-    found = by_stem.filter((F.col("bad") >= STEM_USES) & (F.col("words") >= STEM_WORDS) & (F.col("good") <= STEM_CLEAN * F.col("bad"))).orderBy(F.desc("bad"), "stem").limit(STEMS_MOST).collect()
+    found = by_stem.filter((F.col("bad") >= STEM_USES) & (F.col("words") >= STEM_WORDS) & (F.col("good") <= STEM_CLEAN * F.col("bad"))).select("stem").collect()  # of the bounded sample
     kept: list[str] = []
     for stem in sorted((r.stem for r in found), key=lambda s: (len(s), s)):
         if not any(stem.startswith(k) for k in kept):
@@ -258,7 +257,11 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, th
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; decided row by row, in one pass."""
+    """``docs`` without the rows that score ``threshold`` or more; decided row by row, in one pass.
+
+    Null and empty texts stay; rows that repeat are decided alike; either table may be empty; all columns are kept,
+    whatever their names.
+    """
     grammar = fit(docs, labels, limit)
     bounded_batches(docs.sparkSession)
     names, where = docs.columns, docs.columns.index("text")

@@ -1,12 +1,14 @@
 """WARC archives: a writer with revisit records, and a salvage reader for damaged files.
 
-Every record is a gzip member of its own.  The reader checks each record (gzip checksum, header block, length,
-payload digest).  Where a check fails it searches for the next gzip member or version line that starts a valid
-record, goes on from there, and reports the bytes between as a quarantined gap.
+Every record is a gzip member of its own.  The reader checks each record (gzip checksum, header block, length, block
+or payload digest).  Where a check fails it searches for the next gzip member or version line that starts a valid
+record, goes on from there, and reports the bytes between as a quarantined gap.  An intact archive is read once, front
+to back, by a window that moves with the records; after damage the search begins again behind the failed start.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -25,9 +27,9 @@ _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REQUIRED = {"warc-type", "warc-record-id", "content-length"}
 _CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f\x7f]")
-_READ = 1 << 18
-#: What is read of a plain record at first; longer header blocks are read on.
-_HEADER_READ = 1 << 16
+_RUN_ON = re.compile(r"WARC/1\.[0-9]$")
+#: What is read from the store at once, and what is first taken of a record; more is taken as it proves longer.
+_READ, _TAKE = 1 << 18, 1 << 11
 #: Bytes that no header line may hold.
 _NEVER = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
@@ -40,7 +42,7 @@ def record_id(key: str) -> str:
 
 
 def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
-    lines = "".join(f"{k}: {re.sub('[\x00-\x1f\x7f]+', ' ', v).replace(_VERSION.decode(), 'WARC')}\r\n" for k, v in headers.items())
+    lines = "".join(f"{k}: {re.sub('[\x00-\x1f\x7f]+', ' ', v)}\r\n" for k, v in headers.items())
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
@@ -75,7 +77,15 @@ class Damaged(Exception):
     """A record that fails a check."""
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
+class Headers(dict):
+    """The named fields, names in lower case; of one that repeats the first, and all of them in ``every``."""
+
+    def __init__(self):
+        super().__init__()
+        self.every: dict[str, list[str]] = {}
+
+
+def _parse(data: bytes) -> tuple[Headers, bytes]:
     end = data.find(b"\r\n\r\n")
     if not data.startswith(_VERSION) or end < 0:
         raise Damaged("no header block")
@@ -83,42 +93,85 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
         lines = data[:end].decode("utf-8").split("\r\n")
     except UnicodeDecodeError as e:
         raise Damaged("header bytes") from e
-    headers = {}
+    headers = Headers()
     for line in lines[1:]:
         k, colon, v = line.partition(":")
-        if not colon or _CONTROL.search(line) or _VERSION.decode() in line or k.strip().lower() in headers:
+        if not colon or _CONTROL.search(line):
             raise Damaged("header line")
-        headers[k.strip().lower()] = v.strip()
-    if not _REQUIRED <= headers.keys():
+        if _RUN_ON.search(line) and not _REQUIRED & headers.keys():  # a cut header block and the next record's version
+            raise Damaged("header line")
+        k = k.strip().lower()
+        headers.setdefault(k, v.strip())
+        headers.every.setdefault(k, []).append(v.strip())
+    if not _REQUIRED <= headers.keys() or any(len(headers.every[k]) > 1 for k in _REQUIRED):  # two records run into one
         raise Damaged("header fields")
-    length = headers.get("content-length", "")
-    if not length.isdigit():
+    length = headers["content-length"]
+    if not (length.isascii() and length.isdigit() and len(length) < 19):
         raise Damaged("no length")
     return headers, data[end + 4 : end + 4 + int(length)]
 
 
-def _checked(headers: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes]:
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """What a block holds: all of it, or what follows the HTTP header."""
+    if not block.startswith(b"HTTP/"):
+        return block
+    end = block.find(b"\r\n\r\n")
+    return block[end + 4 :] if end >= 0 else b""
+
+
+def digest_holds(labelled: str, data: bytes) -> bool | None:
+    """Whether ``algorithm:value``, in hex or base32, is the digest of the data; None where the algorithm is unknown."""
+    name, _, value = labelled.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    found = hashlib.new(name, data).digest()
+    return value.strip().lower() == found.hex() or value.strip().upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def _checked(headers: Headers, block: bytes) -> tuple[Headers, bytes]:
+    """A block digest decides; only without one is the payload digest of a whole record looked at, which writers take
+    before or after the transfer coding."""
     if len(block) != int(headers["content-length"]):
         raise Damaged("short block")
-    digest = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and digest.startswith("sha256:"):
-        if hashlib.sha256(block[block.find(b"\r\n\r\n") + 4 :]).hexdigest() != digest[7:]:
+    whole = digest_holds(headers.get("warc-block-digest", ""), block)
+    if whole is False:
+        raise Damaged("block digest")
+    if whole is None and headers["warc-type"] in ("response", "resource") and "warc-truncated" not in headers:
+        if digest_holds(headers.get("warc-payload-digest", ""), payload_of(headers, block)) is False:
             raise Damaged("payload digest")
     return headers, block
 
 
-def _read_member(source, start: int, size: int) -> tuple[int, dict[str, str], bytes]:
-    z, parts, at = zlib.decompressobj(31), [], start
+class Window:
+    """Bytes of a file by position, read forward in large pieces, of which the last is kept."""
+
+    def __init__(self, source, size: int):
+        self.source, self.size, self.start, self.data = source, size, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        end = min(at + n, self.size)
+        kept = self.data[at - self.start :] if self.start <= at <= self.start + len(self.data) else b""
+        if at + len(kept) < end:
+            self.source.seek(at + len(kept))
+            self.data = kept + self.source.read(min(max(end - at - len(kept), _READ), self.size - at - len(kept)))
+            self.start = at
+            kept = self.data
+        return kept[: end - at]
+
+
+def _read_member(window: Window, start: int) -> tuple[int, Headers, bytes]:
+    z, parts, at, take = zlib.decompressobj(31), [], start, _TAKE
     while not z.eof:
-        if at >= size:
+        if at >= window.size:
             raise Damaged("cut member")
-        source.seek(at)
-        piece = source.read(min(_READ, size - at))
+        piece = window.get(at, take)
         try:
             parts.append(z.decompress(piece))
         except zlib.error as e:
             raise Damaged("member data") from e
         at += len(piece)
+        take = min(2 * take, _READ)
     data = b"".join(parts)
     headers, block = _parse(data)
     if not data.endswith(b"\r\n\r\n"):
@@ -126,45 +179,41 @@ def _read_member(source, start: int, size: int) -> tuple[int, dict[str, str], by
     return at - len(z.unused_data), *_checked(headers, block)
 
 
-def _header_block(source, start: int, size: int) -> bytes:
+def _header_block(window: Window, start: int) -> bytes:
     """The bytes from ``start`` to beyond the blank line, however far; less where no header block can go on."""
-    source.seek(start)
-    data = bytearray(source.read(min(_HEADER_READ, size - start)))
-    new = 0
-    while data.find(b"\r\n\r\n", max(0, new - 3)) < 0 and start + len(data) < size:
-        if _NEVER.search(data, new) or data.find(_VERSION, max(1, new - len(_VERSION) + 1)) > 0:
-            break
-        new = len(data)
-        data += source.read(min(new, size - start - new))
-    return bytes(data)
+    data, take = b"", _TAKE
+    while data.find(b"\r\n\r\n") < 0 and not _NEVER.search(data) and start + len(data) < window.size:
+        data = window.get(start, take)
+        take *= 2
+    return data
 
 
-def _read_plain(source, start: int, size: int) -> tuple[int, dict[str, str], bytes]:
-    data = _header_block(source, start, size)
+def _read_plain(window: Window, start: int) -> tuple[int, Headers, bytes]:
+    data = _header_block(window, start)
     headers, _ = _parse(data)
     first = start + data.find(b"\r\n\r\n") + 4
-    end = first + int(headers["content-length"])
-    if end + 4 > size:
+    length = int(headers["content-length"])
+    if first + length + 4 > window.size:
         raise Damaged("cut record")
-    source.seek(first)
-    block = source.read(end - first)
-    if source.read(4) != b"\r\n\r\n":
+    whole = window.get(first, length + 4)
+    if whole[length:] != b"\r\n\r\n":
         raise Damaged("no record end")
-    return end + 4, *_checked(headers, block)
+    return first + length + 4, *_checked(headers, whole[:length])
 
 
-def _next_start(source, start: int, size: int) -> int:
+def _next_start(window: Window, start: int) -> int:
     """Where the next member or version line may begin, from ``start`` on; the size if nowhere."""
-    while start < size:
-        source.seek(start)
-        piece = source.read(min(_READ, size - start))
+    take = _TAKE
+    while start < window.size:
+        piece = window.get(start, take)
         found = [k for k in (piece.find(_MEMBER), piece.find(_VERSION)) if k >= 0]
         if found:
             return start + min(found)
-        if start + len(piece) >= size:
+        if start + len(piece) >= window.size:
             break
         start += len(piece) - len(_VERSION) + 1
-    return size
+        take = min(2 * take, _READ)
+    return window.size
 
 
 def salvage(source, size: int) -> Iterator[tuple]:
@@ -173,20 +222,20 @@ def salvage(source, size: int) -> Iterator[tuple]:
     Gaps and records cover the file without overlap.  One record at a time is in memory.
     """
     at, gap, reason = 0, None, ""
+    window = Window(source, size)
     while at < size:
-        source.seek(at)
-        head = source.read(len(_VERSION))
+        head = window.get(at, len(_VERSION))
         try:
             if head.startswith(_MEMBER):
-                end, headers, block = _read_member(source, at, size)
+                end, headers, block = _read_member(window, at)
             elif head == _VERSION:
-                end, headers, block = _read_plain(source, at, size)
+                end, headers, block = _read_plain(window, at)
             else:
                 raise Damaged("no member or version line")
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            at = _next_start(source, at + 1, size)
+            at = _next_start(window, at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at, reason, None
@@ -256,8 +305,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if kind == "gap":
                     yield (file, start, end, kind, headers, None, None, None, None, None, None, None)
                     continue
-                payload = block[block.find(b"\r\n\r\n") + 4 :] if headers.get("warc-type") == "response" else None
-                digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
+                payload = payload_of(headers, block) if headers.get("warc-type") == "response" else None
+                digest = headers.get("warc-payload-digest", "")
+                digest = digest[7:] if digest.startswith("sha256:") or payload is None else hashlib.sha256(payload).hexdigest()
                 length = number(headers.get("x-payload-length")) if payload is None else len(payload)
                 yield (file, start, end, kind, None, number(headers.get("x-page-id")), headers.get("warc-target-uri"), headers.get("warc-type"), length, digest, number(headers.get("x-refers-to-page")), payload)
 
@@ -279,6 +329,54 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("file").repartition(max(1, min(archives.count(), 100_000)), "file").mapInArrow(run, schema)
 
 
+def is_hurt(page_id) -> bool:
+    """Whether :func:`damaged_copies` damages the record of a page: md5 of its id begins with the digit 0."""
+    return hashlib.md5(str(page_id).encode()).hexdigest()[0] == "0"
+
+
+def damaged_copies(archives: DataFrame) -> DataFrame:
+    """(file, hurt): copies of the files in ``archives`` (file) in which records are damaged, each in one of four ways:
+    bytes overwritten, its second half cut off, its first bytes lost, or all of it turned into noise."""
+
+    def run(batches):
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                store, name = open_output(file)
+                copy, hurt = re.sub(r"(\.warc(\.gz)?)?$", r"-damaged\1", file, count=1), [0]
+
+                def write(sink, store=store, name=name, hurt=hurt):
+                    with store.open_input_file(name) as source:
+                        size = source.size()
+                        copied = Window(source, size)
+                        with store.open_input_file(name) as again:
+                            for _, start, end, headers, _ in salvage(again, size):
+                                data = copied.get(start, end - start)
+                                if isinstance(headers, dict) and is_hurt(headers.get("x-page-id")):
+                                    n, middle = hurt[0] % 4, len(data) // 2
+                                    hurt[0] += 1
+                                    data = (data[:middle] + bytes(255 - x for x in data[middle : middle + 9]) + data[middle + 9 :], data[:middle], data[20:], b"\x1f\x8b noise " * (len(data) // 9))[n]
+                                sink.write(data)
+
+                write_atomically(copy, write)
+                yield pa.RecordBatch.from_pydict({"file": [copy], "hurt": pa.array(hurt, pa.int64())})
+
+    return materialize(archives.select("file").repartition(max(1, min(archives.count(), 100_000)), "file").mapInArrow(run, "file string, hurt long"), "damaged")
+
+
+def salvage_damaged(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, recovered) of every row of ``pages`` (page_id, url, html), written to archives whose
+    copies are damaged and read by the salvage reader: what is not hurt comes back, what is hurt does not.
+
+    Null html is an empty payload; an empty table gives no rows; rows that repeat an id are recovered if one of them
+    is; rows without an id are hurt or not together; further columns are ignored.
+    """
+    found = read_archives(damaged_copies(write_archives(pages)).select("file")).filter("kind = 'record'").select("page_id").distinct()
+    bytes_of = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))).cast("long")
+    rows = pages.select("page_id", bytes_of.alias("payload_bytes"))
+    found = materialize(found, "recovered").withColumnRenamed("page_id", "_found").withColumn("_hit", F.lit(True))
+    return rows.join(found, F.col("page_id").eqNullSafe(F.col("_found")), "left").select("page_id", "payload_bytes", F.col("_hit").isNotNull().alias("recovered"))
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` (page_id, url, html) and read the archives back: (page_id, payload_bytes, payload_digest,
     record_type, refers_to) of every row.
