@@ -170,15 +170,20 @@ def frontier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 50 AS src, (o_custkey % 50 * 3 + 1) % 50 AS dst FROM orders UNION SELECT o_custkey % 50, o_orderkey % 50 FROM orders WHERE o_orderkey % 997 = 0),
-r(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 6)
+WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey AS src, 'c' || c_custkey AS dst FROM customer UNION SELECT 'c' || o_custkey, 'p' || l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+r(node, level) AS (SELECT 'n0', 0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.node WHERE r.level < 16)
 SELECT node, min(level) AS level FROM r GROUP BY node""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first levels; a graph of 50 nodes is projected from orders."""
-    o = _table(spark, sf_dir, "orders")
-    node = F.col("o_custkey") % 50
-    edges = o.select(node.alias("src"), ((node * 3 + 1) % 50).alias("dst")).unionAll(o.filter("o_orderkey % 997 = 0").select(node.alias("src"), (F.col("o_orderkey") % 50).alias("dst")))
-    return links.bfs_levels(edges, spark.range(1).select(F.col("id").alias("node")), 6)
+    """Breadth-first levels from a nation over its customers, the parts they ordered, these parts' suppliers, and the
+    suppliers' nations, until nothing new is reached."""
+    named = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    steps = lambda table, a, b: table.select(named(*a).alias("src"), named(*b).alias("dst"))
+    read = lambda name: _table(spark, sf_dir, name)
+    bought = read("orders").join(read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = steps(read("customer"), ("n", "c_nationkey"), ("c", "c_custkey")).unionAll(steps(bought, ("c", "o_custkey"), ("p", "l_partkey")))
+    edges = edges.unionAll(steps(read("lineitem"), ("p", "l_partkey"), ("s", "l_suppkey"))).unionAll(steps(read("supplier"), ("s", "s_suppkey"), ("n", "s_nationkey")))
+    return links.bfs_levels(edges, spark.range(1).select(F.lit("n0").alias("node")), 1000)
 
 
 _STRUCTURE = f"""
@@ -289,12 +294,6 @@ def technology_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("technology").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@_query("SELECT p_type AS technology, CASE WHEN p_type = 'ECONOMY' THEN 'Other' ELSE 'Other' END AS category, count(*) AS parts FROM part GROUP BY ALL")
-def technology_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories of unknown technologies; part types stand for them."""
-    return _table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("technology")).agg(F.count(F.lit(1)).alias("parts")).withColumn("category", technologies.category(F.col("technology")))
-
-
 @_query(f"SELECT 'technical' AS component, issue_type AS finding, pages AS records, 'High' AS confidence FROM ({ORACLES['technical_issue_counts']})")
 def evidence_by_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.combined_confidence(evidence.from_issues(technical.issue_rows(_silver(spark, sf_dir))))
