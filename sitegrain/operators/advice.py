@@ -98,6 +98,79 @@ def crawlability_rules() -> Column:
     return _rules(("create_robots", ~c("has_robots")), ("fix_robots", c("has_robots") & (c("robots_errors") > 0)), ("create_sitemap", ~c("has_sitemap")), ("verify_sitemaps", c("has_sitemap")), ("name_sitemap", ~c("has_sitemap")), ("link_orphans", c("orphans") > 0), ("fix_links", c("broken") > 0), ("efficiency", c("efficiency") < 70))
 
 
+def _say(*pairs) -> Column:
+    """The texts whose rule holds, filled with the measured values; a pair is (rule, text, values)."""
+    return F.array_compact(F.array(*[F.when(test, F.format_string(text, *values)) for test, text, values in pairs]))
+
+
+def resource_advice(t: Thresholds = DEFAULTS) -> Column:
+    """What to do about the weight of a site, for a row of ``site.resource_summary``."""
+    c, kb, mb = F.col, 1024, 1024 * 1024
+    return _say(
+        (c("image_share") > 50, "Images make up %.1f%% of all bytes: serve WebP or AVIF and load images lazily.", [c("image_share")]),
+        (c("heavy_images") > 0, f"%d pages load more than {t.image_bytes / mb:.1f} MB of images: resize and compress them.", [c("heavy_images")]),
+        (c("js_share") > 30, "Scripts make up %.1f%% of all bytes: split bundles and defer what is not needed at first.", [c("js_share")]),
+        (c("heavy_js") > 0, f"%d pages load more than {t.js_bytes // kb} KB of scripts: look for code that is never used.", [c("heavy_js")]),
+        (c("heavy_css") > 0, f"%d pages load more than {t.css_bytes // kb} KB of styles: drop unused rules, inline the critical ones.", [c("heavy_css")]),
+        (c("bloated") > 0, f"%d pages weigh more than {t.page_bytes / mb:.1f} MB and will be slow on mobile networks.", [c("bloated")]),
+        (c("avg_bytes") / kb > 1500, "A page weighs %.0f KB on average, above 1500 KB: begin with the largest kind.", [c("avg_bytes") / kb]),
+    )
+
+
+def image_advice(t: Thresholds = DEFAULTS) -> Column:
+    """What to do about images, for a row of ``site.image_summary``."""
+    c = F.col
+    return _say(
+        (c("modern_share") < 50, f"%.1f%% of images are in a modern format: converting the others saves about {t.modern_saving * 100:.0f}%%.", [c("modern_share")]),
+        (c("without_dimensions") > 0, "%d images have no width or height: give them both, so that the layout does not shift.", [c("without_dimensions")]),
+        (c("should_be_lazy") > 0, f"About %d images come after the first {t.lazy_position} of their page and are not lazy: add loading=lazy.", [c("should_be_lazy")]),
+        (c("alt_share") < 90, "%.1f%% of images have an alternative text: write one for the rest.", [c("alt_share")]),
+        (c("saving") > 500 * 1024, "Modern formats would save about %.0f KB, %.1f%% of all image bytes.", [c("saving") / 1024, c("saving_share")]),
+    )
+
+
+def redirect_advice(pages: Column, t: Thresholds = DEFAULTS) -> Column:
+    """What to do about redirects, for a row of ``site.redirect_summary``; ``pages`` are all pages of the crawl."""
+    c = F.col
+    return _say(
+        (c("three_plus") > 0, f"%d chains have {t.long_chain} hops or more: redirect once, to the last address.", [c("three_plus")]),
+        (c("ms") > 1000, f"Redirects cost about %.1f seconds in all, at {t.redirect_ms} ms a hop: link to the last address.", [c("ms") / 1000]),
+        ((pages > 0) & (c("chains") > pages * 0.1), "%.0f%% of pages are redirected: look at how addresses are made.", [c("chains") * 100.0 / pages]),
+        (c("longest") > 4, "The longest chain has %d hops: mend it first.", [c("longest")]),
+    )
+
+
+def third_party_advice(analytics: Column, advertising: Column, t: Thresholds = DEFAULTS) -> Column:
+    """What to do about third parties, for a row of ``site.third_party_summary`` and numbers of domains."""
+    c = F.col
+    return _say(
+        (c("share") > t.third_party_share, f"Third parties make up %.1f%% of all bytes, above {t.third_party_share:.0f}%%: host the important ones yourself.", [c("share")]),
+        (c("avg_requests") > t.third_party_requests, f"A page makes %.1f requests to third parties, above {t.third_party_requests}: join or defer them.", [c("avg_requests")]),
+        (analytics > 2, "%d analytics services are in use: keep fewer.", [analytics]),
+        (advertising > 5, "%d advertising services are in use: load them late.", [advertising]),
+    )
+
+
+def crawlability_advice() -> Column:
+    """What to do about crawling, for a row of ``site_files.crawlability`` with a column ``sitemaps``."""
+    c = F.col
+    return _say(
+        (~c("has_robots"), "Put a robots.txt at the root of the host.", []),
+        (c("has_robots") & (c("robots_errors") > 0), "Mend %d errors of robots.txt.", [c("robots_errors")]),
+        (~c("has_sitemap"), "Write a sitemap and submit it to search engines.", []),
+        (c("has_sitemap"), "Make sure that all %d sitemaps can be fetched and are valid.", [c("sitemaps")]),
+        (~c("has_sitemap"), "Name the sitemap in robots.txt.", []),
+        (c("orphans") > 0, "Link to %d pages that nothing links to, or list them in the sitemap.", [c("orphans")]),
+        (c("broken") > 0, "Mend %d broken links.", [c("broken")]),
+        (c("efficiency") < 70, "Crawls waste requests: mend broken links and redirects first.", []),
+    )
+
+
+def by_ice(scored: DataFrame) -> DataFrame:
+    """:func:`scored_lines` by falling ICE; of equal ones the earlier line first."""
+    return scored.orderBy(F.desc("ice"), "pos")
+
+
 def prompt_key(prompt: Column, context: Column) -> Column:
     """SHA-256 of a prompt and its canonical context."""
     return F.sha2(F.concat(prompt, F.coalesce(context, F.lit(""))), 256)

@@ -206,3 +206,40 @@ def reanalyse(current: DataFrame, candidates: DataFrame) -> DataFrame:
     better = F.coalesce(F.col("_b.confidence") > F.col("_s.confidence"), F.lit(False))
     action = F.when(~weak, "keep").when(better, "replace").otherwise("review")
     return joined.select("element", F.when(weak & better, F.col("_b.selector")).otherwise(F.col("selector")).alias("selector"), action.alias("action"))
+
+
+#: Selectors that a framework's components commonly answer to, by purpose.
+FRAMEWORK_SELECTORS = {
+    "react": {
+        "submit_button": ("[data-testid='submit']", "button[type='submit']", "[role='button'][type='submit']"),
+        "input_field": ("[data-testid='input']", "input[name]", "[role='textbox']"),
+        "form": ("form[data-testid]", "form[name]", "[role='form']"),
+    },
+    "vue": {
+        "submit_button": ("[data-cy='submit']", "button[type='submit']", ".v-btn[type='submit']"),
+        "input_field": ("[data-cy='input']", ".v-text-field input", "input[name]"),
+    },
+}
+
+
+def framework_patterns(sites: DataFrame) -> DataFrame:
+    """(site, purpose, selector, pos): the common selectors of each site's framework (site, framework)."""
+    rows = [(f, p, s, i) for f, purposes in FRAMEWORK_SELECTORS.items() for p, listed in purposes.items() for i, s in enumerate(listed)]
+    known = sites.sparkSession.createDataFrame(rows, "framework string, purpose string, selector string, pos int")
+    return sites.join(F.broadcast(known), "framework").select("site", "purpose", "selector", "pos")
+
+
+def stored_selectors(candidates: DataFrame) -> DataFrame:
+    """(element, selector, confidence, alternatives) to keep of ranked candidates (element, selector, confidence,
+    rank, dynamic): the first that is not generated, and what else is not among ranks two to four."""
+    kept = candidates.filter(~F.col("dynamic"))
+    listed = kept.groupBy("element").agg(F.min_by(F.struct("selector", "confidence"), "rank").alias("s"), F.array_sort(F.collect_list(F.when(F.col("rank").between(2, 4), F.struct("rank", "selector")))).alias("a"))
+    others = F.filter(F.transform("a", lambda x: x["selector"]), lambda x: x != F.col("s.selector"))
+    return listed.select("element", "s.selector", "s.confidence", others.alias("alternatives"))
+
+
+def library_statistics(library: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """One row: sites, selectors, their mean confidence, and the sites of each framework as a map."""
+    counted = library.agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("selectors"), F.avg("confidence").alias("confidence"))
+    by = frameworks.groupBy("framework").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("framework", "n")))).alias("frameworks"))
+    return counted.withColumn("_k", F.lit(1)).join(by.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -72,6 +72,12 @@ def third_party_summary(pages: DataFrame) -> DataFrame:
     return found.select("pages", "with_third_party", "requests", "bytes", F.coalesce(F.try_divide("requests", "with_third_party"), F.lit(0.0)).alias("avg_requests"), _share(F.col("bytes"), F.col("_all")).alias("share"))
 
 
+def third_party_pages(pages: DataFrame, n: int = 10) -> DataFrame:
+    """(url, requests, domains) of the pages with most third-party requests; ties in crawl order."""
+    rows = pages.filter(F.size("third_party_domains") > 0).select("url", "crawl_seq", F.col("third_party_requests").alias("requests"), F.size("third_party_domains").alias("domains"))
+    return rows.orderBy(F.desc("requests"), "crawl_seq", "url").limit(n).drop("crawl_seq")
+
+
 # -- images ------------------------------------------------------------------------------------------------------------
 
 

@@ -6,13 +6,13 @@ of an operator is met and the oracle needs no HTML, JSON or headers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, scores, technologies, urls, vitals
 from ..functions import text as tx
-from ..operators import advice, api, evidence, links, measurements, reports, requests, selectors, site, statistics, technical
-from ..sources import lighthouse, site_files
+from ..operators import advice, api, captures, evidence, links, measurements, reports, requests, selectors, site, statistics, technical
+from ..sources import lighthouse, lists, site_files
 from .furnished import FACTS, OG, TWITTER, furnished
 from .slate import _PATH, _query, _r, _sql_r, _table
 
@@ -809,3 +809,149 @@ def grade_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the band of a reading ease; quantities of lineitem stand for scores."""
     score = F.col("l_quantity") * 2 - F.when(F.col("l_linenumber") == 2, 0.5).otherwise(0)
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", tx.grade_range(score).alias("band"))
+
+
+# -- what a browser records, and what is said of it ---------------------------------------------------------------------------
+
+_REQUESTS = """SELECT 'https://h.x/' || l_orderkey AS url, l_linenumber AS seq, CASE l_linenumber % 4 WHEN 0 THEN 'https://cdn' || l_suppkey % 30 || '.y/f' WHEN 1 THEN '/local' ELSE 'https://h.x/a' || l_partkey END AS request_url,
+CASE l_linenumber % 5 WHEN 0 THEN 'font' WHEN 1 THEN 'script' WHEN 2 THEN 'stylesheet' WHEN 3 THEN 'image' ELSE 'other' END AS kind, CASE WHEN l_linenumber < 7 THEN CAST(l_quantity AS BIGINT) END AS bytes FROM {lineitem}"""
+_REQUESTS_SQL = _REQUESTS.replace("{lineitem}", "lineitem")
+
+
+@_query(f"""WITH r AS ({_REQUESTS_SQL}) SELECT url, CAST(coalesce(sum(bytes) FILTER (WHERE kind = 'stylesheet'), 0) AS BIGINT) AS css_bytes, CAST(coalesce(sum(bytes) FILTER (WHERE kind = 'script'), 0) AS BIGINT) AS js_bytes,
+CAST(coalesce(sum(bytes), 0) AS BIGINT) AS page_bytes FROM r GROUP BY url""")
+def captured_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every page by kind; the lines of an order stand for its requests."""
+    return captures.weights(_built(spark, sf_dir, "lineitem", _REQUESTS)).select("url", "css_bytes", "js_bytes", "page_bytes")
+
+
+@_query(f"""WITH r AS ({_REQUESTS_SQL}) SELECT url, array_to_string(list_sort(list(DISTINCT regexp_extract(request_url, '//([^/]*)', 1)))[1:20], ',') AS domains, count(*) AS requests, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM r WHERE request_url LIKE 'https://cdn%' GROUP BY url""")
+def captured_third_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = captures.third_parties(_built(spark, sf_dir, "lineitem", _REQUESTS))
+    return found.select("url", F.array_join("third_party_domains", ",").alias("domains"), F.col("third_party_requests").alias("requests"), F.col("third_party_bytes").alias("bytes"))
+
+
+@_query(f"""WITH r AS ({_REQUESTS_SQL}) SELECT url, string_agg(left(request_url, 100) || ' ' || coalesce(bytes, 0), ',' ORDER BY seq, left(request_url, 100), coalesce(bytes, 0)) AS fonts FROM r WHERE kind = 'font' GROUP BY url""")
+def captured_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = captures.web_fonts(_built(spark, sf_dir, "lineitem", _REQUESTS))
+    return found.select("url", F.array_join(F.transform("web_fonts", lambda x: F.concat(x["url"], F.lit(" "), x["size"])), ",").alias("fonts"))
+
+
+_CONSOLE = "SELECT 'u' || user_id AS url, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'error' WHEN event_id % 5 = 0 THEN 'info' ELSE 'warning' END AS level, event_type || repeat('x', CAST(event_id % 600 AS INT)) AS message FROM {events}"
+
+
+@_query(f"""WITH c AS ({_CONSOLE.replace('{events}', 'events')}), r AS (SELECT *, row_number() OVER (PARTITION BY url, level ORDER BY seq) AS n FROM c)
+SELECT url, string_agg(left(message, 500), '|' ORDER BY n) FILTER (WHERE level = 'error' AND n <= 10) AS errors, string_agg(left(message, 500), '|' ORDER BY n) FILTER (WHERE level = 'warning' AND n <= 10) AS warnings FROM r GROUP BY url""")
+def captured_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten errors and warnings of every page; events stand for console lines."""
+    found = captures.console_lists(_built(spark, sf_dir, "events", _CONSOLE))
+    return found.select("url", F.nullif(F.array_join("console_errors", "|"), F.lit("")).alias("errors"), F.nullif(F.array_join("console_warnings", "|"), F.lit("")).alias("warnings"))
+
+
+@_query("SELECT url, page_id % 3 > 0 AS was_redirected, CASE WHEN page_id % 3 > 0 THEN url || ' ' || url || '/moved' ELSE '' END AS chain, CASE WHEN page_id % 3 > 0 THEN 1 ELSE 0 END AS redirect_count FROM pages")
+def captured_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visits = _built(spark, sf_dir, "pages", "SELECT url, CASE page_id % 3 WHEN 0 THEN url ELSE url || '/moved' END AS final_url FROM {pages}")
+    return captures.redirects(visits).select("url", "was_redirected", F.array_join("redirect_chain", " ").alias("chain"), "redirect_count")
+
+
+@_query(f"""WITH r AS ({_REQUESTS_SQL}), t AS (SELECT url, count(*) AS requests, CAST(count(DISTINCT regexp_extract(request_url, '//([^/]*)', 1)) AS INTEGER) AS domains FROM r WHERE request_url LIKE 'https://cdn%' GROUP BY url)
+SELECT url, requests, domains FROM t ORDER BY requests DESC, CAST(substr(url, 13) AS BIGINT), url LIMIT 10""")
+def third_party_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten pages with most third-party requests."""
+    found = captures.third_parties(_built(spark, sf_dir, "lineitem", _REQUESTS))
+    return site.third_party_pages(found.withColumn("crawl_seq", F.substring("url", 13, 20).cast("long")))
+
+
+#: Summary rows by number, for the texts of recommendations.
+_SUMMARY = """SELECT s_suppkey AS id, CAST(s_suppkey % 101 AS DOUBLE) AS image_share, s_suppkey % 3 AS heavy_images, CAST(s_suppkey % 61 AS DOUBLE) AS js_share, s_suppkey % 2 AS heavy_js, s_suppkey % 4 AS heavy_css, s_suppkey % 5 AS bloated, s_suppkey % 4000 * 1024 AS avg_bytes,
+CAST(s_suppkey % 101 AS DOUBLE) AS modern_share, s_suppkey % 3 AS without_dimensions, s_suppkey % 2 AS should_be_lazy, CAST(s_suppkey % 101 AS DOUBLE) AS alt_share, s_suppkey % 1000 * 1024 AS saving, CAST(30 AS DOUBLE) AS saving_share,
+s_suppkey % 3 AS three_plus, s_suppkey % 7 * 1000 AS ms, s_suppkey % 20 AS chains, s_suppkey % 8 AS longest, CAST(s_suppkey % 60 AS DOUBLE) AS share, CAST(s_suppkey % 40 AS DOUBLE) AS avg_requests, s_suppkey % 5 AS analytics, s_suppkey % 9 AS advertising,
+s_suppkey % 2 = 0 AS has_robots, s_suppkey % 3 AS robots_errors, s_suppkey % 3 = 0 AS has_sitemap, s_suppkey % 4 AS sitemaps, s_suppkey % 5 AS orphans, s_suppkey % 6 AS broken, s_suppkey % 100 AS efficiency FROM {supplier}"""
+
+
+def _said(*pairs: tuple[str, str, str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test} THEN printf('{text}'{values and ', ' + values}) END" for test, text, values in pairs) + "], lambda x: x IS NOT NULL), ' | ')"
+
+
+_RESOURCES = _said(
+    ("image_share > 50", "Images make up %.1f%% of all bytes: serve WebP or AVIF and load images lazily.", "image_share"), ("heavy_images > 0", "%d pages load more than 1.0 MB of images: resize and compress them.", "heavy_images"),
+    ("js_share > 30", "Scripts make up %.1f%% of all bytes: split bundles and defer what is not needed at first.", "js_share"), ("heavy_js > 0", "%d pages load more than 500 KB of scripts: look for code that is never used.", "heavy_js"),
+    ("heavy_css > 0", "%d pages load more than 200 KB of styles: drop unused rules, inline the critical ones.", "heavy_css"), ("bloated > 0", "%d pages weigh more than 2.0 MB and will be slow on mobile networks.", "bloated"),
+    ("avg_bytes / 1024 > 1500", "A page weighs %.0f KB on average, above 1500 KB: begin with the largest kind.", "avg_bytes / 1024.0::DOUBLE"),
+)
+_IMAGE_TEXTS = _said(
+    ("modern_share < 50", "%.1f%% of images are in a modern format: converting the others saves about 30%%.", "modern_share"), ("without_dimensions > 0", "%d images have no width or height: give them both, so that the layout does not shift.", "without_dimensions"),
+    ("should_be_lazy > 0", "About %d images come after the first 3 of their page and are not lazy: add loading=lazy.", "should_be_lazy"), ("alt_share < 90", "%.1f%% of images have an alternative text: write one for the rest.", "alt_share"),
+    ("saving > 512000", "Modern formats would save about %.0f KB, %.1f%% of all image bytes.", "saving / 1024.0::DOUBLE, saving_share"),
+)
+_MOVES = _said(
+    ("three_plus > 0", "%d chains have 3 hops or more: redirect once, to the last address.", "three_plus"), ("ms > 1000", "Redirects cost about %.1f seconds in all, at 100 ms a hop: link to the last address.", "ms / 1000.0::DOUBLE"),
+    ("chains > 10", "%.0f%% of pages are redirected: look at how addresses are made.", "chains * 100.0::DOUBLE / 100"), ("longest > 4", "The longest chain has %d hops: mend it first.", "longest"),
+)
+_THIRD = _said(
+    ("share > 30", "Third parties make up %.1f%% of all bytes, above 30%%: host the important ones yourself.", "share"), ("avg_requests > 20", "A page makes %.1f requests to third parties, above 20: join or defer them.", "avg_requests"),
+    ("analytics > 2", "%d analytics services are in use: keep fewer.", "analytics"), ("advertising > 5", "%d advertising services are in use: load them late.", "advertising"),
+)
+_CRAWL = _said(
+    ("NOT has_robots", "Put a robots.txt at the root of the host.", ""), ("has_robots AND robots_errors > 0", "Mend %d errors of robots.txt.", "robots_errors"), ("NOT has_sitemap", "Write a sitemap and submit it to search engines.", ""),
+    ("has_sitemap", "Make sure that all %d sitemaps can be fetched and are valid.", "sitemaps"), ("NOT has_sitemap", "Name the sitemap in robots.txt.", ""), ("orphans > 0", "Link to %d pages that nothing links to, or list them in the sitemap.", "orphans"),
+    ("broken > 0", "Mend %d broken links.", "broken"), ("efficiency < 70", "Crawls waste requests: mend broken links and redirects first.", ""),
+)
+
+
+@_query(f"WITH s AS ({_SUMMARY.replace('{supplier}', 'supplier')}) SELECT id, {_RESOURCES} AS resources, {_IMAGE_TEXTS} AS images, {_MOVES} AS redirects, {_THIRD} AS third_parties, {_CRAWL} AS crawlability FROM s")
+def recommendation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recommended for summary rows of every kind, with the measured values."""
+    rows = _built(spark, sf_dir, "supplier", _SUMMARY)
+    said = {"resources": advice.resource_advice(), "images": advice.image_advice(), "redirects": advice.redirect_advice(F.lit(100)), "third_parties": advice.third_party_advice(F.col("analytics"), F.col("advertising")), "crawlability": advice.crawlability_advice()}
+    return rows.select("id", *[F.array_join(v, " | ").alias(k) for k, v in said.items()])
+
+
+@_query("""SELECT 'r' || o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 90 / 10.0::DOUBLE DESC, o_orderkey) AS INTEGER) AS place, 'do ' || o_orderkey AS action, o_orderkey % 90 / 10.0::DOUBLE AS ice FROM orders""")
+def ice_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored lines of every response by falling ICE; the orders of a customer stand for lines."""
+    line = F.concat(F.lit("[I:8 C:7 E:9 = ICE:"), (F.col("o_orderkey") % 90 / 10.0).cast("string"), F.lit("] do "), F.col("o_orderkey").cast("string"))
+    responses = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("response"))
+    scored = advice.by_ice(advice.scored_lines(responses.select(F.concat(F.lit("r"), "o_custkey").alias("id"), "response")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ice"), "pos"))
+    return scored.select("id", place.alias("place"), "action", "ice")
+
+
+@_query("""SELECT 's' || s_suppkey AS site, purpose, selector, CAST(pos AS BIGINT) AS pos FROM supplier, (VALUES ('react', 'submit_button', '[data-testid=''submit'']', 0), ('react', 'submit_button', 'button[type=''submit'']', 1), ('react', 'submit_button', '[role=''button''][type=''submit'']', 2),
+('react', 'input_field', '[data-testid=''input'']', 0), ('react', 'input_field', 'input[name]', 1), ('react', 'input_field', '[role=''textbox'']', 2), ('react', 'form', 'form[data-testid]', 0), ('react', 'form', 'form[name]', 1), ('react', 'form', '[role=''form'']', 2),
+('vue', 'submit_button', '[data-cy=''submit'']', 0), ('vue', 'submit_button', 'button[type=''submit'']', 1), ('vue', 'submit_button', '.v-btn[type=''submit'']', 2), ('vue', 'input_field', '[data-cy=''input'']', 0), ('vue', 'input_field', '.v-text-field input', 1), ('vue', 'input_field', 'input[name]', 2)) v(f, purpose, selector, pos)
+WHERE f = CASE s_suppkey % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'none' END""")
+def framework_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = _built(spark, sf_dir, "supplier", "SELECT 's' || s_suppkey AS site, CASE s_suppkey % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'none' END AS framework FROM {supplier}")
+    return selectors.framework_patterns(sites)
+
+
+@_query("""WITH c AS (SELECT l_orderkey, l_linenumber AS rank, '#' || l_linenumber AS selector, l_linenumber % 3 = l_orderkey % 3 AS dynamic FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)), k AS (SELECT * FROM c WHERE NOT dynamic), m AS (SELECT l_orderkey, min(rank) AS rank FROM k GROUP BY ALL)
+SELECT 'o' || m.l_orderkey AS element, '#' || m.rank AS selector, coalesce((SELECT string_agg(selector, ',' ORDER BY k.rank) FROM k WHERE k.l_orderkey = m.l_orderkey AND k.rank BETWEEN 2 AND 4 AND k.rank <> m.rank), '') AS alternatives FROM m""")
+def stored_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selector to keep of each element and its alternatives; lines of an order stand for candidates."""
+    rows = _built(spark, sf_dir, "lineitem", "SELECT DISTINCT 'o' || l_orderkey AS element, '#' || l_linenumber AS selector, 0.5D AS confidence, l_linenumber AS rank, l_linenumber % 3 = l_orderkey % 3 AS dynamic FROM {lineitem}")
+    return selectors.stored_selectors(rows).select("element", "selector", _text("alternatives"))
+
+
+@_query(f"SELECT count(DISTINCT s_nationkey) AS sites, count(*) AS selectors, {_sql_r('avg((s_suppkey % 10) / 10.0::DOUBLE)')} AS confidence, (SELECT string_agg(f || ':' || n, ',' ORDER BY f) FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'none' END AS f, count(*) AS n FROM supplier GROUP BY ALL)) AS frameworks FROM supplier")
+def library_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = _built(spark, sf_dir, "supplier", "SELECT s_nationkey AS site, (s_suppkey % 10) / 10.0D AS confidence FROM {supplier}")
+    kinds = _built(spark, sf_dir, "supplier", "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'vue' ELSE 'none' END AS framework FROM {supplier}")
+    found = selectors.library_statistics(library, kinds)
+    return found.select("sites", "selectors", _r("confidence").alias("confidence"), F.array_join(F.transform(F.map_entries("frameworks"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",").alias("frameworks"))
+
+
+@_query("""SELECT 'h' || s_suppkey AS host, CAST(CASE s_suppkey % 4 WHEN 0 THEN 3128 WHEN 1 THEN 8080 ELSE 1080 END AS INTEGER) AS port, CASE s_suppkey % 4 WHEN 1 THEN 'https' WHEN 2 THEN 'socks5' ELSE 'http' END AS kind,
+CASE s_suppkey % 4 WHEN 0 THEN 'me' WHEN 2 THEN 'u' END AS username, CASE s_suppkey % 4 WHEN 0 THEN 'pw' WHEN 2 THEN 'p' END AS password FROM supplier""")
+def proxy_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of proxies in both notations, with comments between; suppliers stand for proxies."""
+    lines = _built(spark, sf_dir, "supplier", """SELECT explode(array(CASE s_suppkey % 4 WHEN 0 THEN ' http://me:pw@h' || s_suppkey || ':3128 ' WHEN 1 THEN 'https://h' || s_suppkey WHEN 2 THEN 'h' || s_suppkey || ',1080,socks5,u,p' ELSE 'h' || s_suppkey || ',1080' END, '# note', '', 'noise')) AS value FROM {supplier}""")
+    return lists.proxies(lines)
+
+
+@_query("SELECT page_id, CAST(i AS INTEGER) AS pos, '{\"timing\":' || i || '}' AS item FROM (SELECT page_id, unnest(range(page_id % 4)) AS i FROM pages)")
+def lighthouse_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.transform(F.sequence(F.lit(0), F.col("page_id") % 4 - 1), lambda i: F.concat(F.lit('{"timing":'), i, F.lit("}")))
+    report = F.concat(F.lit('{"audits":{"screenshot-thumbnails":{"details":{"items":['), F.when(F.col("page_id") % 4 > 0, F.array_join(item, ",")).otherwise(""), F.lit("]}}}}"))
+    return lighthouse.screenshots(_table(spark, sf_dir, "pages").select("page_id", report.alias("json")), "json")

@@ -53,3 +53,16 @@ def diagnostics(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     items = audit("resource-summary")["details"]["items"]
     resources = F.map_from_entries(F.transform(F.array_distinct(F.transform(items, lambda i: F.coalesce(i["resourceType"], F.lit("unknown")))), lambda k: F.struct(k.alias("key"), F.filter(items, lambda i: F.coalesce(i["resourceType"], F.lit("unknown")) == k)[0]["transferSize"].alias("value"))))
     return parsed.select(key, positive(audit("dom-size")["numericValue"]).alias("dom_size"), F.greatest(F.coalesce(F.size(audit("network-requests")["details"]["items"]), F.lit(0)), F.lit(0)).alias("requests"), positive(audit("mainthread-work-breakdown")["numericValue"]).alias("main_thread_ms"), resources.alias("resources"))
+
+
+def screenshots(rows: DataFrame, column: str, key: str = "page_id") -> DataFrame:
+    """(key, pos, item) of the thumbnails of a raw report, items as JSON."""
+    items = F.from_json(F.get_json_object(column, "$.audits.screenshot-thumbnails.details.items"), "array<string>")
+    return rows.select(key, F.posexplode(items).alias("pos", "item"))
+
+
+def write_reports(parsed: DataFrame, path: str, key: str = "page_id") -> None:
+    """Scores, metrics and opportunities of every report as JSON lines below ``path``, one folder each."""
+    scores(parsed, key).write.mode("overwrite").json(f"{path}/scores")
+    opportunities(parsed, key).write.mode("overwrite").json(f"{path}/opportunities")
+    diagnostics(parsed, key).write.mode("overwrite").json(f"{path}/diagnostics")
