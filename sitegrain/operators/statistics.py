@@ -12,28 +12,54 @@ from ..functions import vitals
 from ..thresholds import DEFAULTS, Thresholds
 
 
+#: Ranges that the values of a group are counted in before ranks are looked for.
+RANGES = 1024
+
+
 def seven_numbers(value: Column) -> list[Column]:
-    """count, avg, median, sample stddev (0 for one value), min, max as aggregate columns.
+    """count, avg, sample stddev (0 for one value), min, max as aggregate columns.
 
-    p90, the value at index floor(0.9 n) of the sorted values, is added by :func:`statistics`.
+    The median and p90, the value at index floor(0.9 n) of the sorted values, are ranks; :func:`statistics` adds them.
     """
     n = F.count(value)
-    return [n.alias("count"), F.avg(value).alias("avg"), F.median(value).alias("median"), F.when(n > 1, F.stddev_samp(value)).when(n == 1, F.lit(0.0)).alias("stddev"), F.min(value).alias("min"), F.max(value).alias("max")]
+    return [n.alias("count"), F.avg(value).alias("avg"), F.when(n > 1, F.stddev_samp(value)).when(n == 1, F.lit(0.0)).alias("stddev"), F.min(value).alias("min"), F.max(value).alias("max")]
 
 
 def statistics(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The seven numbers of ``value`` for each group; nulls are left out."""
-    groups = by or ("_all",)
-    kept = rows.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
-    agg = kept.groupBy(*groups).agg(*seven_numbers(F.col(value)))
-    # a row for each distinct value, so that no group is gathered in one row
-    counts = kept.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*groups))
-    ninth = counts.withColumn("_u", upto).withColumn("_t", total).filter(F.col("_u") > F.floor(F.col("_t") * 0.9)).groupBy(*groups).agg(F.min(value).alias("p90"))
-    named = ninth.select(*[F.col(g).alias(f"_j{i}") for i, g in enumerate(groups)], "p90")
-    condition = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_j{i}")) for i, g in enumerate(groups)))
-    return agg.join(named, condition).select(*by, "count", "avg", "median", "stddev", "p90", "min", "max")
+    """The seven numbers of ``value`` for each group; nulls are left out.
+
+    Ranks are exact and no group is gathered or sorted whole: values are counted, the counts are summed in equal ranges
+    between the group's least and largest value, and only the ranges that hold a wanted rank are looked into.
+    """
+    groups = list(by) or ["_all"]
+    kept = rows.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1)).select(*groups, F.col(value).alias("_v"))
+    agg = kept.groupBy(*groups).agg(*seven_numbers(F.col("_v")))
+    own = [f"_j{i}" for i in range(len(groups))]
+
+    def meet(left, right):
+        """``left`` with the columns of ``right`` for its group; groups may be null."""
+        named = right.select(*[F.col(g).alias(j) for g, j in zip(groups, own)], *[c for c in right.columns if c not in groups])
+        return left.join(named, reduce(and_, (F.col(g).eqNullSafe(F.col(j)) for g, j in zip(groups, own)))).drop(*own)
+
+    counts = meet(kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n")), agg.select(*groups, F.col("count").alias("_c"), F.col("min").alias("_a"), F.col("max").alias("_b")))
+    share = F.try_divide((F.col("_v") - F.col("_a")) * RANGES, F.col("_b") - F.col("_a"))
+    placed = counts.withColumn("_r", F.coalesce(F.least(F.lit(RANGES - 1), F.floor(share)), F.lit(0)))
+    ranges = placed.groupBy(*groups, "_r").agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*groups).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("_before", before).withColumnRenamed("_r", "_s")
+    total = F.col("_c")
+    wanted = {"lower": F.floor((total - 1) / 2), "upper": F.floor(total / 2), "ninth": F.floor(total * 0.9)}
+    named = ranges.select(*[F.col(g).alias(j) for g, j in zip(groups, own)], "_s", "_m", "_before")
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(j)) for g, j in zip(groups, own))) & (F.col("_r") == F.col("_s"))
+    holds = reduce(lambda x, y: x | y, ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_m")) for r in wanted.values()))
+    near = placed.join(named, same).drop(*own).filter(holds)
+    inside = F.sum("_n").over(Window.partitionBy(*groups, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_last", F.col("_before") + inside)
+    at = lambda r: F.max(F.when((F.col("_last") - F.col("_n") <= r) & (r < F.col("_last")), F.col("_v")))
+    ranks = near.groupBy(*groups).agg(*[at(r).alias(k) for k, r in wanted.items()])
+    median = (F.col("lower").cast("double") + F.col("upper").cast("double")) / 2
+    found = meet(agg, ranks.select(*groups, median.alias("median"), F.col("ninth").alias("p90")))
+    return found.select(*by, "count", "avg", "median", "stddev", "p90", "min", "max")
 
 
 def vitals_rows(pages: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ of an operator is met and the oracle needs no HTML, JSON or headers.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import classify, scores, technologies, urls, vitals
 from ..functions import text as tx
 from ..operators import advice, api, captures, evidence, links, measurements, reports, requests, selectors, site, statistics, technical
-from ..sources import lighthouse, lists, site_files
+from ..sources import archives, lighthouse, lists, site_files
 from .furnished import FACTS, OG, TWITTER, furnished
 from .slate import _PATH, _query, _r, _sql_r, _table
 
@@ -125,8 +129,6 @@ SELECT (SELECT count(*) FROM f) AS total_pages, count(DISTINCT url) AS pages_wit
 (SELECT count(*) FROM t) AS duplicate_titles, count(*) FILTER (WHERE k = 'slow_page') AS slow_pages, count(*) FILTER (WHERE k = 'images_without_alt') AS images_without_alt, (SELECT {_sql_r('avg(load_time)')} FROM f) AS avg_load_time FROM s""")
 def furnished_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics row of a crawl."""
-    from ..sources import archives
-
     pages = furnished(spark, sf_dir).drop("content_text")
     found = archives.snapshot_row(pages, technical.issue_rows(pages), "example.com", "2026-01-01")
     return found.select("total_pages", "pages_with_issues", "technical_issues", "missing_titles", "duplicate_titles", "slow_pages", "images_without_alt", _r("avg_load_time").alias("avg_load_time"))
@@ -955,3 +957,123 @@ def lighthouse_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.transform(F.sequence(F.lit(0), F.col("page_id") % 4 - 1), lambda i: F.concat(F.lit('{"timing":'), i, F.lit("}")))
     report = F.concat(F.lit('{"audits":{"screenshot-thumbnails":{"details":{"items":['), F.when(F.col("page_id") % 4 > 0, F.array_join(item, ",")).otherwise(""), F.lit("]}}}}"))
     return lighthouse.screenshots(_table(spark, sf_dir, "pages").select("page_id", report.alias("json")), "json")
+
+
+# -- archives, profiles, dates -------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one; a temporary one in local mode without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="sitegrain-")
+    return f"{base.rstrip('/')}/sitegrain-plans/{name}-{uuid.uuid4().hex}"
+
+
+@_query(f"WITH {_F} SELECT 'example.com' AS domain, crawl_ts, count(*) AS pages, CAST(sum(length(title)) AS BIGINT) AS titles FROM f, (VALUES ('2026-01-01'), ('2026-02-01')) v(crawl_ts) WHERE crawl_ts = '2026-01-01' OR url LIKE 'https://%' GROUP BY crawl_ts")
+def crawl_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two crawls written to an archive and read back, the later one of https pages only."""
+    pages, path = furnished(spark, sf_dir), _scratch(spark, "archive")
+    archives.write_crawl(pages, path, "example.com", "2026-01-01")
+    archives.write_crawl(pages.filter(urls.is_https(F.col("url"))), path, "example.com", "2026-02-01")
+    back = archives.read_crawls(spark, path)
+    counted = archives.crawls(back)
+    titles = back.groupBy("domain", "crawl_ts").agg(F.sum(F.length("title")).alias("titles"))
+    return counted.join(titles, ["domain", "crawl_ts"])
+
+
+@_query(f"WITH {_F} SELECT url, title FROM f WHERE url LIKE 'https://%'")
+def latest_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the newest crawl of an archive."""
+    pages, path = furnished(spark, sf_dir), _scratch(spark, "archive")
+    archives.write_crawl(pages, path, "example.com", "2026-01-01")
+    archives.write_crawl(pages.filter(urls.is_https(F.col("url"))), path, "example.com", "2026-02-01")
+    return archives.latest(archives.read_crawls(spark, path)).select("url", "title")
+
+
+@_query(f"WITH {_F} SELECT url, title, CAST(n_h2 AS BIGINT) AS h2 FROM f")
+def pages_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table written as JSON and read back."""
+    path = _scratch(spark, "json")
+    furnished(spark, sf_dir).drop("content_text").write.json(path)
+    rows = spark.read.schema(schema.PAGE).json(path)
+    return archives.last_by_url(rows).select("url", "title", F.size("h2_tags").cast("long").alias("h2"))
+
+
+@_query("SELECT 'd' || c_nationkey AS domain, CAST(to_timestamp(c_custkey * 86400) AT TIME ZONE 'UTC' AS TIMESTAMP) AS crawl_date, CAST(round(c_acctbal) AS DOUBLE) AS technical_score FROM customer WHERE c_nationkey = 3")
+def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots saved to a table, and the history of one domain read from it; customers stand for snapshots."""
+    path = _scratch(spark, "snapshots")
+    rows = _built(spark, sf_dir, "customer", "SELECT 'd' || c_nationkey AS domain, CAST(timestamp_seconds(c_custkey * 86400) AS TIMESTAMP_NTZ) AS crawl_date, round(c_acctbal) AS technical_score FROM {customer}")
+    archives.save_snapshots(rows, path)
+    return archives.history(archives.read_snapshots(spark, path), "d3").select("domain", "crawl_date", "technical_score")
+
+
+@_query("SELECT p_partkey, left(sha256('{\"name\":\"' || p_name || '\",\"size\":' || p_size || '}'), 16) AS hash FROM part")
+def profile_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", selectors.profile_hash(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("hash"))
+
+
+@_query(f"WITH {_F} SELECT url, CAST(length(title) AS INTEGER) AS title_length, CAST(length(description) AS INTEGER) AS description_length, CAST(least(n_h1, 5) AS INTEGER) AS h1 FROM f")
+def input_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is told of a page."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    found = furnished(spark, sf_dir).select("url", advice.input_summary(none("content_text"), none("title"), none("description"), F.col("h1_tags"), F.col("keywords")).alias("s"))
+    return found.select("url", "s.title_length", "s.description_length", F.size("s.h1").alias("h1"))
+
+
+@_query("SELECT 's' || page_id AS site, CASE WHEN url LIKE 'https://%' THEN 'vue' ELSE CASE page_id % 6 " + " ".join(f"WHEN {i} THEN '{x[1]}'" for i, x in enumerate(_FRAMEWORKS)) + " END END AS framework FROM pages")
+def framework_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frameworks of sites, as set where they are, else as found."""
+    markup = F.element_at(F.array(*[F.lit(x[0]) for x in _FRAMEWORKS]), (F.col("page_id") % len(_FRAMEWORKS) + 1).cast("int"))
+    pages = _table(spark, sf_dir, "pages")
+    site_ = F.concat(F.lit("s"), "page_id").alias("site")
+    return selectors.framework_of(pages.select(site_, markup.alias("html")), pages.filter(urls.is_https(F.col("url"))).select(site_, F.lit("vue").alias("framework")))
+
+
+@_query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-06-01') >= 90 THEN 'archived' ELSE 'kept' END AS state FROM orders) GROUP BY state")
+def selector_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors that stay and that are archived after ninety unused days; orders stand for them."""
+    rows = _built(spark, sf_dir, "orders", "SELECT date_trunc('DAY', o_orderdate) AS last_used, date_trunc('DAY', o_orderdate) AS created_at FROM {orders}")
+    kept, gone = selectors.cleanup(rows, "1998-06-01 00:00:00")
+    both = kept.select(F.lit("kept").alias("state")).unionByName(gone.select(F.lit("archived").alias("state")))
+    return both.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 50 WHEN 3 THEN 30 ELSE 10 END AS specificity FROM pages")
+def selector_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.element_at(F.array(*[F.lit(x) for x in ("very_high", "high", "medium", "low", "very_low")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", selectors.specificity(level).alias("specificity"))
+
+
+@_query("SELECT key, hit_count FROM (SELECT o_orderkey AS key, o_orderkey % 50 AS hit_count, left(sha256('prompt ' || o_orderpriority), 16) AS h FROM orders) WHERE left(h, 8) = left(sha256('prompt 1-URGENT'), 8) ORDER BY hit_count DESC, key LIMIT 5")
+def similar_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most used entries with the beginning of a prompt's hash; priorities stand for prompts."""
+    cache = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 50).alias("hit_count"), advice.prompt_hash(F.concat(F.lit("prompt "), "o_orderpriority")).alias("prompt_hash"))
+    return advice.similar_prompts(cache, "prompt 1-URGENT").select("key", "hit_count")
+
+
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%d_%H%M%S') AS crawl_id, strftime(ts, '%B %-d, %Y %H:%M') AS shown, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2026-01-01' ELSE date_trunc('second', ts) END AS parsed FROM events")
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl ids, shown dates and dates read back, with a substitute where the text is none."""
+    written = F.when(F.col("event_id") % 3 == 0, "no date").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    substitute = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    return _table(spark, sf_dir, "events").select("event_id", reports.crawl_id(F.col("ts")).alias("crawl_id"), reports.format_date(F.col("ts")).alias("shown"), reports.parse_date(written, substitute).cast("timestamp_ntz").alias("parsed"))
+
+
+@_query(f"""WITH c AS ({_CONSOLE.replace('{events}', 'events')}), e AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY seq) AS n, left(message, 100) AS m FROM c WHERE level = 'error'), f AS (SELECT * FROM e WHERE n <= 10)
+SELECT url, count(*) AS errors, string_agg(m, '|' ORDER BY n) FILTER (WHERE n <= 5) AS messages FROM f GROUP BY url ORDER BY errors DESC, CAST(substr(url, 2) AS BIGINT) LIMIT 20""")
+def console_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty pages with most errors and their first messages."""
+    lists_ = captures.console_lists(_built(spark, sf_dir, "events", _CONSOLE))
+    rows = site.console_rows(lists_.withColumn("crawl_seq", F.substring("url", 2, 20).cast("long")))
+    return reports.console_pages(rows).select("url", "errors", F.array_join("messages", "|").alias("messages"))
+
+
+@_query("""SELECT DISTINCT path, '{"method":"' || lower(method) || '","tags":["' || tag || '"],"calls":' || calls || '}' AS operation FROM (SELECT '/c/' || 'x' AS path, 'GET' AS method, 'c' AS tag, count(*) AS calls FROM customer)""")
+def interface_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The description of an endpoint without bodies; customers stand for calls."""
+    found = _table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("calls")).select(F.lit("/c/x").alias("path"), F.lit("GET").alias("method"), F.lit("c").alias("tag"), "calls", F.array().cast("array<string>").alias("bodies"))
+    return api.interface_description(found)
