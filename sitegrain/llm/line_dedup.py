@@ -1,8 +1,8 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
-A line is compared lower-cased, its tabs and the like as spaces, without outer white space, as the set of its
-five-character shingles from every position, whatever the characters; a shorter line is one shingle.  Lines are
-similar when the Jaccard similarity of their sets is 0.8 or more.
+A line is compared lower-cased, its tabs and the like as spaces, without outer spaces, as the set of its five-character
+shingles from every position, whatever the characters; a shorter line is one shingle.  Lines are similar when the
+Jaccard similarity of their sets is 0.8 or more.
 
 Signatures are taken over longer shingles, of nine characters in short lines and twelve in long ones: lines that differ
 in a few places still share most of them, unrelated lines hardly any, so that two minimum hashes make a band that
@@ -10,27 +10,31 @@ few unrelated lines share.  Eight bands make a signature.  Where every fifth shi
 similarity of 0.8 with scattered edits (0.67 over nine characters, 0.58 over twelve), two lines share a band with
 probability 0.99 or 0.96.  A short line has sixteen hash functions over all its shingles.  A long line has one hash
 function and sixteen bins, and a bin's minimum is its smallest hash; hashes that are surely too large to be a minimum
-are left out before they are grouped, so that most shingles of a long line cost one hash and no more.  Lines of a
-middle length have both signatures, so that similar lines have one in common; long lines that repeat themselves so much
-that bins stay empty are signed again by what they do not repeat.
-
-Lines that share a band are compared exactly, links go to a distributed union-find, and of every component the
-first line stays.  Bands are not expanded into all pairs.  First every line is compared with the first line of each of
-its bands.  Then lines of a band that are still in different components are compared.  Both times those are left out that an exact
-bound rules out: of each set a bitmap of 1,024 hashed places is kept, and every place that one bitmap has and the other lacks
-is at least one shingle that is not shared.  What stays uncompared lies in one component or is too far apart, so no
-link that could join two is lost.
+are left out beforehand.  Lines of a middle length have both signatures, so that similar lines have one in common; long
+lines that repeat themselves so much that bins stay empty are signed by their distinct shingles, as both if they are
+few.
+
+Lines that share a band are compared exactly, links go to a distributed union-find, and of every component the first
+line stays.  Bands are not expanded into all pairs: every band is known by its least line, and a line goes once to the
+group of each such lead.  In a group all lines are compared with the lead, then lines of different components with one
+another, less those that an exact bound rules out: of each set a bitmap of 1,024 hashed places is kept, and every place
+that one bitmap has and the other lacks is at least one shingle that is not shared.  What stays uncompared lies in one
+component or is too far apart, so no link that could join two is lost.  A group returns a spanning forest of its links.
+Groups of more than GROUP_LIMIT lines are cut into chunks, and every two chunks are a task's group of their own.
+
+The shingles of all positions are hashed, sampled and compared in numpy, over Arrow batches; joins, counts and
+components are DataFrame operations.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_prefix, let, materialize
+from .common import bounded_batches, free_prefix, materialize
 from .graph import connected_components
 
 SIMILARITY = 0.8
@@ -38,212 +42,407 @@ SIMILARITY = 0.8
 SHINGLE, SHORT_SHINGLE, LONG_SHINGLE = 5, 9, 12
 ROWS, BANDS = 2, 8
 BINS = ROWS * BANDS
-#: Lines of up to SHORT_MOST shingles of SHORT_SHINGLE characters have the short signature, those from LONG_LEAST on the
-#: long one: similar lines differ in length by less than that.
+#: Lines of up to SHORT_MOST shingles of SHORT_SHINGLE characters have the short signature, those from LONG_LEAST of
+#: LONG_SHINGLE on the long one: similar lines differ in length by less than that.
 LONG_LEAST, SHORT_MOST = 90, 125
 #: Hashes that a bin of a long line keeps, on average, before its minimum is taken.
 KEPT = 5
-#: A long line with more empty bins than this is given the short signature too.
+#: A long line with more empty bins than this is signed by its distinct shingles.
 EMPTY_BINS = BINS // 3
 #: 64-bit words of a bitmap.
 WORDS = 16
-#: One in so many of the pairs that are left is compared first; what that joins need not be compared again.
-EARLY = 8
+#: Characters that are hashed at once.
+SLICE = 1 << 18
+#: Lines of a group that are compared in one task.
+GROUP_LIMIT = 2048
 #: Hashes of lines that need their texts are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-
-def _codes(line: Column) -> Column:
-    """The characters of a line, four bytes each, so that any of them is reached at once."""
-    return F.encode(line, "UTF-32")
-
-
-def _places(codes: Column, size: int) -> Column:
-    """How many shingles of ``size`` characters there are; a shorter line is one."""
-    return F.greatest(F.shiftright(F.length(codes), 2) - (size - 1), F.lit(1))
-
-
-def _shingle(codes: Column, place: Column, size) -> Column:
-    return F.xxhash64(F.substring(codes, place * 4 + 1, F.lit(size) * 4))
-
-
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The 64-bit hashes of a line's shingles, in order, repeats included."""
-    return let(_codes(line), lambda c: F.transform(F.sequence(F.lit(0), _places(c, size) - 1), lambda i: _shingle(c, i, size)))
-
-
-def _folded(text: Column) -> Column:
-    """A text lower-cased, its tabs and the like as spaces; the lines are as before."""
-    return reduce(lambda t, blank: F.replace(t, F.lit(blank), F.lit(" ")), "\t\r\x0b\x0c", F.lower(F.coalesce(text.cast("string"), F.lit(""))))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row a line that is not blank: line (normal form), k and m, two 64-bit hashes of it."""
-    split = docs.select(F.explode(F.split(_folded(F.col("text")), "\n")).alias("line"))
-    normal = split.select(F.trim("line").alias("line")).filter("line <> ''")
-    return normal.select("line", F.xxhash64("line").alias("k"), F.xxhash64(F.lit(1), F.col("line")).alias("m"))
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(k, bands): the bands of every line, hashes of their kind, number and minimum hashes, written once."""
-    coded = _lines(docs).select("k", _codes(F.col("line")).alias("c"))
-    short, long = _places(F.col("c"), SHORT_SHINGLE), _places(F.col("c"), LONG_SHINGLE)
-    kinds = F.when(long < LONG_LEAST, F.array(F.lit(False))).when(short > SHORT_MOST, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
-    limit = F.when(F.col("long"), _limit(long)).otherwise(F.lit(1 << 32))
-    found = materialize(_banded(coded.select("k", "c", F.explode(kinds).alias("long")).select("k", "c", "long", limit.alias("limit"))), "signatures")
-    thin = found.filter(F.col("empty") > EMPTY_BINS).select("k").distinct()
-    n = thin.count()
-    if not n:
-        return found
-    again = _lines(docs).join(F.broadcast(thin) if n <= BROADCAST_ROWS else thin, "k", "left_semi").dropDuplicates(["k", "m"])
-    words = F.split("line", " ")
-    again = again.select("k", _codes(F.col("line")).alias("c"), (F.size(F.array_distinct(words)) / F.size(words)).alias("fresh"))
-    # few distinct shingles, or none that words tell of, are signed as a short line's; more with a limit to match
-    kinds = F.array_compact(F.array(F.when((F.col("fresh") > 0.5) | (short * F.col("fresh") <= SHORT_MOST), F.lit(False)), F.when(F.col("fresh") <= 0.5, F.lit(True))))
-    limit = F.when(F.col("long"), _limit(long * F.col("fresh"))).otherwise(F.lit(1 << 32))
-    again = _banded(again.select("k", "c", "fresh", F.explode(kinds).alias("long")).select("k", "c", "long", limit.alias("limit")))
-    return found.unionAll(materialize(again, "signatures"))
-
-
-def _limit(shingles: Column) -> Column:
-    """What the upper half of a hash must be below, for KEPT hashes a bin of so many shingles."""
-    return (F.lit(KEPT * BINS * float(1 << 32)) / shingles).cast("long")
-
-
-def _banded(lines: DataFrame) -> DataFrame:
-    """(k, bands, empty) from (k, c, long, limit): the minima over the shingles whose hash is below the limit."""
-    size = F.when(F.col("long"), LONG_SHINGLE).otherwise(SHORT_SHINGLE)
-    count = F.greatest(F.shiftright(F.length("c"), 2) - size + 1, F.lit(1))
-    placed = lines.select("k", "c", "long", "limit", size.alias("size"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    # the partition's number keeps the filter from hashing a second time what it lets pass
-    once = F.spark_partition_id().cast("long").bitwiseAND(F.lit(0).cast("long"))
-    hashed = placed.select("k", "long", "limit", "i", F.xxhash64(F.substring("c", F.col("i") * 4 + 1, F.col("size") * 4)).bitwiseXOR(once).alias("h"))
-    low = F.shiftrightunsigned("h", 32) < F.col("limit")
-    kept = hashed.filter(low | (F.col("i") == 0))  # a line whose hashes are all too large has empty bins, but is there
-    kept = kept.select("k", "long", "h", F.shiftrightunsigned("h", 32).alias("v"), F.when(~F.col("long"), -1).when(low, F.pmod("h", F.lit(BINS)).cast("int")).otherwise(BINS).alias("bin"))
-
-    def minimum(j):
-        band, half = divmod(j, ROWS)
-        h = F.xxhash64("h", F.lit(band))
-        own = F.shiftrightunsigned(h, 32) if half else h.bitwiseAND(F.lit((1 << 32) - 1))
-        return F.min(F.when(F.col("bin") == j, F.col("v")).when(F.col("bin") < 0, own)).alias(f"h{j}")
-
-    signed = kept.groupBy("k", "long").agg(*[minimum(j) for j in range(BINS)])
-    missing = [F.col(f"h{j}").isNull() for j in range(BINS)]
-
-    def band(b):
-        parts = range(b * ROWS, (b + 1) * ROWS)
-        return F.when(~reduce(lambda x, y: x | y, [missing[j] for j in parts]), F.xxhash64("long", F.lit(b), *[f"h{j}" for j in parts]))
-
-    return signed.select("k", F.array_compact(F.array(*[band(b) for b in range(BANDS)])).alias("bands"), reduce(add, [x.cast("int") for x in missing]).alias("empty"))
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between ids of the lines of ``pairs`` (a, b) that are similar by their whole sets."""
-    left = texts.select(F.col("k").alias("a"), F.col("id").alias("u"), F.col("line").alias("x"))
-    right = texts.select(F.col("k").alias("b"), F.col("id").alias("v"), F.col("line").alias("y"))
-    sets = pairs.join(left, "a").join(right, "b").select("u", "v", F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y"))
-    counted = sets.select("u", "v", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return counted.filter((F.col("u") != F.col("v")) & (F.col("both") + 1e-9 >= similarity * (F.col("n") - F.col("both")))).select("u", "v")
-
-
-def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(k, n, w0, w1, ...): how many shingles a line has, repeats included, and its bitmap."""
-    coded = texts.select("k", _codes(F.col("line")).alias("c"))
-    places = coded.select("k", "c", F.explode(F.sequence(F.lit(0), _places(F.col("c"), SHINGLE) - 1)).alias("i"))
-    placed = places.select("k", F.pmod(_shingle(F.col("c"), F.col("i"), SHINGLE), F.lit(64 * WORDS)).cast("int").alias("at"))
-    bits = placed.select("k", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at % 64)").alias("bit"))
-    return bits.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)])
-
-
-def _within_reach(similarity: float) -> Column:
-    """Whether bitmaps, with columns named for their sides a and b, leave two lines a chance to be similar.
-
-    Every place that one bitmap alone has is at least one shingle that one line alone has, so their number x is no
-    more than what is not shared, and twice what is shared is at most n + n - x.
-    """
-    x = reduce(add, [F.bit_count(F.col(f"w{j}a").bitwiseXOR(F.col(f"w{j}b"))) for j in range(WORDS)])
-    return x * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-9
+_NONE = np.uint64(0xFFFFFFFF)
+_BASE = 0x9E3779B97F4A7C15
+#: Between lines stand more characters than a shingle has, of a code that no text holds.
+_GAP = "\U0010ffff" * LONG_SHINGLE
+
+
+def normal_lines(text: str | None) -> list[str]:
+    """The lines of a text as they are compared; a blank line is empty."""
+    folded = (text or "").lower()
+    for blank in "\t\r\x0b\x0c":
+        folded = folded.replace(blank, " ")
+    return [line.strip(" ") for line in folded.split("\n")]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def _windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` codes from every place on: windows of doubling size are joined."""
+    length, joined = 0, None
+    power, width = codes, 1
+    while True:
+        if size & width:
+            if joined is None:
+                joined, length = power, width
+            else:
+                joined = joined[: len(power) - length] * np.uint64(pow(_BASE, width, 1 << 64)) + power[length:]
+                length += width
+        if 2 * width > size:
+            return _mixed(joined)
+        power = power[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + power[width:]
+        width *= 2
+
+
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, starts) of the lines one after another, a gap behind each."""
+    codes = np.frombuffer((_GAP.join(lines) + _GAP).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines)) + LONG_SHINGLE
+    return codes, np.concatenate(([0], np.cumsum(lengths)[:-1]))
+
+
+def _places(lengths: np.ndarray, size: int) -> np.ndarray:
+    return np.maximum(lengths - size + 1, 1)
+
+
+def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the shingles of every line in order, repeats included."""
+    codes, starts = _codes(lines)
+    counts = _places(np.fromiter(map(len, lines), np.int64, len(lines)), size)
+    at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+    return _windows(codes, size)[at], counts
+
+
+def _short_minima(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(lines, BINS): the minima of sixteen functions, halves of eight remixed hashes."""
+    out = np.empty((len(counts), BINS), np.uint64)
+    first = np.cumsum(counts) - counts
+    for b in range(BANDS):
+        h = _mixed(hashes + np.uint64((b + 1) * _BASE % (1 << 64)))
+        out[:, ROWS * b] = np.minimum.reduceat(h & _NONE, first)
+        out[:, ROWS * b + 1] = np.minimum.reduceat(h >> np.uint64(32), first)
+    return out
+
+
+def _long_minima(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, BINS): the least upper half of the hashes in each bin; _NONE where a bin is empty."""
+    out = np.full(n * BINS, _NONE, np.uint64)
+    np.minimum.at(out, owner * BINS + (hashes % np.uint64(BINS)).astype(np.int64), hashes >> np.uint64(32))
+    return out.reshape(n, BINS)
+
+
+def _bands(minima: np.ndarray, long: bool) -> np.ndarray:
+    """(lines, BANDS): a hash of each band's kind, number and minima, never 0; 0 where a long line's bin is empty."""
+    out = np.empty((len(minima), BANDS), np.uint64)
+    for b in range(BANDS):
+        x, y = minima[:, ROWS * b], minima[:, ROWS * b + 1]
+        h = _mixed(_mixed(x << np.uint64(32) | y) + np.uint64((2 * b + 3 + long) * _BASE % (1 << 64))) | np.uint64(1)
+        out[:, b] = np.where((x == _NONE) | (y == _NONE), np.uint64(0), h) if long else h
+    return out
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, 2 BANDS): the bands of each line by its short and its long signature, 0 where it has none."""
+    out = np.zeros((len(lines), 2 * BANDS), np.uint64)
+    held, size = [], 0
+    for i, line in enumerate(lines):
+        if len(line) > SLICE:
+            out[i] = _sign_one(line)
+            continue
+        held.append(i)
+        size += len(line) + LONG_SHINGLE
+        if size > SLICE:
+            out[held] = _sign([lines[j] for j in held])
+            held, size = [], 0
+    if held:
+        out[held] = _sign([lines[j] for j in held])
+    return out
+
+
+def _sign(lines: list[str]) -> np.ndarray:
+    out = np.zeros((len(lines), 2 * BANDS), np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    n_short, n_long = _places(lengths, SHORT_SHINGLE), _places(lengths, LONG_SHINGLE)
+    short = np.flatnonzero((n_short <= SHORT_MOST) | (n_long < LONG_LEAST))
+    if len(short):
+        out[short, :BANDS] = _bands(_short_minima(*shingles([lines[i] for i in short], SHORT_SHINGLE)), False)
+    long = np.flatnonzero(n_long >= LONG_LEAST)
+    if len(long):
+        chosen = [lines[i] for i in long]
+        codes, starts = _codes(chosen)
+        n = n_long[long]
+        limit = np.minimum(KEPT * BINS * 2.0**32 / n, 2.0**32).astype(np.uint64)
+        ends = np.append(starts[1:], len(codes))
+        h = _windows(codes, LONG_SHINGLE)
+        spans = np.stack((n, ends - starts - n), axis=1).ravel()  # places of a shingle, then those that reach into the gap
+        spans[-1] -= len(codes) - len(h)
+        low = np.flatnonzero((h >> np.uint64(32)) < np.repeat(np.stack((limit, np.zeros_like(limit)), axis=1).ravel(), spans))
+        minima = _long_minima(h[low], np.repeat(np.arange(len(chosen)), ends - starts)[low], len(chosen))
+        out[long, BANDS:] = _bands(minima, True)
+        for j in np.flatnonzero((minima == _NONE).sum(axis=1) > EMPTY_BINS):
+            out[long[j]] = _sign_distinct(chosen[j])
+    return out
+
+
+def _sign_distinct(line: str) -> np.ndarray:
+    """The bands of a line that repeats itself, by its distinct shingles."""
+    out = np.zeros(2 * BANDS, np.uint64)
+    long, short = (np.unique(shingles([line], size)[0]) for size in (LONG_SHINGLE, SHORT_SHINGLE))
+    out[BANDS:] = _bands(_long_minima(long, np.zeros(len(long), np.int64), 1), True)[0]
+    if len(short) <= SHORT_MOST:
+        out[:BANDS] = _bands(_short_minima(short, np.array([len(short)])), False)[0]
+    return out
+
+
+def _sign_one(line: str) -> np.ndarray:
+    """The bands of a line of more than SLICE characters, hashed a part at a time."""
+    out = np.zeros(2 * BANDS, np.uint64)
+    limit = np.uint64(KEPT * BINS * 2.0**32 / (len(line) - LONG_SHINGLE + 1))
+    minima = np.full((1, BINS), _NONE, np.uint64)
+    distinct = np.empty(0, np.uint64)
+    for k in range(0, len(line) - LONG_SHINGLE + 1, SLICE):
+        h = shingles([line[k : k + SLICE + LONG_SHINGLE - 1]], LONG_SHINGLE)[0]
+        low = h[(h >> np.uint64(32)) < limit]
+        minima = np.minimum(minima, _long_minima(low, np.zeros(len(low), np.int64), 1))
+        if len(distinct) <= SHORT_MOST:
+            distinct = np.unique(np.concatenate((distinct, np.unique(h))))
+    if (minima == _NONE).sum() > EMPTY_BINS and len(distinct) <= SHORT_MOST:
+        return _sign_distinct(line[: SLICE // 2])  # what repeats within so few shingles is in any such part
+    out[BANDS:] = _bands(minima, True)[0]
+    return out
+
+
+# -- groups --------------------------------------------------------------------------------------------------------------
+
+
+def bitmaps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(lines, WORDS): the hashed places that a line's shingles take."""
+    out = np.zeros(len(counts) * WORDS, np.uint64)
+    place = (hashes >> np.uint64(20)) % np.uint64(64 * WORDS)
+    owner = np.repeat(np.arange(len(counts)) * WORDS, counts)
+    np.bitwise_or.at(out, owner + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.reshape(-1, WORDS)
+
+
+def similar_forest(lines: list[str], groups: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links between lines of one group; ``groups`` numbers them, in order."""
+    hashes, counts = shingles(lines)
+    marks = bitmaps(hashes, counts)
+    first = np.cumsum(counts) - counts
+    known: dict[int, frozenset] = {}
+
+    def own(i: int) -> frozenset:
+        if i not in known:
+            known[i] = frozenset(hashes[first[i] : first[i] + counts[i]].tolist())
+        return known[i]
+
+    def linked(i: int, j: int) -> bool:
+        a, b = own(i), own(j)
+        both = len(a & b)
+        return both + 1e-9 >= similarity * (len(a) + len(b) - both)
+
+    def in_reach(i, j) -> np.ndarray:
+        """Whether bitmaps leave two lines a chance: what one alone has is not shared."""
+        x = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=-1, dtype=np.int64)
+        return x * (1 + similarity) <= (counts[i] + counts[j]) * (1 - similarity) + 1e-9
+
+    found = []
+    label = np.arange(len(lines))
+    bounds = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)) if len(groups) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(bounds, len(lines)))
+    lead = np.repeat(bounds, sizes)
+    every, before = np.arange(len(lines)), -1
+    for i in np.flatnonzero(in_reach(lead, every) & (lead != every)).tolist():
+        if lead[i] != before:  # sets are kept for one group at a time
+            known.clear()
+            before = int(lead[i])
+        if linked(before, i):
+            found.append((before, i))
+            label[i] = before
+    known.clear()
+    for start, size in zip(bounds[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        own_label = label[start : start + size]
+        for i in np.flatnonzero(own_label != start).tolist():
+            if own_label[i] == own_label[0]:
+                continue
+            others = np.flatnonzero(own_label != own_label[i])
+            others = others[(others > 0) & ((others > i) | (own_label[others] == own_label[0]))]  # the lead has met all
+            for j in others[in_reach(start + i, start + others)].tolist():
+                if own_label[j] != own_label[i] and linked(start + i, start + j):
+                    found.append((start + i, start + j))
+                    least, most = sorted((int(own_label[i]), int(own_label[j])))
+                    own_label[own_label == most] = least
+        known.clear()
+    return found
+
+
+def similar_lines(docs: DataFrame, uses: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between the ids of ``groups`` (k, m, id) that join every two candidate lines of ``docs`` of at least
+    ``similarity``, directly or over others; ``uses`` (k, bands) has their bands."""
+    spark = docs.sparkSession
+    banded = uses.filter(F.size("bands") > 0).select("k", F.explode("bands").alias("band"))
+    shared = banded.repartition("band").groupBy("band").agg(F.min("k").alias("lead"), F.max("k").alias("_last")).filter("lead <> _last").drop("_last")
+    spokes = materialize(banded.join(materialize(shared, "shared-bands"), "band").select("lead", "k").distinct(), "spokes")
+    sizes = materialize(spokes.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    wanted = materialize(spokes.select("k").distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = groups.select("k", "m", "id").join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
+    texts = _texts(docs, np.sort(np.array([r.k for r in wanted.collect()], np.int64)) if few else None)
+    texts = texts if few else texts.join(wanted, "k", "left_semi")
+    texts = materialize(texts.dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
+    bounded_batches(spark)
+    chunks = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
+    own = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(c, own) * 1_000_000 + F.greatest(c, own))
+    placed = spokes.join(sizes, "lead").join(texts, "k").select("lead", "id", "line", (F.col("k") != F.col("lead")).alias("later"), F.explode(F.when(F.col("n") <= GROUP_LIMIT, F.array(F.lit(-1))).otherwise(pairs)).alias("part"))
+    keyed = placed.select(F.xxhash64("lead", "part").alias("key"), "later", "id", "line").repartition("key").sortWithinPartitions("key", "later", "id")
+
+    def run(batches):
+        held: list[list] = [[], [], []]
+
+        def close(upto: int):
+            """The links among the first ``upto`` held rows, which are whole groups."""
+            keys, ids, texts = (x[:upto] for x in held)
+            for x in held:
+                del x[:upto]
+            u, v = [], []
+            for a, b in _parts(keys, texts):
+                for i, j in similar_forest(texts[a:b], _numbered(keys[a:b]), similarity):
+                    u.append(ids[a + i])
+                    v.append(ids[a + j])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for x, column in zip(held, (0, 2, 3)):
+                x += batch.column(column).to_pylist()
+            last = len(held[0])
+            while last and held[0][last - 1] == held[0][-1]:  # the last group may go on
+                last -= 1
+            if last:
+                yield close(last)
+        if held[0]:
+            yield close(len(held[0]))
+
+    return materialize(keyed.mapInArrow(run, "u long, v long").distinct(), "links")
+
+
+def _parts(keys: list[int], texts: list[str]):
+    """(start, end) of runs of whole groups with about SLICE characters."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size > SLICE and keys[i] != keys[i - 1]:
+            yield start, i
+            start, size = i, 0
+        size += len(text) + LONG_SHINGLE
+    yield start, len(texts)
+
+
+def _numbered(keys: list[int]) -> np.ndarray:
+    """The groups of rows, numbered in their order."""
+    changed = np.diff(np.array(keys, np.int64), prepend=np.array(keys[:1], np.int64)) != 0
+    return np.cumsum(changed)
+
+
+def _hashes(line: str) -> tuple[int, int]:
+    data = line.encode("utf-8", "surrogatepass")
+    return xxhash.xxh64_intdigest(data), xxhash.xxh64_intdigest(data, 1)
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _texts(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """(k, m, line) of the lines whose k is among the sorted ``wanted``, or of all, once a batch."""
+    bounded_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        among = shipped.value
+        for batch in batches:
+            lines = list(dict.fromkeys(line for text in batch.column(0).to_pylist() if text for line in normal_lines(text) if line))
+            pairs = [_hashes(line) for line in lines]
+            k, m = (np.array([p[x] for p in pairs], np.uint64).view(np.int64) for x in (0, 1))
+            if among is not None:
+                at = np.flatnonzero(among[np.minimum(np.searchsorted(among, k), len(among) - 1)] == k) if len(among) else np.empty(0, np.int64)
+                k, m, lines = k[at], m[at], [lines[i] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m), pa.array(lines, pa.string())], ["k", "m", "line"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "k long, m long, line string")
 
 
-def similar_lines(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between the ids of ``groups`` (k, m, id) that join every two candidate lines of at least
-    ``similarity``, directly or over others."""
-    rows = signatures(docs).select("k", F.explode("bands").alias("band"))
-    shared = rows.repartition("band").groupBy("band").agg(F.min("k").alias("lead"), F.max("k").alias("_last")).filter("lead <> _last").drop("_last")
-    active = materialize(rows.join(materialize(shared, "shared-bands"), "band"), "bands")
-    wanted = active.select("k").distinct()
-    few = wanted.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(materialize(wanted, "wanted")) if few else materialize(wanted, "wanted")
-    ids = groups.join(wanted, "k", "left_semi").select("k", "m", "id")
-    texts = materialize(_lines(docs).join(wanted, "k", "left_semi").dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
-    twins = texts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")  # lines of one 64-bit hash
-    marks = materialize(_bitmaps(texts).join(twins.withColumn("twin", F.lit(True)), "k", "left"), "bitmaps")
-    columns = ["k", "n", "twin", *(f"w{j}" for j in range(WORDS))]
-    side = lambda table, x, *more: table.select(*[F.col(c).alias(c + x) for c in (*columns, *more)])
-    near = F.col("twina").isNotNull() | F.col("twinb").isNotNull() | _within_reach(similarity)
-
-    spokes = active.filter("k <> lead").select(F.col("k").alias("ka"), F.col("lead").alias("kb")).distinct()
-    spokes = spokes.join(side(marks, "a"), "ka").join(side(marks, "b"), "kb").filter(near).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    spokes = spokes.unionAll(twins.select(F.col("k").alias("a"), F.col("k").alias("b")))
-    found = materialize(_linked(materialize(spokes, "pairs"), texts, similarity), "links")
-
-    def labels(found):
-        """(k, c): the components of linked lines; twins have none."""
-        named = texts.join(connected_components(found).withColumnRenamed("node", "id"), "id").groupBy("k").agg(F.min("component").alias("c"))
-        return materialize(named.join(twins, "k", "left_anti"), "labels")
-
-    # a line without a component is one of its own, named apart from the linked ones
-    own = lambda k, c: F.coalesce(c, -F.abs(F.shiftright(k, 1)) - 1)
-    named = materialize(active.join(labels(found), "k", "left").withColumn("c", own("k", "c")), "bands")
-    sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
-    mixed = materialize(named.join(materialize(largest, "largest"), "band").filter("k <> lead"), "bands")  # the first line has met all
-    several = mixed.groupBy("band").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).filter("_c <> _d").select("band")
-    mixed = materialize(mixed.join(several, "band", "left_semi").join(marks, "k"), "bands")
-    # two lines outside the largest component meet once, by the order of their hashes
-    once = (F.col("cb") == F.col("mostb")) | (F.col("ka") < F.col("kb"))
-    ones = side(mixed.filter("c <> most"), "a", "band", "c").withColumnRenamed("banda", "band")
-    met = ones.join(side(mixed, "b", "band", "c", "most").withColumnRenamed("bandb", "band"), "band").filter((F.col("ca") != F.col("cb")) & once & near)
-    pairs = materialize(met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "pairs")
-    early = F.pmod(F.xxhash64("a", "b"), F.lit(EARLY)) == 0
-    found = materialize(found.unionAll(_linked(pairs.filter(early), texts, similarity)), "links")
-    by_line = labels(found)
-    left = pairs.filter(~early).join(by_line.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a", "left").join(by_line.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b", "left")
-    left = left.filter(own("a", F.col("ca")) != own("b", F.col("cb"))).select("a", "b")
-    return found.unionAll(materialize(_linked(left, texts, similarity), "links"))
+def _uses(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, no, k, m, bands) of every line, written once so that row numbers are fixed.  Blank lines are left
+    out, a text without lines has one row without k, and of lines that a batch repeats the first has the bands."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            rows, numbers, k, m, new = [], [], [], [], []
+            distinct: dict[str, tuple[int, int]] = {}
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                before = len(rows)
+                for no, line in enumerate(normal_lines(text) if text else ()):
+                    if not line:
+                        continue
+                    pair = distinct.get(line)
+                    new.append(pair is None)
+                    if pair is None:
+                        pair = distinct[line] = _hashes(line)
+                    rows.append(row)
+                    numbers.append(no)
+                    k.append(pair[0])
+                    m.append(pair[1])
+                if len(rows) == before:
+                    rows.append(row)
+                    numbers.append(None)
+                    k.append(0)
+                    m.append(0)
+                    new.append(False)
+            signed = signatures(list(distinct))
+            sizes = np.zeros(len(rows), np.int64)
+            sizes[np.array(new, bool)] = (signed != 0).sum(axis=1)
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(signed[signed != 0].view(np.int64)))
+            blank = pa.array([n is None for n in numbers])
+            taken = batch.take(pa.array(rows, pa.int64()))
+            nothing = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(numbers, pa.int32()), pa.compute.if_else(blank, nothing, _signed(k)), pa.compute.if_else(blank, nothing, _signed(m)), bands], ["row", "doc_id", "no", "k", "m", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string"))
+    return materialize(numbered.mapInArrow(run, f"row long, doc_id {kind}, no int, k long, m long, bands array<bigint>"), "lines")
+
+
+# -- on tables ------------------------------------------------------------------------------------------------------------
+
+
+def _classes(docs: DataFrame, uses: DataFrame, similarity: float) -> DataFrame:
+    """(row, doc_id, no, component, first) of the uses in components of more than one use; ``first`` marks the one that
+    stays, by doc_id (null last), row and number."""
+    each = uses.filter("k is not null")
+    groups = materialize(each.groupBy("k", "m").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "line-groups")
+    found = connected_components(similar_lines(docs, uses, groups, similarity))
+    named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null")
+    classes = materialize(named.select("k", "m", F.coalesce("component", "id").alias("component")), "line-classes")
+    placed = materialize(each.select("row", "doc_id", "no", "k", "m").join(classes, ["k", "m"]).drop("k", "m"), "placed")
+    # written, so that the join can split the lines of a hot component
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "no")
+    best = materialize(placed.groupBy("component").agg(F.min(place).alias("best")), "first-lines")
+    stays = (F.col("row") == F.col("best.row")) & (F.col("no") == F.col("best.no"))
+    return placed.join(best, "component").select("row", "doc_id", "no", "component", stays.alias("first"))
 
 
 def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(row, doc_id, no, kept, component) for every line that is not blank of every row of ``docs``.
 
     Equal and similar lines form components; the first line of each, by doc_id (null last), row and number, stays.
-    Null and empty texts give no rows; rows that repeat are rows of their own; an empty table gives none; further
-    columns are ignored.
+    The component of a line that has no other is null.  Null and empty texts give no rows; rows that repeat are rows of
+    their own; an empty table gives none; further columns are ignored.
     """
-    return _judge(docs, _uses(docs).filter("k is not null"), similarity)
-
-
-def _uses(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, no, k, m) of every line, written once so that row numbers are fixed; blank lines have no k."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    each = numbered.select("row", "doc_id", F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("no", "line"))
-    line = F.nullif(F.trim("line"), F.lit(""))
-    hashed = each.withColumn("line", line).select("row", "doc_id", "no", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("k"), F.xxhash64(F.lit(1), F.col("line")).alias("m"))
-    return materialize(hashed, "lines")
-
-
-def _judge(docs: DataFrame, uses: DataFrame, similarity: float) -> DataFrame:
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "no")
-    lines = uses.filter("k is not null")
-    groups = materialize(lines.groupBy("k", "m").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "line-groups")
-    found = connected_components(similar_lines(docs, groups, similarity))
-    named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # written, so that the join can split the lines of a hot component
-    first = materialize(named.groupBy("component").agg(F.min("first").alias("best")), "first-lines")
-    by_line = materialize(named.join(first, "component").select("k", "m", "component", "best"), "line-classes")
-    kept = (F.col("row") == F.col("best.row")) & (F.col("no") == F.col("best.no"))
-    return uses.join(by_line, ["k", "m"], "left").select("row", "doc_id", "no", kept.alias("kept"), "component")
+    uses = _uses(docs)
+    judged = _classes(docs, uses, similarity).drop("doc_id")
+    return uses.filter("k is not null").select("row", "doc_id", "no").join(judged, ["row", "no"], "left").select("row", "doc_id", "no", F.coalesce("first", F.lit(True)).alias("kept"), "component")
 
 
 def deduplicated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -254,9 +453,11 @@ def deduplicated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     repeat are rows of their own, and the later one's lines go; an empty table gives no rows; further columns are
     ignored.
     """
-    judged = _judge(docs, _uses(docs), similarity)
-    by_row = judged.groupBy("row", "doc_id").agg(F.count("kept").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("no")))).alias("gone"))
-    return by_row.select("doc_id", "n_lines", "n_kept", F.array_join(F.col("gone").cast("array<string>"), ",").alias("dropped"))
+    uses = _uses(docs)
+    gone = _classes(docs, uses, similarity).filter("not first").groupBy("row").agg(F.array_sort(F.collect_list("no")).alias("gone"))
+    rows = uses.groupBy("row", "doc_id").agg(F.count("k").alias("n_lines")).join(gone, "row", "left")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - n_gone).alias("n_kept"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -4,15 +4,65 @@ import pytest
 from test_outputs import DOCS, normal, plain_lines, shingle_set
 
 from sitegrain.llm import line_dedup
-from sitegrain.llm.line_dedup import F
 
 NOTICE = "All rights reserved worldwide, unauthorised reproduction prohibited everywhere"
 
 
 @pytest.mark.parametrize("line", [NOTICE, "Read more about this in our news", "x", "é" * 9 + "𝄞 tail of it", "12345", "123456"])
-def test_shingles_are_at_every_character(spark, line):
-    got = spark.createDataFrame([(line,)], "line string").select(line_dedup.shingles(F.col("line")).alias("s")).first().s
-    assert len(got) == max(len(line) - 4, 1) and len(set(got)) == len(shingle_set(line))
+@pytest.mark.parametrize("size", [5, 9, 12])
+def test_shingles_are_at_every_character(line, size):
+    hashes, counts = line_dedup.shingles(["before", line, "", "after"], size)
+    own = hashes[counts[0] : counts[0] + counts[1]].tolist()
+    plain = [line[i : i + size] for i in range(max(len(line) - size + 1, 1))]
+    assert len(own) == len(plain) and len(set(own)) == len(set(plain))
+    assert [own.index(h) for h in own] == [plain.index(x) for x in plain]
+    assert line_dedup.shingles([line], size)[0].tolist() == own
+
+
+def test_signatures_do_not_depend_on_what_is_beside(monkeypatch):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefg hij") for _ in range(rng.choice([1, 8, 9, 60, 95, 130, 137, 138, 400, 3000]))) for _ in range(60)] + ["=" * 900, "ab " * 2000, "漢" * 5]
+    whole = line_dedup.signatures(lines)
+    assert (line_dedup.signatures(lines[::-1])[::-1] == whole).all()
+    assert all((line_dedup.signatures([x])[0] == w).all() for x, w in zip(lines, whole))
+    assert all(w.any() for w in whole)
+    monkeypatch.setattr(line_dedup, "SLICE", 500)  # longer lines are hashed a part at a time
+    for x, w in zip(lines, line_dedup.signatures(lines)):
+        assert (w == line_dedup.signatures([x])[0]).all()
+    monkeypatch.undo()
+    long = [i for i, x in enumerate(lines) if len(x) > 1000 and len(set(x)) > 3]
+    monkeypatch.setattr(line_dedup, "SLICE", 700)
+    assert long and all((line_dedup.signatures([lines[i]])[0][8:] == whole[i][8:]).all() for i in long)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_forest_of_groups(similarity):
+    rng = random.Random(int(similarity * 10))
+    lines, groups = [], []
+    for g in range(60):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 90)))
+        for _ in range(rng.randint(1, 14)):
+            lines.append(edits(rng, base, rng.randint(0, 6), "xyz"))
+            groups.append(g)
+    parent = list(range(len(lines)))
+
+    def find(i, p):
+        while p[i] != i:
+            i = p[i]
+        return i
+
+    sets = [shingle_set(x) for x in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            if groups[i] == groups[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                parent[find(i, parent)] = find(j, parent)
+    forest = line_dedup.similar_forest(lines, line_dedup.np.array(groups), similarity)
+    got = list(range(len(lines)))
+    for i, j in forest:
+        assert find(i, got) != find(j, got)
+        got[find(i, got)] = find(j, got)
+    same = lambda p: [[find(i, p) == find(j, p) for j in range(i)] for i in range(len(lines))]
+    assert same(got) == same(parent)
 
 
 RUN = "QmYwAPJzv5CZsnA625s3Xf2nemtYgPpHdWEz79ojWKPBdGsx8u41cLq"
@@ -82,8 +132,10 @@ def test_links_are_exact(spark):
     assert got == plain_lines(rows)
 
 
-def test_family_around_a_missing_base(spark):
+@pytest.mark.parametrize("limit", [2048, 16])
+def test_family_around_a_missing_base(spark, limit, monkeypatch):
     """Many lines that are near each other, most of them not near enough: none of the joining links is lost."""
+    monkeypatch.setattr(line_dedup, "GROUP_LIMIT", limit)
     rng = random.Random(5)
     base = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(30))
     lines = [edits(rng, base, rng.randint(2, 9), "xyz") for _ in range(90)]
