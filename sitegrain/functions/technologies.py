@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Technology and the patterns that give it away in HTML, in any case.  Broad on purpose.
 ANY_CASE = r"""
 Cloudflare = cloudflare\.com|cdnjs\.cloudflare\.com|cf-ray
@@ -205,18 +207,46 @@ def _table(text: str) -> list[tuple[str, str]]:
     return [tuple(line.split(" = ", 1)) for line in text.strip().splitlines()]
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside its groups."""
+    parts, depth = [""], 0
+    for sign in re.findall(r"\\.|.", pattern):
+        depth += (sign == "(") - (sign == ")")
+        if sign == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += sign
+    return parts
+
+
+def _required(part: str) -> str:
+    """The longest run of lower-case characters that whatever ``part`` finds must hold; empty if there is none."""
+    runs, depth = [""], 0
+    for sign, quantifier in re.findall(r"(\\.|\[[^\]]*\]|.)([*?+]?)", part):
+        depth += (sign == "(") - (sign == ")")
+        plain = sign[1:] if re.fullmatch(r"\\[.()]", sign) else sign
+        if depth or len(plain) > 1 or sign in "().^$|" or quantifier in ("*", "?"):
+            runs.append("")
+            continue
+        runs[-1] += plain.lower()
+        if quantifier:
+            runs.append("")
+    return max(runs, key=len)
+
+
 def _probe(html: Column, low: Column, pattern: str, any_case: bool) -> Column:
-    """Substring tests for plain alternatives, a regular expression for the rest."""
-    literal, other = [], []
-    for part in [pattern] if "(" in pattern.replace(r"\(", "") else pattern.split("|"):
-        bare = part.replace("\\.", ".").replace("\\(", "(")
-        (other if re.search(r"[\\*?\[\]{}^$+]|\(\?", bare) else literal).append(bare if not re.search(r"[\\*?\[\]{}^$+]|\(\?", bare) else part)
-    tests = [F.contains(low if any_case else html, F.lit(x.lower() if any_case else x)) for x in literal]
-    if other:
-        tests.append(html.rlike(("(?i)" if any_case else "") + "|".join(other)))
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
+    """Substring tests for plain alternatives; a regular expression runs where the text that it needs is found."""
+    out = None
+    for part in _alternatives(pattern):
+        bare, needed = part.replace("\\.", ".").replace("\\(", "("), _required(part)
+        if not re.search(r"[\\*?\[\]{}^$+|]|\(\?", bare):
+            test = F.contains(low if any_case else html, F.lit(bare.lower() if any_case else bare))
+        elif re.fullmatch(re.escape(needed).replace(r"\ ", " ") + r"\(\?:[^()]*\)\?", part):  # what follows may be missing
+            test = F.contains(low if any_case else html, F.lit(needed))
+        else:
+            test = html.rlike(("(?i)" if any_case else "") + part)
+            test = F.contains(low, F.lit(needed)) & test if len(needed) > 1 else test
+        out = test if out is None else out | test
     return out
 
 
@@ -229,13 +259,19 @@ def _header_test(header: str, value: str):
 
 
 def detect(html: Column, headers: Column) -> Column:
-    """The sorted distinct technologies of a page: one array expression a row, no join of pages and signatures."""
-    low = F.lower(html)
+    """The sorted distinct technologies of a page: one array expression a row, no join of pages and signatures.
+
+    The page is lower-cased once, and nearly all signatures are looked for as plain text first.
+    """
+    return let(F.struct(html.alias("html"), F.lower(html).alias("low"), headers.alias("headers")), lambda page: _detect(page["html"], page["low"], page["headers"]))
+
+
+def _detect(html: Column, low: Column, headers: Column) -> Column:
     found = [F.when(_probe(html, low, p, True), name) for name, p in _table(ANY_CASE)]
     found += [F.when(_probe(html, low, p, False), name) for name, p in _table(AS_WRITTEN)]
-    found.append(F.when(html.rlike(r'(?i)<(?:div)[^>]*\sid="(?:root|app)"'), "React"))
-    found.append(F.when(html.rlike(r'(?i)<i[^>]*class="[^"]*fa-'), "Font Awesome"))
-    found.append(F.when(html.rlike(r'(?i)<meta[^>]*name="generator"[^>]*content="[^"]*wordpress'), "WordPress"))
+    found.append(F.when(F.contains(low, F.lit("<div")) & html.rlike(r'(?i)<(?:div)[^>]*\sid="(?:root|app)"'), "React"))
+    found.append(F.when(F.contains(low, F.lit("fa-")) & html.rlike(r'(?i)<i[^>]*class="[^"]*fa-'), "Font Awesome"))
+    found.append(F.when(F.contains(low, F.lit("wordpress")) & html.rlike(r'(?i)<meta[^>]*name="generator"[^>]*content="[^"]*wordpress'), "WordPress"))
     names = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v")))
     for name, rule in _table(HEADERS):
         header, _, value = rule.partition(":")

@@ -28,3 +28,22 @@ def test_counts_of_all_technologies(spark, tmp_path):
     expected = Counter(t for h in PAGES if h for t in plain(h))
     got = {r.technology: r.pages for r in slate.technology_counts(spark, str(tmp_path)).collect()}
     assert got == expected and {"jsDelivr", "Font Awesome", "WordPress", "Amazon CloudFront", "WooCommerce"} <= got.keys()
+
+
+def test_what_a_pattern_needs_is_in_what_it_finds():
+    for _, pattern in technologies._table(technologies.ANY_CASE) + technologies._table(technologies.AS_WRITTEN):
+        assert "|".join(technologies._alternatives(pattern)) == pattern
+    needs = {"adobe.*analytics": "analytics", r"jquery(?:[.-]\d+)?\.(?:min\.)?js": "jquery", r"\baem\b": "aem", "d3(?:\\.js)?": "d3", r"d3\.v[0-9]": "d3.v", "fbq\\(": "fbq(", "ab+c?d": "ab", "x(?:aaaa|b)y": "x"}
+    assert {p: technologies._required(p) for p in needs} == needs
+
+
+def test_detection_on_mixed_marks(spark):
+    import random
+
+    rng = random.Random(5)
+    marks = "React react-dom __react vue.js jquery-3.js jquery.min.js D3.v4 three.min TimelineLite adobe x analytics salesforce commerce ga.js analytics.js GA.js wp-content aem. AEM <i class='a fa-x'> <div id=\"app\"> <i class=\"fa fa-x\"> zendesk-chat facebook pixel fbq( Fbq( relay.js dy.js atg.commerce bing.com/uet \n".split(" ")
+    pages = [" ".join(rng.choice(marks) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    none = technologies.F.create_map().cast("map<string,string>")
+    for r in frame.select("i", technologies.detect(technologies.F.col("html"), none).alias("t")).collect():
+        assert set(r.t) == plain(pages[r.i]), pages[r.i]
