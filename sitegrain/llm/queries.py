@@ -19,42 +19,62 @@ def tokenizer_file() -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; null texts and texts without letters are ``und`` with score 0, rows without an id are
+    scored and teach nothing, rows that repeat give a row each, and empty tables none."""
     return language.predict_languages(_table(spark, sf_dir, "documents"))
 
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives it was written to; null html is an empty payload, null urls are empty,
+    rows that repeat an id give a record each, and empty tables no rows."""
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text, null and empty ones included; rows without an id are scored and teach nothing,
+    rows that repeat give a row each, an id with contrary labels counts as toxic, and empty tables give no rows."""
     return toxicity.predict_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text; null, empty and wordless texts have fingerprint 0 and are linked like any
+    other, null ids get the smallest id of their component, rows that repeat give a row each, empty tables none."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of every document; null texts have size 0, the null source is the last, rows that
+    repeat count each, and empty tables give no rows."""
     return mixing.taken_words(_table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of every group of equal texts; null texts count as empty, null ids come last, of rows that
+    share the largest id one stays, and empty tables give no rows."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text; null and empty texts have none, rows that repeat give a row each, empty tables
+    none."""
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text, how many of them stay, and the numbers of those that go; null and empty texts have none, rows
+    that repeat are rows of their own whose later lines go, and empty tables give no rows."""
     return line_dedup.deduplicated_lines(_table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text inside occurrences of benchmark windows; null texts have no words, items without an id are left
+    out of the list alone, rows that repeat give a row each, and either table may be empty."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text, read back from the files; null and empty texts have the end id alone, rows
+    without an id come first, rows that share one follow one another, and empty tables give no rows."""
     return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
