@@ -3,6 +3,10 @@
 Every stage takes what its predecessor kept, as written and read again: toxic documents go, one document of each
 SimHash component stays, contaminated documents go, the rest is mixed to the source weights (a document may come
 twice, and the one that the budget cuts in a source is shortened), and what was mixed is written as token files.
+
+Null and empty texts pass the three filters and are never mixed, so they are in no token file; rows that repeat id and
+text are one after the second stage; ids may be null or repeat; columns beside doc_id, text and source are carried along
+whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,22 +21,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row but those that score as toxic."""
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest id of every SimHash component; rows without an id come last."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row but those whose text is contaminated."""
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every turn that a document gets in the mix; rows without words get none."""
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the mix as token files and reads back a row for each of its rows."""
     return token_files.token_digest(docs, queries.tokenizer_file())
 
 
