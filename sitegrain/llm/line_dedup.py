@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_prefix, materialize
+from .common import bounded_batches, discard, free_prefix, materialize
 from .graph import connected_components
 
 SIMILARITY = 0.8
@@ -73,25 +73,31 @@ def normal_lines(text: str | None) -> list[str]:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
+    """The hashes with their bits spread, in place."""
+    other = np.empty_like(h)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        np.right_shift(h, np.uint64(shift), out=other)
+        np.bitwise_xor(h, other, out=h)
+        np.multiply(h, np.uint64(factor), out=h)
+    np.right_shift(h, np.uint64(32), out=other)
+    return np.bitwise_xor(h, other, out=h)
 
 
 def _windows(codes: np.ndarray, size: int) -> np.ndarray:
     """The hash of the ``size`` codes from every place on: windows of doubling size are joined."""
-    length, joined = 0, None
-    power, width = codes, 1
+
+    def join(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+        out = left * np.uint64(pow(_BASE, width, 1 << 64))
+        return np.add(out, right, out=out)
+
+    length, joined, power, width = 0, None, codes, 1
     while True:
         if size & width:
-            if joined is None:
-                joined, length = power, width
-            else:
-                joined = joined[: len(power) - length] * np.uint64(pow(_BASE, width, 1 << 64)) + power[length:]
-                length += width
+            joined = power if joined is None else join(joined[: len(power) - length], power[length:], width)
+            length += width
         if 2 * width > size:
-            return _mixed(joined)
-        power = power[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + power[width:]
+            return _mixed(joined.copy() if joined is codes else joined)
+        power = join(power[:-width], power[width:], width)
         width *= 2
 
 
@@ -283,14 +289,15 @@ def similar_lines(docs: DataFrame, uses: DataFrame, groups: DataFrame, similarit
     spark = docs.sparkSession
     banded = uses.filter(F.size("bands") > 0).select("k", F.explode("bands").alias("band"))
     shared = banded.repartition("band").groupBy("band").agg(F.min("k").alias("lead"), F.max("k").alias("_last")).filter("lead <> _last").drop("_last")
-    spokes = materialize(banded.join(materialize(shared, "shared-bands"), "band").select("lead", "k").distinct(), "spokes")
+    shared = materialize(shared, "shared-bands")
+    spokes = materialize(banded.join(shared, "band").select("lead", "k").distinct(), "spokes")
     sizes = materialize(spokes.groupBy("lead").agg(F.count(F.lit(1)).alias("n")), "sizes")
     wanted = materialize(spokes.select("k").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     ids = groups.select("k", "m", "id").join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
-    texts = _texts(docs, np.sort(np.array([r.k for r in wanted.collect()], np.int64)) if few else None)
-    texts = texts if few else texts.join(wanted, "k", "left_semi")
-    texts = materialize(texts.dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
+    lines = _texts(docs, np.sort(np.array([r.k for r in wanted.collect()], np.int64)) if few else None)
+    lines = lines if few else lines.join(wanted, "k", "left_semi")
+    texts = materialize(lines.dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
     bounded_batches(spark)
     chunks = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
     own = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), chunks).cast("int")
@@ -324,7 +331,10 @@ def similar_lines(docs: DataFrame, uses: DataFrame, groups: DataFrame, similarit
         if held[0]:
             yield close(len(held[0]))
 
-    return materialize(keyed.mapInArrow(run, "u long, v long").distinct(), "links")
+    found = materialize(keyed.mapInArrow(run, "u long, v long").distinct(), "links")
+    for table in (shared, spokes, sizes, wanted, texts):
+        discard(table)
+    return found
 
 
 def _parts(keys: list[int], texts: list[str]):
@@ -405,7 +415,7 @@ def _uses(docs: DataFrame) -> DataFrame:
             sizes[np.array(new, bool)] = (signed != 0).sum(axis=1)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(signed[signed != 0].view(np.int64)))
             blank = pa.array([n is None for n in numbers])
-            taken = batch.take(pa.array(rows, pa.int64()))
+            taken = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             nothing = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(numbers, pa.int32()), pa.compute.if_else(blank, nothing, _signed(k)), pa.compute.if_else(blank, nothing, _signed(m)), bands], ["row", "doc_id", "no", "k", "m", "bands"])
 
