@@ -75,6 +75,32 @@ FIELD_PATTERNS = {
     "search": "search|query|q$",
 }
 PAYMENT_FIELDS = ("cc_number", "cc_exp", "cc_exp_month", "cc_exp_year", "cc_cvv", "cc_name")
+#: Types of forms after payment forms, in order: fields that it must all have, and of which it must have one.
+FORM_RULES = (
+    ("signup", ("username", "password"), ("email", "first_name")),
+    ("login", ("username", "password"), ()),
+    ("address", ("address", "city", "state", "zip"), ()),
+    ("contact", ("email", "message"), ()),
+    ("signup", ("email",), ("first_name", "last_name")),
+    ("search", ("search",), ()),
+)
+#: Evidence of frameworks - weight, how it is looked for, what for - and the least sum that counts.
+FRAMEWORK_EVIDENCE = (
+    ("react", 0.4, "any", ("data-reactroot",)),
+    ("react", 0.3, "any", ("__NEXT_DATA__",)),
+    ("react", 0.2, "all, any case", ("react", "react-dom")),
+    ("react", 0.3, "any", ("_reactRootContainer",)),
+    ("vue", 0.4, "pattern", ("data-v-[a-f0-9]{8}",)),
+    ("vue", 0.3, "any", ("__VUE__", "__vue__")),
+    ("vue", 0.2, "any", ("v-cloak", "v-if", "v-for")),
+    ("vue", 0.3, "any", ("__NUXT__",)),
+    ("angular", 0.4, "any", ("ng-version",)),
+    ("angular", 0.3, "any", ("_nghost", "_ngcontent")),
+    ("angular", 0.2, "any", ("ng-app", "ng-controller")),
+    ("svelte", 0.3, "all, any case", ("svelte",)),
+    ("svelte", 0.4, "pattern", ('class="svelte-[a-z0-9]+"',)),
+)
+FRAMEWORK_LEAST = 0.3
 #: Shapes of generated attribute values.
 DYNAMIC_VALUES = (
     "^[a-zA-Z_-]+_[a-zA-Z0-9]{5,8}$",
@@ -139,18 +165,13 @@ def form_field(name: Column, id_: Column, placeholder: Column, label: Column, ki
 
 
 def form_type(fields: Column) -> Column:
-    """The type of a form from its field classes (an array)."""
-    has = lambda *names: F.size(F.array_intersect(fields, F.array(*[F.lit(n) for n in names]))) == len(names)
-    return (
-        F.when(F.arrays_overlap(fields, F.array(*[F.lit(n) for n in PAYMENT_FIELDS])), "payment")
-        .when(has("username", "password") & (has("email") | has("first_name")), "signup")
-        .when(has("username", "password"), "login")
-        .when(has("address", "city", "state", "zip"), "address")
-        .when(has("email", "message"), "contact")
-        .when(has("email") & (has("first_name") | has("last_name")), "signup")
-        .when(has("search"), "search")
-        .otherwise("unknown")
-    )
+    """The type of a form from its field classes (an array): the first rule that holds."""
+    names = lambda listed: F.array(*[F.lit(n) for n in listed])
+    out = F.when(F.arrays_overlap(fields, names(PAYMENT_FIELDS)), "payment")
+    for kind, every, one in FORM_RULES:
+        test = F.size(F.array_intersect(fields, names(every))) == len(every)
+        out = out.when(test & F.arrays_overlap(fields, names(one)) if one else test, kind)
+    return out.otherwise("unknown")
 
 
 def is_dynamic_value(value: Column) -> Column:
@@ -162,19 +183,20 @@ def is_dynamic_value(value: Column) -> Column:
 
 
 def framework(html: Column) -> Column:
-    """struct(framework, confidence): additive evidence, the best above 0.3, ties in a fixed order."""
-    low = F.lower(html)
-    has = lambda *words: F.when(_contains_any(html, words), 1).otherwise(0)
-    scores = {
-        "react": 0.4 * has("data-reactroot") + 0.3 * has("__NEXT_DATA__") + F.when(F.contains(low, F.lit("react")) & F.contains(low, F.lit("react-dom")), 0.2).otherwise(0.0) + 0.3 * has("_reactRootContainer"),
-        "vue": F.when(html.rlike("data-v-[a-f0-9]{8}"), 0.4).otherwise(0.0) + 0.3 * has("__VUE__", "__vue__") + 0.2 * has("v-cloak", "v-if", "v-for") + 0.3 * has("__NUXT__"),
-        "angular": 0.4 * has("ng-version") + 0.3 * has("_nghost", "_ngcontent") + 0.2 * has("ng-app", "ng-controller"),
-        "svelte": F.when(F.contains(low, F.lit("svelte")), 0.3).otherwise(0.0) + F.when(html.rlike('class="svelte-[a-z0-9]+"'), 0.4).otherwise(0.0),
-    }
+    """struct(framework, confidence): additive evidence, the best above the least, ties in the order of the table."""
+    low, none = F.lower(html), struct_of("unknown", F.lit(0.0))
+    tests = {"any": lambda w: _contains_any(html, w), "all, any case": lambda w: F.forall(F.array(*[F.lit(x) for x in w]), lambda x: F.contains(low, x)), "pattern": lambda w: html.rlike(w[0])}
+    scores: dict[str, Column] = {}
+    for name, weight, how, words in FRAMEWORK_EVIDENCE:
+        scores[name] = scores.get(name, F.lit(0.0)) + F.when(tests[how](words), float(weight)).otherwise(0.0)
     best, named = F.greatest(*scores.values()), None
     for name, score in scores.items():
         named = F.when(score == best, name) if named is None else named.when(score == best, name)
-    return F.when(best > 0.3, F.struct(named.alias("framework"), F.least(best, F.lit(1.0)).alias("confidence"))).otherwise(F.struct(F.lit("unknown").alias("framework"), F.lit(0.0).alias("confidence")))
+    return F.when(best > FRAMEWORK_LEAST, struct_of(named, F.least(best, F.lit(1.0)))).otherwise(none)
+
+
+def struct_of(name: Column | str, confidence: Column) -> Column:
+    return F.struct((F.lit(name) if isinstance(name, str) else name).alias("framework"), confidence.alias("confidence"))
 
 
 def is_retryable(error: Column, retries: Column, most: int = 3) -> Column:

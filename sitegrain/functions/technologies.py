@@ -10,170 +10,170 @@ from pyspark.sql import functions as F
 from .text import let
 
 #: Technology and the patterns that give it away in HTML, in any case.  Broad on purpose.
-ANY_CASE = r"""
-Cloudflare = cloudflare\.com|cdnjs\.cloudflare\.com|cf-ray
-Akamai = akamai\.net|akamaihd\.net|akamaized\.net
-Amazon CloudFront = cloudfront\.net
-Fastly = fastly\.net|fastlylb\.net
-jsDelivr = jsdelivr\.net
-unpkg = unpkg\.com
-StackPath = stackpath\.bootstrapcdn\.com
-KeyCDN = keycdn\.com
-BunnyCDN = bunnycdn\.com
-Google reCAPTCHA = recaptcha
-Font Awesome = font-awesome|fontawesome\.com
-WooCommerce = woocommerce
-Magento/Adobe Commerce = magento|mage\.js|mage/|varien/
-Salesforce Commerce Cloud = demandware|dwanalytics|dw\.ac|dw\.engine
-Salesforce B2C Commerce = salesforce.*commerce|sfcc|demandware
-commercetools = commercetools|ctp\.com
-SAP Commerce Cloud = hybris|/medias/_ui/|hac/platform
-Oracle ATG = atg\.commerce|oracle.*atg|dynamo
-Vtex = vtex\.com|vteximg\.com|vtexassets\.com
-Spryker = spryker|yves|zed\.
-Drupal = drupal|sites/default|sites/all
-Joomla = joomla
-Contentful = contentful\.com
-Strapi = strapi
-Ghost = ghost\.org|ghost\.io
-Sitecore = sitecore
-Adobe Experience Manager = aem\.|\baem\b|adobe.*experience
-React = react(?:\.js)?|react-dom|__react
-Vue.js = vue(?:\.js)?|vuejs|__vue
-Angular = angular(?:\.js)?|ng-app|ng-controller
-Svelte = svelte
-Next.js = next(?:\.js)?|_next/static|__NEXT_DATA__
-Nuxt.js = nuxt(?:\.js)?|__NUXT__
-Gatsby = gatsby|___gatsby
-Ember.js = ember(?:\.js)?
-jQuery = jquery(?:[.-]\d+)?\.(?:min\.)?js
-Lodash = lodash|underscore
-Moment.js = moment(?:\.js)?
-D3.js = d3(?:\.js)?|d3\.v[0-9]
-Three.js = three(?:\.js)?|three\.min
-Chart.js = chart(?:\.js)?
-GSAP = gsap|TweenMax|TimelineLite
-Swiper = swiper
-Slick = slick(?:-carousel)?
-Bootstrap = bootstrap(?:\.min)?\.css|bootstrap\.css
-Tailwind CSS = tailwind
-Foundation = foundation\.css|zurb
-Bulma = bulma
-Material-UI = material-ui|mui
-Hotjar = hotjar
-Mixpanel = mixpanel
-Amplitude = amplitude
-Heap = heap
-Matomo = matomo|piwik
-Adobe Analytics = adobe.*analytics|omniture|s_code\.js
-Coremetrics = coremetrics|cmcreate|eluminate
-Crazy Egg = crazyegg
-FullStory = fullstory
-LogRocket = logrocket
-Facebook Pixel = facebook.*pixel|fbevents\.js|fbq\(
-Taboola = taboola
-Outbrain = outbrain
-Criteo = criteo
-AdRoll = adroll
-HubSpot = hubspot|hs-analytics|_hsp
-Marketo = marketo|munchkin
-Pardot = pardot
-Mailchimp = mailchimp
-Klaviyo = klaviyo
-Eloqua = eloqua
-SendGrid = sendgrid
-Salesforce Marketing Cloud = salesforce.*marketing|exacttarget
-Algolia = algolia|algoliasearch
-Elasticsearch = elasticsearch|elastic\.co
-Apache Solr = solr|apache.*solr
-Swiftype = swiftype
-Coveo = coveo
-Searchspring = searchspring
-Constructor.io = constructor\.io
-Bloomreach = bloomreach|brxm
-Optimizely = optimizely
-VWO = vwo|visualwebsiteoptimizer
-Adobe Target = adobe.*target|mbox\.js
-Dynamic Yield = dynamic.*yield|dy\.js
-Monetate = monetate
-Nosto = nosto\.com|nostojs
-RichRelevance = richrelevance|r3_common
-Barilliance = barilliance
-Certona = certona
-Intercom = intercom|intercom\.io
-Drift = drift\.com|driftt\.com
-Zendesk Chat = zendesk.*chat|zopim
-LiveChat = livechat
-Olark = olark
-Tawk.to = tawk\.to
-Stripe = stripe|stripe\.com|js\.stripe\.com
-PayPal = paypal|paypalobjects\.com
-Square = square|squareup\.com
-Braintree = braintree|braintreegateway
-Adyen = adyen
-Klarna = klarna
-Afterpay = afterpay
-Affirm = affirm
-Wistia = wistia\.com|fast\.wistia
-Brightcove = brightcove
-JW Player = jwplayer|jwplatform
-GraphQL = graphql|/graphql|apollo-client|@apollo/client
-Apollo = apollo.*client|apollo.*server|apollographql
-Relay = relay\.js|react-relay
-"""
+ANY_CASE = {
+    "Cloudflare": r"cloudflare\.com|cdnjs\.cloudflare\.com|cf-ray",
+    "Akamai": r"akamai\.net|akamaihd\.net|akamaized\.net",
+    "Amazon CloudFront": r"cloudfront\.net",
+    "Fastly": r"fastly\.net|fastlylb\.net",
+    "jsDelivr": r"jsdelivr\.net",
+    "unpkg": r"unpkg\.com",
+    "StackPath": r"stackpath\.bootstrapcdn\.com",
+    "KeyCDN": r"keycdn\.com",
+    "BunnyCDN": r"bunnycdn\.com",
+    "Google reCAPTCHA": "recaptcha",
+    "Font Awesome": r"font-awesome|fontawesome\.com",
+    "WooCommerce": "woocommerce",
+    "Magento/Adobe Commerce": r"magento|mage\.js|mage/|varien/",
+    "Salesforce Commerce Cloud": r"demandware|dwanalytics|dw\.ac|dw\.engine",
+    "Salesforce B2C Commerce": "salesforce.*commerce|sfcc|demandware",
+    "commercetools": r"commercetools|ctp\.com",
+    "SAP Commerce Cloud": "hybris|/medias/_ui/|hac/platform",
+    "Oracle ATG": r"atg\.commerce|oracle.*atg|dynamo",
+    "Vtex": r"vtex\.com|vteximg\.com|vtexassets\.com",
+    "Spryker": r"spryker|yves|zed\.",
+    "Drupal": "drupal|sites/default|sites/all",
+    "Joomla": "joomla",
+    "Contentful": r"contentful\.com",
+    "Strapi": "strapi",
+    "Ghost": r"ghost\.org|ghost\.io",
+    "Sitecore": "sitecore",
+    "Adobe Experience Manager": r"aem\.|\baem\b|adobe.*experience",
+    "React": r"react(?:\.js)?|react-dom|__react",
+    "Vue.js": r"vue(?:\.js)?|vuejs|__vue",
+    "Angular": r"angular(?:\.js)?|ng-app|ng-controller",
+    "Svelte": "svelte",
+    "Next.js": r"next(?:\.js)?|_next/static|__NEXT_DATA__",
+    "Nuxt.js": r"nuxt(?:\.js)?|__NUXT__",
+    "Gatsby": "gatsby|___gatsby",
+    "Ember.js": r"ember(?:\.js)?",
+    "jQuery": r"jquery(?:[.-]\d+)?\.(?:min\.)?js",
+    "Lodash": "lodash|underscore",
+    "Moment.js": r"moment(?:\.js)?",
+    "D3.js": r"d3(?:\.js)?|d3\.v[0-9]",
+    "Three.js": r"three(?:\.js)?|three\.min",
+    "Chart.js": r"chart(?:\.js)?",
+    "GSAP": "gsap|TweenMax|TimelineLite",
+    "Swiper": "swiper",
+    "Slick": "slick(?:-carousel)?",
+    "Bootstrap": r"bootstrap(?:\.min)?\.css|bootstrap\.css",
+    "Tailwind CSS": "tailwind",
+    "Foundation": r"foundation\.css|zurb",
+    "Bulma": "bulma",
+    "Material-UI": "material-ui|mui",
+    "Hotjar": "hotjar",
+    "Mixpanel": "mixpanel",
+    "Amplitude": "amplitude",
+    "Heap": "heap",
+    "Matomo": "matomo|piwik",
+    "Adobe Analytics": r"adobe.*analytics|omniture|s_code\.js",
+    "Coremetrics": "coremetrics|cmcreate|eluminate",
+    "Crazy Egg": "crazyegg",
+    "FullStory": "fullstory",
+    "LogRocket": "logrocket",
+    "Facebook Pixel": r"facebook.*pixel|fbevents\.js|fbq\(",
+    "Taboola": "taboola",
+    "Outbrain": "outbrain",
+    "Criteo": "criteo",
+    "AdRoll": "adroll",
+    "HubSpot": "hubspot|hs-analytics|_hsp",
+    "Marketo": "marketo|munchkin",
+    "Pardot": "pardot",
+    "Mailchimp": "mailchimp",
+    "Klaviyo": "klaviyo",
+    "Eloqua": "eloqua",
+    "SendGrid": "sendgrid",
+    "Salesforce Marketing Cloud": "salesforce.*marketing|exacttarget",
+    "Algolia": "algolia|algoliasearch",
+    "Elasticsearch": r"elasticsearch|elastic\.co",
+    "Apache Solr": "solr|apache.*solr",
+    "Swiftype": "swiftype",
+    "Coveo": "coveo",
+    "Searchspring": "searchspring",
+    "Constructor.io": r"constructor\.io",
+    "Bloomreach": "bloomreach|brxm",
+    "Optimizely": "optimizely",
+    "VWO": "vwo|visualwebsiteoptimizer",
+    "Adobe Target": r"adobe.*target|mbox\.js",
+    "Dynamic Yield": r"dynamic.*yield|dy\.js",
+    "Monetate": "monetate",
+    "Nosto": r"nosto\.com|nostojs",
+    "RichRelevance": "richrelevance|r3_common",
+    "Barilliance": "barilliance",
+    "Certona": "certona",
+    "Intercom": r"intercom|intercom\.io",
+    "Drift": r"drift\.com|driftt\.com",
+    "Zendesk Chat": "zendesk.*chat|zopim",
+    "LiveChat": "livechat",
+    "Olark": "olark",
+    "Tawk.to": r"tawk\.to",
+    "Stripe": r"stripe|stripe\.com|js\.stripe\.com",
+    "PayPal": r"paypal|paypalobjects\.com",
+    "Square": r"square|squareup\.com",
+    "Braintree": "braintree|braintreegateway",
+    "Adyen": "adyen",
+    "Klarna": "klarna",
+    "Afterpay": "afterpay",
+    "Affirm": "affirm",
+    "Wistia": r"wistia\.com|fast\.wistia",
+    "Brightcove": "brightcove",
+    "JW Player": "jwplayer|jwplatform",
+    "GraphQL": "graphql|/graphql|apollo-client|@apollo/client",
+    "Apollo": "apollo.*client|apollo.*server|apollographql",
+    "Relay": r"relay\.js|react-relay",
+}
 #: The same, as written.
-AS_WRITTEN = r"""
-Google Font API = fonts\.googleapis\.com
-Google Analytics = google-analytics\.com|ga\.js|analytics\.js
-Google Tag Manager = googletagmanager\.com|gtm\.js
-Google AdSense = googlesyndication\.com|adsbygoogle
-Google DoubleClick = doubleclick\.net|googleadservices\.com
-Google Ads = googleadservices\.com|google\.com/ads
-Google Maps = maps\.googleapis\.com|maps\.google\.com
-Google Optimize = optimize\.google\.com
-Adobe Fonts = fonts\.adobe\.com|typekit
-Shopify = shopify\.com|cdn\.shopify\.com|myshopify\.com
-BigCommerce = bigcommerce\.com
-WordPress = wp-content|wp-includes|/wp-json/
-Segment = segment\.com|analytics\.js
-LinkedIn Insight Tag = linkedin\.com/in/px/|_linkedin_partner_id
-Bing Ads = bing\.com/uet|bat\.bing\.com
-YouTube = youtube\.com|youtu\.be|youtube-nocookie\.com
-Vimeo = vimeo\.com|player\.vimeo
-"""
+AS_WRITTEN = {
+    "Google Font API": r"fonts\.googleapis\.com",
+    "Google Analytics": r"google-analytics\.com|ga\.js|analytics\.js",
+    "Google Tag Manager": r"googletagmanager\.com|gtm\.js",
+    "Google AdSense": r"googlesyndication\.com|adsbygoogle",
+    "Google DoubleClick": r"doubleclick\.net|googleadservices\.com",
+    "Google Ads": r"googleadservices\.com|google\.com/ads",
+    "Google Maps": r"maps\.googleapis\.com|maps\.google\.com",
+    "Google Optimize": r"optimize\.google\.com",
+    "Adobe Fonts": r"fonts\.adobe\.com|typekit",
+    "Shopify": r"shopify\.com|cdn\.shopify\.com|myshopify\.com",
+    "BigCommerce": r"bigcommerce\.com",
+    "WordPress": "wp-content|wp-includes|/wp-json/",
+    "Segment": r"segment\.com|analytics\.js",
+    "LinkedIn Insight Tag": r"linkedin\.com/in/px/|_linkedin_partner_id",
+    "Bing Ads": r"bing\.com/uet|bat\.bing\.com",
+    "YouTube": r"youtube\.com|youtu\.be|youtube-nocookie\.com",
+    "Vimeo": r"vimeo\.com|player\.vimeo",
+}
 #: Technology, header and what its value holds ("" for anything); a header ending in * is a prefix.
-HEADERS = """
-Nginx = server: nginx
-Apache = server: apache
-Cloudflare = server: cloudflare
-Microsoft IIS = server: iis
-LiteSpeed = server: litespeed
-OpenResty = server: openresty
-Caddy = server: caddy
-Cloudflare = cf-ray:
-Amazon CloudFront = x-amz-cf-id:
-Fastly = x-served-by: fastly
-Akamai = x-akamai-transformed:
-Varnish = x-varnish:
-Nginx Cache = x-proxy-cache: nginx
-PHP = x-powered-by: php
-ASP.NET = x-powered-by: asp.net
-Express.js = x-powered-by: express
-Next.js = x-powered-by: next.js
-Sucuri = x-sucuri-id:
-Imperva = x-imperva-cache:
-PerimeterX = x-perimeterx:
-Distil Networks = x-distil:
-DataDome = x-datadome:
-Shopify = x-shopify-stage:
-Webflow = x-wf-*:
-Next.js = x-nextjs:
-Vercel = x-vercel-*:
-Netlify = x-netlify*:
-AWS = x-aws-*:
-Azure = x-azure-*:
-Google Cloud = x-goog-*:
-"""
+HEADERS = (
+    ("Nginx", "server", "nginx"),
+    ("Apache", "server", "apache"),
+    ("Cloudflare", "server", "cloudflare"),
+    ("Microsoft IIS", "server", "iis"),
+    ("LiteSpeed", "server", "litespeed"),
+    ("OpenResty", "server", "openresty"),
+    ("Caddy", "server", "caddy"),
+    ("Cloudflare", "cf-ray", ""),
+    ("Amazon CloudFront", "x-amz-cf-id", ""),
+    ("Fastly", "x-served-by", "fastly"),
+    ("Akamai", "x-akamai-transformed", ""),
+    ("Varnish", "x-varnish", ""),
+    ("Nginx Cache", "x-proxy-cache", "nginx"),
+    ("PHP", "x-powered-by", "php"),
+    ("ASP.NET", "x-powered-by", "asp.net"),
+    ("Express.js", "x-powered-by", "express"),
+    ("Next.js", "x-powered-by", "next.js"),
+    ("Sucuri", "x-sucuri-id", ""),
+    ("Imperva", "x-imperva-cache", ""),
+    ("PerimeterX", "x-perimeterx", ""),
+    ("Distil Networks", "x-distil", ""),
+    ("DataDome", "x-datadome", ""),
+    ("Shopify", "x-shopify-stage", ""),
+    ("Webflow", "x-wf-*", ""),
+    ("Next.js", "x-nextjs", ""),
+    ("Vercel", "x-vercel-*", ""),
+    ("Netlify", "x-netlify*", ""),
+    ("AWS", "x-aws-*", ""),
+    ("Azure", "x-azure-*", ""),
+    ("Google Cloud", "x-goog-*", ""),
+)
 #: Categories in the order of their precedence; what is in none is Other.
 CATEGORIES = {
     "CMS": "WordPress, Drupal, Joomla, Wix, Squarespace, Webflow, Contentful, Strapi, Ghost, Sitecore, Adobe Experience Manager",
@@ -203,10 +203,6 @@ CATEGORIES = {
 }
 
 
-def _table(text: str) -> list[tuple[str, str]]:
-    return [tuple(line.split(" = ", 1)) for line in text.strip().splitlines()]
-
-
 def _alternatives(pattern: str) -> list[str]:
     """The alternatives of a pattern outside its groups."""
     parts, depth = [""], 0
@@ -267,15 +263,14 @@ def detect(html: Column, headers: Column) -> Column:
 
 
 def _detect(html: Column, low: Column, headers: Column) -> Column:
-    found = [F.when(_probe(html, low, p, True), name) for name, p in _table(ANY_CASE)]
-    found += [F.when(_probe(html, low, p, False), name) for name, p in _table(AS_WRITTEN)]
+    found = [F.when(_probe(html, low, p, True), name) for name, p in ANY_CASE.items()]
+    found += [F.when(_probe(html, low, p, False), name) for name, p in AS_WRITTEN.items()]
     found.append(F.when(F.contains(low, F.lit("<div")) & html.rlike(r'(?i)<(?:div)[^>]*\sid="(?:root|app)"'), "React"))
     found.append(F.when(F.contains(low, F.lit("fa-")) & html.rlike(r'(?i)<i[^>]*class="[^"]*fa-'), "Font Awesome"))
     found.append(F.when(F.contains(low, F.lit("wordpress")) & html.rlike(r'(?i)<meta[^>]*name="generator"[^>]*content="[^"]*wordpress'), "WordPress"))
     names = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v")))
-    for name, rule in _table(HEADERS):
-        header, _, value = rule.partition(":")
-        found.append(F.when(F.coalesce(F.exists(names, _header_test(header, value.strip())), F.lit(False)), name))
+    for name, header, value in HEADERS:
+        found.append(F.when(F.coalesce(F.exists(names, _header_test(header, value)), F.lit(False)), name))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
 

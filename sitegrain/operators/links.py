@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.shared import written
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def orphan_pages(pages: DataFrame) -> DataFrame:
 
 
 def undiscovered(pages: DataFrame, limit: int | None = 10) -> DataFrame:
-    """(url) of link targets that were never crawled, in URL order; only a report's first ``limit`` unless None."""
-    found = link_edges(pages).select(F.col("dst").alias("url")).distinct().join(pages.select("url"), "url", "left_anti").orderBy("url")
-    return found if limit is None else found.limit(limit)
+    """(url) of link targets that were never crawled; only a report's first ``limit`` in URL order unless None."""
+    found = link_edges(pages).select(F.col("dst").alias("url")).distinct().join(pages.select("url"), "url", "left_anti")
+    return found if limit is None else found.orderBy("url").limit(limit)
 
 
 def link_counts(pages: DataFrame) -> DataFrame:
@@ -64,17 +65,13 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataF
     steps = edges.select("src", "dst").distinct()
     for level in range(1, max_depth + 1):
         fresh = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-        fresh = fresh.checkpoint() if _has_checkpoints(edges) else fresh.persist()
+        fresh = written(fresh, "frontier")  # lineage stays one level long
         if not fresh.limit(1).count():
             break
         seen, frontier = seen.unionByName(fresh), fresh
     return seen
 
 
-def _has_checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def merge_seeds(crawled: DataFrame, seeds: DataFrame) -> DataFrame:
     """(url, level): crawled URLs and the seeds of the same hosts that are not among them, at level 1."""
     hosts = crawled.select(urls.netloc(F.col("url")).alias("h")).distinct()

@@ -145,9 +145,9 @@ def best_selector(stored: DataFrame, generated: DataFrame) -> DataFrame:
 
 def missing_capabilities(capabilities: DataFrame) -> DataFrame:
     """(engine, missing): what others of the chosen engines can do and it cannot; engines without gaps are left out."""
-    every = capabilities.select(F.collect_set("capability").over(Window.partitionBy()).alias("_all"), "engine", "capability")
-    own = every.groupBy("engine").agg(F.collect_set("capability").alias("_own"), F.first("_all").alias("_all"))
-    return own.select("engine", F.array_sort(F.array_except("_all", "_own")).alias("missing")).filter(F.size("missing") > 0)
+    known = capabilities.agg(F.collect_set("capability").alias("_all")).withColumn("_k", F.lit(1))
+    own = capabilities.groupBy("engine").agg(F.collect_set("capability").alias("_own")).withColumn("_k", F.lit(1))
+    return own.join(F.broadcast(known), "_k").select("engine", F.array_sort(F.array_except("_all", "_own")).alias("missing")).filter(F.size("missing") > 0)
 
 
 def engine_discrepancies(results: DataFrame) -> DataFrame:

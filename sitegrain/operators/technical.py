@@ -109,7 +109,7 @@ def prioritised(issues: DataFrame) -> DataFrame:
 
 
 def page_flags(t: Thresholds = DEFAULTS) -> Column:
-    """The twelve flags of a page matrix row.  Security asks for https and three known headers."""
+    """The eleven flags of a page matrix row.  Security asks for https and three known headers."""
     return F.array_compact(
         F.array(
             F.when(blank(F.col("title")), "title"),

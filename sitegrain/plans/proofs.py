@@ -6,9 +6,6 @@ of an operator is met and the oracle needs no HTML, JSON or headers.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from ..functions import classify, scores, technologies, urls, vitals
 from ..functions import text as tx
 from ..operators import advice, api, captures, evidence, links, measurements, reports, requests, selectors, site, statistics, technical
 from ..sources import archives, lighthouse, lists, site_files
+from ..sources.shared import scratch_path
 from .furnished import FACTS, OG, TWITTER, furnished
 from .slate import _PATH, _query, _r, _sql_r, _table
 
@@ -962,20 +960,10 @@ def lighthouse_screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- archives, profiles, dates -------------------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; a temporary one in local mode without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="sitegrain-")
-    return f"{base.rstrip('/')}/sitegrain-plans/{name}-{uuid.uuid4().hex}"
-
-
 @_query(f"WITH {_F} SELECT 'example.com' AS domain, crawl_ts, count(*) AS pages, CAST(sum(length(title)) AS BIGINT) AS titles FROM f, (VALUES ('2026-01-01'), ('2026-02-01')) v(crawl_ts) WHERE crawl_ts = '2026-01-01' OR url LIKE 'https://%' GROUP BY crawl_ts")
 def crawl_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two crawls written to an archive and read back, the later one of https pages only."""
-    pages, path = furnished(spark, sf_dir), _scratch(spark, "archive")
+    pages, path = furnished(spark, sf_dir), scratch_path(spark, "archive")
     archives.write_crawl(pages, path, "example.com", "2026-01-01")
     archives.write_crawl(pages.filter(urls.is_https(F.col("url"))), path, "example.com", "2026-02-01")
     back = archives.read_crawls(spark, path)
@@ -987,7 +975,7 @@ def crawl_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_F} SELECT url, title FROM f WHERE url LIKE 'https://%'")
 def latest_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of the newest crawl of an archive."""
-    pages, path = furnished(spark, sf_dir), _scratch(spark, "archive")
+    pages, path = furnished(spark, sf_dir), scratch_path(spark, "archive")
     archives.write_crawl(pages, path, "example.com", "2026-01-01")
     archives.write_crawl(pages.filter(urls.is_https(F.col("url"))), path, "example.com", "2026-02-01")
     return archives.latest(archives.read_crawls(spark, path)).select("url", "title")
@@ -996,7 +984,7 @@ def latest_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_F} SELECT url, title, CAST(n_h2 AS BIGINT) AS h2 FROM f")
 def pages_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page table written as JSON and read back."""
-    path = _scratch(spark, "json")
+    path = scratch_path(spark, "json")
     furnished(spark, sf_dir).drop("content_text").write.json(path)
     rows = spark.read.schema(schema.PAGE).json(path)
     return archives.last_by_url(rows).select("url", "title", F.size("h2_tags").cast("long").alias("h2"))
@@ -1005,7 +993,7 @@ def pages_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT 'd' || c_nationkey AS domain, CAST(to_timestamp(c_custkey * 86400) AT TIME ZONE 'UTC' AS TIMESTAMP) AS crawl_date, CAST(round(c_acctbal) AS DOUBLE) AS technical_score FROM customer WHERE c_nationkey = 3")
 def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots saved to a table, and the history of one domain read from it; customers stand for snapshots."""
-    path = _scratch(spark, "snapshots")
+    path = scratch_path(spark, "snapshots")
     rows = _built(spark, sf_dir, "customer", "SELECT 'd' || c_nationkey AS domain, CAST(timestamp_seconds(c_custkey * 86400) AS TIMESTAMP_NTZ) AS crawl_date, round(c_acctbal) AS technical_score FROM {customer}")
     archives.save_snapshots(rows, path)
     return archives.history(archives.read_snapshots(spark, path), "d3").select("domain", "crawl_date", "technical_score")

@@ -16,6 +16,7 @@ from ..functions import classify, scores, technologies, urls, vitals
 from ..functions import text as tx
 from ..operators import advice, content, evidence, links, measurements, requests, selectors, site, statistics, technical
 from ..sources import html, site_files
+from ..sources.shared import written
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -40,8 +41,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page table without page texts, kept for queries that read it in several branches."""
-    return _pages(spark, sf_dir).drop("content_text").persist()
+    """The page table without page texts, written once for queries that read it in several branches."""
+    return written(_pages(spark, sf_dir).drop("content_text"), "pages")
 
 
 def _r(value: Column | str, digits: int = 4) -> Column:

@@ -15,8 +15,8 @@ PAGES = [
 
 
 def plain(html):
-    found = {n for n, p in technologies._table(technologies.ANY_CASE) if re.search(p, html, re.I)}
-    found |= {n for n, p in technologies._table(technologies.AS_WRITTEN) if re.search(p, html)}
+    found = {n for n, p in technologies.ANY_CASE.items() if re.search(p, html, re.I)}
+    found |= {n for n, p in technologies.AS_WRITTEN.items() if re.search(p, html)}
     for name, p in (("React", r'<(?:div)[^>]*\sid="(?:root|app)"'), ("Font Awesome", r'<i[^>]*class="[^"]*fa-'), ("WordPress", r'<meta[^>]*name="generator"[^>]*content="[^"]*wordpress')):
         if re.search(p, html, re.I):
             found.add(name)
@@ -31,7 +31,7 @@ def test_counts_of_all_technologies(spark, tmp_path):
 
 
 def test_what_a_pattern_needs_is_in_what_it_finds():
-    for _, pattern in technologies._table(technologies.ANY_CASE) + technologies._table(technologies.AS_WRITTEN):
+    for _, pattern in [*technologies.ANY_CASE.items(), *technologies.AS_WRITTEN.items()]:
         assert "|".join(technologies._alternatives(pattern)) == pattern
     needs = {"adobe.*analytics": "analytics", r"jquery(?:[.-]\d+)?\.(?:min\.)?js": "jquery", r"\baem\b": "aem", "d3(?:\\.js)?": "d3", r"d3\.v[0-9]": "d3.v", "fbq\\(": "fbq(", "ab+c?d": "ab", "x(?:aaaa|b)y": "x"}
     assert {p: technologies._required(p) for p in needs} == needs
