@@ -43,7 +43,7 @@ THRESHOLD = 0.3
 #: Labelled rows that are learned from, at most about.
 SAMPLE = 20_000
 #: A stem: its length, the fewest toxic uses and distinct words, the largest share of clean uses.
-STEM_LENGTHS, STEM_USES, STEM_WORDS, STEM_CLEAN = (4, 5, 6), 5, 3, 0.01
+STEM_LENGTHS, STEM_USES, STEM_WORDS, STEM_CLEAN = (4, 5, 6, 7, 8), 5, 3, 0.1
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -181,7 +181,7 @@ class Grammar:
 
 
 def _learn_stems(rows: DataFrame) -> list[str]:
-    """Prefixes that documents marked toxic share in several words and clean ones do not have."""
+    """Prefixes that documents marked toxic share in several words and clean ones hardly have; the shortest that do."""
     seeds = Grammar()
 
     def count(batches):
