@@ -62,7 +62,7 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataF
     """
     seen = roots.select("node").distinct().withColumn("level", F.lit(0))
     frontier = seen
-    steps = edges.select("src", "dst").distinct()
+    steps = written(edges.select("src", "dst").distinct(), "steps")
     for level in range(1, max_depth + 1):
         fresh = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
         fresh = written(fresh, "frontier")  # lineage stays one level long
