@@ -14,7 +14,8 @@ from ..functions import classify, scores, technologies, urls, vitals
 from ..functions import text as tx
 from ..operators import advice, api, captures, evidence, links, measurements, reports, requests, selectors, site, statistics, technical
 from ..sources import archives, lighthouse, lists, site_files
-from ..sources.shared import scratch_path
+from ..sources.shared import scratch_path, written
+from ..thresholds import Thresholds
 from .furnished import FACTS, OG, TWITTER, furnished
 from .slate import _PATH, _query, _r, _sql_r, _table
 
@@ -1065,3 +1066,79 @@ def interface_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The description of an endpoint without bodies; customers stand for calls."""
     found = _table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("calls")).select(F.lit("/c/x").alias("path"), F.lit("GET").alias("method"), F.lit("c").alias("tag"), "calls", F.array().cast("array<string>").alias("bodies"))
     return api.interface_description(found)
+
+
+# -- thresholds, versions, health ----------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_F} SELECT count(*) FILTER (WHERE title <> '' AND length(title) < 10) AS short_titles, count(*) FILTER (WHERE length(title) > 45) AS long_titles, count(*) FILTER (WHERE load_time > 1) AS slow_pages, count(*) FILTER (WHERE {_WORDS} < 200) AS thin_pages FROM f")
+def threshold_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technical checks under thresholds set from the environment; a bad value leaves its default."""
+    set_ = Thresholds.from_env({"SEO_THRESHOLD_TITLE_MIN": "10", "SEO_THRESHOLD_TITLE_MAX": "45", "SEO_THRESHOLD_SLOW_SECONDS": "1", "SEO_THRESHOLD_THIN_WORDS": "200", "SEO_THRESHOLD_DESCRIPTION_MIN": "many"})
+    issues = technical.issue_rows(furnished(spark, sf_dir), set_)
+    n = lambda kind: F.count_if(F.col("issue_type") == kind)
+    return issues.agg(n("short_title").alias("short_titles"), n("long_title").alias("long_titles"), n("slow_page").alias("slow_pages"), n("thin_content").alias("thin_pages"))
+
+
+@_query("SELECT event_id, CASE WHEN event_type LIKE 'c%' THEN 'begins with c' WHEN regexp_matches(event_type, 'r$') THEN 'ends with r' ELSE 'Other' END AS kind FROM events")
+def own_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console lines by a pattern set of one's own."""
+    return _table(spark, sf_dir, "events").select("event_id", classify.console_error(F.col("event_type"), {"begins with c": "^C", "ends with r": "R$"}).alias("kind"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size || '.1.20' WHEN 1 THEN '3.' || p_size || '.0' END AS version FROM part")
+def script_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.expr("CASE p_partkey % 3 WHEN 0 THEN '/lib-' || p_size || '.1.20.min.js' WHEN 1 THEN 'https://x/jquery/3.' || p_size || '.0/j.js?v=9.9.9' ELSE '/app.js?v=1.2' END")
+    return _table(spark, sf_dir, "part").select("p_partkey", technologies.version(source).alias("version"))
+
+
+@_query("SELECT 'unused-javascript' AS id, count(*) AS pages, CAST(sum(page_id % 700) AS DOUBLE) AS savings_ms, CAST(sum(page_id % 1000) AS BIGINT) AS savings_bytes, CAST(count(*) * 2 AS BIGINT) AS items FROM pages HAVING count(*) > 0")
+def lighthouse_opportunity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statistics.opportunity_rollup(lighthouse.opportunities(_reports(spark, sf_dir)))
+    return found.select("id", "pages", "savings_ms", "savings_bytes", F.col("items").cast("long").alias("items"))
+
+
+@_query(f"""WITH {_F} SELECT url, {' || '.join(f"'{n}=' || CASE WHEN {v} IS NULL THEN 'unknown' WHEN {v} <= {a} THEN 'good' WHEN {v} <= {b} THEN 'needs-improvement' ELSE 'poor' END || ' '" for n, v, a, b in (('lcp', '(performance * 60)', 2500, 4000), ('fcp', '(performance * 40)', 1800, 3000), ('tbt', '(performance * 9)', 200, 600), ('si', '(performance * 70)', 3400, 5800), ('tti', '(performance * 90)', 3800, 7300)))} AS status FROM f""")
+def lab_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of every laboratory metric, from multiples of a score."""
+    score = F.col("lighthouse_performance")
+    parts = [x for name, k in (("lcp", 60), ("fcp", 40), ("tbt", 9), ("si", 70), ("tti", 90)) for x in (F.lit(f"{name}="), vitals.lab_status(name, score * k), F.lit(" "))]
+    return furnished(spark, sf_dir).select("url", F.concat(*parts).alias("status"))
+
+
+_PROXY = "SELECT 'p' || user_id AS proxy, event_id AS seq, event_id % 7 < 4 AS success, event_id % 29 = 6 AS blocked FROM {events}"
+
+
+@_query(f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY proxy ORDER BY seq) AS n FROM ({_PROXY.replace('{events}', 'events')})),
+f(proxy, seq, n, good, streak, blocks, health) AS (SELECT proxy, seq, n, CAST(success AS INT), CASE WHEN success THEN 0 ELSE 1 END, CASE WHEN NOT success AND blocked THEN 1 ELSE 0 END, 'healthy' FROM l WHERE n = 1
+UNION ALL SELECT l.proxy, l.seq, l.n, f.good + CAST(l.success AS INT), CASE WHEN l.success THEN 0 ELSE f.streak + 1 END, f.blocks + CASE WHEN NOT l.success AND l.blocked THEN 1 ELSE 0 END,
+  CASE WHEN l.success THEN CASE WHEN f.health = 'degraded' AND (f.good + 1.0) / l.n > 0.9 THEN 'healthy' ELSE f.health END
+  WHEN f.blocks + CASE WHEN l.blocked THEN 1 ELSE 0 END >= 3 THEN 'retired' WHEN f.streak + 1 >= 5 THEN 'unhealthy' WHEN f.streak + 1 >= 2 THEN 'degraded' ELSE f.health END FROM f JOIN l ON l.proxy = f.proxy AND l.n = f.n + 1)
+SELECT proxy, seq, health FROM f""")
+def proxy_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health of every proxy after each use; users stand for proxies, events for uses."""
+    return requests.proxy_health(_built(spark, sf_dir, "events", _PROXY)).select("proxy", "seq", "health")
+
+
+@_query(f"""WITH {_F}, {_ISSUES}, r AS (SELECT split_part(x, ':', 1) AS issue_type, i.url, row_number() OVER (PARTITION BY split_part(x, ':', 1) ORDER BY page_id, i.url) AS rank FROM i JOIN f ON f.url = i.url)
+SELECT issue_type, CAST(rank AS INTEGER) AS rank, url FROM r WHERE rank <= 5""")
+def furnished_issue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five pages of every issue in crawl order, as a text report shows them."""
+    return technical.issue_samples(technical.issue_rows(furnished(spark, sf_dir))).select("issue_type", "rank", "url")
+
+
+@_query(f"""WITH {_F}, {_ISSUES}, s AS (SELECT split_part(x, ':', 1) AS k, count(*) AS pages, count(*) FILTER (WHERE x LIKE '%:critical') AS critical FROM i GROUP BY k)
+SELECT k || ': ' || pages || ' pages, ' || critical || ' critical' AS line FROM s""")
+def issue_report_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head line of every issue in the text report."""
+    text = reports.issue_report(technical.issue_rows(written(furnished(spark, sf_dir).drop("content_text"), "pages")))
+    heads = [(line,) for line in text.split("\n") if line and not line.startswith(" ")]
+    return spark.createDataFrame(heads, "line string")
+
+
+@_query(f"WITH {_F} SELECT 'crawl of x' AS line UNION ALL SELECT 'pages: ' || count(*) FROM f UNION ALL SELECT 'images: ' || format('{{:,}}', CAST(sum(n_images) AS BIGINT)) FROM f UNION ALL SELECT 'without_description: ' || count(*) FROM f WHERE description = ''")
+def crawl_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines of the text summary of a crawl."""
+    lines = reports.crawl_report(site.crawl_summary(furnished(spark, sf_dir)), "x").split("\n")
+    kept = [(x,) for x in lines if x.startswith(("crawl of", "pages", "images", "without_description"))]
+    return spark.createDataFrame(kept, "line string")
