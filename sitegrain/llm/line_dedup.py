@@ -203,18 +203,27 @@ def _sign_distinct(line: str) -> np.ndarray:
 
 def _sign_one(line: str) -> np.ndarray:
     """The bands of a line of more than SLICE characters, hashed a part at a time."""
+
+    def parts(size):
+        for k in range(0, len(line) - size + 1, SLICE):
+            yield shingles([line[k : k + SLICE + size - 1]], size)[0]
+
+    def least(limit):
+        minima = np.full((1, BINS), _NONE, np.uint64)
+        for h in parts(LONG_SHINGLE):
+            low = h[(h >> np.uint64(32)) < limit]
+            minima = np.minimum(minima, _long_minima(low, np.zeros(len(low), np.int64), 1))
+        return minima
+
     out = np.zeros(2 * BANDS, np.uint64)
-    limit = np.uint64(KEPT * BINS * 2.0**32 / (len(line) - LONG_SHINGLE + 1))
-    minima = np.full((1, BINS), _NONE, np.uint64)
-    distinct = np.empty(0, np.uint64)
-    for k in range(0, len(line) - LONG_SHINGLE + 1, SLICE):
-        h = shingles([line[k : k + SLICE + LONG_SHINGLE - 1]], LONG_SHINGLE)[0]
-        low = h[(h >> np.uint64(32)) < limit]
-        minima = np.minimum(minima, _long_minima(low, np.zeros(len(low), np.int64), 1))
+    minima = least(np.uint64(min(KEPT * BINS * 2.0**32 / (len(line) - LONG_SHINGLE + 1), 2.0**32)))
+    if (minima == _NONE).sum() > EMPTY_BINS:
+        minima, distinct = least(np.uint64(1 << 32)), np.empty(0, np.uint64)
+        for h in parts(SHORT_SHINGLE):
+            if len(distinct) <= SHORT_MOST:
+                distinct = np.unique(np.concatenate((distinct, h)))
         if len(distinct) <= SHORT_MOST:
-            distinct = np.unique(np.concatenate((distinct, np.unique(h))))
-    if (minima == _NONE).sum() > EMPTY_BINS and len(distinct) <= SHORT_MOST:
-        return _sign_distinct(line[: SLICE // 2])  # what repeats within so few shingles is in any such part
+            out[:BANDS] = _bands(_short_minima(distinct, np.array([len(distinct)])), False)[0]
     out[BANDS:] = _bands(minima, True)[0]
     return out
 
