@@ -304,7 +304,7 @@ def similar_lines(docs: DataFrame, uses: DataFrame, groups: DataFrame, similarit
     wanted = materialize(spokes.select("k").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     ids = groups.select("k", "m", "id").join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
-    lines = _texts(docs, np.sort(np.array([r.k for r in wanted.collect()], np.int64)) if few else None)
+    lines = _texts(docs, np.sort(wanted.toArrow().column("k").to_numpy()) if few else None)
     lines = lines if few else lines.join(wanted, "k", "left_semi")
     texts = materialize(lines.dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
     bounded_batches(spark)
