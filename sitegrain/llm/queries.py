@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, line_dedup, mixing, pii, simhash, token_files, toxicity, warc
+from . import decontaminate, exact_dedup, language, line_dedup, merkle, mixing, pii, replay, simhash, token_files, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every row, and the root that its tampered text gives; null fields are dashes, null ids come
+    first and are not tampered with, rows that repeat are leaves each, and empty tables give no rows."""
+    proofs = merkle.manifest(_table(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after every epoch of the log, and every undone change; rows without an id have no place in the log, null
+    sources are a stream, null texts delete, rows that repeat are replayed each, and empty tables give no rows."""
+    return replay.reassemble(replay.log_records(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for every fiftieth; null vectors and those with null or non-finite components
+    take no part, rows that repeat are vectors of their own, and empty tables give no rows."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def warc_salvage_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the salvage reader recovers from damaged archives of the whole ``pages`` table."""
     return warc.salvage_damaged(_table(spark, sf_dir, "pages"))
@@ -96,11 +116,111 @@ QUERIES = {
         op8_line_dedup,
         op9_decontamination,
         op10_token_files,
+        op11_merkle_manifest,
+        op12_log_reassembly,
+        op13_exact_top_k,
         warc_salvage_damaged,
     )
 }
 
+#: CRC-32 in SQL: ``crc`` holds the table of the polynomial, and a digest is a fold of a text's bytes over it.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc32(text: str) -> str:
+    return f"xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: CAST('0x' || p AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(text: str) -> str:
+    parts = (f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
 ORACLES = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        d AS (SELECT *, {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents, crc),
+        l AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN hit THEN {_leaf(_LOWERED)} ELSE {_leaf("text")} END AS other FROM d),
+        leaves AS (SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM l WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+        up AS (
+          SELECT lang, 0 AS lvl, idx, leaf AS node, n FROM leaves
+          UNION ALL
+          SELECT lang, lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY lang, lvl, idx // 8, n),
+        sub AS (SELECT lang, node, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (
+          SELECT 0 AS lvl, idx, node, n FROM sub
+          UNION ALL
+          SELECT lvl + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, idx // 8, n),
+        run AS (
+          SELECT lang, lvl, idx, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                 coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+          FROM up WHERE n > 1 WINDOW w AS (PARTITION BY lang, lvl, idx // 8 ORDER BY idx)),
+        toprun AS (
+          SELECT lvl, idx, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                 coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+          FROM top WHERE n > 1 WINDOW w AS (PARTITION BY lvl, idx // 8 ORDER BY idx)),
+        climb AS (
+          SELECT lang, idx AS id, 0 AS lvl, idx, n, other AS node, '' AS proof FROM leaves
+          UNION ALL
+          SELECT c.lang, c.id, c.lvl + 1, c.idx // 8, (c.n + 7) // 8, sha256(l || c.node || r), proof || l || r
+          FROM climb c JOIN run s ON c.lang IS NOT DISTINCT FROM s.lang AND c.lvl = s.lvl AND c.idx = s.idx WHERE c.n > 1),
+        over AS (
+          SELECT c.lang, c.id, 0 AS lvl, sub.idx, sub.n, c.node, proof FROM climb c JOIN sub ON c.lang IS NOT DISTINCT FROM sub.lang WHERE c.n = 1
+          UNION ALL
+          SELECT c.lang, c.id, c.lvl + 1, c.idx // 8, (c.n + 7) // 8, sha256(l || c.node || r), proof || l || r
+          FROM over c JOIN toprun s ON c.lvl = s.lvl AND c.idx = s.idx WHERE c.n > 1)
+        SELECT doc_id, leaf, sub.node AS subroot, top.node AS root, sha256(proof) AS proof_sha256, over.node AS folded_root, over.node = top.node AS verified
+        FROM leaves JOIN over ON leaves.lang IS NOT DISTINCT FROM over.lang AND leaves.idx = over.id AND over.n = 1
+        JOIN sub ON leaves.lang IS NOT DISTINCT FROM sub.lang JOIN top ON top.n = 1
+    """,
+    "op12_log_reassembly": f"""
+        WITH {_CRC_TABLE},
+        d AS (
+          SELECT doc_id, source, text, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic, {_crc32("CAST(doc_id AS VARCHAR)")} AS h
+          FROM documents, crc WHERE doc_id IS NOT NULL),
+        r AS (
+          SELECT doc_id, source, h % 17 AS p, h // 100 % 30000 AS key,
+                 CASE WHEN h % 17 > 6 AND NOT coalesce(toxic, false) THEN {_crc32("(h // 100 % 30000) || ':' || text")} END AS value,
+                 sum(CASE WHEN h % 17 <= 1 THEN 1 END) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS commits,
+                 coalesce(sum(CASE WHEN h % 17 <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS txn
+          FROM d, crc),
+        s AS (
+          SELECT *, CASE WHEN p IN (3, 4) THEN 1 WHEN p IN (5, 6) THEN -1 ELSE 0 END AS step,
+                 sum(step) OVER (PARTITION BY source, txn ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total,
+                 max(CASE WHEN p <= 2 THEN doc_id END) OVER (PARTITION BY source, txn) AS ended,
+                 max(CASE WHEN p <= 1 THEN (commits - 1) // 64 + 1 END) OVER (PARTITION BY source, txn) AS epoch
+          FROM r),
+        v AS (
+          SELECT *, total - step - least(0, coalesce(min(total) OVER (PARTITION BY source, txn ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS open,
+                 CASE WHEN p IN (3, 4) THEN open + 1 ELSE open END AS level
+          FROM s WHERE p > 2),
+        u AS (
+          SELECT *, min(CASE WHEN p IN (5, 6) THEN doc_id END) OVER (PARTITION BY source, txn, level ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back
+          FROM v),
+        c AS (SELECT * FROM u WHERE p > 6),
+        last AS (
+          SELECT key, epoch, max_by(struct_pack(v := value), struct_pack(e := ended, d := doc_id)).v AS value FROM c WHERE back IS NULL AND epoch IS NOT NULL GROUP BY key, epoch),
+        steps AS (
+          SELECT epoch, CAST(value IS NOT NULL AS INT) - CAST(lag(value) OVER w IS NOT NULL AS INT) AS dn, coalesce(value, 0) - coalesce(lag(value) OVER w, 0) AS dv
+          FROM last WINDOW w AS (PARTITION BY key ORDER BY epoch)),
+        epochs AS (SELECT epoch, 0 AS dn, 0 AS dv FROM s WHERE p <= 1 UNION ALL SELECT * FROM steps)
+        SELECT 'state' AS kind, epoch AS id, CAST(sum(sum(dn)) OVER w AS BIGINT) AS n, CAST(sum(sum(dv)) OVER w AS BIGINT) AS value
+        FROM epochs GROUP BY epoch WINDOW w AS (ORDER BY epoch)
+        UNION ALL
+        SELECT CASE WHEN back IS NULL THEN 'abort' ELSE 'rollback' END, doc_id, coalesce(back, ended), key FROM c WHERE back IS NOT NULL OR epoch IS NULL
+    """,
+    "op13_exact_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+        FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+    """,
     "op2_warc_salvage": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
