@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..sources.shared import written
+from ..sources.shared import discard, scratch_path, written
+from ..sources.slices import in_slices, running
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -72,6 +73,46 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataF
     return seen
 
 
+def crawl_order(edges: DataFrame, roots: DataFrame, budget: int | None = None, max_depth: int | None = None, fetched: DataFrame | None = None) -> DataFrame:
+    """(node, level, visit, fetched): the order in which a first-in-first-out crawl visits the nodes of ``edges``.
+
+    ``edges`` are (src, dst, pos), ``roots`` (node, pos).  A node is queued by the first visited page that links to it,
+    at the link's place in that page; among links of one place the lesser node comes first.  Visits are numbered from 1 over the
+    whole crawl.  Where ``fetched`` (node) is given, only its nodes have links, and only they count towards ``budget``;
+    otherwise every visit does.  The crawl ends with the visit that meets the budget, or below ``max_depth``.
+
+    A level is one join of the frontier with the links, an aggregation by target that keeps the first discovery, and a
+    distributed numbering; only counts come to the driver.  Null nodes are never visited; no roots give no rows.
+    """
+    spark, seen_at = edges.sparkSession, scratch_path(edges.sparkSession, "visited")
+    steps = written(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("pos").alias("pos")), "steps")
+    known = None if fetched is None else written(fetched.select(F.col("node").alias("_n")).filter("_n is not null").distinct(), "fetched")
+    found = roots.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.lit(0).cast("long").alias("visit"), F.col("pos").cast("long").alias("pos"))).alias("by"))
+    level = visits = fetches = 0
+    parts = None
+    while True:
+        flagged = found.withColumn("fetched", F.lit(True)) if known is None else found.join(known, F.col("node") == F.col("_n"), "left").withColumn("fetched", F.col("_n").isNotNull()).drop("_n")
+        order = ["parent", "pos", "node"]
+        queued = in_slices(flagged.select("node", F.col("by.visit").alias("parent"), F.col("by.pos").alias("pos"), "fetched"), *order, tag="queue")
+        counted = running(queued, [], order, visit=(F.sum, F.lit(1)), before=(F.sum, F.col("fetched").cast("long")))
+        kept = counted.withColumn("before", F.col("before") - F.col("fetched").cast("long") + fetches)
+        if budget is not None:
+            kept = kept.filter(F.col("before") < budget)
+        path = f"{seen_at}/level={level}"
+        kept.select("node", (F.col("visit") + visits).alias("visit"), "fetched").write.parquet(path)
+        discard(queued)
+        here = spark.read.schema("node string, visit long, fetched boolean").parquet(path)
+        n, ok = here.agg(F.count(F.lit(1)), F.count_if("fetched")).first()
+        parts = spark.read.schema("node string, visit long, fetched boolean, level int").parquet(seen_at)
+        visits, fetches = visits + n, fetches + ok
+        if not n or (budget is not None and fetches >= budget) or (max_depth is not None and level >= max_depth):
+            break
+        reached = here.filter("fetched").select(F.col("node").alias("src"), "visit").join(steps, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("visit", "pos")).alias("by"))
+        found, level = reached.join(parts.select("node"), "node", "left_anti"), level + 1
+    discard(steps)
+    return parts.select("node", "level", "visit", "fetched")
+
+
 def merge_seeds(crawled: DataFrame, seeds: DataFrame) -> DataFrame:
     """(url, level): crawled URLs and the seeds of the same hosts that are not among them, at level 1."""
     hosts = crawled.select(urls.netloc(F.col("url")).alias("h")).distinct()

@@ -23,4 +23,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table of the shared folder: made once, however many branches read it, and safe from lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by :func:`written` that no later plan reads."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
