@@ -5,11 +5,14 @@ Importing the module adds them to the slate; inputs are the given tables, or wha
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import links
-from .furnished import FACTS
+from ..operators import links, technical
+from ..sources import archives, crawl_folders, lighthouse, sitemaps
+from ..sources.shared import scratch_path
+from .furnished import FACTS, facts, furnished
 from .slate import _PAGE_SQL, _pages, _query, _table
 
 _F = f"f AS ({FACTS})"
@@ -74,3 +77,103 @@ def crawl_visits_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = edges.filter(F.col("dst").startswith("/") & (F.length("dst") % 3 != 0)).select(F.col("dst").alias("node"))
     fetched = pages.select(F.col("url").alias("node")).unionByName(paths)
     return links.crawl_order(edges, _first_page(spark, sf_dir), pages.count(), 30, fetched).select("node", "visit", "level", "fetched")
+
+
+# -- crawl folders ---------------------------------------------------------------------------------------------------------
+
+_CRAWL = "CASE page_id % 3 WHEN 0 THEN 'a.example' WHEN 1 THEN 'b.example' ELSE 'c.example' END AS domain, '2026-0' || (page_id % 4 + 1) || '-01_000000' AS crawl_ts"
+
+
+def _crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The furnished pages as twelve crawls of three domains."""
+    n = F.col("crawl_seq")
+    domain = F.when(n % 3 == 0, "a.example").when(n % 3 == 1, "b.example").otherwise("c.example")
+    return furnished(spark, sf_dir).withColumns({"domain": domain, "crawl_ts": F.concat(F.lit("2026-0"), (n % 4 + 1).cast("string"), F.lit("-01_000000"))})
+
+
+@_query(f"""WITH {_F}, c AS (SELECT *, {_CRAWL} FROM f)
+SELECT domain, crawl_ts, url, title, n_h1 AS h1 FROM c WHERE domain IN ('a.example', 'c.example') AND crawl_ts > '2026-01-01_000000' AND url LIKE 'https://%'""")
+def crawl_folder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls written as folders and read back through the data source, which leaves out the folders that filters rule out."""
+    path = scratch_path(spark, "folders")
+    crawl_folders.write_pages(_crawls(spark, sf_dir), path)
+    back = crawl_folders.read_pages(spark, path)
+    kept = back.filter(F.col("domain").isin("a.example", "c.example") & (F.col("crawl_ts") > "2026-01-01_000000") & F.startswith("url", F.lit("https://")))
+    return kept.select("domain", "crawl_ts", "url", "title", F.size("h1_tags").cast("long").alias("h1"))
+
+
+@_query(f"""WITH c AS (SELECT *, {_CRAWL} FROM pages)
+SELECT 'page-' || page_id AS page_id, domain, crawl_ts, url AS requested_url, CAST(page_id % 101 AS DOUBLE) AS performance, page_id * 1.5 AS lcp FROM c WHERE page_id % 7 <> 0 AND domain = 'b.example'""")
+def lighthouse_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laboratory reports written beside the pages of their crawls and scanned by page; one in seven is no JSON and is left out."""
+    path = scratch_path(spark, "folders")
+    report = """if(page_id % 7 = 0, 'not json', to_json(named_struct('requestedUrl', url,
+        'categories', map('performance', named_struct('score', (page_id % 101) / 100.0D)), 'audits', map('largest-contentful-paint', named_struct('numericValue', page_id * 1.5D)))))"""
+    rows = spark.sql(f"SELECT 'page-' || page_id AS page_id, {report} AS report, {_CRAWL} FROM {{pages}}", pages=_table(spark, sf_dir, "pages"))
+    crawl_folders.write_reports(rows, path)
+    found = crawl_folders.read_reports(spark, path).filter("domain = 'b.example'")
+    named = lighthouse.scores(found.withColumn("k", F.struct("domain", "crawl_ts", "page_id")), "k")
+    return named.select("k.page_id", "k.domain", "k.crawl_ts", "requested_url", F.col("lighthouse_performance").alias("performance"), F.col("lighthouse_lcp").alias("lcp"))
+
+
+@_query(f"""WITH {_F}
+SELECT 'titles' AS section, title AS name, count(*) AS pages FROM f WHERE title <> '' GROUP BY title HAVING count(*) > 1
+UNION ALL SELECT 'languages', lang, count(*) FROM f GROUP BY lang
+UNION ALL SELECT 'kinds', CAST(schema_kind AS VARCHAR), count(*) FROM f WHERE page_id % 2 = 0 GROUP BY schema_kind""")
+def analysis_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of an analysis written as parts of a crawl and read back; one is written twice and replaces itself."""
+    path, table = scratch_path(spark, "folders"), furnished(spark, sf_dir)
+    given = facts(spark, sf_dir).select(F.col("page_id"), F.col("schema_kind").cast("string").alias("name"))
+    kinds = given.groupBy("name").agg(F.count(F.lit(1)).alias("pages"))
+    titles = technical.duplicate_titles(table).select(F.col("title").alias("name"), "pages")
+    languages = table.groupBy(F.coalesce("lang", F.lit("")).alias("name")).agg(F.count(F.lit(1)).alias("pages"))
+    crawl_folders.write_analysis({"titles": titles, "languages": languages, "kinds": kinds}, path, "a.example", "2026-01-01")
+    crawl_folders.write_analysis({"kinds": given.filter("page_id % 2 = 0").groupBy("name").agg(F.count(F.lit(1)).alias("pages"))}, path, "a.example", "2026-01-01")
+    parts = [crawl_folders.read_analysis(spark, path, s, "name string, pages long").select(F.lit(s).alias("section"), "name", "pages") for s in ("titles", "languages", "kinds")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query("""WITH d AS (SELECT kind, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS n FROM clicks WHERE kind IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)
+SELECT kind AS domain, CAST(count(*) AS BIGINT) AS snapshots, CAST(sum(n) AS BIGINT) AS total_pages, 1 AS refused FROM d GROUP BY kind""")
+def snapshot_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily click counts stand for snapshots: one insert up to February, one that overlaps it and is refused whole, one of the rest."""
+    path = scratch_path(spark, "snapshots")
+    daily = _table(spark, sf_dir, "clicks").filter("kind is not null and ts is not null").groupBy(F.col("kind").alias("domain"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("crawl_date")).agg(F.count(F.lit(1)).alias("total_pages"))
+    march = F.col("crawl_date") >= F.lit("2024-03-01").cast("timestamp_ntz")
+    archives.save_snapshots(daily.filter(~march), path)
+    refused = 0
+    try:
+        archives.save_snapshots(daily, path)
+    except ValueError:
+        refused = 1
+    archives.save_snapshots(daily.filter(march), path)
+    return archives.read_snapshots(spark, path).groupBy("domain").agg(F.count(F.lit(1)).alias("snapshots"), F.sum("total_pages").alias("total_pages"), F.lit(refused).alias("refused"))
+
+
+# -- sitemaps --------------------------------------------------------------------------------------------------------------
+
+
+@_query("""SELECT url, CASE WHEN page_id % 5 = 0 THEN NULL ELSE '2026-01-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END AS lastmod,
+CAST(CASE WHEN page_id // 40 % 3 = 0 THEN 1 ELSE 2 END AS INT) AS level, 'map-' || page_id // 40 AS sitemap FROM pages WHERE page_id // 40 % 7 <> 6""")
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as sitemaps of forty, half of them compressed, under two levels of indexes that name each other; every
+    seventh sitemap is named by none."""
+    numbered = _table(spark, sf_dir, "pages").select("page_id", "url", F.floor(F.col("page_id") / 40).cast("long").alias("m"))
+    day = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("<lastmod>2026-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>")))
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), day, F.lit("</url>"))
+    maps = numbered.groupBy("m").agg(F.concat_ws("", F.collect_list(entry)).alias("x")).select("m", F.concat(F.lit("<!DOCTYPE html><urlset>"), "x", F.lit("</urlset>")).alias("x"))
+    names = maps.filter("m % 7 <> 6").withColumn("i", F.when(F.col("m") % 3 == 0, F.lit("index")).otherwise(F.concat(F.lit("index-"), F.floor(F.col("m") / 1000).cast("string"))))
+    listed = names.groupBy("i").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap><loc>map-"), F.col("m").cast("string"), F.lit("</loc></sitemap>")))).alias("x"))
+    below = names.filter("i <> 'index'").select("i").distinct().agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap><loc>"), "i", F.lit("</loc></sitemap>")))).alias("below"))
+    indexes = listed.crossJoin(below)  # one row
+    content = F.concat(F.lit("<sitemapindex>"), "x", F.when(F.col("i") == "index", F.col("below")).otherwise("<sitemap><loc>index</loc></sitemap>"), F.lit("</sitemapindex>"))
+    files = maps.select(F.concat(F.lit("map-"), F.col("m").cast("string")).alias("url"), _packed(F.col("x").cast("binary"), F.col("m") % 2 == 0).alias("content"))
+    files = files.unionByName(indexes.select(F.col("i").alias("url"), content.cast("binary").alias("content")))
+    return sitemaps.sitemap_pages(files, spark.range(1).select(F.lit("index").alias("url")))
+
+
+@F.pandas_udf("binary")
+def _packed(content: pd.Series, pack: pd.Series) -> pd.Series:
+    import gzip
+
+    return pd.Series([gzip.compress(c) if p else c for c, p in zip(content, pack)], dtype=object)

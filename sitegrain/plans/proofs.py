@@ -13,7 +13,7 @@ from .. import schema
 from ..functions import classify, scores, technologies, urls, vitals
 from ..functions import text as tx
 from ..operators import advice, api, captures, evidence, links, measurements, reports, requests, selectors, site, statistics, technical
-from ..sources import archives, lighthouse, lists, site_files
+from ..sources import archives, lighthouse, lists, site_files, sitemaps
 from ..sources.shared import scratch_path, written
 from ..thresholds import Thresholds
 from .furnished import FACTS, OG, TWITTER, furnished
@@ -523,7 +523,7 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = maps.select(F.concat(F.lit("m/"), "p_brand").alias("url"), F.concat(F.lit("<!DOCTYPE html><html><urlset>"), "x", F.lit("</urlset></html>")).alias("content"))
     listed = maps.agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap><loc>m/"), "p_brand", F.lit("</loc></sitemap>")))).alias("x"))
     index = listed.select(F.lit("index").alias("url"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("<sitemap><loc>index</loc></sitemap></sitemapindex>")).alias("content"))
-    return site_files.sitemap_urls(files.unionByName(index), index.select("url"))
+    return sitemaps.sitemap_urls(files.unionByName(index), index.select("url"))
 
 
 @_query("""WITH h AS (SELECT url, regexp_extract(url, '^[^/]*//([^/?#]*)', 1) AS host, url LIKE 'https://%' AS crawled FROM pages)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,32 +52,99 @@ def write_pages_json(pages: DataFrame, path: str) -> None:
     pages.drop("content_text").write.mode("overwrite").json(path)
 
 
-def save_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append rows of known columns; a row without domain or date, or one that is there already, is an error."""
+def save_snapshots(snapshots: DataFrame, path: str, wait: float = 120) -> None:
+    """Add rows of known columns below ``path``, all or none of them; other columns are dropped.
+
+    A row without domain or date is an error, and so is a key that is there already or comes twice.  That holds among
+    writers at the same time as well: rows are staged, and then compared with the table and renamed into it while
+    holding a claim, a file that only one writer can create.  Others wait for up to ``wait`` seconds.  The claim of
+    a writer that was killed is freed by :func:`release_claim`.  Object stores without exclusive creation and atomic
+    renames do not give this.
+    """
     spark = snapshots.sparkSession
     known = [f for f in SNAPSHOT.fields if f.name in snapshots.columns]
     rows = snapshots.select(*[F.col(f.name).cast(f.dataType) for f in known])
     for f in SNAPSHOT.fields:
         if f.name not in rows.columns:
             rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-    rows = rows.select(*SNAPSHOT.names)
-    if rows.filter(F.col("domain").isNull() | F.col("crawl_date").isNull()).limit(1).count():
-        raise ValueError("a snapshot needs domain and crawl_date")
+    name = uuid.uuid4().hex
+    staged = f"{path}/_staged/{name}"
+    rows.select(*SNAPSHOT.names).write.partitionBy("domain").parquet(staged)
     key = ["domain", "crawl_date"]
-    twice = rows.groupBy(*key).count().filter("count > 1").limit(1).count()
     try:
-        there = read_snapshots(spark, path).join(rows.select(*key), key, "left_semi").limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = 0
-    if twice or there:
-        raise ValueError("there is a snapshot of that domain and date")
-    rows.write.mode("append").partitionBy("domain").parquet(path)
+        kept = spark.read.schema(SNAPSHOT).parquet(staged).select(*key)
+        if kept.filter(F.col("domain").isNull() | F.col("crawl_date").isNull()).limit(1).count():
+            raise ValueError("a snapshot needs domain and crawl_date")
+        if kept.groupBy(*key).count().filter("count > 1").limit(1).count():
+            raise ValueError("a snapshot comes twice")
+        with _claimed(spark, path, name, wait):
+            there = read_snapshots(spark, path).join(kept, key, "left_semi").select(*key).first()
+            if there:
+                raise ValueError(f"there is a snapshot of {there.domain} and {there.crawl_date}")
+            fs, target = _at(spark, f"{path}/insert={name}")
+            if kept.limit(1).count() and not fs.rename(_at(spark, staged)[1], target):
+                raise OSError(f"{staged} could not be renamed")
+    except BaseException:
+        fs, target = _at(spark, staged)
+        fs.delete(target, True)
+        raise
+
+
+@contextmanager
+def _claimed(spark: SparkSession, path: str, owner: str, wait: float):
+    """The claim on a table, while the body runs."""
+    until, claim = time.monotonic() + wait, f"{path}/_claim"
+    while not _create(spark, claim, owner):
+        if time.monotonic() > until:
+            raise TimeoutError(f"another writer has held {claim} for {wait} seconds")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        release_claim(spark, path)
+
+
+def release_claim(spark: SparkSession, path: str) -> bool:
+    """Free the claim of a writer that was killed, and say whether there was one; no writer may be at work."""
+    fs, target = _at(spark, f"{path}/_claim")
+    return fs.delete(target, False)
+
+
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _create(spark: SparkSession, path: str, owner: str) -> bool:
+    """Create a file that names its owner, unless there is one: of several that try, one succeeds."""
+    fs, target = _at(spark, path)
+    fs.mkdirs(target.getParent())
+    jvm = spark._jvm
+    if fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
+        local = jvm.java.nio.file.Paths.get(target.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+        options = spark.sparkContext._gateway.new_array(jvm.java.nio.file.OpenOption, 2)
+        options[0], options[1] = jvm.java.nio.file.StandardOpenOption.CREATE_NEW, jvm.java.nio.file.StandardOpenOption.WRITE
+        make = lambda: jvm.java.nio.file.Files.newOutputStream(local, options)
+    else:
+        make = lambda: fs.create(target, False)
+    try:
+        stream = make()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(owner.encode()))
+    stream.close()
+    return True
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT).parquet(path).select(*SNAPSHOT.names)
+    """All snapshots; none where there is no such folder yet."""
+    fs, target = _at(spark, f"{path}/insert=*")
+    if not fs.globStatus(target):
+        return spark.createDataFrame([], SNAPSHOT)
+    return spark.read.schema(SNAPSHOT).option("basePath", path).parquet(f"{path}/insert=*").select(*SNAPSHOT.names)
 
 
 def history(snapshots: DataFrame, domain: str) -> DataFrame:

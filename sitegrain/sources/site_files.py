@@ -79,35 +79,3 @@ def can_fetch(content: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series
         return known[c].can_fetch(a or "*", u or "")
 
     return pd.Series([one(*x) for x in zip(content, agent, url)], dtype=object)
-
-
-def clean_xml(content: Column) -> Column:
-    """XML without DOCTYPE and without an HTML page wrapped around it."""
-    inner = F.regexp_extract(content, r"(?s)(<(?:urlset|sitemapindex)\b.*</(?:urlset|sitemapindex)>)", 1)
-    bare = F.regexp_replace(content, r"(?is)<!DOCTYPE[^>]*>", "")
-    return F.when(inner != "", inner).otherwise(bare)
-
-
-def _locations(content: Column, element: str) -> Column:
-    blocks = F.regexp_extract_all(content, F.lit(rf"(?s)<(?:\w+:)?{element}\b[^>]*>(.*?)</(?:\w+:)?{element}>"), F.lit(1))
-    found = F.transform(blocks, lambda b: F.trim(F.regexp_replace(F.regexp_extract(b, r"(?s)<(?:\w+:)?loc\b[^>]*>(.*?)</(?:\w+:)?loc>", 1), r"(?s)^\s*<!\[CDATA\[|\]\]>\s*$|^\s+|\s+$", "")))
-    plain = F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-    return F.filter(plain, lambda u: u != "")
-
-
-def sitemap_urls(files: DataFrame, roots: DataFrame, max_depth: int = 3, limit: int | None = None) -> DataFrame:
-    """(url): the pages that the sitemaps ``roots`` (url) list, over indexes up to ``max_depth`` levels.
-
-    ``files`` (url, content) holds every fetched sitemap.  In URL order where a report's ``limit`` is given.
-    """
-    parsed = files.select("url", clean_xml(F.col("content")).alias("x")).select("url", _locations(F.col("x"), "url").alias("pages"), _locations(F.col("x"), "sitemap").alias("children"))
-    level, seen = roots.select("url").distinct(), roots.select("url").distinct()
-    pages = None
-    for _ in range(max_depth):
-        here = parsed.join(level, "url", "left_semi")
-        own = here.select(F.explode("pages").alias("url"))
-        pages = own if pages is None else pages.unionByName(own)
-        level = here.select(F.explode("children").alias("url")).distinct().join(seen, "url", "left_anti")
-        seen = seen.unionByName(level)
-    found = pages.distinct()
-    return found if limit is None else found.orderBy("url").limit(limit)

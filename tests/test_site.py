@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegrain.operators import advice, api, evidence, links, measurements, requests, selectors, site, statistics
-from sitegrain.sources import archives, lighthouse, site_files
+from sitegrain.sources import archives, lighthouse, site_files, sitemaps
 from sitegrain.streaming import requests as streams
 
 
@@ -254,8 +254,8 @@ def test_sitemaps(spark):
     ]
     rows = spark.createDataFrame(files, "url string, content string")
     roots = spark.createDataFrame([("r",), ("c",)], "url string")
-    assert {r.url for r in site_files.sitemap_urls(rows, roots).collect()} == {"https://h/1?x=1&y=2", "https://h/2"}
-    assert site_files.sitemap_urls(rows, roots, limit=1).first().url == "https://h/1?x=1&y=2"
+    assert {r.url for r in sitemaps.sitemap_urls(rows, roots).collect()} == {"https://h/1?x=1&y=2", "https://h/2"}
+    assert sitemaps.sitemap_urls(rows, roots, limit=1).first().url == "https://h/1?x=1&y=2"
 
 
 def test_lighthouse(spark, tmp_path):
