@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import urls
+from ..sources.shared import written
 
 DEPTH, PROPERTIES, BODIES = 3, 20, 3
 
@@ -61,6 +62,49 @@ def endpoints(log: DataFrame) -> DataFrame:
     return counted.join(listed, ["method", "path"]).withColumn("tag", urls.tag(F.col("path")))
 
 
+_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
+
+
+def body_fields(log: DataFrame, by: list[str], body: str = "body", depth: int | None = DEPTH) -> DataFrame:
+    """(*by, path, types, formats, found, example): what stands at every path of the JSON bodies of a key, all of them.
+
+    Paths are ``$``, ``$.name`` and ``$.name[]`` for the items of an array, down to ``depth`` steps (None: all that there
+    are).  ``types`` and ``formats`` are sorted and distinct, ``found`` counts values, ``example`` is the least short text or
+    number as text.  Bodies that are no JSON are left out.  A level is one expansion in the JVM; what it finds is
+    aggregated at once, so that a path is shuffled once a task and not once a body.
+    """
+    spark = log.sparkSession
+    keys = [f"_key{i}" for i in range(len(by))]  # names of helper columns cannot clash with these
+    level = log.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.lit("$").alias("path"), F.try_parse_json(F.col(body)).alias("v")).filter("v is not null")
+    if depth is None:
+        level = written(level.withColumn("v", F.to_json("v")), "bodies").withColumn("v", F.parse_json("v"))
+    found, step = None, 0
+    while True:
+        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        text = F.try_variant_get("v", "$", "string")
+        named = F.coalesce(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[kind], F.lit("other"))
+        format_ = F.when(kind == "STRING", F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.when(F.contains(text, F.lit("T")), "date-time").otherwise("date")).when(text.rlike("^https?://"), "uri").when(text.rlike(r"^[^@]+@[^@]+\.[^@]+$"), "email"))
+        short = F.when(~kind.isin("OBJECT", "ARRAY", "VOID") & (F.length(text) < 100), text)
+        here = level.select(*keys, "path", named.alias("t"), format_.alias("f"), short.alias("e"))
+        counted = here.groupBy(*keys, "path", "t", "f").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e"))
+        found = counted if found is None else found.unionByName(counted)
+        if depth is not None and step >= depth:
+            break
+        inner = level.filter(kind.isin("OBJECT", "ARRAY")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        level = inner.select(*keys, F.concat("path", F.when(F.col("key").isNull(), "[]").otherwise(F.concat(F.lit("."), "key"))).alias("path"), F.col("value").alias("v")).filter("v is not null")
+        step += 1
+        if depth is None and not level.filter(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).isin("OBJECT", "ARRAY")).limit(1).count():
+            depth = step
+    listed = lambda c: F.array_sort(F.collect_set(c))  # noqa: E731  a dozen values at most
+    return found.groupBy(*keys, "path").agg(listed("t").alias("types"), listed("f").alias("formats"), F.sum("n").alias("found"), F.min("e").alias("example")).withColumnsRenamed(dict(zip(keys, by)))
+
+
+def body_types(log: DataFrame, by: list[str], body: str = "body") -> DataFrame:
+    """(*by, bodies, type): the type that all JSON bodies of a key have in common; what differs among them is a VARIANT."""
+    parsed = log.select(*by, F.try_parse_json(F.col(body)).alias("v")).filter("v is not null")
+    return parsed.groupBy(*by).agg(F.count(F.lit(1)).alias("bodies"), F.schema_of_variant_agg("v").alias("type"))
+
+
 def interface_description(found: DataFrame) -> DataFrame:
     """(path, operation): each endpoint's description as JSON."""
     body = F.to_json(F.struct(F.lower("method").alias("method"), F.array("tag").alias("tags"), "calls", infer_schema(F.get("bodies", F.lit(0))).alias("schema")))

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import links, technical
+from ..operators import api, links, sections, technical
 from ..sources import archives, crawl_folders, lighthouse, sitemaps
 from ..sources.shared import scratch_path
+from ..streaming import crawl_state, progress
 from .furnished import FACTS, facts, furnished
 from .slate import _PAGE_SQL, _pages, _query, _table
 
@@ -177,3 +178,94 @@ def _packed(content: pd.Series, pack: pd.Series) -> pd.Series:
     import gzip
 
     return pd.Series([gzip.compress(c) if p else c for c, p in zip(content, pack)], dtype=object)
+
+
+# -- schemas of bodies -----------------------------------------------------------------------------------------------------
+
+
+@_query(r"""WITH c AS (SELECT kind, props FROM clicks WHERE json_valid(props)),
+t AS (SELECT kind, regexp_replace(fullkey, '\[\d+\]', '[]', 'g') AS path, type, atom ->> '$' AS v FROM c, (SELECT * FROM json_tree(c.props)) t),
+n AS (SELECT kind, path, v, CASE type WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(type) END AS type FROM t)
+SELECT kind, path, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, count(*) AS found,
+min(CASE WHEN type NOT IN ('object', 'array', 'null') AND length(v) < 100 THEN v END) AS example FROM n GROUP BY kind, path""")
+def body_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all JSON bodies of an endpoint hold, by path; kinds of clicks stand for endpoints, properties for bodies."""
+    found = api.body_fields(_table(spark, sf_dir, "clicks"), ["kind"], "props", depth=None)
+    return found.select("kind", "path", F.array_join("types", ",").alias("types"), "found", "example")
+
+
+@_query("""SELECT kind, count(*) AS bodies,
+'OBJECT<device: OBJECT<os: STRING, ver: STRING>, items: ARRAY<OBJECT<qty: BIGINT, sku: BIGINT>>, k: ' ||
+CASE WHEN count(DISTINCT json_type(props, '$.k')) FILTER (json_type(props, '$.k') <> 'NULL') > 1 THEN 'VARIANT' ELSE 'BIGINT' END || ', tags: ARRAY<STRING>>' AS type
+FROM clicks WHERE json_valid(props) GROUP BY kind""")
+def body_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type that the bodies of an endpoint have in common."""
+    return api.body_types(_table(spark, sf_dir, "clicks"), ["kind"], "props")
+
+
+# -- sections and streams --------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {_F}
+SELECT 'titles' AS section, 'ok' AS status, NULL AS error, (SELECT count(*) FROM (SELECT title FROM f WHERE title <> '' GROUP BY title HAVING count(*) > 1)) AS rows
+UNION ALL SELECT 'thin', 'ok', NULL, (SELECT count(*) FROM f WHERE n_words > 100)
+UNION ALL SELECT 'broken', 'failed', 'USER_RAISED_EXCEPTION', NULL
+UNION ALL SELECT 'unknown', 'failed', 'UNRESOLVED_COLUMN.WITH_SUGGESTION', NULL""")
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of a report run side by side over one scan; two of them fail and leave the others alone."""
+    table = furnished(spark, sf_dir)
+    found = sections.Sections(
+        table,
+        {
+            "titles": technical.duplicate_titles,
+            "thin": lambda p: p.filter("word_count > 102").select("url"),
+            "broken": lambda p: p.select(F.when(F.col("crawl_seq") % 5 == 1, F.raise_error(F.lit("a page that cannot be read"))).otherwise(F.col("url")).alias("url")),
+            "unknown": lambda p: p.select("no_such_column"),
+        },
+        scratch_path(spark, "sections"),
+    )
+    return found.results()
+
+
+_EVENT = "CASE kind WHEN 'view' THEN 'found' WHEN 'click' THEN 'visited' ELSE 'failed' END"
+
+
+@_query(f"""WITH e AS (SELECT coalesce(client_id, -1) AS domain, 'u' || click_id % 997 AS url, {_EVENT} AS event FROM clicks WHERE kind IS NOT NULL AND click_id IS NOT NULL),
+s AS (SELECT domain, url, bool_or(event = 'visited') AS seen, count(*) FILTER (event = 'failed') AS n FROM e GROUP BY domain, url)
+SELECT CAST(domain AS VARCHAR) AS domain, url, CASE WHEN seen THEN 'visited' WHEN n >= 3 THEN 'failed' ELSE 'queued' END AS status, CAST(n AS INT) AS attempts FROM s""")
+def crawl_states_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of URLs from a stream that is started twice on one checkpoint; clicks stand for events of a crawl."""
+    source, sink, checkpoint = (scratch_path(spark, t) for t in ("events", "states", "checkpoint"))
+    events = _table(spark, sf_dir, "clicks").filter("kind is not null and click_id is not null")
+    rows = events.select(F.coalesce("client_id", F.lit(-1)).cast("string").alias("domain"), F.concat(F.lit("u"), (F.col("click_id") % 997).cast("string")).alias("url"), F.expr(_EVENT).alias("event"), "click_id")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    crawl_state.prepare(spark)
+    try:
+        for part in (0, 1):  # the second half comes while no query runs
+            rows.filter(F.col("click_id") % 2 == part).drop("click_id").write.mode("append").parquet(source)
+            stream = spark.readStream.schema("domain string, url string, event string").parquet(source)
+            crawl_state.url_states(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/batch={n}")).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return crawl_state.latest(spark.read.parquet(sink)).select("domain", "url", "status", "attempts")
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS done, CAST(count(*) FILTER (kind = 'error') AS BIGINT) AS failed, CAST(2 AS BIGINT) AS runs FROM clicks")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress table of a stream over the clicks, started twice; its rows add up to those of the source."""
+    source, sink, checkpoint, table = (scratch_path(spark, t) for t in ("events", "copied", "checkpoint", "progress"))
+    rows = _table(spark, sf_dir, "clicks").select("click_id", "kind", F.concat(F.lit("u"), F.col("click_id").cast("string")).alias("url"))
+    name = "progress-" + source.rsplit("-", 1)[-1]
+    listener = progress.ProgressTable(table, (name,))
+    spark.streams.addListener(listener)
+    try:
+        for part in (True, False):
+            rows.filter((F.coalesce(F.col("click_id"), F.lit(0)) % 2 == 0) == part).write.mode("append").parquet(source)
+            stream = spark.readStream.schema("click_id long, kind string, url string").parquet(source)
+            query = progress.watched(stream, "click_id", "url", F.col("kind") == "error").writeStream.queryName(name).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
+            query.awaitTermination()
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    found = progress.read_progress(spark, table).filter("done > 0")
+    return found.agg(F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.count(F.lit(1)).alias("runs"))
