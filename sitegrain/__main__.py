@@ -22,7 +22,7 @@ def main(args: list[str] | None = None) -> int:
     report.add_argument("out")
     given = parser.parse_args(args)
 
-    from .plans import crawling, proofs, slate  # noqa: F401  the first two add to the slate
+    from .plans import crawling, findings, proofs, slate  # noqa: F401  the others add to the slate
 
     if given.command == "list":
         print("\n".join(sorted(slate.QUERIES)))

@@ -152,6 +152,36 @@ def third_party_advice(analytics: Column, advertising: Column, t: Thresholds = D
     )
 
 
+def lab_field_advice() -> Column:
+    """What a comparison of laboratory and field says, for a row with pages (that have both), tendency, mismatches, and
+    value and status of lab_lcp, field_lcp, lab_tbt and field_fid."""
+    c, known = F.col, lambda a, b: F.col(f"{a}_status").isNotNull() & F.col(f"{b}_status").isNotNull()
+    differ = lambda a, b: known(a, b) & (c(f"{a}_status") != c(f"{b}_status"))
+    both = lambda a, b: [c(f"{a}_status"), c(a), c(f"{b}_status"), c(b)]
+    said = _say(
+        (c("tendency") == "optimistic", "On %d pages the laboratory is faster than visitors find it: slow networks and weak devices are missing there.", [c("pages")]),
+        (c("tendency") == "pessimistic", "On %d pages visitors find it faster than the laboratory: caches or a delivery network serve them.", [c("pages")]),
+        (c("mismatches") > 0, "%d of %d pages differ in status between laboratory and field: begin with them.", [c("mismatches"), c("pages")]),
+        (differ("lab_lcp", "field_lcp"), "Largest contentful paint is %s in the laboratory (%.0f ms) and %s in the field (%.0f ms).", both("lab_lcp", "field_lcp")),
+        (differ("lab_tbt", "field_fid"), "Blocking time is %s in the laboratory (%.0f ms) and input delay %s in the field (%.0f ms): scripts run there that the laboratory does not see.", both("lab_tbt", "field_fid")),
+    )
+    return F.when(c("pages") == 0, F.array(F.lit("No page has both laboratory and field data: measure more pages, or wait for visitors."))).otherwise(said)
+
+
+def vitals_advice() -> Column:
+    """What to do about a page's vitals, for a row with lcp, inp and cls (statuses), lcp_seconds, lcp_candidates,
+    blocking_scripts, cls_risks, render_blocking and lazy_opportunities."""
+    c, bad = F.col, lambda m: F.col(m).isin("needs-improvement", "poor")
+    return _say(
+        (bad("lcp") & c("lcp_seconds").isNotNull(), "Largest contentful paint is %s at about %.1f seconds: give the main image its size and preload it, in several widths.", [c("lcp"), c("lcp_seconds")]),
+        (bad("lcp") & c("lcp_seconds").isNull(), "Largest contentful paint is %s by its %d candidates: give the main image its size and preload it, in several widths.", [c("lcp"), c("lcp_candidates")]),
+        (bad("inp"), "Interaction is %s with %d scripts in its way: load them with async or defer, and cut long tasks.", [c("inp"), c("blocking_scripts")]),
+        (bad("cls"), "Layout shift is %s with %d elements that may move: give images and frames their size, and keep room for what comes late.", [c("cls"), c("cls_risks")]),
+        (c("render_blocking") > 0, "%d resources hold up rendering: inline the critical ones and load the rest later.", [c("render_blocking")]),
+        (c("lazy_opportunities") > 0, "%d images could be loaded lazily.", [c("lazy_opportunities")]),
+    )
+
+
 def crawlability_advice() -> Column:
     """What to do about crawling, for a row of ``site_files.crawlability`` with a column ``sitemaps``."""
     c = F.col

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIGH, MEDIUM, LOW = "High", "Medium", "Low"
+from ..functions import vitals
+
+HIGH, MEDIUM, LOW, ESTIMATE = "High", "Medium", "Low", "Estimate"
 COLUMNS = ("component", "finding", "url", "measured", "threshold", "operator", "unit", "severity", "confidence", "source_type", "ai_generated")
 
 
@@ -28,6 +30,28 @@ def model_evidence(rows: DataFrame, component: str, validated: Column, cap: str
     )
 
 
+def vitals_estimates(pages: DataFrame) -> DataFrame:
+    """(url, finding, measured, status, good, poor, confidence, source_type, methodology, factors) of the vitals that are
+    estimated from a page's markup and response time: an estimate a metric, never more than that.
+
+    ``pages`` have url, load_time, lcp_candidates, blocking_scripts and cls_risks; ``factors`` are what went into it.
+    Without a response time the paint is judged by its candidates and has no value.
+    """
+    c = F.col
+    factor = lambda **values: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()]), lambda e: e["value"].isNotNull()))
+
+    def estimate(name, value, status, good, poor, how, factors):
+        return F.struct(F.lit(f"{name}_estimate").alias("finding"), value.cast("double").alias("measured"), status.alias("status"), F.lit(float(good)).alias("good"), F.lit(float(poor)).alias("poor"), F.lit(how).alias("methodology"), factors.alias("factors"))
+
+    rows = F.array(
+        estimate("lcp", vitals.lcp_estimate(c("load_time")), vitals.lcp_status(c("load_time"), c("lcp_candidates")), 2.5, 4.0, "response time and rendering", factor(response_seconds=c("load_time"), candidates=c("lcp_candidates"))),
+        estimate("inp", c("blocking_scripts"), vitals.inp_status(c("blocking_scripts")), 0, vitals.BLOCKING_MIDDLE, "blocking scripts", factor(blocking_scripts=c("blocking_scripts"))),
+        estimate("cls", c("cls_risks"), vitals.cls_status(c("cls_risks")), 0, vitals.SHIFT_MIDDLE, "elements without a size", factor(risk_elements=c("cls_risks"))),
+    )
+    found = pages.select("url", F.explode(rows).alias("e"))
+    return found.select("url", "e.finding", "e.measured", F.coalesce("e.status", F.lit(vitals.UNKNOWN)).alias("status"), "e.good", "e.poor", F.lit(ESTIMATE).alias("confidence"), F.lit("heuristic").alias("source_type"), "e.methodology", "e.factors")
+
+
 def from_issues(issues: DataFrame, component: str = "technical") -> DataFrame:
     """Evidence of technical issue rows (url, issue_type, measured, severity)."""
     null = F.lit(None)

@@ -49,4 +49,4 @@ def sample_pages(pages: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     home = pages.filter(F.regexp_replace("url", r"^[^/]*//[^/?#]*", "").isin("", "/"))
     others = pages.join(home.select("url"), "url", "left_anti")
     n = max(1, int(others.count() * rate))
-    return home.unionByName(others.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(n).select(*pages.columns))
+    return home.unionByName(others.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "url")), "url").limit(n).select(*pages.columns))

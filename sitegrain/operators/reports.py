@@ -48,6 +48,47 @@ def format_number(value) -> str:
     return "-" if value is None else f"{value:,}" if isinstance(value, int) else f"{value:,.2f}"
 
 
+def number_text(value: Column, digits: int = 0) -> Column:
+    """Thousands separated, with so many digits after the point; null as a dash."""
+    return F.coalesce(F.format_number(value, digits), F.lit("-"))
+
+
+def size_text(size: Column) -> Column:
+    """Bytes as B, KB or MB, with one digit from a kilobyte on; null as a dash."""
+    kb, mb = F.format_string("%.1f KB", size / 1024), F.format_string("%.1f MB", size / (1024 * 1024))
+    return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024 * 1024, kb).when(size.isNotNull(), mb).otherwise("-")
+
+
+def domain_text(url: Column) -> Column:
+    """The host of an address without www; the address itself where it has none."""
+    host = F.regexp_extract(url, r"^[^/]*//(?:www\.)?([^/?#]*)", 1)
+    return F.when(host != "", host).otherwise(url)
+
+
+#: What makes a section of a report worth a look, by the row of its summary.
+WORTH_A_LOOK = {
+    "resources": lambda: (F.col("bloated") > 0) | (F.col("heavy_js") > 0) | (F.col("heavy_css") > 0),
+    "social": lambda: (F.col("og_coverage") < 80) | (F.col("twitter_coverage") < 80),
+    "redirects": lambda: (F.col("three_plus") > 0) | (F.col("longest") > 3),
+    "third_parties": lambda: (F.col("share") > 30) | (F.col("avg_requests") > 20),
+    "console": lambda: F.col("errors") > 0,
+    "images": lambda: (F.col("alt_share") < 90) | (F.col("modern_share") < 50),
+}
+
+
+def section(summary: DataFrame, kind: str, sizes: tuple[str, ...] = ()) -> DataFrame:
+    """A row of a summary as a report shows it: ``enabled`` (it has pages), ``has_issues``, and byte columns ``sizes`` as text."""
+    worth = F.coalesce(WORTH_A_LOOK[kind](), F.lit(False))
+    enabled = F.coalesce(F.col("pages") > 0, F.lit(False))
+    return summary.withColumns({"enabled": enabled, "has_issues": enabled & worth} | {f"{c}_text": size_text(F.col(c)) for c in sizes})
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], n: int = 10) -> DataFrame:
+    """The first ``n`` rows of every ``by`` with their place, and how many rows there are in all."""
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= n)
+    return ranked.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("of")), by)
+
+
 def format_date(value: Column) -> Column:
     return F.date_format(value, "MMMM d, yyyy HH:mm")
 

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from sitegrain.plans import crawling, proofs, slate  # noqa: F401  the first two add to the slate
+from sitegrain.plans import crawling, findings, proofs, slate  # noqa: F401  the others add to the slate
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations clicks sales clients client_changes items".split()
