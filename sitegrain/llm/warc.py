@@ -1,8 +1,9 @@
 """WARC archives: a writer with revisit records, and a salvage reader for damaged files.
 
-Every record is a gzip member of its own.  The reader checks each record (gzip checksum, header block, length, block
-or payload digest).  Where a check fails it searches for the next gzip member or version line that starts a valid
-record, goes on from there, and reports the bytes between as a quarantined gap.  An intact archive is read once, front
+The writer makes every record a gzip member of its own; the reader takes members of any number of records.  It checks
+each record (gzip checksum, header block, length, block or payload digest).  Where a check fails it searches for the
+next gzip member or version line that starts a valid record, inside a member as well as behind it, goes on from there,
+and reports the bytes between as a quarantined gap.  An intact archive is read once, front
 to back, by a window that moves with the records; after damage the search begins again behind the failed start.
 """
 
@@ -30,6 +31,8 @@ _CONTROL = re.compile(r"[\x00-\x08\x0a-\x1f\x7f]")
 _RUN_ON = re.compile(r"WARC/1\.[0-9]$")
 #: What is read from the store at once, and what is first taken of a record; more is taken as it proves longer.
 _READ, _TAKE = 1 << 18, 1 << 11
+#: Bytes of a member that are kept while it is checked.
+_KEPT = 1 << 24
 #: Bytes that no header line may hold.
 _NEVER = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
@@ -160,23 +163,118 @@ class Window:
         return kept[: end - at]
 
 
-def _read_member(window: Window, start: int) -> tuple[int, Headers, bytes]:
-    z, parts, at, take = zlib.decompressobj(31), [], start, _TAKE
-    while not z.eof:
-        if at >= window.size:
-            raise Damaged("cut member")
-        piece = window.get(at, take)
+def _gzip_header(data: bytes) -> int:
+    """The length of the header that a member begins with."""
+    flags, n = data[3] if len(data) > 3 else 0, 10
+    if flags & 4:
+        n += 2 + int.from_bytes(data[n : n + 2], "little")
+    for flag in (8, 16):  # name and comment, each up to a zero byte
+        if flags & flag:
+            n = data.find(b"\0", n) + 1 or len(data)
+    return min(len(data), n + (2 if flags & 2 else 0))
+
+
+class Inflated:
+    """The content of the gzip member that begins at ``start``, inflated as far as it is asked for.
+
+    A member that is cut or fails its checks ends where that is noticed, and ``fault`` says why; ``end`` is where an
+    intact one ends in the file.  Where ``unchecked``, it is inflated in small pieces and without its checksum, so
+    that nothing before a fault is lost.
+    """
+
+    def __init__(self, window: Window, start: int, unchecked: bool = False):
+        self.window, self.at, self.take, self.most = window, start, _TAKE, _TAKE if unchecked else _READ
+        self.z = zlib.decompressobj(-15 if unchecked else 31)
+        self.data, self.fault, self.end = bytearray(), "", None
+        if unchecked:
+            self.at += _gzip_header(window.get(start, _READ))
+
+    def more(self) -> bool:
+        """Inflate some more; no where there is none."""
+        while self.end is None and not self.fault:
+            if self.z.unconsumed_tail:
+                piece = self.z.unconsumed_tail
+            elif self.at >= self.window.size:
+                self.fault = "cut member"
+                break
+            else:
+                piece = self.window.get(self.at, self.take)
+                self.at += len(piece)
+                self.take = min(2 * self.take, _READ)
+            try:
+                out = self.z.decompress(piece, self.most)
+            except zlib.error:
+                self.fault = "member data"
+                break
+            if self.z.eof:
+                self.end = self.at - len(self.z.unused_data)
+            if out:
+                self.data += out
+                return True
+        return False
+
+    def get(self, n: int) -> bytes:
+        """The next ``n`` bytes, or what there is."""
+        while len(self.data) < n and self.more():
+            pass
+        return bytes(self.data[:n])
+
+    def drop(self, n: int) -> None:
+        del self.data[:n]
+
+
+def _inside(content: Inflated) -> Iterator[tuple]:
+    """("record", headers, block) and ("gap", reason, None) of a member's content, one record at a time in memory."""
+    gap = ""
+    while content.get(1):
         try:
-            parts.append(z.decompress(piece))
-        except zlib.error as e:
-            raise Damaged("member data") from e
-        at += len(piece)
-        take = min(2 * take, _READ)
-    data = b"".join(parts)
-    headers, block = _parse(data)
-    if not data.endswith(b"\r\n\r\n"):
-        raise Damaged("no record end")
-    return at - len(z.unused_data), *_checked(headers, block)
+            take = _TAKE
+            head = content.get(take)
+            while head.find(b"\r\n\r\n") < 0 and not _NEVER.search(head) and len(head) == take:
+                take *= 2
+                head = content.get(take)
+            headers, _ = _parse(head)
+            first, length = head.find(b"\r\n\r\n") + 4, int(headers["content-length"])
+            whole = content.get(first + length + 4)
+            if whole[first + length :] != b"\r\n\r\n":
+                raise Damaged("no record end")
+            found = _checked(headers, whole[first : first + length])
+        except Damaged as e:
+            gap = gap or str(e)
+            content.drop(1)
+            while (k := content.data.find(_VERSION)) < 0:
+                content.drop(max(0, len(content.data) - len(_VERSION) + 1))
+                if not content.more():
+                    content.drop(len(content.data))
+                    break
+            else:
+                content.drop(k)
+            continue
+        if gap:
+            yield "gap", gap, None
+            gap = ""
+        yield "record", *found
+        content.drop(first + length + 4)
+    if gap:
+        yield "gap", gap, None
+
+
+def _vouched(headers: Headers, block: bytes) -> bool:
+    """Whether a digest of the record itself says that it is whole."""
+    if digest_holds(headers.get("warc-block-digest", ""), block):
+        return True
+    return headers["warc-type"] in ("response", "resource") and digest_holds(headers.get("warc-payload-digest", ""), payload_of(headers, block)) is True
+
+
+def _sound(window: Window, start: int) -> tuple[int | None, str, Inflated]:
+    """(end, fault, content) of the member at ``start``, which is inflated to its end to see whether it is whole; where that
+    takes more than ``_KEPT`` bytes, or there is a fault, ``content`` begins anew."""
+    content, large = Inflated(window, start), False
+    while content.more():
+        if len(content.data) > _KEPT:
+            content.data.clear()
+            large = True
+    return content.end, content.fault, Inflated(window, start, bool(content.fault)) if large or content.fault else content
 
 
 def _header_block(window: Window, start: int) -> bytes:
@@ -219,17 +317,31 @@ def _next_start(window: Window, start: int) -> int:
 def salvage(source, size: int) -> Iterator[tuple]:
     """("record", start, end, headers, block) and ("gap", start, end, reason, None) of one archive, in order.
 
-    Gaps and records cover the file without overlap.  One record at a time is in memory.
+    Gaps and records cover the file.  They do not overlap, but for those of one gzip member, which may hold any number of
+    records and, between them, damage: all of these have the member's start and end.  A member that fails its own checks
+    is a gap; of its records those stay that have a digest which holds, with an empty place at its start.  One record at
+    a time is in memory, beside at most 16 MB of a member.
     """
     at, gap, reason = 0, None, ""
     window = Window(source, size)
     while at < size:
         head = window.get(at, len(_VERSION))
+        found, end = [], None
         try:
             if head.startswith(_MEMBER):
-                end, headers, block = _read_member(window, at)
+                end, fault, content = _sound(window, at)
+                found = _inside(content)
+                if fault:
+                    for kind, headers, block in found:
+                        if kind == "record" and _vouched(headers, block):
+                            if gap is not None and gap < at:
+                                yield "gap", gap, at, reason, None
+                                gap = None
+                            yield "record", at, at, headers, block
+                    raise Damaged(fault)
             elif head == _VERSION:
                 end, headers, block = _read_plain(window, at)
+                found = [("record", headers, block)]
             else:
                 raise Damaged("no member or version line")
         except Damaged as e:
@@ -240,7 +352,8 @@ def salvage(source, size: int) -> Iterator[tuple]:
         if gap is not None:
             yield "gap", gap, at, reason, None
             gap = None
-        yield "record", at, end, headers, block
+        for kind, x, y in found:
+            yield (kind, at, end, x, y)
         at = end
     if gap is not None:
         yield "gap", gap, size, reason, None
@@ -335,8 +448,9 @@ def is_hurt(page_id) -> bool:
 
 
 def damaged_copies(archives: DataFrame) -> DataFrame:
-    """(file, hurt): copies of the files in ``archives`` (file) in which records are damaged, each in one of four ways:
-    bytes overwritten, its second half cut off, its first bytes lost, or all of it turned into noise."""
+    """(file, hurt): copies of the files in ``archives`` (file) in which records are damaged, each in one of five ways:
+    bytes overwritten, its second half cut off, its first bytes lost, all of it turned into noise, or cut in half
+    inside a member that it shares with the record behind it."""
 
     def run(batches):
         for batch in batches:
@@ -346,16 +460,24 @@ def damaged_copies(archives: DataFrame) -> DataFrame:
 
                 def write(sink, store=store, name=name, hurt=hurt):
                     with store.open_input_file(name) as source:
-                        size = source.size()
+                        size, half = source.size(), b""
                         copied = Window(source, size)
                         with store.open_input_file(name) as again:
                             for _, start, end, headers, _ in salvage(again, size):
                                 data = copied.get(start, end - start)
                                 if isinstance(headers, dict) and is_hurt(headers.get("x-page-id")):
-                                    n, middle = hurt[0] % 4, len(data) // 2
+                                    n, middle = hurt[0] % 5, len(data) // 2
                                     hurt[0] += 1
+                                    if n == 4:
+                                        whole = zlib.decompress(data, 31)
+                                        half += whole[: len(whole) // 2]
+                                        continue
                                     data = (data[:middle] + bytes(255 - x for x in data[middle : middle + 9]) + data[middle + 9 :], data[:middle], data[20:], b"\x1f\x8b noise " * (len(data) // 9))[n]
+                                elif half:
+                                    data, half = member(half + zlib.decompress(data, 31)), b""
                                 sink.write(data)
+                        if half:
+                            sink.write(member(half))
 
                 write_atomically(copy, write)
                 yield pa.RecordBatch.from_pydict({"file": [copy], "hurt": pa.array(hurt, pa.int64())})

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import zlib
 
 import pytest
 
@@ -74,3 +75,60 @@ def test_salvage_of_damaged_tables(spark):
     assert got == {i: (len(f"page {i} " * (i % 40)) if i < 600 else 0, not warc.is_hurt(i)) for i in range(601)}
     assert 20 < sum(not ok for _, ok in got.values()) < 60
     assert warc.salvage_damaged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def pages_of(found):
+    return [r[3]["x-page-id"] for r in found if r[0] == "record"]
+
+
+@pytest.mark.parametrize("n", [2, 1000])
+def test_members_of_several_records(n):
+    records = [warc.page_record(i, "u", b"payload %d " % i * (i % 50)) for i in range(n)]
+    data = warc.member(b"".join(records)) + warc.member(warc.page_record(n, "u", b"after"))
+    found = read(data)
+    assert pages_of(found) == [str(i) for i in range(n + 1)] and not any(r[0] == "gap" for r in found)
+    assert {r[1:3] for r in found[:n]} == {(0, found[n][1])} and found[n][2] == len(data)
+
+
+@pytest.mark.parametrize("n", [2, 1000])
+def test_damage_inside_a_member_is_a_gap(n):
+    records = [warc.page_record(i, "u", b"payload %d " % i * 20) for i in range(n)]
+    for hurt in (1, 0, n - 1):
+        for broken in (records[hurt][: len(records[hurt]) // 2], records[hurt].replace(b"payload", b"PAYLOAD"), b"noise"):
+            found = read(warc.member(b"".join([*records[:hurt], broken, *records[hurt + 1 :]])))
+            assert pages_of(found) == [str(i) for i in range(n) if i != hurt]
+            assert [r[0] for r in found].count("gap") == 1
+
+
+def test_a_large_member_that_is_cut_keeps_what_its_digests_vouch_for():
+    records = [warc.page_record(i, "u", bytes((x * i) % 251 for x in range(4000))) for i in range(200)]
+    whole = warc.member(b"".join(records))
+    found = read(whole[: len(whole) // 2] + warc.member(warc.page_record(999, "u", b"x")))
+    assert pages_of(found)[:50] == [str(i) for i in range(50)] and pages_of(found)[-1] == "999"
+    assert [r[0] for r in found].count("gap") == 1
+    again = read(whole[:-6] + b"abcdef")
+    assert len(pages_of(again)) == 200 and again[-1][0] == "gap"
+
+
+def test_a_member_larger_than_what_is_kept(monkeypatch):
+    monkeypatch.setattr(warc, "_KEPT", 10_000)
+    records = [warc.page_record(i, "u", b"payload %d " % i * 100) for i in range(300)]
+    assert pages_of(read(warc.member(b"".join(records)) + warc.member(records[0]))) == [*map(str, range(300)), "0"]
+
+
+def test_members_that_hold_no_record():
+    data = warc.member(b"") + warc.member(b"no record") + warc.member(warc.page_record(1, "u", b"x"))
+    assert [r[0] for r in read(data)] == ["gap", "record"]
+
+
+def test_headers_of_members():
+    import gzip
+
+    out = io.BytesIO()
+    with gzip.GzipFile("a name.warc", "wb", fileobj=out) as f:
+        f.write(warc.page_record(1, "u", b"x") + warc.page_record(2, "u", b"y"))
+    data = out.getvalue()
+    assert pages_of(read(data)) == ["1", "2"] and pages_of(read(data[:-5] + b"12345")) == ["1", "2"]
+    assert zlib.decompressobj(-15).decompress(data[warc._gzip_header(data) :]).startswith(b"WARC/1.1")
+    extra = data[:3] + bytes([4 | 16 | 2]) + data[4:10] + b"\x03\0abc" + b"comment\0" + b"hh"
+    assert warc._gzip_header(extra + b"rest") == len(extra)
