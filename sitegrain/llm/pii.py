@@ -348,6 +348,9 @@ def _windows(text: str) -> set[int]:
     return found
 
 
+_PHONE, _SEPARATOR = re.compile(r"(\+?\(?[0-9])[0-9 ().-]*[0-9]"), re.compile(r"[ ().-]")
+
+
 def _accepts(kind: str, found: str) -> bool:
     """Whether a decoded span is personal data of its kind."""
     if kind == "email":
@@ -356,7 +359,8 @@ def _accepts(kind: str, found: str) -> bool:
         return PATTERNS["ip"].fullmatch(found) is not None and _holds("ip", found)
     if kind == "card":
         return PATTERNS["card"].fullmatch(found) is not None and _holds("card", found)
-    return re.fullmatch(r"\+?\(?[0-9][0-9 ().-]*[ ().-][0-9 ().-]*[0-9]", found) is not None and _holds("phone", found)
+    first = _PHONE.fullmatch(found)  # and a separator between its first digit and its last
+    return first is not None and _SEPARATOR.search(found, first.end(1), len(found) - 1) is not None and _holds("phone", found)
 
 
 def _decode(model: Model, texts: list[str], jobs: list[tuple[int, int]], decoded: list[dict[int, np.ndarray]]) -> None:

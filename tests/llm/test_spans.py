@@ -102,3 +102,30 @@ def test_what_the_model_adds():
         added = {(s, e) for k, s, e in spans if (k, s, e) not in base}
         right, wrong, missed = right + (span in added), wrong + len(added - {span}), missed + (span not in added)
     assert right >= 0.8 * (right + wrong) and right >= 0.7 * (right + missed), (right, wrong, missed)
+
+
+def test_accepting_long_spans_takes_time_in_proportion():
+    rng = random.Random(4)
+    text = "".join(rng.choice("0123456789" * 3 + "  .-()") for _ in range(1_000_000))
+    began = time.time()
+    for kind in pii.KINDS:
+        for span in (text, "1" + text + "2", "+(1" + text + "2", "1 " * 500_000, "a." * 500_000 + "@" + "a." * 500_000):
+            assert not pii._accepts(kind, span)
+    assert time.time() - began < 5
+
+
+def test_accepting_phones_is_as_before():
+    import re
+
+    rng = random.Random(5)
+    slow = re.compile(r"\+?\(?[0-9][0-9 ().-]*[ ().-][0-9 ().-]*[0-9]")
+    for _ in range(20_000):
+        span = "".join(rng.choice("0123456789012345 ().-+") for _ in range(rng.randrange(1, 18)))
+        assert pii._accepts("phone", span) == (slow.fullmatch(span) is not None and pii._holds("phone", span))
+
+
+def test_a_megabyte_of_numbers():
+    text = ("12 34 (56) 78.9-0 " * 56_000)[:1_000_000]
+    began = time.time()
+    pii.all_spans(pii.train(), [text])
+    assert time.time() - began < 120
