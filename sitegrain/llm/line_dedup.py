@@ -14,13 +14,21 @@ are left out beforehand.  Lines of a middle length have both signatures, so that
 lines that repeat themselves so much that bins stay empty are signed by their distinct shingles, as both if they are
 few.
 
+Lines of few symbols or words - zeros and ones, four letters, a handful of words - have nearly all of the
+shingles of five characters that they can have, and hardly share a longer one, however similar they are.  Where fewer than three quarters of a line's
+places of five characters are distinct, it also has twelve bands of five minima over its distinct shingles of
+five.
+
 Lines that share a band are compared exactly, links go to a distributed union-find, and of every component the first
 line stays.  Bands are not expanded into all pairs: every band is known by its least line, and a line goes once to the
 group of each such lead.  In a group all lines are compared with the lead, then lines of different components with one
 another, less those that an exact bound rules out: of each set a bitmap of 1,024 hashed places is kept, and every place
 that one bitmap has and the other lacks is at least one shingle that is not shared.  What stays uncompared lies in one
 component or is too far apart, so no link that could join two is lost.  A group returns a spanning forest of its links.
-Groups of more than GROUP_LIMIT lines are cut into chunks, and every two chunks are a task's group of their own.
+In groups of more than GROUP_LIMIT lines all are first compared with the lead, each on its own.  Those that it links
+are one component and need not meet one another; they only meet the rest.  So the rest is cut into chunks, and every
+chunk of it meets every other, and every chunk of the linked ones, in a task's group of their own; where all are linked,
+nothing more is to do.
 
 The shingles of all positions are hashed, sampled and compared in numpy, over Arrow batches; joins, counts and
 components are DataFrame operations.
@@ -49,6 +57,9 @@ LONG_LEAST, SHORT_MOST = 90, 125
 KEPT = 5
 #: A long line with more empty bins than this is signed by its distinct shingles.
 EMPTY_BINS = BINS // 3
+#: Bands and rows of the signature of a line with few distinct shingles, the share of places below which they are few, and
+#: what is looked at first: symbols, or the share of distinct words, in lines of so many characters and more.
+FEW_BANDS, FEW_ROWS, FEW_SHARE, FEW_SYMBOLS, FEW_WORDS, FEW_LEAST = 12, 5, 0.75, 16, 0.5, 24
 #: 64-bit words of a bitmap.
 WORDS = 16
 #: Characters that are hashed at once.
@@ -149,9 +160,12 @@ def _bands(minima: np.ndarray, long: bool) -> np.ndarray:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, 2 BANDS): the bands of each line by its short and its long signature, 0 where it has none."""
-    out = np.zeros((len(lines), 2 * BANDS), np.uint64)
+    """(lines, 2 BANDS + FEW_BANDS): the bands of each line by its short and its long signature and that of few shingles, 0
+    where it has none."""
+    out, few = np.zeros((len(lines), 2 * BANDS), np.uint64), np.zeros((len(lines), FEW_BANDS), np.uint64)
     held, size = [], 0
+    for i in filter(lambda i: _looks_few(lines[i]), range(len(lines))):
+        few[i] = _sign_few(lines[i])
     for i, line in enumerate(lines):
         if len(line) > SLICE:
             out[i] = _sign_one(line)
@@ -163,6 +177,32 @@ def signatures(lines: list[str]) -> np.ndarray:
             held, size = [], 0
     if held:
         out[held] = _sign([lines[j] for j in held])
+    return np.hstack((out, few))
+
+
+def _looks_few(line: str) -> bool:
+    if len(line) < FEW_LEAST:
+        return False
+    if len(set(line)) <= FEW_SYMBOLS:
+        return True
+    words = line.split(" ")
+    return len(words) > 3 and len(set(words)) <= FEW_WORDS * len(words)
+
+
+def _sign_few(line: str) -> np.ndarray:
+    """The bands of a line by its distinct shingles; none where these are not few."""
+    distinct = np.empty(0, np.uint64)
+    for k in range(0, len(line) - SHINGLE + 1, SLICE):
+        distinct = np.unique(np.concatenate((distinct, shingles([line[k : k + SLICE + SHINGLE - 1]])[0])))
+    out = np.zeros(FEW_BANDS, np.uint64)
+    if len(distinct) >= FEW_SHARE * (len(line) - SHINGLE + 1):
+        return out
+    for b in range(FEW_BANDS):
+        band = np.array([(b + 101) * _BASE % (1 << 64)], np.uint64)
+        for r in range(FEW_ROWS):
+            least = _mixed(distinct + np.uint64((b * FEW_ROWS + r + 41) * _BASE % (1 << 64))).min()
+            band = _mixed(band * np.uint64(_BASE) + least)
+        out[b] = band[0] | np.uint64(1)
     return out
 
 
@@ -308,11 +348,13 @@ def similar_lines(docs: DataFrame, uses: DataFrame, groups: DataFrame, similarit
     lines = lines if few else lines.join(wanted, "k", "left_semi")
     texts = materialize(lines.dropDuplicates(["k", "m"]).join(ids, ["k", "m"]).select("k", "id", "line"), "texts")
     bounded_batches(spark)
-    chunks = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
-    own = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.least(c, own) * 1_000_000 + F.greatest(c, own))
-    placed = spokes.join(sizes, "lead").join(texts, "k").select("lead", "id", "line", (F.col("k") != F.col("lead")).alias("later"), F.explode(F.when(F.col("n") <= GROUP_LIMIT, F.array(F.lit(-1))).otherwise(pairs)).alias("part"))
-    keyed = placed.select(F.xxhash64("lead", "part").alias("key"), "later", "id", "line").repartition("key").sortWithinPartitions("key", "later", "id")
+    small = spokes.join(sizes.filter(F.col("n") <= GROUP_LIMIT), "lead").join(texts, "k").select("lead", "id", "line", (F.col("k") != F.col("lead")).alias("later"), F.lit(-1).cast("long").alias("part"))
+    met = large_links = None
+    if sizes.filter(F.col("n") > GROUP_LIMIT).limit(1).count():
+        met = meet_lead(spokes.join(sizes.filter(F.col("n") > GROUP_LIMIT), "lead").join(texts, "k"), similarity)
+        large_links = met.filter("linked and id <> lead_id").select(F.col("lead_id").alias("u"), F.col("id").alias("v"))
+        small = small.unionByName(meet_rest(met).join(texts.select("id", "line"), "id"))
+    keyed = small.select(F.xxhash64("lead", "part").alias("key"), "later", "id", "line").repartition("key").sortWithinPartitions("key", "later", "id")
 
     def run(batches):
         held: list[list] = [[], [], []]
@@ -340,12 +382,64 @@ def similar_lines(docs: DataFrame, uses: DataFrame, groups: DataFrame, similarit
         if held[0]:
             yield close(len(held[0]))
 
-    found = materialize(keyed.mapInArrow(run, "u long, v long").distinct(), "links")
-    for table in (shared, spokes, sizes, wanted, texts):
+    links = keyed.mapInArrow(run, "u long, v long")
+    found = materialize((links if large_links is None else links.unionByName(large_links)).distinct(), "links")
+    for table in (shared, spokes, sizes, wanted, texts, *([] if met is None else [met])):
         discard(table)
     return found
 
 
+def meet_lead(members: DataFrame, similarity: float = SIMILARITY, salts: int = 64) -> DataFrame:
+    """(lead, id, lead_id, linked): every line of a group compared with its lead; ``members`` are (lead, k, id, line)."""
+    own = members.filter("k = lead").groupBy("lead").agg(F.min(F.struct("id", "line")).alias("own"))
+    copies = own.select("lead", F.col("own.id").alias("lead_id"), F.col("own.line").alias("lead_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = members.select("lead", "id", "line", F.pmod("id", F.lit(salts)).cast("int").alias("salt"))
+    rows = dealt.join(copies, ["lead", "salt"]).select("lead", "id", "line", "lead_id", "lead_line")
+
+    def run(batches):
+        for batch in batches:
+            at: dict[int, list[int]] = {}
+            for i, lead in enumerate(batch.column(3).to_pylist()):
+                at.setdefault(lead, []).append(i)
+            linked = np.zeros(len(batch), bool)
+            for where in at.values():
+                lines = [batch.column(4)[where[0]].as_py(), *batch.column(2).take(pa.array(where)).to_pylist()]
+                for a, b in _parts(list(range(len(lines))), lines):
+                    part = lines[a:b] if a == 0 else [lines[0], *lines[a:b]]
+                    first = np.array(where)[max(a - 1, 0) : b - 1]
+                    linked[first] = _like_first(part, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(linked)], ["lead", "id", "lead_id", "linked"])
+
+    return materialize(rows.mapInArrow(run, "lead long, id long, lead_id long, linked boolean"), "met")
+
+
+def _like_first(lines: list[str], similarity: float) -> np.ndarray:
+    """Whether each line but the first is similar to the first."""
+    hashes, counts = shingles(lines)
+    first = np.cumsum(counts) - counts
+    lead = np.unique(hashes[: counts[0]])
+    out = np.zeros(len(lines) - 1, bool)
+    for i in range(1, len(lines)):
+        own = np.unique(hashes[first[i] : first[i] + counts[i]])
+        both = len(np.intersect1d(lead, own, assume_unique=True))
+        out[i - 1] = both + 1e-9 >= similarity * (len(lead) + len(own) - both)
+    return out
+
+
+def meet_rest(met: DataFrame) -> DataFrame:
+    """(lead, id, later, part): where the lines of large groups meet those that are not linked to their lead."""
+    n = met.groupBy("lead").agg(F.count_if(~F.col("linked")).alias("rest"), F.count_if("linked").alias("linked_n")).filter("rest > 0")
+    pieces = n.select("lead", F.ceil(F.col("rest") / GROUP_LIMIT).cast("int").alias("a"), F.ceil(F.col("linked_n") / GROUP_LIMIT).cast("int").alias("b"))
+    own = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.when(F.col("linked"), F.col("b")).otherwise(F.col("a"))).cast("long")
+    until = lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(c, F.lit(1)) - 1), lambda x: x < c), lambda x: x.cast("long"))
+    cell = lambda x, y: x * 1_000_000_000 + y
+    with_rest = F.transform(until(F.col("a")), lambda c: cell(F.least(c, own), F.greatest(c, own)))
+    with_linked = F.transform(until(F.col("b")), lambda c: cell(own, F.col("a") + c))
+    of_linked = F.transform(until(F.col("a")), lambda c: cell(c, F.col("a") + own))
+    parts = F.when(F.col("linked"), of_linked).otherwise(F.concat(with_rest, with_linked))
+    return met.join(pieces, "lead").select("lead", "id", F.lit(True).alias("later"), F.explode(parts).alias("part"))
+
+
 def _parts(keys: list[int], texts: list[str]):
     """(start, end) of runs of whole groups with about SLICE characters."""
     start, size = 0, 0

@@ -147,3 +147,49 @@ def test_lines_fold_case_and_blanks(spark):
     rows = [(1, "\n".join(lines), "", ""), (2, "\n".join(reversed(lines)), "", "")]
     got = {r.doc_id: (r.n_lines, r.n_kept, r.dropped) for r in line_dedup.deduplicated_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == plain_lines(rows) and got[1][1] == 6
+
+
+def few_kinds(rng):
+    """(kind, letters, line) for lines of few symbols or words."""
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    yield "bits", "01", some("01", rng.randint(60, 300))
+    yield "four letters", "acgt", some("acgt", rng.randint(200, 5000))
+    words = [some("abcdefghijklmnop", rng.randint(3, 8)) for _ in range(4)]
+    yield "four words", "abc ", " ".join(rng.choice(words) for _ in range(rng.randint(12, 60)))
+    yield "digits", "0123456789 ", some("0123456789 ", rng.randint(3000, 9000))
+
+
+def test_recall_on_lines_of_few_symbols(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(120):
+        for kind, letters, line in few_kinds(rng):
+            for n in (1, max(1, len(line) // 60)):
+                other = edits(rng, line, n, letters)
+                a, b = shingle_set(normal(line)), shingle_set(normal(other))
+                if normal(line) != normal(other) and len(a & b) >= 0.8 * len(a | b):
+                    pairs.append((kind, line, other))
+    signed = line_dedup.signatures([x for _, a, b in pairs for x in (normal(a), normal(b))])
+    for kind in {k for k, *_ in pairs}:
+        found = [((signed[2 * i] == signed[2 * i + 1]) & (signed[2 * i] != 0)).any() for i, (k, *_) in enumerate(pairs) if k == kind]
+        assert len(found) >= 50 and sum(found) >= 0.95 * len(found), (kind, sum(found), len(found))
+
+
+def test_a_large_group_makes_rows_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP_LIMIT", 50)
+    rng = random.Random(6)
+    lead = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    lines = [lead, *(lead[:50] + f"{n:04d}" + lead[54:] for n in range(3000)), *("x" * 40 + str(n) + lead[:40] for n in range(20))]
+    members = spark.createDataFrame([(7, 7 if n == 0 else n + 100, n, x) for n, x in enumerate(lines)], "lead long, k long, id long, line string")
+    met = line_dedup.meet_lead(members)
+    flags = {r.id: r.linked for r in met.collect()}
+    sets = [shingle_set(x) for x in lines]
+    assert flags == {n: len(s & sets[0]) >= 0.8 * len(s | sets[0]) for n, s in enumerate(sets)} and sum(flags.values()) == 3001
+    parts = line_dedup.meet_rest(met).collect()
+    assert len(parts) <= 3001 + 20 * 80
+    together = {}
+    for r in parts:
+        together.setdefault(r.part, set()).add(r.id)
+    for n in range(3001, 3021):
+        assert set().union(*(g for g in together.values() if n in g)) == set(range(3021))
+    assert line_dedup.meet_rest(met.filter("linked")).count() == 0
