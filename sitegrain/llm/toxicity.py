@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, labelled_sample
+from .common import bounded_batches, discard, held_out, labelled_sample, materialize
 
 #: Seed words of each class, in English, French, German and Spanish.
 INSULTS = (
@@ -44,6 +44,9 @@ THRESHOLD = 0.3
 SAMPLE = 20_000
 #: A stem: its length, the fewest toxic uses and distinct words, the largest share of clean uses.
 STEM_LENGTHS, STEM_USES, STEM_WORDS, STEM_CLEAN = (4, 5, 6, 7, 8), 5, 3, 0.1
+#: A stem without any clean use needs no three words if its evidence, the log-likelihood that toxic documents alone have
+#: it, is this many times the logarithm of how many stems were looked at, and that many words follow it.
+STEM_EVIDENCE, STEM_CONTEXTS = 1.0, 3
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -181,27 +184,45 @@ class Grammar:
 
 
 def _learn_stems(rows: DataFrame) -> list[str]:
-    """Prefixes that documents marked toxic share in several words and clean ones hardly have; the shortest that do."""
+    """Prefixes that documents marked toxic share and clean ones hardly have; the shortest that do.
+
+    Either several words have them, or no clean document and so many toxic ones that chance would hardly bring it
+    about among all prefixes; different words must follow then, so that copies of a document are no evidence.
+    """
     seeds = Grammar()
 
     def count(batches):
         for batch in batches:
-            bad, good = Counter(), Counter()
+            bad, good, follow = Counter(), Counter(), {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if toxic and seeds.outcomes(text):
                     continue
-                (bad if toxic else good).update(set(_PLAIN.findall(text.lower())))
+                words = _PLAIN.findall(text.lower())
+                (bad if toxic else good).update({"", *words})  # the empty word counts documents
+                for w, after in zip(words, [*words[1:], ""]) if toxic else ():
+                    follow.setdefault(w, set()).add(after)
             words = list(bad.keys() | good.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([bad[w] for w in words], pa.int64()), pa.array([good[w] for w in words], pa.int64())], ["word", "bad", "good"])
+            after = [sorted(follow.get(w, ()))[:STEM_CONTEXTS] for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([bad[w] for w in words], pa.int64()), pa.array([good[w] for w in words], pa.int64()), pa.array(after, pa.list_(pa.string()))], ["word", "bad", "good", "after"])
 
-    words = rows.select("text", "toxic").mapInArrow(count, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = rows.select("text", "toxic").mapInArrow(count, "word string, bad long, good long, after array<string>")
+    words = materialize(words.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.array_distinct(F.flatten(F.collect_list("after"))).alias("after")), "words")
     stems = F.explode(F.transform(F.array(*[F.lit(n) for n in STEM_LENGTHS]), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))).alias("stem")
-    by_stem = words.select(stems, "bad", "good").filter("stem is not null").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"))
-    found = by_stem.filter((F.col("bad") >= STEM_USES) & (F.col("words") >= STEM_WORDS) & (F.col("good") <= STEM_CLEAN * F.col("bad"))).select("stem").collect()  # of the bounded sample
+    by_stem = words.select(stems, "bad", "good", "after").filter("stem is not null")
+    by_stem = materialize(by_stem.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list("after")))).alias("contexts")).filter("bad > 0"), "stems")
+    looked_at, documents = by_stem.count(), words.filter("word = ''").select("bad", "good").first()
+    found = None
+    if looked_at and documents.good:
+        need = STEM_EVIDENCE * float(np.log(looked_at)) / float(np.log((documents.bad + documents.good) / documents.bad))
+        alone = (F.col("good") == 0) & (F.col("contexts") >= STEM_CONTEXTS) & (F.col("bad") >= need)
+        shared = (F.col("bad") >= STEM_USES) & (F.col("words") >= STEM_WORDS) & (F.col("good") <= STEM_CLEAN * F.col("bad"))
+        found = by_stem.filter(alone | shared).select("stem").collect()  # of the bounded sample
     kept: list[str] = []
-    for stem in sorted((r.stem for r in found), key=lambda s: (len(s), s)):
+    for stem in sorted((r.stem for r in found or ()), key=lambda s: (len(s), s)):
         if not any(stem.startswith(k) for k in kept):
             kept.append(stem)
+    discard(words)
+    discard(by_stem)
     return kept
 
 
@@ -215,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Grammar:
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = labelled_sample(known, "doc_id", limit)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = materialize(rows, "taught")  # the bounded sample, read more than once
     grammar = Grammar(_learn_stems(rows))
 
     def count(batches):
