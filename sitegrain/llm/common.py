@@ -85,12 +85,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+def labelled_sample(rows: DataFrame, key: str | list[str], limit: int) -> DataFrame:
     """About ``limit`` rows chosen by a hash of ``key``; all rows where there are no more than that."""
-    n = rows.select(key).count()
+    key = [key] if isinstance(key, str) else key
+    n = rows.select(*key).count()
     if n <= limit:
         return rows
-    return rows.filter(F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit((limit << 63) // n).cast("long"))
+    return rows.filter(F.shiftrightunsigned(F.xxhash64(*key), 1) < F.lit((limit << 63) // n).cast("long"))
 
 
 def open_output(path: str):

@@ -132,10 +132,10 @@ class Model:
 
 
 def fit(rows: DataFrame, limit: int = SAMPLE) -> Model:
-    """A model of ``rows`` (doc_id, text, lang), from about ``limit`` of them chosen by a hash of the id."""
+    """A model of ``rows`` (doc_id, text, lang), from about ``limit`` of them chosen by a hash of id and text."""
     bounded_batches(rows.sparkSession)
     known = rows.filter("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    chosen = labelled_sample(known, "doc_id", limit).select("text", "lang")
+    chosen = labelled_sample(known, ["doc_id", "text"], limit).select("text", "lang")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
