@@ -205,7 +205,7 @@ def manifest(docs: DataFrame, text: Column | None = None, with_proof: bool = Fal
     other = own if text is None else F.when(text.eqNullSafe(F.col("text")), own).otherwise(leaf(*fields, text))
     grp = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), grp.alias("grp"), own.alias("node"), other.alias("other"))
-    leaves = numbered(plain, ["grp"], ["doc_id", "node"])
+    leaves = numbered(materialize(plain, "digests"), ["grp"], ["doc_id", "node"])  # texts are read once
     subroots, above = tree(leaves)
     # the roots of the languages are the leaves of one more tree
     langs = numbered(subroots.select(F.col("grp").alias("lang"), F.lit("").alias("grp"), F.col("root").alias("node")), [], ["lang"])
