@@ -58,8 +58,9 @@ KEPT = 5
 #: A long line with more empty bins than this is signed by its distinct shingles.
 EMPTY_BINS = BINS // 3
 #: Bands and rows of the signature of a line with few distinct shingles, the share of places below which they are few, and
-#: what is looked at first: symbols, or the share of distinct words, in lines of so many characters and more.
-FEW_BANDS, FEW_ROWS, FEW_SHARE, FEW_SYMBOLS, FEW_WORDS, FEW_LEAST = 12, 5, 0.75, 16, 0.5, 24
+#: what is looked at first, in lines of so many characters and more: whether it has this share of characters to the shingles
+#: that its symbols can make, or the share of its words that are distinct.
+FEW_BANDS, FEW_ROWS, FEW_SHARE, FEW_SYMBOLS, FEW_WORDS, FEW_LEAST = 12, 5, 0.75, 0.3, 0.4, 24
 #: 64-bit words of a bitmap.
 WORDS = 16
 #: Characters that are hashed at once.
@@ -71,6 +72,7 @@ BROADCAST_ROWS = 1_000_000
 
 _NONE = np.uint64(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
+_FEW_SEEDS = np.array([(n + 41) * _BASE % (1 << 64) for n in range(FEW_BANDS * FEW_ROWS)], np.uint64)[:, None]
 #: Between lines stand more characters than a shingle has, of a code that no text holds.
 _GAP = "\U0010ffff" * LONG_SHINGLE
 
@@ -181,12 +183,15 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def _looks_few(line: str) -> bool:
+    """Whether a line may have few distinct shingles: its symbols make few, or it has few distinct words.  Both are
+    looked at in a part of the line first, which has no more of either than the whole."""
     if len(line) < FEW_LEAST:
         return False
-    if len(set(line)) <= FEW_SYMBOLS:
+    most = (len(line) / FEW_SYMBOLS) ** (1 / SHINGLE)
+    if len(set(line[:FEW_LEAST])) <= most and len(set(line)) <= most:
         return True
-    words = line.split(" ")
-    return len(words) > 3 and len(set(words)) <= FEW_WORDS * len(words)
+    words = (line.count(" ") + 1) * FEW_WORDS
+    return words > 1 and len(set(line[: len(line) // 2].split(" "))) <= words and len(set(line.split(" "))) <= words
 
 
 def _sign_few(line: str) -> np.ndarray:
@@ -197,13 +202,13 @@ def _sign_few(line: str) -> np.ndarray:
     out = np.zeros(FEW_BANDS, np.uint64)
     if len(distinct) >= FEW_SHARE * (len(line) - SHINGLE + 1):
         return out
-    for b in range(FEW_BANDS):
-        band = np.array([(b + 101) * _BASE % (1 << 64)], np.uint64)
-        for r in range(FEW_ROWS):
-            least = _mixed(distinct + np.uint64((b * FEW_ROWS + r + 41) * _BASE % (1 << 64))).min()
-            band = _mixed(band * np.uint64(_BASE) + least)
-        out[b] = band[0] | np.uint64(1)
-    return out
+    least = np.full(FEW_BANDS * FEW_ROWS, ~np.uint64(0))
+    for k in range(0, len(distinct), 1 << 12):
+        least = np.minimum(least, _mixed(distinct[k : k + (1 << 12)] + _FEW_SEEDS).min(axis=1))
+    band = _FEW_SEEDS[:FEW_BANDS, 0].copy()
+    for r in range(FEW_ROWS):
+        band = _mixed(band * np.uint64(_BASE) + least[r::FEW_ROWS])
+    return band | np.uint64(1)
 
 
 def _sign(lines: list[str]) -> np.ndarray:
