@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import api, links, sections, technical
 from ..sources import archives, crawl_folders, lighthouse, sitemaps
@@ -173,7 +174,7 @@ def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.sitemap_pages(files, spark.range(1).select(F.lit("index").alias("url")))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(content: pd.Series, pack: pd.Series) -> pd.Series:
     import gzip
 
@@ -240,6 +241,7 @@ def crawl_states_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.select(F.coalesce("client_id", F.lit(-1)).cast("string").alias("domain"), F.concat(F.lit("u"), (F.col("click_id") % 997).cast("string")).alias("url"), F.expr(_EVENT).alias("event"), "click_id")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     crawl_state.prepare(spark)
+    spark.createDataFrame([], crawl_state.SCHEMA).write.parquet(f"{sink}/batch=none")  # there may be no events at all
     try:
         for part in (0, 1):  # the second half comes while no query runs
             rows.filter(F.col("click_id") % 2 == part).drop("click_id").write.mode("append").parquet(source)
@@ -247,7 +249,7 @@ def crawl_states_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
             crawl_state.url_states(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/batch={n}")).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return crawl_state.latest(spark.read.parquet(sink)).select("domain", "url", "status", "attempts")
+    return crawl_state.latest(spark.read.schema(crawl_state.SCHEMA + ", batch string").parquet(sink)).select("domain", "url", "status", "attempts")
 
 
 @_query("SELECT CAST(count(*) AS BIGINT) AS done, CAST(count(*) FILTER (kind = 'error') AS BIGINT) AS failed, CAST(2 AS BIGINT) AS runs FROM clicks")

@@ -111,6 +111,7 @@ def first_seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, sink, checkpoint = (scratch_path(spark, t) for t in ("found", "seen", "checkpoint"))
     url = F.concat_ws("/", F.coalesce("kind", F.lit("-")), F.coalesce(F.col("client_id").cast("string"), F.lit("-")))
     rows = _table(spark, sf_dir, "clicks").filter("ts is not null").select(url.alias("url"), F.col("ts").cast("timestamp").alias("ts"), "click_id")
+    spark.createDataFrame([], "url string").write.parquet(sink)  # there may be none at all
     for part in (True, False):
         rows.filter((F.coalesce(F.col("click_id"), F.lit(0)) % 2 == 0) == part).drop("click_id").write.mode("append").parquet(source)
         stream = spark.readStream.schema("url string, ts timestamp").parquet(source)

@@ -11,7 +11,7 @@ def test_entry_and_names(spark):
 
 def test_queries_run_on_empty_tables(spark, tmp_path):
     """Every page query gives a result, mostly without rows, where its tables are empty."""
-    for name in "pages documents labels events orders lineitem supplier part customer".split():
+    for name in "pages documents labels events orders lineitem supplier part customer clicks".split():
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     from sitegrain.plans import slate
 
