@@ -22,7 +22,9 @@ def main(args: list[str] | None = None) -> int:
     report.add_argument("out")
     given = parser.parse_args(args)
 
+    from .operators import sinks
     from .plans import crawling, findings, proofs, slate  # noqa: F401  the others add to the slate
+    from .sources.shared import scratch_run
 
     if given.command == "list":
         print("\n".join(sorted(slate.QUERIES)))
@@ -30,18 +32,17 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("sitegrain").getOrCreate()
-    if given.command == "report":
-        from .operators import sinks
-
-        sinks.write_report(given.out, f"Crawl of {given.folder}", {name: slate.QUERIES[name](spark, given.folder) for name in SECTIONS})
-        return 0
-    if given.query not in slate.QUERIES:
+    if given.command == "run" and given.query not in slate.QUERIES:
         parser.error(f"there is no query {given.query}")
-    found = slate.QUERIES[given.query](spark, given.folder)
-    if given.out:
-        found.write.parquet(given.out)
-    else:
-        found.show(given.rows, truncate=False)
+    with scratch_run(spark):
+        if given.command == "report":
+            sinks.write_report(given.out, f"Crawl of {given.folder}", {name: slate.QUERIES[name](spark, given.folder) for name in SECTIONS})
+            return 0
+        found = slate.QUERIES[given.query](spark, given.folder)
+        if given.out:
+            found.write.parquet(given.out)
+        else:
+            found.show(given.rows, truncate=False)
     return 0
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +12,9 @@ from ..functions import vitals
 from ..thresholds import DEFAULTS, Thresholds
 
 
-#: Ranges that the values of a group are counted in before ranks are looked for.
-RANGES = 1024
+#: Approximate ranks are asked for at this accuracy, and ranges reach two of its steps to both sides of a wanted rank.
+ACCURACY = 10_000
+WANTED = (0.5, 0.9)
 
 
 def seven_numbers(value: Column) -> list[Column]:
@@ -28,40 +29,54 @@ def seven_numbers(value: Column) -> list[Column]:
 def statistics(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """The seven numbers of ``value`` for each group; nulls are left out.
 
-    Ranks are exact and no group is gathered or sorted whole: values are counted, the counts are summed in equal ranges
-    between the group's least and largest value, and only the ranges that hold a wanted rank are looked into.
+    Ranks are exact and no group is gathered or sorted whole: see :func:`near_ranks`.
     """
     groups = list(by) or ["_all"]
-    kept = rows.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1)).select(*groups, F.col(value).alias("_v"))
-    agg = kept.groupBy(*groups).agg(*seven_numbers(F.col("_v")))
-    own = [f"_j{i}" for i in range(len(groups))]
-
-    def meet(left, right):
-        """``left`` with the columns of ``right`` for its group; groups may be null."""
-        named = right.select(*[F.col(g).alias(j) for g, j in zip(groups, own)], *[c for c in right.columns if c not in groups])
-        return left.join(named, reduce(and_, (F.col(g).eqNullSafe(F.col(j)) for g, j in zip(groups, own)))).drop(*own)
-
-    counts = meet(kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n")), agg.select(*groups, F.col("count").alias("_c"), F.col("min").alias("_a"), F.col("max").alias("_b")))
-    share = F.try_divide((F.col("_v") - F.col("_a")) * RANGES, F.col("_b") - F.col("_a"))
-    placed = counts.withColumn("_r", F.coalesce(F.least(F.lit(RANGES - 1), F.floor(share)), F.lit(0)))
-    ranges = placed.groupBy(*groups, "_r").agg(F.sum("_n").alias("_m"))
-    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*groups).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("_before", before).withColumnRenamed("_r", "_s")
-    total = F.col("_c")
-    wanted = {"lower": F.floor((total - 1) / 2), "upper": F.floor(total / 2), "ninth": F.floor(total * 0.9)}
-    named = ranges.select(*[F.col(g).alias(j) for g, j in zip(groups, own)], "_s", "_m", "_before")
-    same = reduce(and_, (F.col(g).eqNullSafe(F.col(j)) for g, j in zip(groups, own))) & (F.col("_r") == F.col("_s"))
-    holds = reduce(lambda x, y: x | y, ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_m")) for r in wanted.values()))
-    near = placed.join(named, same).drop(*own).filter(holds)
+    agg, near = near_ranks(rows, value, by)
     inside = F.sum("_n").over(Window.partitionBy(*groups, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("_last", F.col("_before") + inside)
     at = lambda r: F.max(F.when((F.col("_last") - F.col("_n") <= r) & (r < F.col("_last")), F.col("_v")))
-    ranks = near.groupBy(*groups).agg(*[at(r).alias(k) for k, r in wanted.items()])
+    ranks = near.groupBy(*groups).agg(*[at(r).alias(k) for k, r in _wanted().items()])
     median = (F.col("lower").cast("double") + F.col("upper").cast("double")) / 2
-    found = meet(agg, ranks.select(*groups, median.alias("median"), F.col("ninth").alias("p90")))
+    found = _meet(agg, ranks.select(*groups, median.alias("median"), F.col("ninth").alias("p90")), groups)
     return found.select(*by, "count", "avg", "median", "stddev", "p90", "min", "max")
 
 
+def near_ranks(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """What :func:`seven_numbers` and approximate quantiles say of each group, and the counted values near its wanted ranks.
+
+    Quantiles close to the wanted ranks cut a group's values into five ranges, distinct values are counted, the counts
+    are summed by range, and only the ranges that hold a wanted rank remain, with what lies before them.  However
+    values are spread, those are about 0.06 % of a group; should a quantile be off by more than it promises, a larger
+    range remains and the ranks are right all the same.
+    """
+    groups = list(by) or ["_all"]
+    kept = rows.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1)).select(*groups, F.col(value).alias("_v"))
+    reach = 2 / ACCURACY
+    cuts = F.percentile_approx("_v", [p for w in WANTED for p in (w - reach, w + reach)], ACCURACY)
+    agg = kept.groupBy(*groups).agg(*seven_numbers(F.col("_v")), cuts.alias("_cuts"))
+    counts = _meet(kept.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n")), agg.select(*groups, F.col("count").alias("_c"), "_cuts"), groups)
+    # the range from a lower cut to the upper one holds both
+    past = [F.col("_v") >= F.col("_cuts")[i] if i % 2 == 0 else F.col("_v") > F.col("_cuts")[i] for i in range(2 * len(WANTED))]
+    placed = counts.withColumn("_r", reduce(add, (p.cast("int") for p in past))).drop("_cuts")
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*groups).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy(*groups, "_r").agg(F.sum("_n").alias("_m")).withColumn("_before", before)
+    holds = reduce(or_, ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_m")) for r in _wanted().values()))
+    return agg, _meet(placed, ranges, [*groups, "_r"]).filter(holds)
+
+
+def _wanted() -> dict[str, Column]:
+    """Indexes of the wanted values in a group's sorted values, by its count."""
+    return {"lower": F.floor((F.col("_c") - 1) / 2), "upper": F.floor(F.col("_c") / 2), "ninth": F.floor(F.col("_c") * 0.9)}
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` for its keys, which may be null."""
+    own = [f"_j{i}" for i in range(len(keys))]
+    named = right.select(*[F.col(k).alias(j) for k, j in zip(keys, own)], *[c for c in right.columns if c not in keys])
+    return left.join(named, reduce(and_, (F.col(k).eqNullSafe(F.col(j)) for k, j in zip(keys, own)))).drop(*own)
+
+
 def vitals_rows(pages: DataFrame) -> DataFrame:
     """(url, lcp, inp, cls, overall): estimated statuses from load time and element counts."""
     lcp = vitals.lcp_status(F.col("load_time"), F.col("lcp_candidates"))

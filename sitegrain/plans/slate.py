@@ -40,9 +40,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_table(_table(spark, sf_dir, "pages"))
 
 
-def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page table without page texts, written once for queries that read it in several branches."""
-    return written(_pages(spark, sf_dir).drop("content_text"), "pages")
+def _silver(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The page table without page texts, or ``columns`` of it, written once for queries that read it in several branches."""
+    pages = _pages(spark, sf_dir)
+    return written(pages.select(*columns) if columns else pages.drop("content_text"), "pages")
 
 
 def _r(value: Column | str, digits: int = 4) -> Column:
@@ -139,26 +140,26 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_PAGE_SQL}, {_EDGES}, d AS (SELECT src, pos, regexp_extract(CASE WHEN href LIKE '/%' THEN root || href ELSE href END, '^[^#]*', 0) AS dst FROM e)
 SELECT src, count(*) AS n, string_agg(dst, ' ' ORDER BY pos) AS broken FROM d WHERE dst NOT IN (SELECT url FROM pages) GROUP BY src""")
 def broken_internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.broken_internal_links(_silver(spark, sf_dir)).select("src", F.size("broken").cast("long").alias("n"), F.array_join("broken", " ").alias("broken"))
+    return links.broken_internal_links(_silver(spark, sf_dir, "url", "links")).select("src", F.size("broken").cast("long").alias("n"), F.array_join("broken", " ").alias("broken"))
 
 
 @_query(f"""WITH {_PAGE_SQL}, {_EDGES}, d AS (SELECT DISTINCT regexp_extract(CASE WHEN href LIKE '/%' THEN root || href ELSE href END, '^[^#]*', 0) AS dst FROM e),
 f AS (SELECT host, root FROM p ORDER BY page_id LIMIT 1)
 SELECT DISTINCT url FROM p, f WHERE url NOT IN (SELECT dst FROM d, f WHERE regexp_extract(dst, '^[^/]*//([^/?#]*)', 1) = f.host) AND url <> f.root AND url <> f.root || '/'""")
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.orphan_pages(_silver(spark, sf_dir))
+    return links.orphan_pages(_silver(spark, sf_dir, "crawl_seq", "url", "links"))
 
 
 @_query(f"""WITH {_PAGE_SQL}, {_EDGES} SELECT DISTINCT dst AS url FROM (SELECT regexp_extract(CASE WHEN href LIKE '/%' THEN root || href ELSE href END, '^[^#]*', 0) AS dst FROM e)
 WHERE dst NOT IN (SELECT url FROM pages)""")
 def crawlability_undiscovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.undiscovered(_silver(spark, sf_dir), limit=None)
+    return links.undiscovered(_silver(spark, sf_dir, "url", "links"), limit=None)
 
 
 @_query(f"""WITH {_PAGE_SQL}, {_EDGES} SELECT p.url, CAST(count(href) FILTER (WHERE NOT x) AS BIGINT) AS internal, CAST(count(href) FILTER (WHERE x) AS BIGINT) AS external
 FROM p LEFT JOIN (SELECT src, href, href LIKE 'http%' AND regexp_extract(href, '^[^/]*//([^/?#]*)', 1) <> host AS x FROM e) l ON l.src = p.url GROUP BY p.url""")
 def internal_external_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.link_counts(_silver(spark, sf_dir))
+    return links.link_counts(_silver(spark, sf_dir, "url", "hrefs"))
 
 
 @_query(f"""WITH {_PAGE_SQL}, {_EDGES} SELECT DISTINCT root || CASE WHEN length(h) > 1 AND h LIKE '%/' THEN left(h, length(h) - 1) ELSE h END AS url
@@ -167,7 +168,7 @@ WHERE url NOT IN (SELECT CASE WHEN length(regexp_extract(url, '^[^/]*//[^/?#]*([
 AND NOT regexp_matches(lower(regexp_extract(h, '^[^?]*', 0)), '/policies/|/checkout/|/cart/|/payment/|/pay/|/order/|/account/login|/account/register|/signin|/signup|/login|/register')
 AND NOT regexp_matches(lower(regexp_extract(h, '^[^?]*', 0)), '\\.(pdf|jpg|jpeg|png|gif|svg|webp|zip|tar|gz|mp4|mp3|avi|mov|doc|docx|xls|xlsx|ppt|pptx|css|js|xml|json|ico|woff|woff2|ttf)$')""")
 def frontier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.frontier_links(_silver(spark, sf_dir))
+    return links.frontier_links(_silver(spark, sf_dir, "url", "links"))
 
 
 @_query("""

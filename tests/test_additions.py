@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitegrain import __main__ as command
 from sitegrain.operators import captures, selectors, sinks, statistics
@@ -67,6 +68,35 @@ def test_ranks_by_ranges(spark, n):
     assert statistics.statistics(spark.createDataFrame([], "v double"), "v").count() == 0
 
 
+def test_ranks_beside_an_outlier(spark):
+    """Ranges follow the ranks, not the values: one huge value does not put the rest into one range."""
+    n = 60_000
+    rows = spark.range(n).select(F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") * 0.25).alias("v"))
+    found = statistics.statistics(rows, "v")
+    r = found.first()
+    assert (r["count"], r["max"]) == (n, 1e12) and (r.median, r.p90) == ((n // 2 + n // 2 + 1) * 0.125, (int(n * 0.9) + 1) * 0.25)
+    _, held = statistics.near_ranks(rows, "v")
+    assert 0 < held.count() < n * 0.002
+
+
+def test_tables_go_with_their_run(spark):
+    from pathlib import Path
+
+    from sitegrain.sources.shared import RUN, scratch_path, scratch_run, written
+
+    where = lambda table: Path(table._scratch.removeprefix("file://"))
+    with pytest.raises(ZeroDivisionError), scratch_run(spark):
+        outer = written(spark.range(3), "outer")
+        with scratch_run(spark):
+            inner = written(outer, "inner")
+            stays = written(inner, "stays", scratch_path(spark, "stays", kept=True))
+            assert where(inner).exists()
+        assert where(outer).exists() and not where(inner).exists() and outer.count() == 3
+        1 / 0
+    assert not where(outer).exists() and spark.conf.get(RUN, None) is None
+    assert stays.count() == 3
+
+
 def test_stored_selectors_of_generated_candidates(spark):
     rows = [("e", ".a", 0.9, 1, True), ("e", "#b", 0.8, 2, False), ("e", "#c", 0.7, 3, False), ("e", "#d", 0.6, 5, False), ("f", "#x", 0.5, 1, True)]
     got = selectors.stored_selectors(spark.createDataFrame(rows, "element string, selector string, confidence double, rank int, dynamic boolean")).collect()
