@@ -3,58 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, scratch_path, scratch_run, shared_dir  # noqa: F401  for the operators
+from ..sources.shared import written as materialize  # noqa: F401
+
 #: Words are maximal runs outside ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Only in local mode, where the session names none, a temporary one is made and kept in the session; a cluster
-    without a shared folder is an error, for each executor would write to a disk of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="sitegrain-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/sitegrain/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    It cuts the lineage: what follows survives the loss of any executor, and values that are not reproducible
-    (row numbers) are fixed.
-    """
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table made by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Bound what one Arrow batch holds, so that very long texts do not fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -16,8 +16,9 @@ and 70.  Inside a shard a vantage-point tree over the full Hamming distance spli
 triangle bounds, and compares the two sides only where they lie within the radius of the boundary.
 
 Every task returns a spanning forest of its links, not the links themselves, so output is linear in its input
-however dense a group is.  Shards above ``shard_limit`` fingerprints are cut into chunks, and every pair of chunks
-is a task of its own: nothing is dropped and no task holds an unbounded group.
+however dense a group is.  Shards above ``shard_limit`` fingerprints are divided again by the bits that their
+projection leaves free, and what stays above it is cut into chunks, of which every pair is a task of its own: nothing
+is dropped and no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_prefix, materialize
+from .common import bounded_batches, discard, free_prefix, materialize
 from .graph import connected_components
 
 SEED = 42
@@ -143,6 +144,42 @@ def near_forest(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(i, root) for i in range(len(points)) if (root := forest.find(i)) != i]
 
 
+def free_masks(radius: int, mask: int) -> list[int]:
+    """The bits outside ``mask`` in ``radius`` + 1 parts, as signed 64-bit integers."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(free) * k / (radius + 1)) for k in range(radius + 2)]
+    parts = [sum(1 << b for b in free[a:b]) for a, b in zip(edges, edges[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in parts]
+
+
+def _with_size(rows: DataFrame, leaf: list[str], limit: int) -> DataFrame:
+    """``rows`` with ``n``, the size of their leaf where that is above ``limit``."""
+    return rows.join(rows.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit), leaf, "left")
+
+
+def shards(placed: DataFrame, radius: int, blocks: int, shard_limit: int) -> DataFrame:
+    """(key, fp): every two fingerprints of a leaf of ``placed`` (path, fp) within ``radius`` share a key.
+
+    A key is a leaf of a projection.  Where more than ``shard_limit`` fingerprints share one, they are divided again
+    by ``radius`` + 1 parts of the bits that the projection leaves free, of which two within the radius agree on one;
+    what is above the limit even then (fingerprints alike in nearly all bits) is cut into chunks that meet in pairs.
+    """
+    masks = block_masks(radius, blocks)
+    leaf = ["path", "space", "leaf"]
+    shard = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("space", "leaf")
+    sized = _with_size(placed.select("path", "fp", shard), leaf, shard_limit)
+    whole = sized.filter("n IS NULL").select(F.xxhash64(*leaf).alias("key"), "fp")
+    parts = F.array(*[F.array(*[F.lit(m).cast("long") for m in free_masks(radius, mask)]) for mask in masks])
+    finer = sized.filter("n IS NOT NULL").select(*leaf, "fp", F.posexplode(parts[F.col("space")]).alias("part", "mask"))
+    again = _with_size(finer.withColumn("inner", F.col("fp").bitwiseAND(F.col("mask"))), [*leaf, "part", "inner"], shard_limit)
+    chunks = F.ceil(F.col("n") / shard_limit).cast("int")
+    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.least(k, own) * 1_000_000 + F.greatest(k, own))
+    chunked = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("chunk")
+    met = again.select(*leaf, "part", "inner", "fp", chunked).select(F.xxhash64(*leaf, "part", "inner", "chunk").alias("key"), "fp")
+    return whole.unionAll(met)
+
+
 def vantage_shards(distinct: DataFrame, radius: int, levels: int = LEVELS) -> DataFrame:
     """(path, fp): the ``distinct`` fingerprints (column fp) by the leaves of the top tree that they belong to.
 
@@ -155,7 +192,9 @@ def vantage_shards(distinct: DataFrame, radius: int, levels: int = LEVELS) -> Da
         measured = placed.join(F.broadcast(points), "path").select("path", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))).alias("d"))
         middles = measured.groupBy("path").agg((F.percentile_approx("d", 0.5) - radius // 2).alias("middle"))
         sides = F.array(F.when(F.col("d") <= F.col("middle") + radius, F.col("path") * 2), F.when(F.col("d") > F.col("middle"), F.col("path") * 2 + 1))
-        placed = materialize(measured.join(F.broadcast(middles), "path").select("fp", F.explode(F.array_compact(sides)).alias("path")), "vantage")
+        below = materialize(measured.join(F.broadcast(middles), "path").select("fp", F.explode(F.array_compact(sides)).alias("path")), "vantage")
+        discard(placed)
+        placed = below
     return placed
 
 
@@ -168,16 +207,7 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, shard
         n, blocks = distinct.count() / 2**LEVELS, radius + 1
         while blocks < radius + 4 and n / 2 ** (64 * (blocks - radius) / blocks) > 2000:
             blocks += 1
-    masks = block_masks(radius, blocks)
-    shard = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("space", "leaf")
-    placed = vantage_shards(distinct, radius).select("path", "fp", shard)
-    hot = placed.groupBy("path", "space", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_limit)
-    sized = placed.join(hot, ["path", "space", "leaf"], "left")
-    chunks = F.ceil(F.col("n") / shard_limit).cast("int")
-    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.least(k, own) * 1_000_000 + F.greatest(k, own))
-    tasks = sized.select("fp", "path", "space", "leaf", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("part"))
-    keyed = tasks.select(F.xxhash64("path", "space", "leaf", "part").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    keyed = shards(vantage_shards(distinct, radius), radius, blocks, shard_limit).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         held_key, held = None, []

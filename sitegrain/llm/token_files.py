@@ -133,7 +133,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
 
     spark = docs.sparkSession
     bounded_batches(spark)
-    path = path or scratch_path(spark, "tokens")
+    path = path or scratch_path(spark, "tokens", kept=True)
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"

@@ -379,7 +379,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = REVIS
     """Write one archive a task below ``path`` from ``pages`` (page_id, url, html); returns (file, records, bytes)."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    path = path or scratch_path(spark, "warc")
+    path = path or scratch_path(spark, "warc", kept=True)
 
     def run(batches):
         from pyspark import TaskContext

@@ -52,7 +52,7 @@ def near(rng, base, bits):
     return base
 
 
-@pytest.mark.parametrize("limit", [4096, 16])
+@pytest.mark.parametrize("limit", [4096, 16, 3])
 def test_links_lose_nothing(spark, limit):
     rng = random.Random(3)
     points = {rng.getrandbits(64) for _ in range(150)} | {0}
@@ -66,6 +66,20 @@ def test_links_lose_nothing(spark, limit):
     assert {s: found.get(s, s) for s in signed} == dict(zip(signed, groups))
 
 
+def test_a_crowded_shard_grows_with_its_rows(spark):
+    """Fingerprints alike in one block and free in the others: divided again, not met in all pairs of chunks."""
+    rng = random.Random(17)
+    points = sorted({rng.getrandbits(50) for _ in range(20_000)})
+    placed = spark.createDataFrame([(0, p) for p in points], "path int, fp long")
+    keyed = simhash.shards(placed, 4, 5, 64)
+    # four projections spread the points; of the fifth, the first of five parts has three bits to spread, the last four ten
+    assert keyed.count() < 12 * len(points)
+    assert keyed.groupBy("key").count().agg({"count": "max"}).first()[0] <= 3 * 64
+    for mask in simhash.block_masks(4, 8):
+        parts = simhash.free_masks(4, mask % (1 << 64))
+        assert sum(m % (1 << 64) for m in parts) == (1 << 64) - 1 - mask % (1 << 64) and len(parts) == 5
+
+
 def test_forest_on_a_dense_ball():
     rng = random.Random(5)
     points = np.array(sorted({near(rng, 1 << 40, rng.randint(0, 3)) for _ in range(3000)}), np.uint64)
