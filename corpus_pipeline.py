@@ -58,8 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole ``documents`` table."""
+    """The rows of the last stage over the whole ``documents`` table.
+
+    What a stage writes on its way goes when its result is written, and that result when the next one is: of the
+    corpus there are two copies at most beside the token files, which stay.
+    """
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.scratch_path(spark, f"pipeline-{name}", kept=True)
+        with common.scratch_run(spark):
+            kept = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", path)
+        common.discard(docs)
+        docs = kept
     return docs
