@@ -1,11 +1,11 @@
-"""Report tables and texts.  Texts are formatted on the driver from aggregates and samples of fixed size."""
+"""Report tables and texts.  A text is a table of lines and their places, which :func:`.sinks.write_lines` writes in order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import technical
+from . import site, technical
 
 #: Rows that a report shows of one issue.
 SHOWN = 5
@@ -23,24 +23,35 @@ def status_flags() -> Column:
     )
 
 
+def issue_lines(issues: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(place, no, line): every issue with its number of pages, the most frequent first, and its first pages in crawl
+    order; a last line says how many pages are not shown.  No issues give no lines."""
+    order = Window.orderBy(F.desc("pages"), "issue_type")  # a row an issue type
+    totals = technical.issue_totals(issues).withColumn("place", F.row_number().over(order))
+    pages, critical = F.col("pages").cast("string"), F.col("critical").cast("string")
+    heads = totals.select("place", F.lit(0).alias("no"), F.concat("issue_type", F.lit(": "), pages, F.lit(" pages, "), critical, F.lit(" critical")).alias("line"))
+    measured = F.regexp_replace(F.col("measured").cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
+    sampled = technical.issue_samples(issues, shown).join(totals.select("issue_type", "place"), "issue_type")
+    listed = sampled.select("place", F.col("rank").alias("no"), F.concat(F.lit("  - "), "url", F.lit(" ("), F.coalesce(measured, F.lit("-")), F.lit(", "), "severity", F.lit(")")).alias("line"))
+    rest = totals.filter(F.col("pages") > shown).select("place", F.lit(shown + 1).alias("no"), F.concat(F.lit("  ... and "), (F.col("pages") - shown).cast("string"), F.lit(" more")).alias("line"))
+    return heads.unionByName(listed).unionByName(rest)
+
+
 def issue_report(issues: DataFrame, shown: int = SHOWN) -> str:
-    """Every issue with its number of pages and its first pages in crawl order."""
-    totals = {r.issue_type: (r.pages, r.critical) for r in technical.issue_totals(issues).collect()}
-    samples: dict[str, list[str]] = {}
-    for r in technical.issue_samples(issues, shown).orderBy("issue_type", "rank").collect():
-        samples.setdefault(r.issue_type, []).append(f"  - {r.url} ({r.measured:g}, {r.severity})")
-    lines = []
-    for name, (pages, critical) in sorted(totals.items(), key=lambda x: (-x[1][0], x[0])):
-        lines += [f"{name}: {pages} pages, {critical} critical", *samples[name]]
-        if pages > len(samples[name]):
-            lines.append(f"  ... and {pages - len(samples[name])} more")
-    return "\n".join(lines)
-
-
-def crawl_report(summary: DataFrame, start_url: str) -> str:
-    """The lines of a crawl summary row."""
-    row = summary.first().asDict()
-    return "\n".join([f"crawl of {start_url}", *(f"{k}: {format_number(v)}" for k, v in row.items())])
+    """The lines of :func:`issue_lines` as one text; their number is bounded by the issue types."""
+    return "\n".join(r.line for r in issue_lines(issues, shown).orderBy("place", "no").collect())
+
+
+def crawl_lines(pages: DataFrame, start_url: str) -> DataFrame:
+    """(section, no, line) of a crawl's summary: 0 where it began, 1 its numbers, 2 every page in crawl order with what
+    it lacks.  A crawl without pages has a line for each number and none for pages."""
+    summary = site.crawl_summary(pages)
+    numbers = F.explode(F.array(*[F.struct(F.lit(1).alias("section"), F.lit(n).cast("long").alias("no"), F.concat(F.lit(f"{c}: "), number_text(F.col(c))).alias("line")) for n, c in enumerate(summary.columns, 1)]))
+    head = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).cast("long").alias("no"), F.lit(f"crawl of {start_url}").alias("line")))
+    top = summary.select(F.explode(head).alias("l")).unionByName(summary.select(numbers.alias("l"))).select("l.*")
+    lacks = F.array_join(status_flags(), ", ")
+    line = F.concat(F.lit("- "), "url", F.when(lacks != "", F.concat(F.lit(" ["), lacks, F.lit("]"))).otherwise(""))
+    return top.unionByName(pages.select(F.lit(2).alias("section"), F.col("crawl_seq").cast("long").alias("no"), line.alias("line")))
 
 
 def format_number(value) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..sources.shared import written
 
 #: Priors, lifecycle days, promotion rules.
 PRIOR_SUCCESS, PRIOR_FAILURE, RECENT_FAILURE = 2, 1, 0.95
@@ -162,15 +163,26 @@ def engine_verdicts(results: DataFrame) -> DataFrame:
     return results.groupBy("url").agg(F.bool_and("success").alias("all_passed"), F.count(F.lit(1)).alias("engines"))
 
 
+#: Patterns that a URL meets at once.
+PATTERN_BLOCK = 256
+
+
 def page_profiles(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """(url, profile): the first pattern (pattern, profile, pos) that matches at the start of each URL.
 
-    ``patterns`` is a small table of its own; it is gathered into one array, so the URLs are not multiplied.
+    The patterns go to the URLs in blocks of ``PATTERN_BLOCK`` places, so URLs are multiplied by blocks, not patterns;
+    a single block, the usual case, is one row that every task gets.
     """
-    listed = patterns.agg(F.array_sort(F.collect_list(F.struct("pos", "pattern", "profile"))).alias("_p"))
-    keyed = pages.withColumn("_k", F.lit(1)).join(F.broadcast(listed.withColumn("_k", F.lit(1))), "_k")
-    hit = F.filter("_p", lambda p: F.regexp_like(F.col("url"), F.concat(F.lit("^(?:"), p["pattern"], F.lit(")"))))
-    return keyed.select("url", F.get(hit, F.lit(0))["profile"].alias("profile"))
+    block = F.floor(F.col("pos") / PATTERN_BLOCK)
+    keyed = lambda rows: rows.withColumn("_k", F.lit(1))
+    blocks = written(patterns.groupBy(block.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("pos", "pattern", "profile"))).alias("_p")), "patterns")
+    hit = F.get(F.filter("_p", lambda p: F.regexp_like(F.col("url"), F.concat(F.lit("^(?:"), p["pattern"], F.lit(")")))), F.lit(0))
+    if blocks.count() <= 1:
+        return keyed(pages.select("url")).join(F.broadcast(keyed(blocks)), "_k", "left").select("url", hit["profile"].alias("profile"))
+    listed = blocks.agg(F.collect_list("_b").alias("_all"))  # numbers only
+    spread = keyed(pages.select("url").distinct()).join(F.broadcast(keyed(listed)), "_k").select("url", F.explode("_all").alias("_b"))
+    found = spread.join(blocks, "_b").select("url", hit.alias("_h")).filter("_h is not null").groupBy("url").agg(F.min("_h").alias("_h"))
+    return pages.select("url").join(found, "url", "left").select("url", F.col("_h.profile").alias("profile"))
 
 
 def profile_visits(visits: DataFrame) -> DataFrame:

@@ -72,3 +72,9 @@ def write_report(path: str, title: str, sections: dict[str, DataFrame], shown: i
     (Path(path) / "report.html").write_text(html_report(title, sections, shown), encoding="utf-8")
     for name, table in sections.items():
         table.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_lines(path: str, lines: DataFrame) -> None:
+    """Lines as text files in a folder, in the order of the other columns within and across files; any number of lines."""
+    order = [c for c in lines.columns if c != "line"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, scores, urls
+from ..sources import slices
 from ..thresholds import DEFAULTS, Thresholds
 
 KINDS = ("html", "css", "js", "image", "font")
@@ -224,10 +225,11 @@ def structured_data_summary(rows: DataFrame) -> DataFrame:
 def with_running_schema(rows: DataFrame) -> DataFrame:
     """Adds ``counted``: whether a page counts as having schema when totals of all pages before it count as well.
 
-    One running sum in crawl order over the whole table, for parity with order-dependent reports only.
+    For parity with order-dependent reports.  The running sums go through slices of the crawl order.
     """
-    order = Window.orderBy("crawl_seq", "url").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("counted", (F.size("schema_types") > 0) | (F.sum("json_ld").over(order) > 0) | (F.sum("microdata_count").over(order) > 0))
+    sums = {"_json": (F.sum, F.col("json_ld")), "_micro": (F.sum, F.col("microdata_count"))}
+    found = slices.running(slices.in_slices(rows, "crawl_seq", "url"), [], ["crawl_seq", "url"], **sums)
+    return found.withColumn("counted", (F.size("schema_types") > 0) | (F.col("_json") > 0) | (F.col("_micro") > 0)).drop(slices.SLICE, *sums)
 
 
 def challenge_summary(rows: DataFrame) -> DataFrame:

@@ -84,7 +84,8 @@ def furnished_accessibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- issues ----------------------------------------------------------------------------------------------------------------
 
-_WORDS = "(len(list_filter(string_split(title, ' '), lambda x: x <> '')) + n_h1 + n_h2 + n_words)"
+#: Page text has the text of scripts: one word of each kind of structured data that is a script.
+_WORDS = "(len(list_filter(string_split(title, ' '), lambda x: x <> '')) + n_h1 + n_h2 + n_words + CASE WHEN schema_kind IN (1, 2, 3, 4, 7) THEN 1 ELSE 0 END)"
 _ALT = "len(list_filter(range(n_images), lambda i: i % 3 = 0))"
 _ISSUES = f"""t AS (SELECT title, count(*) AS n FROM f WHERE title <> '' GROUP BY title HAVING count(*) > 1),
 g AS (SELECT *, {_WORDS} AS words, {_ALT} AS no_alt FROM f),
@@ -498,8 +499,10 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_fetching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each robots.txt lets the agent A fetch: a script and a private page."""
     rows = _built(spark, sf_dir, "customer", _ROBOTS)
-    fetch = lambda path: site_files.can_fetch(F.col("content"), F.lit("A"), F.concat("domain", F.lit(path)))
-    return rows.select("domain", fetch("/js/x").alias("home"), fetch("/private/x").alias("private"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("page"), F.concat("domain", F.lit(p)).alias("url")) for n, p in (("home", "/js/x"), ("private", "/private/x"))]))
+    requests = rows.select("domain", F.lit("A").alias("agent"), asked.alias("a")).select("domain", "agent", "a.*")
+    decided = site_files.fetch_decisions(requests, rows)
+    return decided.groupBy("domain").agg(*[F.bool_and(F.when(F.col("page") == n, F.col("allowed"))).alias(n) for n in ("home", "private")])
 
 
 @_query("""WITH c AS (SELECT 'https://h' || c_custkey AS domain, c_custkey % 6 AS k, c_custkey % 90 AS broken, least(c_custkey % 14, 10) AS orphans FROM customer),
@@ -1131,14 +1134,31 @@ def furnished_issue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k || ': ' || pages || ' pages, ' || critical || ' critical' AS line FROM s""")
 def issue_report_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head line of every issue in the text report."""
-    text = reports.issue_report(technical.issue_rows(written(furnished(spark, sf_dir).drop("content_text"), "pages")))
-    heads = [(line,) for line in text.split("\n") if line and not line.startswith(" ")]
-    return spark.createDataFrame(heads, "line string")
+    lines = reports.issue_lines(technical.issue_rows(written(furnished(spark, sf_dir).drop("content_text"), "pages")))
+    return lines.filter("no = 0").select("line")
 
 
-@_query(f"WITH {_F} SELECT 'crawl of x' AS line UNION ALL SELECT 'pages: ' || count(*) FROM f UNION ALL SELECT 'images: ' || format('{{:,}}', CAST(sum(n_images) AS BIGINT)) FROM f UNION ALL SELECT 'without_description: ' || count(*) FROM f WHERE description = ''")
+_MEASURED = "CASE WHEN k LIKE '%_title' AND k NOT LIKE 'missing%' AND k NOT LIKE 'dup%' THEN length(title) WHEN k IN ('short_description', 'long_description') THEN length(description) WHEN k = 'multiple_h1' THEN n_h1 WHEN k = 'images_without_alt' THEN no_alt WHEN k = 'thin_content' THEN words WHEN k = 'slow_page' THEN round(load_time, 2) WHEN k = 'duplicate_title' THEN t.n ELSE 0 END"
+
+
+@_query(rf"""WITH {_F}, {_ISSUES}, k AS (SELECT url, split_part(x, ':', 1) AS k, split_part(x, ':', 2) AS severity FROM i),
+s AS (SELECT k, count(*) AS pages, count(*) FILTER (WHERE severity = 'critical') AS critical FROM k GROUP BY k),
+p AS (SELECT *, row_number() OVER (ORDER BY pages DESC, k) AS place FROM s),
+r AS (SELECT k, severity, k.url, regexp_replace(CAST(CAST({_MEASURED} AS DECIMAL(20, 2)) AS VARCHAR), '\.?0+$', '') AS measured, row_number() OVER (PARTITION BY k ORDER BY page_id, k.url) AS no FROM k JOIN g ON g.url = k.url LEFT JOIN t USING (title))
+SELECT CAST(place AS INTEGER) AS place, 0 AS no, k || ': ' || pages || ' pages, ' || critical || ' critical' AS line FROM p
+UNION ALL SELECT CAST(place AS INTEGER), CAST(no AS INTEGER), '  - ' || url || ' (' || measured || ', ' || severity || ')' FROM r JOIN p USING (k) WHERE no <= 5
+UNION ALL SELECT CAST(place AS INTEGER), 6, '  ... and ' || (pages - 5) || ' more' FROM p WHERE pages > 5""")
+def issue_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the text report of issues."""
+    return reports.issue_lines(technical.issue_rows(written(furnished(spark, sf_dir).drop("content_text"), "pages")))
+
+
+_NUMBERS = {"pages": "count(*)", "words": "sum(words)", "avg_words": "sum(words) // count(*)", "images": "sum(n_images)", "without_title": "count(*) FILTER (title = '')", "without_description": "count(*) FILTER (description = '')", "without_h1": "count(*) FILTER (n_h1 = 0)"}
+
+
+@_query(f"""WITH {_F}, {_ISSUES} SELECT 0 AS section, 0::BIGINT AS no, 'crawl of x' AS line
+{" ".join(f"UNION ALL SELECT 1, {n}, '{k}: ' || format('{{:,}}', CAST({v} AS BIGINT)) FROM g" for n, (k, v) in enumerate(_NUMBERS.items(), 1))}
+UNION ALL SELECT 2, page_id, '- ' || url || coalesce(' [' || nullif(array_to_string(list_filter([CASE WHEN title = '' THEN 'no title' END, CASE WHEN description = '' THEN 'no description' END, CASE WHEN n_h1 = 0 THEN 'no h1' END, CASE WHEN words < 300 THEN 'thin' END], lambda x: x IS NOT NULL), ', '), '') || ']', '') FROM g""")
 def crawl_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four lines of the text summary of a crawl."""
-    lines = reports.crawl_report(site.crawl_summary(furnished(spark, sf_dir)), "x").split("\n")
-    kept = [(x,) for x in lines if x.startswith(("crawl of", "pages", "images", "without_description"))]
-    return spark.createDataFrame(kept, "line string")
+    """The text summary of a crawl: its numbers and every page in crawl order."""
+    return reports.crawl_lines(written(furnished(spark, sf_dir).drop("content_text"), "pages"), "x")

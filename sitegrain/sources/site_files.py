@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scores
 
@@ -63,19 +61,52 @@ def crawlability(analysis: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("domain", "has_robots", "has_sitemap", n_errors.alias("robots_errors"), orphans.alias("orphans"), "broken", "efficiency", scores.crawlability_score(F.col("has_robots"), n_errors, F.col("has_sitemap"), F.size("sitemap_errors"), orphans, F.col("efficiency")).alias("score"))
 
 
-@F.pandas_udf(T.BooleanType())
-def can_fetch(content: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
-    """Whether robots.txt ``content`` lets ``agent`` fetch ``url``; yes where there is none."""
-    from urllib.robotparser import RobotFileParser
+#: Lines of robots.txt that belong to the user agents above them.
+GROUP_LINES = ("allow", "disallow", "crawl-delay", "request-rate")
 
-    known: dict[str, RobotFileParser] = {}
 
-    def one(c, a, u):
-        if not c:
-            return True
-        if c not in known:
-            known[c] = RobotFileParser()
-            known[c].parse(c.splitlines())
-        return known[c].can_fetch(a or "*", u or "")
+def _decoded(text: Column) -> Column:
+    """Percent signs resolved, pluses kept; the text itself where it is not so encoded."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
-    return pd.Series([one(*x) for x in zip(content, agent, url)], dtype=object)
+
+def robots_groups(robots: DataFrame) -> DataFrame:
+    """(domain, place, for_all, agents, rules) of (domain, content), one file a domain.
+
+    Consecutive User-agent lines open a group; an empty line ends it, and rules outside one count for nothing, as do
+    groups without rules.  ``rules`` are (place, allow, prefix) in the order of the file; an empty Disallow allows
+    all.  ``agents`` are lower-cased, ``for_all`` says that one of them is ``*``.
+    """
+    lines = robots.select("domain", F.posexplode(F.split(F.coalesce("content", F.lit("")), r"\r\n|\r|\n")).alias("no", "raw"))
+    lines = lines.withColumn("line", F.regexp_replace(F.regexp_replace("raw", "#.*", ""), r"^\s+|\s+$", ""))
+    name = F.lower(F.regexp_extract("line", r"^([^:]*?)\s*:", 1))
+    kind = F.when(F.col("raw") == "", "end").when(name == "user-agent", "agent").when(name.isin(*GROUP_LINES), "rule")
+    value = _decoded(F.regexp_extract("line", r"^[^:]*:\s*(.*)$", 1))
+    marked = lines.select("domain", "no", name.alias("name"), value.alias("value"), kind.alias("kind")).filter("kind is not null")
+    order = Window.partitionBy("domain").orderBy("no")
+    opens = (F.col("kind") == "agent") & ~F.lag("kind").over(order).eqNullSafe(F.lit("agent"))
+    opened = marked.withColumn("opens", (opens | (F.col("kind") == "end")).cast("int")).withColumn("place", F.sum("opens").over(order))
+    rule = F.struct("no", ((F.col("name") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("prefix"))
+    grouped = opened.groupBy("domain", "place").agg(
+        F.collect_list(F.when(F.col("kind") == "agent", F.lower("value"))).alias("agents"),
+        F.array_sort(F.collect_list(F.when(F.col("name").isin("allow", "disallow"), rule))).alias("rules"),
+        F.bool_or(F.col("kind") == "rule").alias("_ruled"),
+    )
+    kept = grouped.filter((F.size("agents") > 0) & F.col("_ruled"))
+    return kept.select("domain", "place", F.array_contains("agents", "*").alias("for_all"), "agents", "rules")
+
+
+def fetch_decisions(requests: DataFrame, robots: DataFrame) -> DataFrame:
+    """``requests`` (domain, agent, url and more) with ``allowed``: whether the domain's robots.txt allows the fetch.
+
+    The first group that names the agent decides, else the first for all; in it the first rule whose prefix the path
+    begins with (an asterisk in a rule is text).  What no rule meets is allowed, as is everything on a domain without a file.  No agent is any agent,
+    no address the root.  A domain has one row of groups, so the join adds no rows.
+    """
+    groups = robots_groups(robots).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("for_all", "place", "agents", "rules"))).alias("_groups"))
+    token = F.lower(F.substring_index(F.coalesce(F.nullif("agent", F.lit("")), F.lit("*")), "/", 1))
+    asked = F.regexp_replace(_decoded(F.coalesce("url", F.lit(""))), r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?", "")
+    known = requests.withColumns({"_token": token, "_path": F.when(asked == "", "/").otherwise(asked)}).join(groups, "domain", "left")
+    fitting = F.filter("_groups", lambda g: g["for_all"] | F.exists(g["agents"], lambda a: F.contains(F.col("_token"), a)))
+    met = F.filter(F.get(fitting, F.lit(0))["rules"], lambda r: F.startswith(F.col("_path"), r["prefix"]))
+    return known.select(*[F.col(c) for c in requests.columns], F.coalesce(F.get(met, F.lit(0))["allow"], F.lit(True)).alias("allowed"))

@@ -241,8 +241,8 @@ def test_robots(spark):
     counts = spark.createDataFrame([("h", 3, 2)], "domain string, broken long, orphans long")
     c = {r.domain: (r.efficiency, r.score) for r in site_files.crawlability(site_files.robots_analysis(rows), counts).withColumn("rules", advice.crawlability_rules()).collect()}
     assert c == {"h": (89, 20 + 10 + 25 + 15 + 5 + 10), "i": (70, 0 + 15 + 0 + 10 + 10 + 10), "j": (60, 20 + 0 + 0 + 10 + 10 + 5)}
-    asked = spark.createDataFrame([(ROBOTS, "x", "https://h/admin/1"), (ROBOTS, "x", "https://h/ok"), (None, "x", "https://h/admin")], "c string, a string, u string")
-    assert [r.x for r in asked.select(site_files.can_fetch("c", "a", "u").alias("x")).collect()] == [False, True, True]
+    asked = spark.createDataFrame([("h", "x", "https://h/admin/1"), ("h", "x", "https://h/ok"), ("i", "x", "https://h/admin")], "domain string, agent string, url string")
+    assert {r.url: r.allowed for r in site_files.fetch_decisions(asked, rows).collect()} == {"https://h/admin/1": False, "https://h/ok": True, "https://h/admin": True}
 
 
 def test_sitemaps(spark):
