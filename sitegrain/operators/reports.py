@@ -44,11 +44,11 @@ def issue_report(issues: DataFrame, shown: int = SHOWN) -> str:
 
 def crawl_lines(pages: DataFrame, start_url: str) -> DataFrame:
     """(section, no, line) of a crawl's summary: 0 where it began, 1 its numbers, 2 every page in crawl order with what
-    it lacks.  A crawl without pages has a line for each number and none for pages."""
+    it lacks.  A crawl without pages has its head and their number, 0."""
     summary = site.crawl_summary(pages)
     numbers = F.explode(F.array(*[F.struct(F.lit(1).alias("section"), F.lit(n).cast("long").alias("no"), F.concat(F.lit(f"{c}: "), number_text(F.col(c))).alias("line")) for n, c in enumerate(summary.columns, 1)]))
     head = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).cast("long").alias("no"), F.lit(f"crawl of {start_url}").alias("line")))
-    top = summary.select(F.explode(head).alias("l")).unionByName(summary.select(numbers.alias("l"))).select("l.*")
+    top = summary.select(F.explode(head).alias("l")).unionByName(summary.select("pages", numbers.alias("l")).filter("pages > 0 OR l.no = 1").select("l")).select("l.*")
     lacks = F.array_join(status_flags(), ", ")
     line = F.concat(F.lit("- "), "url", F.when(lacks != "", F.concat(F.lit(" ["), lacks, F.lit("]"))).otherwise(""))
     return top.unionByName(pages.select(F.lit(2).alias("section"), F.col("crawl_seq").cast("long").alias("no"), line.alias("line")))

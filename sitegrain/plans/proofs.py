@@ -1157,7 +1157,7 @@ _NUMBERS = {"pages": "count(*)", "words": "sum(words)", "avg_words": "sum(words)
 
 
 @_query(f"""WITH {_F}, {_ISSUES} SELECT 0 AS section, 0::BIGINT AS no, 'crawl of x' AS line
-{" ".join(f"UNION ALL SELECT 1, {n}, '{k}: ' || format('{{:,}}', CAST({v} AS BIGINT)) FROM g" for n, (k, v) in enumerate(_NUMBERS.items(), 1))}
+{" ".join(f"UNION ALL SELECT 1, {n}, '{k}: ' || format('{{:,}}', CAST({v} AS BIGINT)) FROM g{' HAVING count(*) > 0' if n > 1 else ''}" for n, (k, v) in enumerate(_NUMBERS.items(), 1))}
 UNION ALL SELECT 2, page_id, '- ' || url || coalesce(' [' || nullif(array_to_string(list_filter([CASE WHEN title = '' THEN 'no title' END, CASE WHEN description = '' THEN 'no description' END, CASE WHEN n_h1 = 0 THEN 'no h1' END, CASE WHEN words < 300 THEN 'thin' END], lambda x: x IS NOT NULL), ', '), '') || ']', '') FROM g""")
 def crawl_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text summary of a crawl: its numbers and every page in crawl order."""

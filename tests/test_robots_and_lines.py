@@ -55,7 +55,7 @@ def test_crawl_lines(spark):
     assert got[:3] == ["crawl of https://h/", "pages: 2", "words: 1,204"]
     assert got[-2:] == ["- https://h/", "- https://h/b [no title, no description, no h1, thin]"]
     empty = [r.line for r in reports.crawl_lines(spark.createDataFrame([], schema), "x").orderBy("section", "no").collect()]
-    assert empty[:3] == ["crawl of x", "pages: 0", "words: -"] and len(empty) == 8
+    assert empty == ["crawl of x", "pages: 0"]
 
 
 def test_profiles_of_many_patterns(spark):
