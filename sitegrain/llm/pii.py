@@ -440,23 +440,25 @@ def _line(spans) -> str:
 
 
 def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base_spans) for every row of ``docs`` (doc_id, text).
 
-    Counts and ``spans`` take base and added spans; ``base_sha256`` is of the base ones.  Null and empty texts have
+    Counts and ``spans`` take base and added spans; ``base_sha256`` and ``base_spans`` are of the base ones.  Null and empty texts have
     no spans; null ids are kept; repeated rows give a row each; an empty table gives none; further columns are
     ignored.
     """
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model or train())
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "base_spans"]
 
     def run(batches):
         for batch in batches:
             found = all_spans(shipped.value, [t or "" for t in batch.column(1).to_pylist()])
             counts = [pa.array([sum(s[0] == k for s in spans) for _, spans in found], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([hashlib.sha256(_line(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([_line(spans) for _, spans in found], pa.string())], names)
+            base = [_line(base) for base, _ in found]
+            digests = [hashlib.sha256(b.encode()).hexdigest() for b in base]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *(pa.array(x, pa.string()) for x in (digests, [_line(spans) for _, spans in found], base))], names)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base_spans string")
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
