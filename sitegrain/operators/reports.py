@@ -65,8 +65,8 @@ def number_text(value: Column, digits: int = 0) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Bytes as B, KB or MB, with one digit from a kilobyte on; null as a dash."""
-    kb, mb = F.format_string("%.1f KB", size / 1024), F.format_string("%.1f MB", size / (1024 * 1024))
+    """Bytes as B, KB or MB, with one digit from a kilobyte on, halves to the even digit; null as a dash."""
+    kb, mb = F.format_string("%.1f KB", F.bround(size / 1024, 1)), F.format_string("%.1f MB", F.bround(size / (1024 * 1024), 1))
     return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024 * 1024, kb).when(size.isNotNull(), mb).otherwise("-")
 
 
