@@ -207,12 +207,12 @@ def read_entries(files: DataFrame) -> DataFrame:
     return files.select("url", column).mapInArrow(run, SCHEMA)
 
 
-def sitemap_pages(files: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(url, lastmod, level, sitemap): the pages that the sitemaps ``roots`` (url) lead to, over indexes of any depth.
+def sitemap_listing(files: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(url, lastmod, level, sitemap): every page entry of the sitemaps that ``roots`` (url) lead to, over indexes of any
+    depth; a page that is listed again has a row each time.
 
-    ``files`` are as for :func:`read_entries`, each read once.  ``level`` is the least number of indexes above a page's sitemap,
-    ``sitemap`` the least of those at that level, ``lastmod`` the latest that any reached sitemap names.  Indexes may
-    form cycles; the walk ends when no new sitemap is met, or after ``max_depth`` levels.
+    ``files`` are as for :func:`read_entries`, each read once.  ``level`` is the least number of indexes above the sitemap.
+    Indexes may form cycles; the walk ends when no new sitemap is met, or after ``max_depth`` levels.
     """
     found = written(read_entries(files), "entries")
     links = written(found.filter("kind = 'sitemap'").select(F.col("url").alias("src"), F.col("loc").alias("url")).distinct(), "indexes")
@@ -227,7 +227,16 @@ def sitemap_pages(files: DataFrame, roots: DataFrame, max_depth: int | None = No
         if not reached.filter(F.col("level") == level - 1).limit(1).count():
             break
     pages = found.filter("kind = 'page'").select(F.col("url").alias("sitemap"), F.col("loc").alias("url"), "lastmod")
-    held = pages.join(reached.withColumnRenamed("url", "sitemap"), "sitemap")
+    return pages.join(reached.withColumnRenamed("url", "sitemap"), "sitemap").select("url", "lastmod", "level", "sitemap")
+
+
+def sitemap_pages(files: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(url, lastmod, level, sitemap): the pages of :func:`sitemap_listing`, one row each.
+
+    ``level`` is the least number of indexes above a page's sitemap, ``sitemap`` the least of those at that level,
+    ``lastmod`` the latest that any reached sitemap names.
+    """
+    held = sitemap_listing(files, roots, max_depth)
     return held.groupBy("url").agg(F.max("lastmod").alias("lastmod"), F.min(F.struct("level", "sitemap")).alias("by")).select("url", "lastmod", "by.level", "by.sitemap")
 
 

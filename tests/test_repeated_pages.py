@@ -36,7 +36,7 @@ def sql(folder):
 
 NAMES = [
     "duplicate_titles", "evidence_by_finding", "page_facts", "prioritised_issues", "technical_issue_counts", "title_length_issues",
-    "broken_internal_links", "crawl_visits", "crawl_visits_with_failures", "internal_external_counts", "pages_as_json",
+    "broken_internal_links", "crawl_visits", "crawl_visits_with_failures", "internal_external_counts", "pages_as_json", "sitemap_entries",
 ]
 
 
