@@ -1,7 +1,8 @@
 """The state of a crawl as a stream: which URLs are queued, visited or failed, kept in a map that survives restarts.
 
 Events are (domain, url, event): found, visited or failed.  The URLs of a domain are dealt over shards, so that a
-large domain is the state of many tasks; a shard holds a map from URL to status and attempts.  What a restarted
+large domain is the state of many tasks; where URLs are forgotten after a time, a shard holds a map from URL to status and
+attempts, else every URL is a key of a streaming aggregate.  What a restarted
 query emits continues what it emitted before, because state and position are one checkpoint.
 """
 
@@ -62,11 +63,17 @@ class UrlStates(StatefulProcessor):
 def url_states(events: DataFrame, shards: int = SHARDS, attempts: int = ATTEMPTS, keep: int | None = None) -> DataFrame:
     """(domain, url, status, attempts) as they change, of a stream (domain, url, event).  A null domain is one of its own.
 
-    The session needs the RocksDB state store, see :func:`prepare`.
+    Without ``keep`` the state of a URL is an aggregate of its events, which Spark keeps by itself, and a micro-batch gives
+    a row for every URL that it names; ``shards`` then has no meaning.  The session needs the RocksDB state store, see
+    :func:`prepare`.
     """
+    if keep is None:
+        told = events.filter("url is not null").groupBy(F.coalesce("domain", F.lit("")).alias("domain"), "url")
+        counted = told.agg(F.max(F.coalesce(F.col("event") == "visited", F.lit(False))).alias("seen"), F.count_if(F.col("event") == "failed").cast("int").alias("attempts"))
+        status = F.when(F.col("seen"), "visited").when(F.col("attempts") >= attempts, "failed").otherwise("queued")
+        return counted.select("domain", "url", status.alias("status"), "attempts")
     keyed = events.select(F.coalesce("domain", F.lit("")).alias("domain"), F.pmod(F.xxhash64("url"), F.lit(shards)).cast("int").alias("shard"), "url", "event")
-    mode = "processingTime" if keep is not None else "none"
-    return keyed.groupBy("domain", "shard").transformWithStateInPandas(UrlStates(attempts, keep), SCHEMA, "Update", mode)
+    return keyed.groupBy("domain", "shard").transformWithStateInPandas(UrlStates(attempts, keep), SCHEMA, "Update", "processingTime")
 
 
 def prepare(spark: SparkSession) -> None:
