@@ -8,20 +8,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, scratch_path, scratch_run, shared_dir  # noqa: F401  for the operators
+from ..sources.shared import bounded_batches, discard, scratch_path, scratch_run, shared_dir  # noqa: F401  for the operators
 from ..sources.shared import written as materialize  # noqa: F401
 
 #: Words are maximal runs outside ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bound what one Arrow batch holds, so that very long texts do not fill a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, also where ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
