@@ -35,8 +35,12 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", thresholds
 
 
 def keyword_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """(key, keyword, n, first, total): occurrences, first place, and all keywords of the text."""
-    words = docs.select(key, tx.keywords(tx.words(F.col(text)), thresholds).alias("_k"))
+    """(key, keyword, n, first, total): occurrences, first place, and all keywords of the text.
+
+    Texts are dealt by their key before they are taken apart, so that they move once and what is counted does not move.
+    """
+    dealt = docs.select(key, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    words = dealt.select(key, tx.keywords(tx.words(F.col(text)), thresholds).alias("_k"))
     placed = words.select(key, F.size("_k").alias("total"), F.posexplode("_k").alias("pos", "keyword"))
     return placed.groupBy(key, "keyword", "total").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
