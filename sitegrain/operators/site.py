@@ -58,9 +58,14 @@ def resources_from_requests(requests: DataFrame, base: Column) -> DataFrame:
 # -- third parties -----------------------------------------------------------------------------------------------------
 
 
-def third_party_domains(pages: DataFrame) -> DataFrame:
-    """(domain, requests, pages, category): pages that list a domain count a request each."""
-    rows = pages.select("url", F.explode("third_party_domains").alias("domain"))
+def third_party_domains(pages: DataFrame, slices: int | None = None) -> DataFrame:
+    """(domain, requests, pages, category): pages that list a domain count a request each.
+
+    A task holds every domain of its addresses once; ``slices`` deals the addresses into so many tasks, so that a number
+    that follows the input bounds what one of them holds.
+    """
+    pages = pages.select("url", "third_party_domains")
+    rows = (pages.repartition(slices, "url") if slices else pages).select("url", F.explode("third_party_domains").alias("domain"))
     counted = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("url").alias("pages"))
     return counted.withColumn("category", classify.domain_category(F.col("domain")))
 
