@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +72,11 @@ GROUP_LIMIT = 2048
 BROADCAST_ROWS = 1_000_000
 
 _NONE = np.uint64(0xFFFFFFFF)
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _FEW_SEEDS = np.array([(n + 41) * _BASE % (1 << 64) for n in range(FEW_BANDS * FEW_ROWS)], np.uint64)[:, None]
+_BAND_SEEDS = np.array([[(2 * b + 3 + long) * _BASE % (1 << 64) for b in range(BANDS)] for long in (0, 1)], np.uint64)
+#: What the first bytes of a word of so many, up to eight, leave of eight bytes.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Between lines stand more characters than a shingle has, of a code that no text holds.
 _GAP = "\U0010ffff" * LONG_SHINGLE
 
@@ -96,8 +100,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return np.bitwise_xor(h, other, out=h)
 
 
-def _windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` codes from every place on: windows of doubling size are joined."""
+def _windows(codes: np.ndarray, size: int, mixed: bool = True) -> np.ndarray:
+    """The hash of the ``size`` codes from every place on: windows of doubling size are joined.  Where it is not ``mixed``,
+    its upper half alone is spread."""
 
     def join(left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
         out = left * np.uint64(pow(_BASE, width, 1 << 64))
@@ -109,7 +114,8 @@ def _windows(codes: np.ndarray, size: int) -> np.ndarray:
             joined = power if joined is None else join(joined[: len(power) - length], power[length:], width)
             length += width
         if 2 * width > size:
-            return _mixed(joined.copy() if joined is codes else joined)
+            joined = joined.copy() if joined is codes else joined
+            return _mixed(joined) if mixed else np.multiply(joined, np.uint64(_SPREAD), out=joined)
         power = join(power[:-width], power[width:], width)
         width *= 2
 
@@ -125,12 +131,12 @@ def _places(lengths: np.ndarray, size: int) -> np.ndarray:
     return np.maximum(lengths - size + 1, 1)
 
 
-def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(lines: list[str], size: int = SHINGLE, mixed: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the shingles of every line in order, repeats included."""
     codes, starts = _codes(lines)
     counts = _places(np.fromiter(map(len, lines), np.int64, len(lines)), size)
     at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
-    return _windows(codes, size)[at], counts
+    return _windows(codes, size, mixed)[at], counts
 
 
 def _short_minima(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -145,20 +151,17 @@ def _short_minima(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _long_minima(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, BINS): the least upper half of the hashes in each bin; _NONE where a bin is empty."""
+    """(n, BINS): the least upper half of the hashes, not mixed, in each bin; _NONE where a bin is empty."""
     out = np.full(n * BINS, _NONE, np.uint64)
-    np.minimum.at(out, owner * BINS + (hashes % np.uint64(BINS)).astype(np.int64), hashes >> np.uint64(32))
+    np.minimum.at(out, owner * BINS + (_mixed(hashes.copy()) % np.uint64(BINS)).astype(np.int64), hashes >> np.uint64(32))
     return out.reshape(n, BINS)
 
 
 def _bands(minima: np.ndarray, long: bool) -> np.ndarray:
     """(lines, BANDS): a hash of each band's kind, number and minima, never 0; 0 where a long line's bin is empty."""
-    out = np.empty((len(minima), BANDS), np.uint64)
-    for b in range(BANDS):
-        x, y = minima[:, ROWS * b], minima[:, ROWS * b + 1]
-        h = _mixed(_mixed(x << np.uint64(32) | y) + np.uint64((2 * b + 3 + long) * _BASE % (1 << 64))) | np.uint64(1)
-        out[:, b] = np.where((x == _NONE) | (y == _NONE), np.uint64(0), h) if long else h
-    return out
+    x, y = (np.ascontiguousarray(minima[:, r::ROWS]) for r in range(ROWS))
+    h = _mixed(_mixed(x << np.uint64(32) | y) + _BAND_SEEDS[int(long)]) | np.uint64(1)
+    return np.where((x == _NONE) | (y == _NONE), np.uint64(0), h) if long else h
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -166,7 +169,7 @@ def signatures(lines: list[str]) -> np.ndarray:
     where it has none."""
     out, few = np.zeros((len(lines), 2 * BANDS), np.uint64), np.zeros((len(lines), FEW_BANDS), np.uint64)
     held, size = [], 0
-    for i in filter(lambda i: _looks_few(lines[i]), range(len(lines))):
+    for i in _look_few(lines):
         few[i] = _sign_few(lines[i])
     for i, line in enumerate(lines):
         if len(line) > SLICE:
@@ -182,16 +185,37 @@ def signatures(lines: list[str]) -> np.ndarray:
     return np.hstack((out, few))
 
 
-def _looks_few(line: str) -> bool:
-    """Whether a line may have few distinct shingles: its symbols make few, or it has few distinct words.  Both are
-    looked at in a part of the line first, which has no more of either than the whole."""
-    if len(line) < FEW_LEAST:
-        return False
-    most = (len(line) / FEW_SYMBOLS) ** (1 / SHINGLE)
-    if len(set(line[:FEW_LEAST])) <= most and len(set(line)) <= most:
-        return True
-    words = (line.count(" ") + 1) * FEW_WORDS
-    return words > 1 and len(set(line[: len(line) // 2].split(" "))) <= words and len(set(line.split(" "))) <= words
+def _look_few(lines: list[str]) -> list[int]:
+    """Which lines may have few distinct shingles: their symbols make few, or they have few distinct words.  Symbols are
+    looked at in a part of the line first, which has no more of them than the whole."""
+    at = [i for i, line in enumerate(lines) if len(line) >= FEW_LEAST]
+    if not at:
+        return at
+    most = ((np.fromiter((len(lines[i]) for i in at), np.int64, len(at)) / FEW_SYMBOLS) ** (1 / SHINGLE)).tolist()
+    found = {i for i, n in zip(at, most) if len(set(lines[i][:FEW_LEAST])) <= n and len(set(lines[i])) <= n}
+    return sorted(found.union(at[j] for j in _few_words([lines[i] for i in at])))
+
+
+def _few_words(lines: list[str]) -> list[int]:
+    """Which lines have few distinct words.  Words are first told apart by their length and first eight bytes alone, which
+    finds no more of them than there are; the lines that are left are looked at as a whole."""
+    _, offsets, data = pa.array(lines, pa.large_string()).buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(lines) + 1]
+    data = np.append(np.frombuffer(data, np.uint8)[: offsets[-1]], np.zeros(8, np.uint8))
+    blanks = np.flatnonzero(data == ord(" "))
+    counts = np.diff(np.searchsorted(blanks, offsets)) + 1
+    opens = np.zeros(counts.sum(), bool)
+    opens[np.cumsum(counts) - counts] = True
+    closes = np.append(opens[1:], True)
+    starts, ends = np.empty(len(opens), np.int64), np.empty(len(opens), np.int64)
+    starts[opens], starts[~opens], ends[closes], ends[~closes] = offsets[:-1], blanks + 1, offsets[1:], blanks
+    sizes = ends - starts
+    heads = np.ndarray(len(data) - 7, np.uint64, data, strides=(1,))[starts] & _HEADS[np.minimum(sizes, 8)]
+    h = _mixed(heads + sizes.astype(np.uint64) * np.uint64(_BASE))
+    keys = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), counts) | h >> np.uint64(32))
+    distinct = np.bincount((keys[np.append(True, keys[1:] != keys[:-1])] >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+    limit = counts * FEW_WORDS
+    return [j for j in np.flatnonzero((limit > 1) & (distinct <= limit)).tolist() if len(set(lines[j].split(" "))) <= limit[j]]
 
 
 def _sign_few(line: str) -> np.ndarray:
@@ -225,7 +249,7 @@ def _sign(lines: list[str]) -> np.ndarray:
         n = n_long[long]
         limit = np.minimum(KEPT * BINS * 2.0**32 / n, 2.0**32).astype(np.uint64)
         ends = np.append(starts[1:], len(codes))
-        h = _windows(codes, LONG_SHINGLE)
+        h = _windows(codes, LONG_SHINGLE, mixed=False)
         spans = np.stack((n, ends - starts - n), axis=1).ravel()  # places of a shingle, then those that reach into the gap
         spans[-1] -= len(codes) - len(h)
         low = np.flatnonzero((h >> np.uint64(32)) < np.repeat(np.stack((limit, np.zeros_like(limit)), axis=1).ravel(), spans))
@@ -239,7 +263,7 @@ def _sign(lines: list[str]) -> np.ndarray:
 def _sign_distinct(line: str) -> np.ndarray:
     """The bands of a line that repeats itself, by its distinct shingles."""
     out = np.zeros(2 * BANDS, np.uint64)
-    long, short = (np.unique(shingles([line], size)[0]) for size in (LONG_SHINGLE, SHORT_SHINGLE))
+    long, short = (np.unique(shingles([line], size, mixed=size == SHORT_SHINGLE)[0]) for size in (LONG_SHINGLE, SHORT_SHINGLE))
     out[BANDS:] = _bands(_long_minima(long, np.zeros(len(long), np.int64), 1), True)[0]
     if len(short) <= SHORT_MOST:
         out[:BANDS] = _bands(_short_minima(short, np.array([len(short)])), False)[0]
@@ -251,7 +275,7 @@ def _sign_one(line: str) -> np.ndarray:
 
     def parts(size):
         for k in range(0, len(line) - size + 1, SLICE):
-            yield shingles([line[k : k + SLICE + size - 1]], size)[0]
+            yield shingles([line[k : k + SLICE + size - 1]], size, mixed=size == SHORT_SHINGLE)[0]
 
     def least(limit):
         minima = np.full((1, BINS), _NONE, np.uint64)
@@ -290,16 +314,20 @@ def similar_forest(lines: list[str], groups: np.ndarray, similarity: float = SIM
     hashes, counts = shingles(lines)
     marks = bitmaps(hashes, counts)
     first = np.cumsum(counts) - counts
-    known: dict[int, frozenset] = {}
+    known: dict[int, np.ndarray] = {}
 
-    def own(i: int) -> frozenset:
+    def own(i: int) -> np.ndarray:
+        """The distinct shingles of a line, in order."""
         if i not in known:
-            known[i] = frozenset(hashes[first[i] : first[i] + counts[i]].tolist())
+            h = np.sort(hashes[first[i] : first[i] + counts[i]])
+            new = h[1:] != h[:-1]
+            known[i] = h if new.all() else np.concatenate((h[:1], h[1:][new]))
         return known[i]
 
     def linked(i: int, j: int) -> bool:
         a, b = own(i), own(j)
-        both = len(a & b)
+        merged = np.sort(np.concatenate((a, b)))
+        both = np.count_nonzero(merged[1:] == merged[:-1])
         return both + 1e-9 >= similarity * (len(a) + len(b) - both)
 
     def in_reach(i, j) -> np.ndarray:
@@ -525,7 +553,7 @@ def _uses(docs: DataFrame) -> DataFrame:
             blank = pa.array([n is None for n in numbers])
             taken = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             nothing = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(numbers, pa.int32()), pa.compute.if_else(blank, nothing, _signed(k)), pa.compute.if_else(blank, nothing, _signed(m)), bands], ["row", "doc_id", "no", "k", "m", "bands"])
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(numbers, pa.int32()), pc.if_else(blank, nothing, _signed(k)), pc.if_else(blank, nothing, _signed(m)), bands], ["row", "doc_id", "no", "k", "m", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string"))
