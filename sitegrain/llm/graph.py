@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph by alternating large-star and small-star steps."""
+"""Connected components of an undirected graph by contraction: nodes hook onto smaller neighbours until no edge is left."""
 
 from __future__ import annotations
 
@@ -12,34 +12,52 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Nodes are of one orderable type.  Loops, repeated and reversed edges are allowed; edges with a null end are
-    ignored; no edges give no rows.  Each round is three aggregations and two equi-joins on the node, whose larger
-    side adaptive execution splits when a node is hot.  Rounds end when the edge set no longer changes, after
-    O(log^2 n) of them; every round is written to the shared folder, so lineage stays short, and so are the minima that
-    it joins, for a join with an aggregate on the same key cannot be split.
+    ignored; no edges give no rows.  In a round every node hooks onto its smallest neighbour, if that is smaller, and
+    hooks are followed to their ends, which takes the place of the node in all edges; edges inside one tree go.  What
+    is left of the nodes are those without a smaller neighbour, at most half of them, so there are O(log n) rounds, and
+    the last ones are small.  A round shuffles its edges for one aggregation and joins them twice with the ends; joins
+    with small tables are broadcast, and in others adaptive execution splits the side of the edges when a node is hot,
+    because the tables of ends have one row a node and are written to the shared folder, as edges are, so that lineage
+    stays short.
     """
-    high, low = F.greatest(u, v).alias("a"), F.least(u, v).alias("b")
-    current = materialize(edges.filter(F.col(u) != F.col(v)).select(high, low).distinct(), "edges")
-    state = _state(current)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        both = current.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(current.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        least = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "minima")
-        large = materialize(both.join(least, "x").filter("y > x").select(F.col("y").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        below = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
-        small = large.join(below, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(below.select("a", F.col("m").alias("b"))).distinct()
-        following = materialize(small, "edges")
-        for table in (current, least, large, below):
-            discard(table)
-        current, before, state = following, state, _state(following)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(current.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    """A digest of the edge set: count, and xor and sum of a hash of each edge."""
-    h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+    current = materialize(edges.filter(F.col(u) != F.col(v)).select(F.col(u).alias("a"), F.col(v).alias("b")), "edges")
+    levels: list[DataFrame] = []
+    while not current.isEmpty():
+        if len(levels) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        both = current.unionAll(current.select("b", "a"))
+        ends = _ends(materialize(both.groupBy("a").agg(F.min("b").alias("m")).filter("m < a").select(F.col("a").alias("x"), "m"), "hooks"))
+        levels.append(ends)
+        following = materialize(_renamed(_renamed(current, "a", ends), "b", ends).filter("a <> b"), "edges")
+        discard(current)
+        current = following
+    if not levels:
+        return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    # an end of one round may have one of its own in a later round; later tables are smaller
+    found = levels.pop()
+    while levels:
+        earlier = levels.pop()
+        named = materialize(_renamed(earlier, "m", found).unionAll(found), "ends")
+        discard(earlier)
+        discard(found)
+        found = named
+    return found.select(F.col("x").alias("node"), F.col("m").alias("component")).unionAll(found.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+
+
+def _renamed(rows: DataFrame, column: str, ends: DataFrame) -> DataFrame:
+    """``rows`` with the end (x, m) of each value of ``column`` in its place, where it has one."""
+    own = ends.select(F.col("x").alias("_x"), F.col("m").alias("_m"))
+    return rows.join(own, F.col(column) == F.col("_x"), "left").withColumn(column, F.coalesce("_m", column)).drop("_x", "_m")
+
+
+def _ends(hooks: DataFrame) -> DataFrame:
+    """(x, m): the end of the hooks from every x on; the length that is left halves each time."""
+    while True:
+        own = hooks.select(F.col("x").alias("_x"), F.col("m").alias("_m"))
+        jumped = hooks.join(own, F.col("m") == F.col("_x"), "left").select("x", F.coalesce("_m", "m").alias("m"), F.col("_x").isNotNull().alias("moved"))
+        following = materialize(jumped, "hooks")
+        discard(hooks)
+        hooks = following.select("x", "m")
+        hooks._scratch = following._scratch
+        if following.filter("moved").isEmpty():
+            return hooks

@@ -68,6 +68,8 @@ WORDS = 16
 SLICE = 1 << 18
 #: Lines of a group that are compared in one task.
 GROUP_LIMIT = 2048
+#: A line that may be similar to so many others of its group is compared with all of them at once, by counting.
+MANY = 64
 #: Hashes of lines that need their texts are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -309,6 +311,29 @@ def bitmaps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1, WORDS)
 
 
+class _Holders:
+    """Which of a group's sets hold each value, so that one set is met with all others by counting."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        _, self.values = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(self.values, kind="stable")]
+        self.counts = np.bincount(self.values)
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many values each set shares with the ``i``-th; a part of the values at a time, where many sets hold them."""
+        out = np.zeros(len(self.sizes), np.int64)
+        values = self.values[self.first[i] : self.first[i] + self.sizes[i]]
+        step = max(SLICE // len(self.sizes), 1)
+        for k in range(0, len(values), step):
+            starts, counts = self.starts[values[k : k + step]], self.counts[values[k : k + step]]
+            at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+            out += np.bincount(self.holders[at], minlength=len(out))
+        return out
+
+
 def similar_forest(lines: list[str], groups: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """A spanning forest, as index pairs, of the links between lines of one group; ``groups`` numbers them, in order."""
     hashes, counts = shingles(lines)
@@ -350,14 +375,22 @@ def similar_forest(lines: list[str], groups: np.ndarray, similarity: float = SIM
             label[i] = before
     known.clear()
     for start, size in zip(bounds[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        own_label = label[start : start + size]
+        own_label, held = label[start : start + size], None
         for i in np.flatnonzero(own_label != start).tolist():
             if own_label[i] == own_label[0]:
                 continue
             others = np.flatnonzero(own_label != own_label[i])
             others = others[(others > 0) & ((others > i) | (own_label[others] == own_label[0]))]  # the lead has met all
-            for j in others[in_reach(start + i, start + others)].tolist():
-                if own_label[j] != own_label[i] and linked(start + i, start + j):
+            if size >= MANY:  # sets of too unequal sizes are left out first
+                held = held or _Holders([own(start + j) for j in range(size)])
+                others = others[np.minimum(held.sizes[i], held.sizes[others]) + 1e-9 >= similarity * np.maximum(held.sizes[i], held.sizes[others])]
+            others = others[in_reach(start + i, start + others)]
+            met = len(others) >= MANY  # all at once
+            if met:
+                both = held.shared(i)[others]
+                others = others[both + 1e-9 >= similarity * (held.sizes[i] + held.sizes[others] - both)]
+            for j in others.tolist():
+                if own_label[j] != own_label[i] and (met or linked(start + i, start + j)):
                     found.append((start + i, start + j))
                     least, most = sorted((int(own_label[i]), int(own_label[j])))
                     own_label[own_label == most] = least
