@@ -25,6 +25,7 @@ group of each such lead.  In a group all lines are compared with the lead, then
 another, less those that an exact bound rules out: of each set a bitmap of 1,024 hashed places is kept, and every place
 that one bitmap has and the other lacks is at least one shingle that is not shared.  What stays uncompared lies in one
 component or is too far apart, so no link that could join two is lost.  A group returns a spanning forest of its links.
+A line that has many left to meet is compared with all of them at once, by counting which lines hold its shingles.
 In groups of more than GROUP_LIMIT lines all are first compared with the lead, each on its own.  Those that it links
 are one component and need not meet one another; they only meet the rest.  So the rest is cut into chunks, and every
 chunk of it meets every other, and every chunk of the linked ones, in a task's group of their own; where all are linked,
